@@ -121,26 +121,30 @@ def random_mask(df: DataFrame, key_col: str, mask_id: int, special_ids=(), seed:
 
     Positions are ranked by md5(key ‖ '|' ‖ pos ‖ '|' ‖ seed) -- deterministic and
     reproducible (the reference draws them unseeded).  Labels keep every id.
+    The per-row threshold is zipped in as an array so no lambda re-evaluates it.
     """
     ids = F.col(ids_col)
     specials = F.array(*[F.lit(int(s)) for s in special_ids]) if special_ids else None
 
-    def h(i):
-        return F.md5(F.concat_ws("|", F.col(key_col).cast("string"), i.cast("string"), F.lit(str(seed))))
-
     def is_cand(x):
         return F.lit(True) if specials is None else ~F.array_contains(specials, x)
 
-    hashes = F.filter(F.transform(ids, lambda x, i: F.when(is_cand(x), h(i))), lambda v: v.isNotNull())
-    ncand = F.size(hashes)
+    key = F.col(key_col).cast("string")
+    hs = F.transform(ids, lambda x, i: F.when(is_cand(x), F.md5(F.concat_ws(
+        "|", key, i.cast("string"), F.lit(str(seed))))))
+    out = df.withColumn("__hs", hs)
+    cands = F.filter("__hs", lambda v: v.isNotNull())
+    ncand = F.size(cands)
     k = F.when(ncand > 0, F.greatest(F.lit(1), F.floor(ncand.cast("double") * F.lit(ratio)).cast("int"))) \
         .otherwise(F.lit(0))
-    out = df.withColumn("__k", k).withColumn(
-        "__thr", F.when(F.col("__k") > 0, F.element_at(F.array_sort(hashes), F.col("__k"))))
-    masked = F.transform(ids, lambda x, i: F.when(is_cand(x) & (h(i) <= F.col("__thr")), F.lit(mask_id))
-                         .otherwise(x))
+    out = out.withColumn("__k", k)
+    thr = F.when(F.col("__k") > 0, F.element_at(F.array_sort(cands), F.greatest(F.col("__k"), F.lit(1))))
+    z = F.arrays_zip(ids.alias("x"), F.col("__hs").alias("h"),
+                     F.array_repeat(thr, F.size(ids)).alias("t"))
+    masked = F.transform(z, lambda e: F.when(e["h"].isNotNull() & (e["h"] <= e["t"]), F.lit(mask_id))
+                         .otherwise(e["x"]))
     return (out.withColumn(labels_col, ids).withColumn(out_col, masked)
-            .withColumnRenamed("__k", "n_masked").drop("__thr"))
+            .withColumnRenamed("__k", "n_masked").drop("__hs"))
 
 
 def token_stats(packed: DataFrame, group_cols=("split",), ids_col: str = "input_ids") -> DataFrame:

@@ -214,11 +214,12 @@ def _interleave_sql() -> str:
 il AS (SELECT split, batch_id, block_no, input_ids,
          list_transform(range(1, 2 * len(input_ids)), lambda j:
            CASE WHEN j % 2 = 1 THEN input_ids[(j + 1) // 2]
-                WHEN input_ids[j // 2 + 1] = (SELECT token_id FROM vocab WHERE token = '<|endoftext|>')
-                  THEN input_ids[j // 2 + 1]
-                ELSE (SELECT token_id FROM vocab WHERE token = '<|MASK|>') END) AS ids2,
+                WHEN input_ids[j // 2 + 1] = pad THEN input_ids[j // 2 + 1]
+                ELSE msk END) AS ids2,
          list_transform(range(1, 2 * len(input_ids)), lambda j: 1) AS am2
-       FROM packed)"""
+       FROM packed,
+            (SELECT token_id AS pad FROM vocab WHERE token = '<|endoftext|>'),
+            (SELECT token_id AS msk FROM vocab WHERE token = '<|MASK|>'))"""
 
 
 @register("interleave_mask", O.with_corpus(f"""
@@ -587,8 +588,8 @@ def masked_report(spark, sf):
 @register("drop_pad", O.with_corpus("""
 SELECT split, batch_id, block_no, CAST(len(k) AS BIGINT) AS n_kept, md5(array_to_string(k, ',')) AS kept_md5
 FROM (SELECT split, batch_id, block_no,
-             list_filter(input_ids, lambda x: x <> (SELECT token_id FROM vocab WHERE token = '<|endoftext|>')) AS k
-      FROM packed)"""))
+             list_filter(input_ids, lambda x: x <> pad) AS k
+      FROM packed, (SELECT token_id AS pad FROM vocab WHERE token = '<|endoftext|>'))"""))
 def drop_pad(spark, sf):
     cp = CorpusPlan(spark, sf)
     k = A.drop_pad("input_ids", cp.token_id(EOS_TOKEN))
