@@ -3,7 +3,13 @@
 Spark rows have no order, so every order-sensitive operator takes explicit
 order columns.  The index is computed without a single-partition window:
 
-1. range-partition on the order columns and sort within partitions;
+1. range-partition on the order columns, sort within partitions and
+   ``checkpoint()`` the result into the shared checkpoint folder.  Range
+   bounds come from a sample seeded by the RDD id, so two separate exchanges
+   over the same rows may cut differently; materializing once makes partition
+   ids and in-partition order a fixed fact that every later branch (counts,
+   index, retries after executor loss) reads back identically, and cuts the
+   lineage;
 2. local position = monotonically_increasing_id() minus the partition's base;
 3. a tiny per-partition count table (one row per partition) gives each
    partition its starting offset through a running sum;
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import shuffle_partitions
+from tessera.session import ensure_checkpoint_dir, shuffle_partitions
 
 _PID = "__pid"
 _LOCAL = "__local"
@@ -34,8 +40,10 @@ def with_row_index(df: DataFrame, order_cols, index_col: str = "idx",
     """
     cols = _cols(order_cols)
     n = num_partitions or shuffle_partitions(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *cols)
               .sortWithinPartitions(*cols)
+              .checkpoint(eager=True)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.col(_PID).cast("long"), 33)))
