@@ -40,27 +40,58 @@ def build_vocab(tokens: DataFrame, size: int | None = None, specials=DEFAULT_SPE
     counts = token_counts(tokens, tokens_col)
     if size is not None:
         top = counts.orderBy(F.desc("freq"), F.asc("token")).limit(int(size))
-        w = Window.orderBy(F.desc("freq"), F.asc("token"))
-        regular = top.withColumn("token_id", (F.row_number().over(w) - 1).cast("int"))
-    else:
-        regular = (with_row_index(counts.withColumn("__nf", -F.col("freq")), ["__nf", "token"],
-                                  "token_id")
-                   .drop("__nf").withColumn("token_id", F.col("token_id").cast("int")))
+        regular = top.select("token", F.lit(-1).alias("token_id"), "freq")
+        return _append_specials_bounded(regular, specials, rank_regular=True)
+    regular = (with_row_index(counts.withColumn("__nf", -F.col("freq")), ["__nf", "token"], "token_id")
+               .drop("__nf").withColumn("token_id", F.col("token_id").cast("int")))
     regular = regular.select("token", "token_id", "freq", F.lit(False).alias("is_special"))
     return add_specials(regular, specials)
 
 
-def add_specials(vocab: DataFrame, tokens=(MASK_TOKEN,)) -> DataFrame:
-    """Append special tokens not yet present, with the next free ids in the given order."""
+def _specials_frame(spark, tokens):
+    return spark.createDataFrame([(t, i + 1) for i, t in enumerate(tokens)], "token string, __ord int")
+
+
+def _append_specials_bounded(vocab: DataFrame, tokens, rank_regular: bool = False) -> DataFrame:
+    """Bounded vocabulary: one pass of windows over (vocab ∪ specials), the vocab
+    referenced once.  Specials already present keep their id; new ones get the
+    next free ids in the given order.  With ``rank_regular`` the regular ids are
+    assigned here too, by (freq desc, token asc)."""
+    tokens = list(tokens)
+    reg = vocab.select("token", "token_id", "freq", F.lit(0).alias("__ord"))
+    sp = _specials_frame(vocab.sparkSession, tokens).select(
+        "token", F.lit(-1).alias("token_id"), F.lit(0).cast("long").alias("freq"), "__ord")
+    u = reg.unionByName(sp)
+    first = Window.partitionBy("token").orderBy("__ord")
+    u = u.withColumn("__dup", F.row_number().over(first)).filter(F.col("__dup") == 1)
+    everything = Window.orderBy("__ord", F.desc("freq"), "token")
+    if rank_regular:
+        tid = F.row_number().over(everything) - 1
+    else:
+        whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        base = F.max(F.when(F.col("__ord") == 0, F.col("token_id"))).over(whole)
+        nth = F.sum((F.col("__ord") > 0).cast("int")).over(
+            Window.orderBy("__ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        tid = F.when(F.col("__ord") == 0, F.col("token_id")).otherwise(F.coalesce(base, F.lit(-1)) + nth)
+    return u.select("token", tid.cast("int").alias("token_id"), "freq",
+                    (F.col("__ord") > 0).alias("is_special"))
+
+
+def add_specials(vocab: DataFrame, tokens=(MASK_TOKEN,), bounded: bool = True) -> DataFrame:
+    """Append special tokens not yet present, with the next free ids in the given order.
+
+    ``bounded`` (a size-capped vocabulary): single-pass windows.  Otherwise the
+    next free id comes from a one-row aggregate that is broadcast.
+    """
     tokens = list(tokens)
     if not tokens:
         return vocab
-    spark = vocab.sparkSession
-    sp = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, __ord int")
-    new = sp.join(vocab.select("token"), "token", "left_anti")
+    if bounded:
+        return _append_specials_bounded(vocab, tokens)
+    new = _specials_frame(vocab.sparkSession, tokens).join(vocab.select("token"), "token", "left_anti")
     w = Window.orderBy("__ord")
     base = vocab.agg(F.coalesce(F.max("token_id") + 1, F.lit(0)).alias("__base"))
-    added = (new.crossJoin(base)
+    added = (new.crossJoin(F.broadcast(base))
              .select("token",
                      (F.col("__base") + F.row_number().over(w) - 1).cast("int").alias("token_id"),
                      F.lit(0).cast("long").alias("freq"), F.lit(True).alias("is_special")))

@@ -20,6 +20,7 @@ from tessera.operators import blocks as B
 from tessera.operators import model as N
 from tessera.operators.rowindex import split_percent, with_row_index
 from tessera.operators.tokens import add_specials, build_vocab, encode, ones_like
+from tessera.session import ensure_checkpoint_dir
 from tessera.sources.corpus import read_table, select_text
 
 
@@ -96,8 +97,19 @@ class CorpusPlan:
                           cols=("input_ids",), index_col="split_idx", extra_keys=["split"])
         return p.withColumn("attention_mask", ones_like("input_ids"))
 
+    @cached_property
+    def published(self) -> DataFrame:
+        """The packed dataset, published once (checkpoint in the shared folder).
+
+        Fitting and scoring read it several times; materializing it keeps the
+        corpus from being re-tokenized per branch and cuts the lineage.
+        Single-use consumers read ``packed`` (the plan) directly.
+        """
+        ensure_checkpoint_dir(self.spark)
+        return self.packed.checkpoint(eager=True)
+
     def blocks(self, split: str) -> DataFrame:
-        return self.packed.filter(F.col("split") == split).drop("split")
+        return self.published.filter(F.col("split") == split).drop("split")
 
     @cached_property
     def bigram(self) -> DataFrame:

@@ -848,3 +848,61 @@ def metrics_sink(spark, sf):
     path = _scratch(spark, "metrics")
     write_metrics(_evaluate(spark, sf), path, run="documents-bigram", phase="eval", fmt="parquet")
     return spark.read.parquet(path).select("accuracy", "loss", "perplexity", "bleu", "eval_samples")
+
+
+# ---------------------------------------------------------------- streaming
+
+def _doc_stream(spark, sf):
+    from tessera.streaming.stream import stream_corpus
+    path = f"{sf}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    return stream_corpus(spark, path, schema).select("doc_id", "text")
+
+
+def _stream_encoded(spark, sf, cp: CorpusPlan):
+    from tessera.streaming.stream import stream_encode
+    return stream_encode(_doc_stream(spark, sf), cp.vocab, cp.vocab_table, ["doc_id"])
+
+
+@register("stream_tokenize", O.with_corpus(f"""
+SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, {md5_sql('input_ids')} AS ids_md5 FROM enc"""))
+def stream_tokenize(spark, sf):
+    from tessera.streaming.stream import run_to_table
+    cp = CorpusPlan(spark, sf)
+    out, ck = _scratch(spark, "stream-enc"), _scratch(spark, "stream-enc-ck")
+    run_to_table(_stream_encoded(spark, sf, cp), out, ck)
+    df = spark.read.parquet(out)
+    return df.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), md5_ids("input_ids").alias("ids_md5"))
+
+
+@register("stream_pack", O.with_corpus(f"""
+SELECT CAST(0 AS BIGINT) AS batch_id, block_no, CAST(len(ids) AS BIGINT) AS n_tokens, {md5_sql('ids')} AS ids_md5
+FROM (SELECT p // {SPEC.block_size} AS block_no, list(id ORDER BY p) AS ids FROM (
+        SELECT off + pos - 1 AS p, id, total FROM (
+          SELECT off, total, unnest(input_ids) AS id, generate_subscripts(input_ids, 1) AS pos FROM (
+            SELECT input_ids,
+                   CAST(sum(len(input_ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                        AS BIGINT) - len(input_ids) AS off,
+                   CAST(sum(len(input_ids)) OVER () AS BIGINT) AS total FROM enc)))
+      WHERE total < {SPEC.block_size} OR (p // {SPEC.block_size} + 1) * {SPEC.block_size} <= total
+      GROUP BY 1)"""))
+def stream_pack(spark, sf):
+    from tessera.streaming.stream import pack_micro_batches
+    cp = CorpusPlan(spark, sf)
+    out, ck = _scratch(spark, "stream-pack"), _scratch(spark, "stream-pack-ck")
+    pack_micro_batches(_stream_encoded(spark, sf, cp), SPEC.block_size, "doc_id", out, ck)
+    df = spark.read.parquet(out)
+    return df.select("batch_id", "block_no", F.size("input_ids").cast("long").alias("n_tokens"),
+                     md5_ids("input_ids").alias("ids_md5"))
+
+
+@register("stream_pack_carry")
+def stream_pack_carry(spark, sf):
+    from tessera.streaming.stream import pack_with_carry, run_to_table
+    cp = CorpusPlan(spark, sf)
+    enc = _stream_encoded(spark, sf, cp).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    out, ck = _scratch(spark, "stream-carry"), _scratch(spark, "stream-carry-ck")
+    run_to_table(pack_with_carry(enc, SPEC.block_size, "doc_id"), out, ck)
+    df = spark.read.parquet(out)
+    return df.select("shard", "seq", F.size("input_ids").cast("long").alias("n_tokens"),
+                     md5_ids("input_ids").alias("ids_md5"))
