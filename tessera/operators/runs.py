@@ -52,17 +52,15 @@ CONFIG_SCHEMA = T.StructType([
 def read_configs(spark, path: str, schema: T.StructType = CONFIG_SCHEMA) -> DataFrame:
     """Multi-line JSON run configs with a fixed schema; unknown keys are ignored.
 
+    Each file is read once as whole text and parsed with ``from_json``;
     ``unknown_keys`` lists the top-level keys the schema does not declare.
     """
-    known = [f.name for f in schema.fields]
-    typed = spark.read.schema(schema).option("multiLine", True).json(path) \
-        .withColumn("config_file", F.input_file_name())
-    raw = spark.read.option("multiLine", True).option("wholetext", True).text(path) \
-        .withColumn("config_file", F.input_file_name())
-    keys = F.json_object_keys(F.col("value"))
-    unknown = raw.select("config_file", F.array_sort(F.filter(
-        keys, lambda k: ~F.array_contains(F.array(*[F.lit(x) for x in known]), k))).alias("unknown_keys"))
-    return typed.join(unknown, "config_file", "left")
+    known = F.array(*[F.lit(f.name) for f in schema.fields])
+    raw = spark.read.text(path, wholetext=True).withColumn("config_file", F.input_file_name())
+    parsed = raw.select("config_file", F.from_json("value", schema).alias("__c"),
+                        F.array_sort(F.filter(F.json_object_keys("value"),
+                                              lambda k: ~F.array_contains(known, k))).alias("unknown_keys"))
+    return parsed.select("config_file", "__c.*", "unknown_keys")
 
 
 def config_long(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:
@@ -122,7 +120,10 @@ def early_stop(log: DataFrame, metric: str = "eval_loss", patience: int = 2,
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     stops = m.groupBy(run_col).agg(
         F.min(F.when(F.col("__streak") >= patience, F.col("step"))).alias("stop_step"))
-    return stops.join(best_step(log, metric, greater, run_col), run_col)
+    # training ends at the stop: the best is taken over evaluations up to it
+    upto = log.join(stops, run_col).filter(
+        F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))).drop("stop_step")
+    return stops.join(best_step(upto, metric, greater, run_col), run_col)
 
 
 def retain_checkpoints(ckpts: DataFrame, k: int, best: DataFrame | None = None,

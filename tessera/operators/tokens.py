@@ -58,9 +58,11 @@ def _append_specials_bounded(vocab: DataFrame, tokens, rank_regular: bool = Fals
     next free ids in the given order.  With ``rank_regular`` the regular ids are
     assigned here too, by (freq desc, token asc)."""
     tokens = list(tokens)
-    reg = vocab.select("token", "token_id", "freq", F.lit(0).alias("__ord"))
+    special = F.col("is_special") if "is_special" in vocab.columns else F.lit(False)
+    reg = vocab.select("token", "token_id", "freq", special.alias("is_special"), F.lit(0).alias("__ord"))
     sp = _specials_frame(vocab.sparkSession, tokens).select(
-        "token", F.lit(-1).alias("token_id"), F.lit(0).cast("long").alias("freq"), "__ord")
+        "token", F.lit(-1).alias("token_id"), F.lit(0).cast("long").alias("freq"),
+        F.lit(True).alias("is_special"), "__ord")
     u = reg.unionByName(sp)
     first = Window.partitionBy("token").orderBy("__ord")
     u = u.withColumn("__dup", F.row_number().over(first)).filter(F.col("__dup") == 1)
@@ -73,8 +75,7 @@ def _append_specials_bounded(vocab: DataFrame, tokens, rank_regular: bool = Fals
         nth = F.sum((F.col("__ord") > 0).cast("int")).over(
             Window.orderBy("__ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         tid = F.when(F.col("__ord") == 0, F.col("token_id")).otherwise(F.coalesce(base, F.lit(-1)) + nth)
-    return u.select("token", tid.cast("int").alias("token_id"), "freq",
-                    (F.col("__ord") > 0).alias("is_special"))
+    return u.select("token", tid.cast("int").alias("token_id"), "freq", "is_special")
 
 
 def add_specials(vocab: DataFrame, tokens=(MASK_TOKEN,), bounded: bool = True) -> DataFrame:

@@ -707,7 +707,12 @@ imp AS (SELECT run, step, value, coalesce(min(value) OVER (PARTITION BY run ORDE
 grp AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY run ORDER BY step) AS g FROM imp),
 stk AS (SELECT *, sum(CAST(NOT improved AS INTEGER)) OVER (PARTITION BY run, g ORDER BY step) AS streak FROM grp)
 SELECT s.run, s.stop_step, b.best_step, b.best_value
-FROM (SELECT run, min(CASE WHEN streak >= 2 THEN step END) AS stop_step FROM stk GROUP BY run) s JOIN best b USING (run)"""))
+FROM (SELECT run, min(CASE WHEN streak >= 2 THEN step END) AS stop_step FROM stk GROUP BY run) s
+JOIN (SELECT run, step AS best_step, value AS best_value FROM (
+        SELECT r.run, r.step, r.value, row_number() OVER (PARTITION BY r.run ORDER BY r.value, r.step) AS rk
+        FROM runlog r JOIN (SELECT run, min(CASE WHEN streak >= 2 THEN step END) AS stop_step FROM stk GROUP BY run) x
+          USING (run)
+        WHERE x.stop_step IS NULL OR r.step <= x.stop_step) WHERE rk = 1) b USING (run)"""))
 def early_stop(spark, sf):
     from tessera.operators.runs import early_stop as es
     return es(runlog(spark, sf), patience=2, threshold=0.0).select("run", "stop_step", "best_step", "best_value")
@@ -854,9 +859,9 @@ def metrics_sink(spark, sf):
 
 def _doc_stream(spark, sf):
     from tessera.streaming.stream import stream_corpus
-    path = f"{sf}/documents.parquet"
-    schema = spark.read.parquet(path).schema
-    return stream_corpus(spark, path, schema).select("doc_id", "text")
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    # a glob (not a single file) so each micro-batch can be re-planned by later jobs
+    return stream_corpus(spark, f"{sf}/documents*.parquet", schema).select("doc_id", "text")
 
 
 def _stream_encoded(spark, sf, cp: CorpusPlan):
