@@ -125,3 +125,20 @@ def average_params(a: DataFrame, b: DataFrame, name_col: str = "name",
 
 
 __all__ = ["A"]
+
+
+def score_with(df: DataFrame, fn, schema, broadcast_obj=None) -> DataFrame:
+    """Batch scoring with a user function over Arrow batches (``mapInPandas``).
+
+    ``fn(pdf, obj) -> pdf`` receives each pandas batch and the broadcast user
+    object (a model, a lookup table; it must be bounded -- it is shipped to
+    every executor once).
+    """
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast(broadcast_obj) if broadcast_obj is not None else None
+
+    def run(batches):
+        obj = bc.value if bc is not None else None
+        for pdf in batches:
+            yield fn(pdf, obj)
+    return df.mapInPandas(run, schema)

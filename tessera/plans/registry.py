@@ -911,3 +911,44 @@ def stream_pack_carry(spark, sf):
     df = spark.read.parquet(out)
     return df.select("shard", "seq", F.size("input_ids").cast("long").alias("n_tokens"),
                      md5_ids("input_ids").alias("ids_md5"))
+
+
+# ---------------------------------------------------------------- BPE merges (T2b), user scorer
+
+@register("learn_bpe")
+def learn_bpe(spark, sf):
+    from tessera.operators.bpe import learn_bpe as lb, word_counts
+    cp = CorpusPlan(spark, sf)
+    words = word_counts(cp.tokens.filter(F.col("split") == "train"))
+    return lb(words, n_merges=20)
+
+
+def _unigram_logp(pdf, table):
+    import numpy as np
+    counts, total, v = table
+    out = []
+    for ids in pdf["input_ids"]:
+        a = np.asarray(ids, dtype=np.int64)
+        out.append(float(np.log((counts[a] + 1.0) / (total + v)).sum()))
+    return pdf.assign(n=pdf["input_ids"].map(len).astype("int64"), logp=out).drop(columns=["input_ids"])
+
+
+@register("score_udf", O.with_corpus("""
+SELECT batch_id, block_no, CAST(count(*) AS BIGINT) AS n,
+       round(sum(ln((coalesce(u.c, 0) + 1.0) / ((SELECT count(*) FROM tr) + (SELECT v FROM vsize)))), 6) AS logp
+FROM (SELECT batch_id, block_no, unnest(input_ids) AS id FROM packed WHERE split = 'validation') x
+LEFT JOIN (SELECT id, count(*) AS c FROM tr GROUP BY id) u USING (id)
+GROUP BY ALL""", "tr AS (SELECT unnest(input_ids) AS id FROM packed WHERE split = 'train')"))
+def score_udf(spark, sf):
+    import numpy as np
+    cp = CorpusPlan(spark, sf)
+    train = cp.blocks("train")
+    # per-id counts: one row per id, bounded by the vocabulary size
+    c = train.select(F.explode("input_ids").alias("id")).groupBy("id").count().toArrow()
+    v = cp.vocab_rows
+    counts = np.zeros(v, dtype=np.float64)
+    counts[np.asarray(c.column("id").to_pylist(), dtype=np.int64)] = c.column("count").to_pylist()
+    scored = N.score_with(cp.blocks("validation").select(*BLOCK_KEYS, "input_ids"), _unigram_logp,
+                          "batch_id long, block_no long, n long, logp double",
+                          (counts, float(counts.sum()), float(v)))
+    return scored.select(*BLOCK_KEYS, "n", r6("logp").alias("logp"))

@@ -176,3 +176,43 @@ def test_average_params_mismatch_raises(spark):
         average_params(a, b).collect()
     b2 = spark.createDataFrame([("w", [3.0, 4.0])], "name string, values array<double>")
     assert average_params(a, b2).collect()[0]["values"] == [2.0, 3.0]
+
+
+def _bpe_brute(words, n_merges):
+    """Plain-Python BPE on {word: count} for the golden comparison."""
+    syms = {w: list(w) for w in words}
+    merges = []
+    for _ in range(n_merges):
+        pairs = {}
+        for w, c in words.items():
+            s = syms[w]
+            for a, b in zip(s, s[1:]):
+                pairs[(a, b)] = pairs.get((a, b), 0) + c
+        if not pairs:
+            break
+        (a, b), c = sorted(pairs.items(), key=lambda kv: (-kv[1], kv[0]))[0]
+        merges.append((a, b, c))
+        for w in syms:
+            s, out, i = syms[w], [], 0
+            while i < len(s):
+                if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(s[i])
+                    i += 1
+            syms[w] = out
+    return merges
+
+
+def test_learn_bpe_matches_brute_force(spark):
+    from tessera.operators.bpe import learn_bpe, word_counts
+    docs = [["low", " lower", " newest", " widest", " low", " aaaa"], ["newest", " low", " aaa", "newest"]]
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>")
+    got = [(r.left, r.right, r["count"]) for r in learn_bpe(word_counts(df), 12, checkpoint_every=4)
+           .orderBy("rank").collect()]
+    counts = {}
+    for d in docs:
+        for w in d:
+            counts[w] = counts.get(w, 0) + 1
+    assert got == _bpe_brute(counts, 12)
