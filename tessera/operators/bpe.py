@@ -50,18 +50,32 @@ def merge_pair(symbols, left: str, right: str):
 
 
 def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> DataFrame:
-    """Learn up to ``n_merges`` merges.  Returns (rank, left, right, count)."""
+    """Learn up to ``n_merges`` merges.  Returns (rank, left, right, count).
+
+    The word table is checkpointed once, each round's merged table is
+    persisted (filled by the next round's pair-count job, so a round is one
+    job) and checkpointed every ``checkpoint_every`` rounds to cut lineage.
+    """
+    from pyspark import StorageLevel
     spark = words.sparkSession
     ensure_checkpoint_dir(spark)
     merges = []
-    cur = words.select("symbols", "n")
+    cur = words.select("symbols", "n").checkpoint(eager=True)
+    prev = None
     for r in range(n_merges):
         top = _pairs(cur).orderBy(F.desc("count"), "left", "right").limit(1).collect()
+        if prev is not None:
+            prev.unpersist()
         if not top:
             break
         left, right, cnt = top[0]["left"], top[0]["right"], int(top[0]["count"])
         merges.append((r, left, right, cnt))
+        prev = cur
         cur = cur.select(merge_pair(F.col("symbols"), left, right).alias("symbols"), "n")
         if (r + 1) % checkpoint_every == 0:
             cur = cur.checkpoint(eager=True)
+        else:
+            cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
+    if prev is not None:
+        prev.unpersist()
     return spark.createDataFrame(merges, "rank int, left string, right string, count long")

@@ -74,33 +74,51 @@ def eval_samples(df: DataFrame, cap: int | None = None) -> DataFrame:
     return df.agg((n if cap is None else F.least(n, F.lit(cap).cast("long"))).alias("eval_samples"))
 
 
-def _grams(arr: Column, side: int, max_n: int) -> Column:
-    """All n-grams (n = 1..max_n) of ``arr`` as structs (n, gram, hyp, ref)."""
+def _pack(gram: Column, id_bits: int) -> Column:
+    """n-gram of ids in [0, 2^id_bits) → one exact long (bit shifts, no overflow)."""
+    return F.aggregate(gram, F.lit(0).cast("long"),
+                       lambda acc, x: F.shiftleft(acc, id_bits).bitwiseOR(x.cast("long")))
+
+
+def _grams(arr: Column, side: int, max_n: int, id_bits: int | None = None) -> Column:
+    """All n-grams (n = 1..max_n) of ``arr`` as structs (n, gram, hyp, ref).
+
+    With ``id_bits`` (ids known to be in [0, 2^id_bits), id_bits·max_n ≤ 64) the
+    gram is packed into a long: an exact key that hashes much faster.
+    """
     size = F.size(arr)
 
     def per_n(n):
         starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(
             F.array().cast("array<int>"))
+        gram = (lambda i: _pack(F.slice(arr, i, n), id_bits)) if id_bits else \
+            (lambda i: F.slice(arr, i, n))
         return F.transform(starts, lambda i: F.struct(
-            n.alias("n"), F.slice(arr, i, n).alias("gram"),
+            n.alias("n"), gram(i).alias("gram"),
             F.lit(1 - side).alias("h"), F.lit(side).alias("r")))
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), per_n))
 
 
 def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "labels",
-                  max_n: int = BLEU_MAX_N, epsilon: float = BLEU_EPSILON) -> DataFrame:
+                  max_n: int = BLEU_MAX_N, epsilon: float = BLEU_EPSILON,
+                  id_bound: int | None = None) -> DataFrame:
     """Sentence BLEU per row (one reference), uniform weights, smoothing method 1.
 
     p_n = clipped matches / max(1, hyp n-grams); zero numerators become ε.
     No unigram match → 0.  Brevity penalty exp(1 − r/c) when c ≤ r (c = 0 → 0).
     n-gram counts are an exact ``groupBy(row, n, gram)`` (partial aggregation
-    map-side); no row ever meets another row's n-grams.
+    map-side); no row ever meets another row's n-grams.  ``id_bound`` (all ids
+    in [0, id_bound)) lets grams be packed into exact long keys.
     """
     keys = list(keys)
+    id_bits = None
+    if id_bound is not None:
+        bits = max(1, (int(id_bound) - 1).bit_length())
+        id_bits = bits if bits * max_n <= 64 else None
     base = df.select(*keys, F.col(hyp_col).alias("__h"), F.col(ref_col).alias("__r"))
     base = base.withColumn("__c", F.size("__h")).withColumn("__rl", F.size("__r"))
     grams = base.select(*keys, "__c", "__rl", F.explode(F.concat(
-        _grams(F.col("__h"), 0, max_n), _grams(F.col("__r"), 1, max_n))).alias("__g"))
+        _grams(F.col("__h"), 0, max_n, id_bits), _grams(F.col("__r"), 1, max_n, id_bits))).alias("__g"))
     counted = (grams.groupBy(*keys, "__c", "__rl", F.col("__g.n").alias("n"), F.col("__g.gram").alias("g"))
                .agg(F.sum("__g.h").alias("ch"), F.sum("__g.r").alias("cr")))
     per_row = counted.groupBy(*keys, "__c", "__rl").agg(
@@ -123,12 +141,12 @@ def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "la
 
 
 def bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "labels",
-         sample: int | None = BLEU_SAMPLE_ROWS, order_cols=None) -> DataFrame:
+         sample: int | None = BLEU_SAMPLE_ROWS, order_cols=None, id_bound: int | None = None) -> DataFrame:
     """Mean sentence BLEU over the first ``sample`` rows (by ``order_cols``) or all rows."""
     src = df
     if sample is not None:
         src = df.orderBy(*(order_cols or keys)).limit(sample)
-    per = sentence_bleu(src, keys, hyp_col, ref_col)
+    per = sentence_bleu(src, keys, hyp_col, ref_col, id_bound=id_bound)
     return per.agg(F.coalesce(F.avg("bleu"), F.lit(0.0)).alias("bleu"))
 
 

@@ -23,8 +23,34 @@ DEFAULT_SPECIALS = (UNK_TOKEN, EOS_TOKEN)
 MAX_BROADCAST_ENTRIES = 4_000_000
 
 
-def token_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """(token, freq): explode + map-side partial aggregation, one shuffle of distinct tokens."""
+def _partial_counts(batches):
+    """Map-side combine in Arrow: (token, n) for the distinct tokens of one partition.
+
+    Memory is bounded by the distinct tokens of one input partition."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    parts = []
+    for rb in batches:
+        col = rb.column(0)
+        if len(col):
+            parts.append(pc.list_flatten(col))
+    if not parts:
+        return
+    vc = pc.value_counts(pa.chunked_array(parts, type=pa.string()))
+    yield pa.RecordBatch.from_arrays([vc.field("values"), pc.cast(vc.field("counts"), pa.int64())],
+                                     names=["token", "n"])
+
+
+def token_counts(tokens: DataFrame, tokens_col: str = "tokens", arrow_combine: bool = True) -> DataFrame:
+    """(token, freq) with a map-side combine before the shuffle.
+
+    Default: per-partition ``value_counts`` over the Arrow token lists (the
+    tokens are never exploded into JVM rows), then ``groupBy(token).sum`` merges
+    the partials.  ``arrow_combine=False``: explode + partial HashAggregate.
+    """
+    if arrow_combine:
+        partial = tokens.select(tokens_col).mapInArrow(_partial_counts, "token string, n long")
+        return partial.groupBy("token").agg(F.sum("n").alias("freq"))
     return (tokens.select(F.explode(tokens_col).alias("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
 

@@ -360,14 +360,16 @@ BLEU_ALL = O.bleu_ctes("scored", "batch_id, block_no")
 @register("bleu_sample", O.with_corpus(
     "SELECT round(coalesce(avg(bleu), 0.0), 6) AS bleu FROM bleu_rows", BLEU10))
 def bleu_sample(spark, sf):
-    b = E.bleu(CorpusPlan(spark, sf).scored, BLOCK_KEYS, sample=10)
+    cp = CorpusPlan(spark, sf)
+    b = E.bleu(cp.scored, BLOCK_KEYS, sample=10, id_bound=cp.vocab_rows)
     return b.select(r6("bleu").alias("bleu"))
 
 
 @register("bleu_all", O.with_corpus(
     "SELECT batch_id, block_no, round(bleu, 6) AS bleu FROM bleu_rows", BLEU_ALL))
 def bleu_all(spark, sf):
-    per = E.sentence_bleu(CorpusPlan(spark, sf).scored, BLOCK_KEYS)
+    cp = CorpusPlan(spark, sf)
+    per = E.sentence_bleu(cp.scored, BLOCK_KEYS, id_bound=cp.vocab_rows)
     return per.select(*BLOCK_KEYS, r6("bleu").alias("bleu"))
 
 
@@ -384,9 +386,10 @@ FROM acc, (SELECT avg(loss) AS loss FROM scored) l, (SELECT avg(bleu) AS bleu FR
 
 
 def _evaluate(spark, sf) -> DataFrame:
-    s = CorpusPlan(spark, sf).scored
+    cp = CorpusPlan(spark, sf)
+    s = cp.scored
     row = E.evaluate(E.token_accuracy(B.shift_pairs(s, BLOCK_KEYS)), E.mean_loss(s),
-                     E.bleu(s, BLOCK_KEYS, sample=10), E.eval_samples(s))
+                     E.bleu(s, BLOCK_KEYS, sample=10, id_bound=cp.vocab_rows), E.eval_samples(s))
     return row.select(r6("accuracy").alias("accuracy"), r6("loss").alias("loss"),
                       r6("perplexity").alias("perplexity"), r6("bleu").alias("bleu"), "eval_samples")
 
