@@ -117,16 +117,17 @@ def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "la
         id_bits = bits if bits * max_n <= 64 else None
     base = df.select(*keys, F.col(hyp_col).alias("__h"), F.col(ref_col).alias("__r"))
     base = base.withColumn("__c", F.size("__h")).withColumn("__rl", F.size("__r"))
+    # one sentinel (n = 0) per row so rows without any n-gram still reach the group
+    gram_type = "long" if id_bits else "array<int>"
+    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast(gram_type).alias("gram"),
+                                F.lit(0).alias("h"), F.lit(0).alias("r")))
     grams = base.select(*keys, "__c", "__rl", F.explode(F.concat(
-        _grams(F.col("__h"), 0, max_n, id_bits), _grams(F.col("__r"), 1, max_n, id_bits))).alias("__g"))
+        sentinel, _grams(F.col("__h"), 0, max_n, id_bits), _grams(F.col("__r"), 1, max_n, id_bits))).alias("__g"))
     counted = (grams.groupBy(*keys, "__c", "__rl", F.col("__g.n").alias("n"), F.col("__g.gram").alias("g"))
                .agg(F.sum("__g.h").alias("ch"), F.sum("__g.r").alias("cr")))
     per_row = counted.groupBy(*keys, "__c", "__rl").agg(
         *[F.sum(F.when(F.col("n") == k, F.least("ch", "cr"))).alias(f"__m{k}")
           for k in range(1, max_n + 1)])
-    # rows with neither hyp nor ref n-grams never reach the group: add them back as 0
-    allrows = base.select(*keys, "__c", "__rl")
-    per_row = allrows.join(per_row, [*keys, "__c", "__rl"], "left")
     logp = None
     for k in range(1, max_n + 1):
         m = F.coalesce(F.col(f"__m{k}"), F.lit(0)).cast("double")

@@ -24,13 +24,88 @@ def _pairs(ids):
     return F.when(n > 1, body).otherwise(F.array().cast("array<struct<prev_id:int,next_id:int>>"))
 
 
-def fit_next_token(blocks: DataFrame, ids_col: str = "input_ids") -> DataFrame:
-    """Bigram counts (prev_id, next_id, n) over adjacent positions inside each block."""
+def _adjacent_partials(kind: str, id_bits: int):
+    """Map-side combine in Arrow/numpy for adjacent-id statistics of one partition.
+
+    ``pairs``: (prev_id, next_id, n).  ``triples``: (left, target, right, n) for
+    each target with a right neighbour; left is null at a row start.  Keys are
+    packed into exact int64 values; only positions inside one row are paired.
+    Memory is bounded by one input partition.
+    """
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        keys = []
+        for rb in batches:
+            col = rb.column(0)
+            if len(col) == 0:
+                continue
+            offs = np.asarray(col.offsets, dtype=np.int64)
+            vals = np.asarray(col.values.to_numpy(zero_copy_only=False), dtype=np.int64)
+            lo, hi = int(offs[0]), int(offs[-1])
+            if hi - lo < 2:
+                continue
+            v = vals[lo:hi]
+            o = offs - lo
+            ok = np.ones(len(v) - 1, dtype=bool)      # position p pairs with p + 1
+            ends = o[1:] - 1                          # last position of each row
+            ok[ends[(ends >= 0) & (ends < len(v) - 1)]] = False
+            p = np.nonzero(ok)[0]
+            if kind == "pairs":
+                keys.append((v[p] << 32) | v[p + 1])
+            else:
+                is_start = np.zeros(len(v), dtype=bool)
+                is_start[o[:-1][o[:-1] < len(v)]] = True
+                left = np.where(is_start[p], 0, v[np.maximum(p - 1, 0)] + 1)
+                keys.append((left << (2 * id_bits)) | (v[p] << id_bits) | v[p + 1])
+        if not keys:
+            return
+        vc = pc.value_counts(pa.array(np.concatenate(keys), pa.int64()))
+        k = np.asarray(vc.field("values").to_numpy(), dtype=np.int64)
+        n = pa.array(np.asarray(vc.field("counts").to_numpy(), dtype=np.int64))
+        mask = (1 << id_bits) - 1
+        if kind == "pairs":
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((k >> 32).astype(np.int32)), pa.array((k & 0xFFFFFFFF).astype(np.int32)), n],
+                names=["prev_id", "next_id", "n"])
+        else:
+            left = (k >> (2 * id_bits)) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left.astype(np.int32), mask=left < 0),
+                 pa.array(((k >> id_bits) & mask).astype(np.int32)), pa.array((k & mask).astype(np.int32)), n],
+                names=["left", "target", "right", "n"])
+    return fn
+
+
+def fit_next_token(blocks: DataFrame, ids_col: str = "input_ids", id_bound: int | None = None) -> DataFrame:
+    """Bigram counts (prev_id, next_id, n) over adjacent positions inside each block.
+
+    With ``id_bound`` (ids in [0, id_bound) < 2^31) the counts are pre-combined
+    per partition in Arrow before the shuffle; otherwise explode + partial
+    HashAggregate.
+    """
+    if id_bound is not None and id_bound < 2 ** 31:
+        part = blocks.select(ids_col).mapInArrow(_adjacent_partials("pairs", 32),
+                                                 "prev_id int, next_id int, n long")
+        return part.groupBy("prev_id", "next_id").agg(F.sum("n").alias("n"))
     return (blocks.select(F.explode(_pairs(ids_col)).alias("__p"))
             .groupBy(F.col("__p.prev_id").alias("prev_id"), F.col("__p.next_id").alias("next_id"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def infill_counts(blocks: DataFrame, ids_col: str = "input_ids", id_bound: int | None = None) -> DataFrame:
+    """(left, right, target, n) over every mask slot of every block (B9 triples counted)."""
+    bits = max(1, (int(id_bound) - 1).bit_length()) if id_bound is not None else None
+    if bits is not None and bits <= 20:
+        part = blocks.select(ids_col).mapInArrow(_adjacent_partials("triples", bits),
+                                                 "left int, target int, right int, n long")
+        return part.groupBy("left", "right", "target").agg(F.sum("n").alias("n"))
+    from tessera.operators.blocks import infill_triples
+    tri = infill_triples(blocks.withColumn("__row", F.lit(0)), ["__row"], ids_col)
+    return tri.groupBy("left", "right", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 def prev_stats(counts: DataFrame) -> DataFrame:
     """Per previous id: total continuations and the top next id (count desc, id asc)."""
     return counts.groupBy("prev_id").agg(
@@ -81,9 +156,12 @@ def score_next_token(counts: DataFrame, blocks: DataFrame, keys, vocab_size: int
                     F.transform("__s", lambda s: s["pred"]).alias("pred"), "loss", "n_pairs")
 
 
-def fit_infill(triples: DataFrame) -> DataFrame:
-    """Infill model: counts of target given (left, right) and the top target per context."""
-    c = triples.groupBy("left", "right", "target").agg(F.count(F.lit(1)).alias("n"))
+def fit_infill(triples: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Infill model: counts of target given (left, right) and the top target per context.
+
+    Takes raw triples, or pre-aggregated ``counts`` (left, right, target, n)."""
+    c = counts if counts is not None else \
+        triples.groupBy("left", "right", "target").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("left", "right").agg(
         F.sum("n").alias("context_total"),
         F.max_by("target", F.struct(F.col("n"), -F.col("target"))).alias("top_target"))

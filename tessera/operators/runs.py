@@ -128,9 +128,13 @@ def early_stop(log: DataFrame, metric: str = "eval_loss", patience: int = 2,
 
 def retain_checkpoints(ckpts: DataFrame, k: int, best: DataFrame | None = None,
                        run_col: str = "run") -> DataFrame:
-    """Newest ``k`` checkpoints per run, plus the best one when given."""
-    w = Window.partitionBy(run_col).orderBy(F.desc("step"))
-    out = ckpts.withColumn("rank_newest", F.row_number().over(w))
+    """Newest ``k`` checkpoints per run, plus the best one when given.
+
+    The newest-first rank comes from the skew-safe per-group index (no window
+    partitioned by run)."""
+    from tessera.operators.rowindex import with_group_index
+    out = with_group_index(ckpts.withColumn("__ns", -F.col("step")), run_col, "__ns", "rank_newest") \
+        .drop("__ns")
     keep = F.col("rank_newest") <= k
     if best is not None:
         out = out.join(best.select(run_col, "best_step"), run_col, "left")

@@ -113,7 +113,13 @@ class CorpusPlan:
 
     @cached_property
     def bigram(self) -> DataFrame:
-        return N.fit_next_token(self.blocks("train"))
+        return N.fit_next_token(self.blocks("train"), id_bound=self.vocab_rows)
+
+    @cached_property
+    def scored_table(self) -> DataFrame:
+        """``scored`` materialized once, for queries that aggregate it several ways."""
+        ensure_checkpoint_dir(self.spark)
+        return self.scored.checkpoint(eager=True)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -387,7 +387,7 @@ FROM acc, (SELECT avg(loss) AS loss FROM scored) l, (SELECT avg(bleu) AS bleu FR
 
 def _evaluate(spark, sf) -> DataFrame:
     cp = CorpusPlan(spark, sf)
-    s = cp.scored
+    s = cp.scored_table
     row = E.evaluate(E.token_accuracy(B.shift_pairs(s, BLOCK_KEYS)), E.mean_loss(s),
                      E.bleu(s, BLOCK_KEYS, sample=10, id_bound=cp.vocab_rows), E.eval_samples(s))
     return row.select(r6("accuracy").alias("accuracy"), r6("loss").alias("loss"),
@@ -406,8 +406,8 @@ SELECT "left", "right", context_total, target AS top_target FROM (
           FROM (SELECT ids, unnest(range(1, len(ids))) AS k FROM trp)) GROUP BY ALL))
 WHERE rk = 1"""))
 def fit_infill(spark, sf):
-    tri = B.infill_triples(CorpusPlan(spark, sf).blocks("train"), BLOCK_KEYS)
-    m = N.fit_infill(tri)
+    cp = CorpusPlan(spark, sf)
+    m = N.fit_infill(counts=N.infill_counts(cp.blocks("train"), id_bound=cp.vocab_rows))
     return m.select("left", "right", F.col("context_total").cast("long").alias("context_total"), "top_target")
 
 
@@ -579,7 +579,7 @@ def masked_report(spark, sf):
         F.when(i + 2 <= n, F.element_at(ids, F.least(i + 2, n))).alias("right")))
     x = (m.select(*BLOCK_KEYS, F.explode(slots).alias("s"))
          .select(*BLOCK_KEYS, "s.*").filter(F.col("mid") == mask))
-    model = N.fit_infill(B.infill_triples(cp.blocks("train"), BLOCK_KEYS))
+    model = N.fit_infill(counts=N.infill_counts(cp.blocks("train"), id_bound=cp.vocab_rows))
     fb = N.unigram_top(cp.blocks("train"))
     pred = N.predict_infill(model, x).crossJoin(F.broadcast(fb))
     return pred.select(*BLOCK_KEYS, "pos", "original_id",
