@@ -55,12 +55,19 @@ def read_configs(spark, path: str, schema: T.StructType = CONFIG_SCHEMA) -> Data
     Each file is read once as whole text and parsed with ``from_json``;
     ``unknown_keys`` lists the top-level keys the schema does not declare.
     """
-    known = F.array(*[F.lit(f.name) for f in schema.fields])
     raw = spark.read.text(path, wholetext=True).withColumn("config_file", F.input_file_name())
-    parsed = raw.select("config_file", F.from_json("value", schema).alias("__c"),
-                        F.array_sort(F.filter(F.json_object_keys("value"),
-                                              lambda k: ~F.array_contains(known, k))).alias("unknown_keys"))
-    return parsed.select("config_file", "__c.*", "unknown_keys")
+    return parse_configs(raw, "value", schema, keep=["config_file"])
+
+
+def parse_configs(df: DataFrame, json_col: str, schema: T.StructType, keep=()) -> DataFrame:
+    """JSON text column → typed fields of ``schema`` plus ``unknown_keys``
+    (top-level keys the schema does not declare, sorted); unknown keys are
+    otherwise ignored, as the reference's argument parser does."""
+    known = F.array(*[F.lit(f.name) for f in schema.fields])
+    parsed = df.select(*keep, F.from_json(json_col, schema).alias("__c"),
+                       F.array_sort(F.filter(F.json_object_keys(json_col),
+                                             lambda k: ~F.array_contains(known, k))).alias("unknown_keys"))
+    return parsed.select(*keep, "__c.*", "unknown_keys")
 
 
 def config_long(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:

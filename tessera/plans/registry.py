@@ -955,3 +955,20 @@ def score_udf(spark, sf):
                           "batch_id long, block_no long, n long, logp double",
                           (counts, float(counts.sum()), float(v)))
     return scored.select(*BLOCK_KEYS, "n", r6("logp").alias("logp"))
+
+
+# ---------------------------------------------------------------- config parsing on a JSON column
+
+@register("config_scan", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       CAST(len(list_filter(json_keys(props), lambda x: x <> 'k')) AS BIGINT) AS n_unknown,
+       array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), ',') AS unknown
+FROM events""")
+def config_scan(spark, sf):
+    from pyspark.sql import types as T
+    from tessera.operators.runs import parse_configs
+    ev = read_table(spark, sf, "events")
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    cfg = parse_configs(ev, "props", schema, keep=["event_id"])
+    return cfg.select("event_id", "k", F.size("unknown_keys").cast("long").alias("n_unknown"),
+                      F.array_join("unknown_keys", ",").alias("unknown"))
