@@ -247,6 +247,10 @@ def masked_report(df: DataFrame, keys, masked_col: str, labels_col: str, pred_co
 
 def evaluate(pairs_acc: DataFrame, losses: DataFrame, bleu_df: DataFrame,
              samples: DataFrame) -> DataFrame:
-    """One metrics row: accuracy, loss, perplexity, bleu, eval_samples (one-row inputs)."""
-    return (pairs_acc.crossJoin(losses).crossJoin(bleu_df).crossJoin(samples)
-            .withColumn("perplexity", perplexity("loss")))
+    """One metrics row: accuracy, loss, perplexity, bleu, eval_samples.
+
+    The inputs are one-row aggregates; they are combined as scalar subqueries."""
+    loss = losses.select("loss").scalar()
+    return pairs_acc.select("accuracy", loss.alias("loss"), bleu_df.select("bleu").scalar().alias("bleu"),
+                            samples.select("eval_samples").scalar().alias("eval_samples"),
+                            perplexity(loss).alias("perplexity"))

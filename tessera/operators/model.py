@@ -134,7 +134,7 @@ def score_next_token(counts: DataFrame, blocks: DataFrame, keys, vocab_size: int
     stats = prev_stats(counts)
     if stats_bound is not None and stats_bound <= STATS_BROADCAST_ROWS:
         stats = F.broadcast(stats)  # one row per distinct id: bounded by the vocabulary
-    fb = F.broadcast(unigram_top(train_blocks if train_blocks is not None else blocks, ids_col))
+    fb = unigram_top(train_blocks if train_blocks is not None else blocks, ids_col).scalar()
     ids = F.col(ids_col)
     n = F.size(ids)
     slots = F.transform(ids, lambda x, i: F.struct(
@@ -144,10 +144,9 @@ def score_next_token(counts: DataFrame, blocks: DataFrame, keys, vocab_size: int
     x = x.join(stats, x.cur == stats.prev_id, "left").drop("prev_id")
     c = counts.select(F.col("prev_id").alias("__cp"), F.col("next_id").alias("__cn"), F.col("n").alias("__c"))
     x = x.join(c, (x.cur == c.__cp) & (x.nxt == c.__cn), "left").drop("__cp", "__cn")
-    x = x.crossJoin(fb)
     prob = (F.coalesce(F.col("__c"), F.lit(0)) + F.lit(add_k)) / \
         (F.coalesce(F.col("prev_total"), F.lit(0)) + F.lit(add_k * vocab_size))
-    x = x.select(*keys, "pos", "cur", F.coalesce("top_next", "fallback_id").alias("pred"),
+    x = x.select(*keys, "pos", "cur", F.coalesce(F.col("top_next"), fb).alias("pred"),
                  F.when(F.col("nxt").isNotNull(), -F.log(prob)).alias("nll"))
     g = x.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "cur", "pred"))).alias("__s"),

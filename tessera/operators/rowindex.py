@@ -100,10 +100,8 @@ def split_percent(indexed: DataFrame, percent, index_col: str = "idx",
     if total_col and total_col in indexed.columns:
         src = indexed.withColumn("__b", percent_boundary(F.col(total_col), percent))
     else:
-        total = indexed.agg(F.count(F.lit(1)).alias("__n"))
-        bounded = total.select(percent_boundary(F.col("__n"), percent).alias("__b"))
-        # one-row frame: the cross join broadcasts a single row
-        src = indexed.crossJoin(F.broadcast(bounded))
+        total = indexed.agg(F.count(F.lit(1))).scalar()
+        src = indexed.withColumn("__b", percent_boundary(total, percent))
     is_val = F.col(index_col) < F.col("__b")
     return (src.withColumn(split_col, F.when(is_val, F.lit("validation")).otherwise(F.lit("train")))
             .withColumn("split_idx", F.when(is_val, F.col(index_col))
@@ -137,9 +135,8 @@ def map_batches(indexed: DataFrame, batch_rows: int, index_col: str = "idx",
     idx = F.col(index_col)
     if shards <= 1:
         return indexed.withColumn("batch_id", F.floor(idx / F.lit(batch_rows)).cast("long"))
-    n = indexed.agg(F.count(F.lit(1)).alias("__n"))
-    per = n.select(F.ceil(F.col("__n") / F.lit(shards)).cast("long").alias("__per"))
-    out = indexed.crossJoin(F.broadcast(per))
+    n = indexed.agg(F.count(F.lit(1))).scalar()
+    out = indexed.withColumn("__per", F.ceil(n / F.lit(shards)).cast("long"))
     shard = F.floor(idx / F.col("__per")).cast("long")
     local = idx - shard * F.col("__per")
     per_shard_batches = F.ceil(F.col("__per") / F.lit(batch_rows)).cast("long")

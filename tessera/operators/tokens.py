@@ -117,10 +117,10 @@ def add_specials(vocab: DataFrame, tokens=(MASK_TOKEN,), bounded: bool = True) -
         return _append_specials_bounded(vocab, tokens)
     new = _specials_frame(vocab.sparkSession, tokens).join(vocab.select("token"), "token", "left_anti")
     w = Window.orderBy("__ord")
-    base = vocab.agg(F.coalesce(F.max("token_id") + 1, F.lit(0)).alias("__base"))
-    added = (new.crossJoin(F.broadcast(base))
+    base = vocab.agg(F.coalesce(F.max("token_id") + 1, F.lit(0))).scalar()
+    added = (new
              .select("token",
-                     (F.col("__base") + F.row_number().over(w) - 1).cast("int").alias("token_id"),
+                     (base + F.row_number().over(w) - 1).cast("int").alias("token_id"),
                      F.lit(0).cast("long").alias("freq"), F.lit(True).alias("is_special")))
     return vocab.unionByName(added)
 
@@ -208,14 +208,13 @@ def ones_like(col: str):
 
 def _shuffle_lookup(base: DataFrame, vocab: DataFrame, keep, tokens_col: str,
                     unk_token: str) -> DataFrame:
-    unk = vocab.filter(F.col("token") == unk_token).select(F.col("token_id").alias("__unk"))
+    unk = vocab.filter(F.col("token") == unk_token).agg(F.max("token_id")).scalar()
     exploded = base.select(*keep, F.posexplode_outer(tokens_col).alias("__pos", "token"))
     joined = (exploded.join(vocab.select("token", "token_id"), "token", "left")
-              .crossJoin(F.broadcast(unk)))
-    tid = F.coalesce(F.col("token_id"), F.col("__unk"))
+              .withColumn("__id", F.coalesce(F.col("token_id"), unk)))
     grouped = joined.groupBy(*keep).agg(
         F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(),
-                                           F.struct(F.col("__pos"), tid.alias("id"))))).alias("__p"))
+                                           F.struct(F.col("__pos"), F.col("__id").alias("id"))))).alias("__p"))
     return grouped.select(*keep, F.transform("__p", lambda s: s["id"]).alias("input_ids"))
 
 
@@ -248,7 +247,7 @@ def vocab_coverage(encoded: DataFrame, vocab: DataFrame, expected_size: int,
     embedding table (``expected_size`` rows) must be resized."""
     used = encoded.select(F.explode(ids_col).alias("id")).agg(
         F.max("id").alias("max_id"), F.count_distinct("id").alias("distinct_ids"))
-    size = vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
-    return (used.crossJoin(size)
+    size = vocab.agg(F.count(F.lit(1))).scalar()
+    return (used.withColumn("vocab_size", size)
             .withColumn("expected_size", F.lit(expected_size).cast("long"))
             .withColumn("needs_resize", F.col("vocab_size") > F.col("expected_size")))

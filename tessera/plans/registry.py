@@ -581,9 +581,9 @@ def masked_report(spark, sf):
          .select(*BLOCK_KEYS, "s.*").filter(F.col("mid") == mask))
     model = N.fit_infill(counts=N.infill_counts(cp.blocks("train"), id_bound=cp.vocab_rows))
     fb = N.unigram_top(cp.blocks("train"))
-    pred = N.predict_infill(model, x).crossJoin(F.broadcast(fb))
+    pred = N.predict_infill(model, x)
     return pred.select(*BLOCK_KEYS, "pos", "original_id",
-                       F.coalesce("top_target", "fallback_id").alias("predicted_id"))
+                       F.coalesce(F.col("top_target"), fb.scalar()).alias("predicted_id"))
 
 
 # ---------------------------------------------------------------- array predicates
@@ -659,9 +659,8 @@ SELECT name, CAST(len(v) AS BIGINT) AS n, round(list_sum(v), 4) AS total FROM (
         WHERE vec_id >= (SELECT count(*) // 2 FROM embeddings)) b USING (k))""")
 def average_params(spark, sf):
     emb = read_table(spark, sf, "embeddings")
-    half = emb.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-    e = emb.crossJoin(F.broadcast(half)).select(
-        "vec_id", "half", F.col("embedding").cast("array<double>").alias("values"))
+    half = emb.agg(F.floor(F.count(F.lit(1)) / 2).alias("half")).scalar()
+    e = emb.select("vec_id", half.alias("half"), F.col("embedding").cast("array<double>").alias("values"))
     a = e.filter(F.col("vec_id") < F.col("half")).select(F.concat(F.lit("p"), F.col("vec_id")).alias("name"), "values")
     b = e.filter(F.col("vec_id") >= F.col("half")).select(
         F.concat(F.lit("p"), (F.col("vec_id") - F.col("half"))).alias("name"), "values")
