@@ -94,3 +94,26 @@ def test_pack_shuffles_once(spark):
     assert plan.count("Exchange hashpartitioning(batch_id") == 1
     assert plan.count("Exchange hashpartitioning") == 2
     assert "Exchange hashpartitioning(__pid" in plan
+
+
+def test_read_packed_prunes_split_partitions(spark, tmp_path):
+    from tessera.sources.packed import read_packed, write_packed
+    df = spark.createDataFrame([("train", 0, 0, [1, 2]), ("validation", 0, 0, [3, 4])],
+                               "split string, batch_id long, block_no long, input_ids array<int>")
+    write_packed(df, str(tmp_path), "c", 2)
+    plan = _plan(read_packed(spark, str(tmp_path), "c", 2, "validation"))
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan and "= validation)" in plan
+
+
+def test_corpus_scan_reads_only_needed_columns(spark):
+    from tessera.plans.registry import QUERIES
+    plan = _plan(QUERIES["pretokenize"](spark, "/root/testdata/sf0.001"))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_json_corpus_with_schema(spark, tmp_path):
+    from tessera.sources.corpus import read_corpus, select_text
+    p = tmp_path / "c.jsonl"
+    p.write_text('{"id": 1, "text": "a b"}\n{"id": 2, "text": "c"}\n')
+    df = select_text(read_corpus(spark, str(p), "json", schema="id long, text string"), keep=["id"])
+    assert [(r.id, r.text) for r in df.orderBy("id").collect()] == [(1, "a b"), (2, "c")]
