@@ -254,3 +254,20 @@ def evaluate(pairs_acc: DataFrame, losses: DataFrame, bleu_df: DataFrame,
     return pairs_acc.select("accuracy", loss.alias("loss"), bleu_df.select("bleu").scalar().alias("bleu"),
                             samples.select("eval_samples").scalar().alias("eval_samples"),
                             perplexity(loss).alias("perplexity"))
+
+
+def user_metric(df: DataFrame, group_cols, fn, value_col: str, name: str,
+                return_type: str = "double") -> DataFrame:
+    """A user-supplied metric as a grouped-aggregate pandas UDF (Series → scalar).
+
+    The hook for a user ``compute_metrics``: Spark groups and shuffles, ``fn``
+    sees one group's values as a pandas Series (keep groups bounded, e.g. per
+    batch or per split, not one global group).
+    """
+    import pandas as pd
+
+    def agg(v: pd.Series) -> float:
+        return fn(v)
+    agg.__annotations__ = {"v": pd.Series, "return": float}
+    udf = F.pandas_udf(agg, return_type)
+    return df.groupBy(*group_cols).agg(udf(F.col(value_col)).alias(name))

@@ -31,6 +31,7 @@ class CorpusSpec:
     validation_percent: int = 5
     vocab_size: int = 8192
     block_size: int = 128
+    model_max_length: int = 1024
     batch_rows: int = 100
     add_k: float = 1.0
 
@@ -93,7 +94,8 @@ class CorpusPlan:
     @cached_property
     def packed(self) -> DataFrame:
         # attention masks of encoded rows are all ones: pack ids only, rebuild the mask
-        p = B.pack_blocks(self.encoded, self.spec.block_size, self.spec.batch_rows,
+        bs = B.effective_block(self.spec.block_size, self.spec.model_max_length)
+        p = B.pack_blocks(self.encoded, bs, self.spec.batch_rows,
                           cols=("input_ids",), index_col="split_idx", extra_keys=["split"])
         return p.withColumn("attention_mask", ones_like("input_ids"))
 

@@ -971,3 +971,17 @@ def config_scan(spark, sf):
     cfg = parse_configs(ev, "props", schema, keep=["event_id"])
     return cfg.select("event_id", "k", F.size("unknown_keys").cast("long").alias("n_unknown"),
                       F.array_join("unknown_keys", ",").alias("unknown"))
+
+
+# ---------------------------------------------------------------- user metric hook (E8 / UDF surface)
+
+def _median(v):
+    return float(v.median())
+
+
+@register("user_metric", O.with_corpus("""
+SELECT batch_id, round(median(loss), 6) AS median_loss FROM scored GROUP BY batch_id"""))
+def user_metric(spark, sf):
+    s = CorpusPlan(spark, sf).scored
+    m = E.user_metric(s, ["batch_id"], _median, "loss", "median_loss")
+    return m.select("batch_id", r6("median_loss").alias("median_loss"))
