@@ -111,23 +111,41 @@ def best_step(log: DataFrame, metric: str = "eval_loss", greater: bool = False,
 
 
 def early_stop(log: DataFrame, metric: str = "eval_loss", patience: int = 2,
-               threshold: float = 0.0, greater: bool = False, run_col: str = "run") -> DataFrame:
+               threshold: float = 0.0, greater: bool = False, run_col: str = "run",
+               chunk_rows: int = 100_000) -> DataFrame:
     """First evaluation at which ``patience`` consecutive evaluations failed to
-    improve the best of all earlier ones by more than ``threshold``."""
-    m = log.filter(F.col("metric") == metric)
-    w = Window.partitionBy(run_col).orderBy("step")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    best = (F.min("value") if not greater else F.max("value")).over(before)
-    gain = (best - F.col("value")) if not greater else (F.col("value") - best)
-    m = m.withColumn("improved", best.isNull() | (gain > threshold))
-    m = m.withColumn("__grp", F.sum(F.col("improved").cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    m = m.withColumn("__streak", F.sum((~F.col("improved")).cast("int")).over(
-        Window.partitionBy(run_col, "__grp").orderBy("step")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    stops = m.groupBy(run_col).agg(
+    improve the best of all earlier ones by more than ``threshold``; the best is
+    taken over the evaluations up to the stop (training ends there).
+
+    Skew-safe two-level scan: the global index over (run, step) cuts every run
+    into chunks of ``chunk_rows`` rows; windows run per chunk (bounded), and two
+    small per-chunk tables carry the running best and the last improving index
+    across chunks.  A run holding a third of all rows is spread over many tasks.
+    """
+    from tessera.operators.rowindex import with_row_index
+    m = log.filter(F.col("metric") == metric).select(run_col, "step", "value")
+    v = F.col("value") if not greater else -F.col("value")   # lower is better from here
+    ix = (with_row_index(m.withColumn("__v", v), [run_col, "step"], "__i")
+          .withColumn("__c", F.floor(F.col("__i") / chunk_rows).cast("long")))
+    in_chunk = Window.partitionBy(run_col, "__c").orderBy("__i")
+    chunks = Window.partitionBy(run_col).orderBy("__c")
+    before = Window.unboundedPreceding
+    # pass 1: best of all earlier evaluations = min(carry from earlier chunks, earlier rows here)
+    cmin = ix.groupBy(run_col, "__c").agg(F.min("__v").alias("__cm"))
+    carry_min = cmin.select(run_col, "__c", F.min("__cm").over(chunks.rowsBetween(before, -1)).alias("__bm"))
+    p1 = ix.join(carry_min, [run_col, "__c"])
+    local = F.min("__v").over(in_chunk.rowsBetween(before, -1))
+    best = F.least(F.col("__bm"), local)                      # least() skips nulls
+    p1 = p1.withColumn("improved", best.isNull() | ((best - F.col("__v")) > threshold))
+    # pass 2: streak = rows since the last improving evaluation of the run
+    cimp = p1.groupBy(run_col, "__c").agg(F.max(F.when(F.col("improved"), F.col("__i"))).alias("__ci"))
+    carry_imp = cimp.select(run_col, "__c", F.max("__ci").over(chunks.rowsBetween(before, -1)).alias("__bi"))
+    p2 = p1.join(carry_imp, [run_col, "__c"])
+    last_imp = F.greatest(F.col("__bi"), F.max(F.when(F.col("improved"), F.col("__i"))).over(
+        in_chunk.rowsBetween(before, Window.currentRow)))
+    p2 = p2.withColumn("__streak", F.col("__i") - last_imp)
+    stops = p2.groupBy(run_col).agg(
         F.min(F.when(F.col("__streak") >= patience, F.col("step"))).alias("stop_step"))
-    # training ends at the stop: the best is taken over evaluations up to it
     upto = log.join(stops, run_col).filter(
         F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))).drop("stop_step")
     return stops.join(best_step(upto, metric, greater, run_col), run_col)

@@ -216,3 +216,29 @@ def test_learn_bpe_matches_brute_force(spark):
         for w in d:
             counts[w] = counts.get(w, 0) + 1
     assert got == _bpe_brute(counts, 12)
+
+
+def _early_stop_brute(values, patience, threshold):
+    best, streak = None, 0
+    for i, v in enumerate(values):
+        if best is None or best - v > threshold:
+            streak = 0
+        else:
+            streak += 1
+            if streak >= patience:
+                return i + 1
+        best = v if best is None else min(best, v)
+    return None
+
+
+def test_early_stop_chunked_matches_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    runs = {f"r{k}": [round(rnd.uniform(0, 3), 1) for _ in range(rnd.randint(1, 40))] for k in range(6)}
+    rows = [(r, i + 1, "eval_loss", v) for r, vals in runs.items() for i, v in enumerate(vals)]
+    log = spark.createDataFrame(rows, "run string, step int, metric string, value double")
+    for patience in (1, 2, 3):
+        for chunk in (1, 3, 7, 100):
+            got = {r.run: r.stop_step for r in R.early_stop(log, patience=patience, chunk_rows=chunk).collect()}
+            want = {r: _early_stop_brute(v, patience, 0.0) for r, v in runs.items()}
+            assert got == want, (patience, chunk)
