@@ -112,38 +112,39 @@ def best_step(log: DataFrame, metric: str = "eval_loss", greater: bool = False,
 
 def early_stop(log: DataFrame, metric: str = "eval_loss", patience: int = 2,
                threshold: float = 0.0, greater: bool = False, run_col: str = "run",
-               chunk_rows: int = 100_000) -> DataFrame:
+               chunk_steps: int = 100_000) -> DataFrame:
     """First evaluation at which ``patience`` consecutive evaluations failed to
     improve the best of all earlier ones by more than ``threshold``; the best is
     taken over the evaluations up to the stop (training ends there).
 
-    Skew-safe two-level scan: the global index over (run, step) cuts every run
-    into chunks of ``chunk_rows`` rows; windows run per chunk (bounded), and two
-    small per-chunk tables carry the running best and the last improving index
-    across chunks.  A run holding a third of all rows is spread over many tasks.
+    Skew-safe two-level scan.  (run, step) is unique and steps are integers, so
+    chunk = step div ``chunk_steps`` holds at most ``chunk_steps`` rows; windows
+    run per (run, chunk), and one small per-chunk table (one row per chunk)
+    carries row counts, the running best and the last improving position from
+    earlier chunks.  A run holding a third of all rows spreads over many tasks.
     """
-    from tessera.operators.rowindex import with_row_index
-    m = log.filter(F.col("metric") == metric).select(run_col, "step", "value")
     v = F.col("value") if not greater else -F.col("value")   # lower is better from here
-    ix = (with_row_index(m.withColumn("__v", v), [run_col, "step"], "__i")
-          .withColumn("__c", F.floor(F.col("__i") / chunk_rows).cast("long")))
-    in_chunk = Window.partitionBy(run_col, "__c").orderBy("__i")
+    m = (log.filter(F.col("metric") == metric)
+         .select(run_col, "step", v.alias("__v"))
+         .withColumn("__c", F.floor(F.col("step") / chunk_steps).cast("long")))
+    in_chunk = Window.partitionBy(run_col, "__c").orderBy("step")
     chunks = Window.partitionBy(run_col).orderBy("__c")
     before = Window.unboundedPreceding
-    # pass 1: best of all earlier evaluations = min(carry from earlier chunks, earlier rows here)
-    cmin = ix.groupBy(run_col, "__c").agg(F.min("__v").alias("__cm"))
-    carry_min = cmin.select(run_col, "__c", F.min("__cm").over(chunks.rowsBetween(before, -1)).alias("__bm"))
-    p1 = ix.join(carry_min, [run_col, "__c"])
-    local = F.min("__v").over(in_chunk.rowsBetween(before, -1))
-    best = F.least(F.col("__bm"), local)                      # least() skips nulls
+    # pass 1: position in the run and best of all earlier evaluations
+    c1 = m.groupBy(run_col, "__c").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__cm"))
+    c1 = c1.select(run_col, "__c",
+                   F.coalesce(F.sum("__n").over(chunks.rowsBetween(before, -1)), F.lit(0)).alias("__off"),
+                   F.min("__cm").over(chunks.rowsBetween(before, -1)).alias("__bm"))
+    p1 = m.join(c1, [run_col, "__c"]).withColumn("__pos", F.col("__off") + F.row_number().over(in_chunk))
+    best = F.least(F.col("__bm"), F.min("__v").over(in_chunk.rowsBetween(before, -1)))  # skips nulls
     p1 = p1.withColumn("improved", best.isNull() | ((best - F.col("__v")) > threshold))
-    # pass 2: streak = rows since the last improving evaluation of the run
-    cimp = p1.groupBy(run_col, "__c").agg(F.max(F.when(F.col("improved"), F.col("__i"))).alias("__ci"))
-    carry_imp = cimp.select(run_col, "__c", F.max("__ci").over(chunks.rowsBetween(before, -1)).alias("__bi"))
-    p2 = p1.join(carry_imp, [run_col, "__c"])
-    last_imp = F.greatest(F.col("__bi"), F.max(F.when(F.col("improved"), F.col("__i"))).over(
+    # pass 2: streak = evaluations since the last improving one of the run
+    c2 = p1.groupBy(run_col, "__c").agg(F.max(F.when(F.col("improved"), F.col("__pos"))).alias("__ci"))
+    c2 = c2.select(run_col, "__c", F.max("__ci").over(chunks.rowsBetween(before, -1)).alias("__bi"))
+    p2 = p1.join(c2, [run_col, "__c"])
+    last_imp = F.greatest(F.col("__bi"), F.max(F.when(F.col("improved"), F.col("__pos"))).over(
         in_chunk.rowsBetween(before, Window.currentRow)))
-    p2 = p2.withColumn("__streak", F.col("__i") - last_imp)
+    p2 = p2.withColumn("__streak", F.col("__pos") - last_imp)
     stops = p2.groupBy(run_col).agg(
         F.min(F.when(F.col("__streak") >= patience, F.col("step"))).alias("stop_step"))
     upto = log.join(stops, run_col).filter(

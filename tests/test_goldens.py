@@ -239,6 +239,6 @@ def test_early_stop_chunked_matches_brute_force(spark):
     log = spark.createDataFrame(rows, "run string, step int, metric string, value double")
     for patience in (1, 2, 3):
         for chunk in (1, 3, 7, 100):
-            got = {r.run: r.stop_step for r in R.early_stop(log, patience=patience, chunk_rows=chunk).collect()}
+            got = {r.run: r.stop_step for r in R.early_stop(log, patience=patience, chunk_steps=chunk).collect()}
             want = {r: _early_stop_brute(v, patience, 0.0) for r, v in runs.items()}
             assert got == want, (patience, chunk)
