@@ -10,7 +10,7 @@ driver.  The word table's lineage is cut with ``checkpoint()`` every
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
@@ -79,3 +79,141 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> Da
     if prev is not None:
         prev.unpersist()
     return spark.createDataFrame(merges, "rank int, left string, right string, count long")
+
+
+def read_merges(spark, path: str) -> DataFrame:
+    """A ``merges.txt`` (optional ``#version`` header, then ``left right`` per line)
+    → (rank, left, right); rank follows line order."""
+    lines = spark.read.text(path).withColumn("__i", F.monotonically_increasing_id())
+    body = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    parts = F.split(F.col("value"), " ")
+    from tessera.operators.rowindex import with_row_index
+    ranked = with_row_index(body.select("__i", parts.getItem(0).alias("left"),
+                                        parts.getItem(1).alias("right")), "__i", "rank")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "left", "right")
+
+
+def _segment_fn(ranks_bc):
+    """Per distinct word: greedy BPE (merge the lowest-ranked adjacent pair until none)."""
+    def fn(batches):
+        ranks = ranks_bc.value
+        for pdf in batches:
+            out = []
+            for w in pdf["word"]:
+                syms = [c for c in w]
+                while len(syms) > 1:
+                    best, at = None, -1
+                    for k in range(len(syms) - 1):
+                        r = ranks.get((syms[k], syms[k + 1]))
+                        if r is not None and (best is None or r < best):
+                            best, at = r, k
+                    if best is None:
+                        break
+                    a, b = syms[at], syms[at + 1]
+                    merged, k = [], 0
+                    while k < len(syms):
+                        if k + 1 < len(syms) and syms[k] == a and syms[k + 1] == b:
+                            merged.append(a + b)
+                            k += 2
+                        else:
+                            merged.append(syms[k])
+                            k += 1
+                    syms = merged
+                out.append(syms)
+            yield pdf.assign(pieces=out)
+    return fn
+
+
+MAX_BROADCAST_MERGES = 1_000_000
+
+
+def segment_words(words: DataFrame, merges: DataFrame) -> DataFrame:
+    """(word) → (word, pieces ARRAY<STRING>) by the merge ranks (broadcast; bounded)."""
+    spark = words.sparkSession
+    tbl = merges.select("rank", "left", "right").toArrow()
+    if tbl.num_rows > MAX_BROADCAST_MERGES:
+        raise ValueError("merge table too large to broadcast")
+    ranks = {(l, r): k for k, l, r in zip(tbl.column("rank").to_pylist(), tbl.column("left").to_pylist(),
+                                          tbl.column("right").to_pylist())}
+    bc = spark.sparkContext.broadcast(ranks)
+    return words.select("word").mapInPandas(_segment_fn(bc), "word string, pieces array<string>")
+
+
+def bpe_vocab(words: DataFrame, merges: DataFrame, specials=("<unk>", "<|endoftext|>", "<|MASK|>")) -> DataFrame:
+    """Sub-word vocabulary: the distinct characters of the words (sorted), then one
+    symbol per merge in rank order, then the specials."""
+    chars = (words.select(F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("token"))
+             .distinct().withColumn("__o", F.lit(0)).withColumn("__r", F.lit(0)))
+    merged = merges.select(F.concat("left", "right").alias("token"), F.lit(1).alias("__o"),
+                           F.col("rank").alias("__r"))
+    sp = spark_specials(words.sparkSession, specials)
+    allt = chars.unionByName(merged).unionByName(sp)
+    first = Window.partitionBy("token").orderBy("__o", "__r")
+    allt = allt.withColumn("__d", F.row_number().over(first)).filter(F.col("__d") == 1)
+    w = Window.orderBy("__o", "__r", "token")
+    return allt.select("token", (F.row_number().over(w) - 1).cast("int").alias("token_id"),
+                       (F.col("__o") == 2).alias("is_special"))
+
+
+def spark_specials(spark, specials):
+    return spark.createDataFrame([(t, 2, i) for i, t in enumerate(specials)], "token string, __o int, __r int")
+
+
+def _bpe_lookup_fn(words_bc, ids_bc, unk_id, in_col, out_col):
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        value_set = pa.array(words_bc.value, pa.string())
+        per_word = pa.array(ids_bc.value, pa.list_(pa.int32()))
+        unk = pa.array([[unk_id]], pa.list_(pa.int32()))
+        table = pa.concat_arrays([per_word, unk])
+        miss = len(per_word)
+        for rb in batches:
+            lists = rb.column(rb.schema.get_field_index(in_col))
+            flat = pc.list_flatten(lists)                       # this slice's pre-tokens only
+            pos = pc.fill_null(pc.index_in(flat, value_set=value_set), miss)
+            per_tok = pc.take(table, pos)                       # one id list per pre-token
+            lens = np.asarray(pc.list_value_length(per_tok), dtype=np.int64)
+            cum = np.concatenate([[0], np.cumsum(lens)])
+            rel = np.asarray(lists.offsets, dtype=np.int64)
+            offs = cum[rel - rel[0]]
+            out = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pc.list_flatten(per_tok),
+                                           mask=lists.is_null())
+            keep = [i for i, n in enumerate(rb.schema.names) if n != in_col]
+            yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + [out],
+                                             names=[rb.schema.names[i] for i in keep] + [out_col])
+    return fn
+
+
+def encode_bpe(tokens: DataFrame, words_seg: DataFrame, vocab: DataFrame, keep=(),
+               tokens_col: str = "tokens", max_broadcast_words: int = 4_000_000) -> DataFrame:
+    """Pre-tokens → sub-word ``input_ids`` with a segmented-word table.
+
+    Bounded word table: broadcast word → id list, one Arrow pass per batch, no
+    shuffle.  Otherwise explode → shuffle join on the word → regroup per row.
+    Words missing from the table become ``<unk>``.
+    """
+    from pyspark.sql import types as T
+    keep = list(keep)
+    v = vocab.select("token", "token_id")
+    seg_ids = (words_seg.select("word", F.posexplode("pieces").alias("__k", "token"))
+               .join(v, "token", "left")
+               .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("__k", "token_id"))).alias("__s"))
+               .select("word", F.transform("__s", lambda s: s["token_id"]).alias("ids")))
+    unk_id = {r.token: r.token_id for r in vocab.filter(F.col("is_special")).collect()}.get("<unk>")
+    if seg_ids.limit(max_broadcast_words + 1).count() <= max_broadcast_words:
+        tbl = seg_ids.toArrow()
+        spark = tokens.sparkSession
+        wb = spark.sparkContext.broadcast(tbl.column("word").to_pylist())
+        ib = spark.sparkContext.broadcast(tbl.column("ids").to_pylist())
+        base = tokens.select(*keep, tokens_col)
+        schema = T.StructType([f for f in base.schema.fields if f.name != tokens_col]
+                              + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+        return base.mapInArrow(_bpe_lookup_fn(wb, ib, unk_id, tokens_col, "input_ids"), schema)
+    ex = tokens.select(*keep, F.posexplode_outer(tokens_col).alias("__p", "word"))
+    j = ex.join(seg_ids, "word", "left").withColumn(
+        "ids", F.coalesce("ids", F.array(F.lit(unk_id).cast("int"))))
+    g = j.groupBy(*keep).agg(F.array_sort(F.collect_list(
+        F.when(F.col("__p").isNotNull(), F.struct("__p", "ids")))).alias("__s"))
+    return g.select(*keep, F.flatten(F.transform("__s", lambda s: s["ids"])).alias("input_ids"))

@@ -985,3 +985,16 @@ def user_metric(spark, sf):
     s = CorpusPlan(spark, sf).scored
     m = E.user_metric(s, ["batch_id"], _median, "loss", "median_loss")
     return m.select("batch_id", r6("median_loss").alias("median_loss"))
+
+
+@register("encode_bpe")
+def encode_bpe(spark, sf):
+    """T3(b): sub-word ids from BPE merges learned on the train split."""
+    from tessera.operators.bpe import bpe_vocab, encode_bpe as enc, learn_bpe as lb, segment_words, word_counts
+    cp = CorpusPlan(spark, sf)
+    words = word_counts(cp.tokens.filter(F.col("split") == "train"))
+    merges = lb(words, n_merges=20)
+    seg = segment_words(words, merges)
+    out = enc(cp.tokens, seg, bpe_vocab(words, merges), keep=["doc_id"])
+    return out.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"),
+                      md5_ids("input_ids").alias("ids_md5"))

@@ -242,3 +242,48 @@ def test_early_stop_chunked_matches_brute_force(spark):
             got = {r.run: r.stop_step for r in R.early_stop(log, patience=patience, chunk_steps=chunk).collect()}
             want = {r: _early_stop_brute(v, patience, 0.0) for r, v in runs.items()}
             assert got == want, (patience, chunk)
+
+
+def _bpe_encode_brute(word, merges):
+    ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
+    syms = list(word)
+    while True:
+        cands = [(ranks[(x, y)], k) for k, (x, y) in enumerate(zip(syms, syms[1:])) if (x, y) in ranks]
+        if not cands:
+            return syms
+        r, _ = min(cands)
+        a, b = [m for m, rr in ranks.items() if rr == r][0]
+        out, k = [], 0
+        while k < len(syms):
+            if k + 1 < len(syms) and syms[k] == a and syms[k + 1] == b:
+                out.append(a + b)
+                k += 2
+            else:
+                out.append(syms[k])
+                k += 1
+        syms = out
+
+
+def test_encode_bpe_matches_brute_force(spark):
+    from tessera.operators.bpe import bpe_vocab, encode_bpe, learn_bpe, segment_words, word_counts
+    train = [["low", " lower", " newest", " widest", " low"], ["newest", " low", " lowest"]]
+    docs = train + [["zzz", " low", " newer"], []]
+    tdf = spark.createDataFrame([(d,) for d in train], "tokens array<string>")
+    words = word_counts(tdf)
+    merges = learn_bpe(words, 8, checkpoint_every=3)
+    seg = segment_words(words, merges)
+    vocab = bpe_vocab(words, merges)
+    v = {r.token: r.token_id for r in vocab.collect()}
+    ml = [(r.left, r.right, r["count"]) for r in merges.orderBy("rank").collect()]
+    ddf = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc long, tokens array<string>")
+    known = {r.word for r in seg.collect()}
+
+    def want(d):
+        ids = []
+        for w in d:
+            ids += [v[p] for p in _bpe_encode_brute(w, ml)] if w in known else [v["<unk>"]]
+        return ids
+    for limit in (10, 0):
+        got = {r.doc: r.input_ids for r in encode_bpe(ddf, seg, vocab, keep=["doc"],
+                                                      max_broadcast_words=limit).collect()}
+        assert got == {i: want(d) for i, d in enumerate(docs)}, limit
