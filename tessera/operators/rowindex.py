@@ -39,7 +39,7 @@ def with_row_index(df: DataFrame, order_cols, index_col: str = "idx",
     ``order_cols`` must be unique per row for the index to be deterministic.
     """
     cols = _cols(order_cols)
-    n = num_partitions or shuffle_partitions(df.sparkSession)
+    n = num_partitions or range_partitions(df)
     ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *cols)
               .sortWithinPartitions(*cols)
@@ -60,6 +60,22 @@ def with_row_index(df: DataFrame, order_cols, index_col: str = "idx",
     return out.drop(_PID, _LOCAL, "__off", "__total")
 
 
+TARGET_RANGE_BYTES = 128 * 1024 * 1024
+MAX_RANGE_PARTITIONS = 200_000
+
+
+def range_partitions(df: DataFrame, target_bytes: int = TARGET_RANGE_BYTES) -> int:
+    """Range count for the index sort: at least ``spark.sql.shuffle.partitions``
+    and one range per ~``target_bytes`` of Catalyst's size estimate (computed
+    from file sizes and the pruned columns; no job runs)."""
+    base = shuffle_partitions(df.sparkSession)
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 -- estimates are optional
+        return base
+    return int(min(MAX_RANGE_PARTITIONS, max(base, -(-est // target_bytes))))
+
+
 def slice_rows(df: DataFrame, order_cols, n: int) -> DataFrame:
     """``train[:N]``: the first ``n`` rows by ``order_cols`` (TakeOrdered, n bounded)."""
     return df.orderBy(*_cols(order_cols)).limit(int(n))
