@@ -70,3 +70,14 @@ def test_interleave_then_dual_labels_lengths(spark):
     out = B.dual_labels(B.interleave_mask(df, 99, 0, am_col=None)).collect()[0]
     assert len(out.input_ids) == 9 and len(out.dual_labels) == 8
     assert out.dual_labels == [2, 1, 3, 2, 4, 3, 5, 4]
+
+
+def test_pack_with_one_dominant_document(spark):
+    # one document carries ~2/3 of all tokens and spans many blocks
+    docs = [list(range(1000 + i, 1000 + i + (i % 9))) for i in range(40)]
+    docs[17] = list(range(5000, 5000 + 700))
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc long, input_ids array<int>")
+    ix = with_row_index(df.repartition(5), "doc", "idx")
+    got = B.pack_blocks(ix, 64, 12, cols=("input_ids",)).orderBy("batch_id", "block_no").collect()
+    assert [r.input_ids for r in got] == _expected_blocks(docs, 64, 12)
+    assert sum(1 for r in got if r.batch_id == 1) >= 10
