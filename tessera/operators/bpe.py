@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, ship_package
 
 
 def word_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -130,6 +130,7 @@ MAX_BROADCAST_MERGES = 1_000_000
 def segment_words(words: DataFrame, merges: DataFrame) -> DataFrame:
     """(word) → (word, pieces ARRAY<STRING>) by the merge ranks (broadcast; bounded)."""
     spark = words.sparkSession
+    ship_package(spark)
     tbl = merges.select("rank", "left", "right").toArrow()
     if tbl.num_rows > MAX_BROADCAST_MERGES:
         raise ValueError("merge table too large to broadcast")
@@ -205,6 +206,7 @@ def encode_bpe(tokens: DataFrame, words_seg: DataFrame, vocab: DataFrame, keep=(
     if seg_ids.limit(max_broadcast_words + 1).count() <= max_broadcast_words:
         tbl = seg_ids.toArrow()
         spark = tokens.sparkSession
+        ship_package(spark)
         wb = spark.sparkContext.broadcast(tbl.column("word").to_pylist())
         ib = spark.sparkContext.broadcast(tbl.column("ids").to_pylist())
         base = tokens.select(*keep, tokens_col)

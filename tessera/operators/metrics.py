@@ -265,6 +265,8 @@ def user_metric(df: DataFrame, group_cols, fn, value_col: str, name: str,
     batch or per split, not one global group).
     """
     import pandas as pd
+    from tessera.session import ship_package
+    ship_package(df.sparkSession)
 
     def agg(v: pd.Series) -> float:
         return fn(v)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.session import ship_package
 
 STATS_BROADCAST_ROWS = 4_000_000
 
@@ -86,6 +87,7 @@ def fit_next_token(blocks: DataFrame, ids_col: str = "input_ids", id_bound: int
     HashAggregate.
     """
     if id_bound is not None and id_bound < 2 ** 31:
+        ship_package(blocks.sparkSession)
         part = blocks.select(ids_col).mapInArrow(_adjacent_partials("pairs", 32),
                                                  "prev_id int, next_id int, n long")
         return part.groupBy("prev_id", "next_id").agg(F.sum("n").alias("n"))
@@ -98,6 +100,7 @@ def infill_counts(blocks: DataFrame, ids_col: str = "input_ids", id_bound: int |
     """(left, right, target, n) over every mask slot of every block (B9 triples counted)."""
     bits = max(1, (int(id_bound) - 1).bit_length()) if id_bound is not None else None
     if bits is not None and bits <= 20:
+        ship_package(blocks.sparkSession)
         part = blocks.select(ids_col).mapInArrow(_adjacent_partials("triples", bits),
                                                  "left int, target int, right int, n long")
         return part.groupBy("left", "right", "target").agg(F.sum("n").alias("n"))
@@ -212,6 +215,7 @@ def score_with(df: DataFrame, fn, schema, broadcast_obj=None) -> DataFrame:
     every executor once).
     """
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(broadcast_obj) if broadcast_obj is not None else None
 
     def run(batches):

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.constants import EOS_TOKEN, MASK_TOKEN, UNK_TOKEN
 from tessera.operators.rowindex import with_row_index
+from tessera.session import ship_package
 
 DEFAULT_SPECIALS = (UNK_TOKEN, EOS_TOKEN)
 MAX_BROADCAST_ENTRIES = 4_000_000
@@ -49,6 +50,7 @@ def token_counts(tokens: DataFrame, tokens_col: str = "tokens", arrow_combine: b
     the partials.  ``arrow_combine=False``: explode + partial HashAggregate.
     """
     if arrow_combine:
+        ship_package(tokens.sparkSession)
         partial = tokens.select(tokens_col).mapInArrow(_partial_counts, "token string, n long")
         return partial.groupBy("token").agg(F.sum("n").alias("freq"))
     return (tokens.select(F.explode(tokens_col).alias("token"))
@@ -166,6 +168,7 @@ def _map_lookup(df: DataFrame, vocab: DataFrame, key_col: str, val_col: str, in_
                 out_col: str, default, spark_type: T.DataType, arrow_type,
                 default_key=None, table=None) -> DataFrame:
     spark = df.sparkSession
+    ship_package(spark)
     # bounded (checked by the caller): the same size class as a broadcast join build side
     tbl = (table.select([key_col, val_col]) if table is not None
            else vocab.select(key_col, val_col).toArrow())

@@ -23,6 +23,7 @@ from tessera.operators import rowindex as L
 from tessera.operators import tokens as TK
 from tessera.plans import oracle_sql as O
 from tessera.plans.corpus import BLOCK_KEYS, SPEC, CorpusPlan
+from tessera.session import ensure_checkpoint_dir, ship_package
 from tessera.sources.corpus import read_corpus, read_table, select_text, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,12 @@ SEP = "\x01"
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[key] = fn
+        def run(spark, sf_dir, _fn=fn):
+            ensure_checkpoint_dir(spark)
+            ship_package(spark)
+            return _fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn

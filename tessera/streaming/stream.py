@@ -21,6 +21,7 @@ from tessera.functions.text import pretokenize
 from tessera.operators import blocks as B
 from tessera.operators.rowindex import with_row_index
 from tessera.operators.tokens import encode
+from tessera.session import ship_package
 
 
 def stream_corpus(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -86,6 +87,7 @@ def pack_with_carry(encoded_stream: DataFrame, block_size: int, order_col: str,
     """Per shard, the unfinished tail is kept in state and prefixed to the next
     micro-batch, so no tokens are lost at micro-batch borders.  Each group holds
     one shard's rows of one micro-batch (bounded by the trigger size)."""
+    ship_package(encoded_stream.sparkSession)
     return (encoded_stream.select(shard_col, order_col, "input_ids")
             .groupBy(shard_col)
             .applyInPandasWithState(_carry_fn(block_size, order_col), CARRY_OUT, CARRY_STATE,

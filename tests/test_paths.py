@@ -117,3 +117,21 @@ def test_json_corpus_with_schema(spark, tmp_path):
     p.write_text('{"id": 1, "text": "a b"}\n{"id": 2, "text": "c"}\n')
     df = select_text(read_corpus(spark, str(p), "json", schema="id long, text string"), keep=["id"])
     assert [(r.id, r.text) for r in df.orderBy("id").collect()] == [(1, "a b"), (2, "c")]
+
+
+def test_queries_run_from_another_directory(tmp_path):
+    """Workers import the package shipped with addPyFile, not from the cwd."""
+    import subprocess
+    import sys
+    import textwrap
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import sys; sys.path.insert(0, {repo!r})
+        from pyspark.sql import SparkSession
+        s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        import __spark_entry__ as E
+        print("ROWS", E.queries()["encode_docs"](s, "/root/testdata/sf0.001").count())
+    """)
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
