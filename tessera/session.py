@@ -15,8 +15,6 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # checkpoint files (row index, published blocks) are removed once unreferenced
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
