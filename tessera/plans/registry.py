@@ -405,7 +405,7 @@ register("evaluate", EVAL_SQL)(_evaluate)
 
 @register("fit_infill", O.with_corpus("""
 SELECT "left", "right", context_total, target AS top_target FROM (
-  SELECT "left", "right", target, sum(n) OVER (PARTITION BY "left", "right") AS context_total,
+  SELECT "left", "right", target, CAST(sum(n) OVER (PARTITION BY "left", "right") AS BIGINT) AS context_total,
          row_number() OVER (PARTITION BY "left", "right" ORDER BY n DESC, target ASC) AS rk
   FROM (SELECT "left", "right", target, count(*) AS n FROM (
           SELECT CASE WHEN k > 1 THEN ids[k - 1] END AS "left", ids[k] AS target, ids[k + 1] AS "right"
