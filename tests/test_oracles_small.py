@@ -13,6 +13,8 @@ import __spark_entry__ as entry  # noqa: E402
 from tools.check_oracles import TABLES, digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +39,10 @@ def test_query_matches_oracle(spark, con, key):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    duck_types = {d[0]: str(t) for d, t in zip(res.description, con.sql(entry.oracle_sql()[key]).types)}
+    assert spark_types == duck_types
     assert len(srows) == len(drows)
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
 
