@@ -59,22 +59,33 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``tessera`` importable on every executor (once per application).
 
-    Python functions used in Arrow/pandas UDFs refer to this package; the package
-    is zipped and handed to ``SparkContext.addPyFile``, which distributes it
-    with the job (the cluster equivalent of ``--py-files``).
+    Python functions used in Arrow/pandas UDFs refer to this package.  It is
+    zipped in memory, written into the shared checkpoint folder through the
+    Hadoop FileSystem API and registered with ``SparkContext.addPyFile`` (the
+    programmatic ``--py-files``).
     """
+    import io
+    import uuid
+    import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    import zipfile
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), "tessera.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
         for dirpath, _, files in os.walk(os.path.join(root, "tessera")):
             for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    dest = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles-{uuid.uuid4().hex[:12]}/tessera.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(dest)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(dest)
     _SHIPPED.add(key)
