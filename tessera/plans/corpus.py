@@ -117,6 +117,13 @@ class CorpusPlan:
     def bigram(self) -> DataFrame:
         return N.fit_next_token(self.blocks("train"), id_bound=self.vocab_rows)
 
+    def scored_first(self, n: int) -> DataFrame:
+        """Score only the first ``n`` validation blocks (by batch, block): the limit
+        goes before scoring, which is per row and independent given the model."""
+        first = self.blocks("validation").orderBy(*BLOCK_KEYS).limit(n)
+        return N.score_next_token(self.bigram, first, BLOCK_KEYS, self.vocab_rows, self.spec.add_k,
+                                  train_blocks=self.blocks("train"), stats_bound=self.vocab_rows)
+
     @cached_property
     def scored_table(self) -> DataFrame:
         """``scored`` materialized once, for queries that aggregate it several ways."""

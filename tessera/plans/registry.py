@@ -367,7 +367,7 @@ BLEU_ALL = O.bleu_ctes("scored", "batch_id, block_no")
     "SELECT round(coalesce(avg(bleu), 0.0), 6) AS bleu FROM bleu_rows", BLEU10))
 def bleu_sample(spark, sf):
     cp = CorpusPlan(spark, sf)
-    b = E.bleu(cp.scored, BLOCK_KEYS, sample=10, id_bound=cp.vocab_rows)
+    b = E.bleu(cp.scored_first(10), BLOCK_KEYS, sample=None, id_bound=cp.vocab_rows)
     return b.select(r6("bleu").alias("bleu"))
 
 
