@@ -99,3 +99,15 @@ def test_metrics_sink(spark, tmp_path):
     write_metrics(df, str(tmp_path / "m"), "run1", "eval")
     back = spark.read.json(str(tmp_path / "m")).collect()[0]
     assert back.run == "run1" and back.phase == "eval" and back.accuracy == 0.5
+
+
+def test_read_merges_file(spark, tmp_path):
+    from tessera.operators.bpe import read_merges, segment_words
+    p = tmp_path / "merges.txt"
+    p.write_text("#version: 0.2\nl o\nlo w\ne r\n\n")
+    m = read_merges(spark, str(p))
+    assert [(r["rank"], r.left, r.right) for r in m.orderBy("rank").collect()] == \
+        [(0, "l", "o"), (1, "lo", "w"), (2, "e", "r")]
+    words = spark.createDataFrame([("lower",), ("low",), ("x",)], "word string")
+    seg = {r.word: r.pieces for r in segment_words(words, m).collect()}
+    assert seg == {"lower": ["low", "er"], "low": ["low"], "x": ["x"]}
