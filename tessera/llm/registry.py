@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing
+from tessera.llm import chat, mixing, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_chat": chat.op3_chat,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op3_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
