@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +39,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_cuts(df: DataFrame, key: str, n: int, descending: bool = False) -> list:
-    """At most ``n - 1`` values of ``key`` that cut the rows into near-equal ranges.
+def range_cuts(df: DataFrame, key: str, n: int) -> list[int]:
+    """At most ``n - 1`` values of ``key`` that cut the rows into near-equal ranges, ascending.
 
-    One aggregation over the key column alone; the values are rows' own keys.
-    ``n`` is a number of partitions, so the list is small.
+    One aggregation over the key column alone; the values are rows' own keys,
+    none of them the smallest.  ``n`` is a number of partitions, so the list is small.
     """
     if n < 2:
         return []
-    row = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("q")).first()
-    return sorted(set(row["q"] or []), reverse=descending)
+    row = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("q"), F.min(key).alias("low")).first()
+    return sorted(c for c in set(row["q"] or []) if c > row["low"])
 
 
-def range_no(key: Column, cuts: list, descending: bool = False) -> Column:
-    """Number of the range that ``key`` falls into: how many cuts it has reached.
+def range_no(key: Column, cuts: list[int]) -> Column:
+    """Number of the range that an integer ``key`` falls into, by binary search; a cut opens its range, a null key is in the last."""
+    n = len(cuts)
 
-    A null key sorts last.
-    """
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(c) for c in cuts])
-    reached = F.size(F.filter(arr, (lambda c: key <= c) if descending else (lambda c: key >= c)))
-    return F.when(key.isNull(), F.lit(len(cuts))).otherwise(reached)
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        import numpy as np
+        there = keys.notna().to_numpy()
+        out = np.full(len(keys), n, dtype="int32")
+        vals = keys[there].to_numpy().astype("int64")
+        out[there] = np.searchsorted(np.array(cuts, dtype="int64"), vals, side="right")
+        return pd.Series(out)
+
+    return number(key)

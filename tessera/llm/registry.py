@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, warc
+from tessera.llm import chat, dac, imatch, mixing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_chat": chat.op3_chat,
+    "op5_imatch": imatch.op5_imatch,
     "op8_mixing": mixing.op8_mixing,
+    "op10_tokens": dac.op10_tokens,
 }
 
 ORACLES = {

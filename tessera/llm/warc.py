@@ -11,8 +11,8 @@ failed start, not after its claimed length.
 
 Archives are written by Spark's file writer (its commit protocol leaves whole
 files of successful tasks alone) and read with ``binaryFile``, so any store
-that Spark reads will do.  A file is one task's work: ``RECORDS_BYTES`` bounds
-what the writer puts in one.
+that Spark reads will do.  The reader holds one file at a time in a task:
+``RECORDS_BYTES`` is about what the writer puts in one.
 """
 
 from __future__ import annotations
@@ -213,7 +213,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     made = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n").text(path)
+    mean = pages.select(F.avg(F.octet_length("payload") + 700)).first()[0] or 1.0
+    made.write.option("maxRecordsPerFile", max(1, int(RECORDS_BYTES / mean))).option("lineSep", "\r\n").text(path)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
