@@ -11,6 +11,21 @@ GPT2_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]
 MEMO = 300_000
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> character of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the rest follow U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+ALPHABET = byte_alphabet()
+
+
+def to_symbols(text: str) -> str:
+    """UTF-8 bytes of the text, a character of the alphabet each."""
+    return text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file."""
     import public_tokenizers

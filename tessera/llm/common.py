@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, read through Spark from any store."""
+def prepare(spark: SparkSession) -> None:
+    """Make the shared folder known and this package importable on the executors."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, read through Spark from any store."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, dac, imatch, mixing, warc
+from tessera.llm import ann, chat, cotrain, dac, imatch, jaccard, langid, mixing, transducer, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_langid": langid.op2_langid,
     "op3_chat": chat.op3_chat,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_imatch": imatch.op5_imatch,
+    "op6_quality": cotrain.op6_quality,
+    "op7_bpe": transducer.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op9_ann": ann.op9_ann,
     "op10_tokens": dac.op10_tokens,
 }
 
