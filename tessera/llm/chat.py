@@ -64,30 +64,21 @@ def branches(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     ids = nodes.select("tree", F.col("node").alias("up"))
     now = nodes.select("tree", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
     known = now.join(ids.withColumn("there", F.lit(True)), ["tree", "up"], "left")
-    now = known.select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    now = publish(now, "tree-0")
+    now = publish(known.select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up"), "score", F.lit(1).cast("long").alias("depth")), "tree-0")
     has_child = now.where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = now.select("tree", "node").join(has_child, ["tree", "node"], "left_anti")
+    size = now.count()
+    done, live = now.where("up IS NULL"), now.where("up IS NOT NULL")  # nodes at their root need no more rounds
     jumps: list[DataFrame] = []
-    size, hops = None, 0
-    while True:
-        far = now.where("up IS NOT NULL").select("tree", "node", "up")
-        stats = far.count()
-        if stats == 0:
-            break
-        if size is None:
-            size = max(2, nodes.count())
-        if 2 ** hops > size:  # only cycles are left
-            now = now.where("up IS NULL")
-            break
-        jumps.append(far)
-        hops += 1
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
-                           F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        now = publish(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0).cast("long"))).alias("depth")), f"tree-{hops}")
-    return jumps, leaves.join(now, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "depth", "score")
+    while live.head(1) and 2 ** len(jumps) <= size:  # beyond that only cycles are left
+        jumps.append(live.select("tree", "node", "up"))
+        above = done.unionByName(live).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
+                                              F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        now = publish(live.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"),
+            (F.col("depth") + F.col("depth2")).alias("depth")), f"tree-{len(jumps)}")
+        done, live = done.unionByName(now.where("up IS NULL")), now.where("up IS NOT NULL")
+    return jumps, leaves.join(done, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "depth", "score")
 
 
 def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
