@@ -8,7 +8,7 @@ import re
 #: Where the standard library's character classes agree with the vocabulary's own patterns.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 GPT2_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-MEMO = 300_000
+MEMO = 600_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -37,13 +37,13 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
         import numpy as np
         if len(self) >= MEMO:
             self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(to_symbols(piece))], dtype="<u4").tobytes()
         self[piece] = ids
         return ids
 
