@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tokens import shuffle_lookup
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 
@@ -213,9 +214,6 @@ def encode_bpe(tokens: DataFrame, words_seg: DataFrame, vocab: DataFrame, keep=(
         schema = T.StructType([f for f in base.schema.fields if f.name != tokens_col]
                               + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
         return base.mapInArrow(_bpe_lookup_fn(wb, ib, unk_id, tokens_col, "input_ids"), schema)
-    ex = tokens.select(*keep, F.posexplode_outer(tokens_col).alias("__p", "word"))
-    j = ex.join(seg_ids, "word", "left").withColumn(
-        "ids", F.coalesce("ids", F.array(F.lit(unk_id).cast("int"))))
-    g = j.groupBy(*keep).agg(F.array_sort(F.collect_list(
-        F.when(F.col("__p").isNotNull(), F.struct("__p", "ids")))).alias("__s"))
-    return g.select(*keep, F.flatten(F.transform("__s", lambda s: s["ids"])).alias("input_ids"))
+    unk = F.array(F.lit(unk_id).cast("int"))
+    out = shuffle_lookup(tokens.select(*keep, tokens_col), seg_ids, "word", "ids", tokens_col, "input_ids", unk, flat=True)
+    return out.select(*keep, "input_ids")

@@ -172,6 +172,8 @@ def with_group_index(df: DataFrame, group_cols, order_cols, index_col: str = "st
     """
     g, o = _cols(group_cols), _cols(order_cols)
     ix = with_row_index(df, [*g, *o], "__gi")
-    first = ix.groupBy(*g).agg(F.min("__gi").alias("__g0"))
-    return (ix.join(first, g).withColumn(index_col, F.col("__gi") - F.col("__g0") + F.lit(start))
+    keys = {c: f"__g_{i}" for i, c in enumerate(g)}
+    first = ix.groupBy(*g).agg(F.min("__gi").alias("__g0")).withColumnsRenamed(keys)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]  # a null group is a group
+    return (ix.join(first, same).drop(*keys.values()).withColumn(index_col, F.col("__gi") - F.col("__g0") + F.lit(start))
             .drop("__gi", "__g0"))

@@ -90,9 +90,21 @@ def config_diff(cfgs: DataFrame, baseline_run: str, run_col: str = "run_name") -
 
 
 def parse_overrides(col, allowed=None) -> F.Column:
-    """``k=v,k=v`` → MAP<STRING,STRING> (last duplicate wins)."""
+    """``k=v,k=v`` → MAP<STRING,STRING>; the last of repeated keys wins, a pair without ``=`` has a null value.
+
+    ``allowed``: keys that may be given; any other raises."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.str_to_map(c, F.lit(","), F.lit("="))
+    pairs = F.split(c, ",")
+    key = lambda p: F.substring_index(p, "=", 1)
+    last = F.filter(pairs, lambda p, i: ~F.exists(
+        F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: key(q) == key(p)))
+    value = lambda p: F.when(F.instr(p, "=") > 0, p.substr(F.instr(p, "=") + 1, F.length(p)))
+    if allowed is not None:
+        known = F.array(*[F.lit(a) for a in allowed])
+        odd = F.filter(F.transform(last, key), lambda k: ~F.array_contains(known, k))
+        last = F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown override: "), F.array_join(odd, ", ")))
+                      .cast("array<string>")).otherwise(last)
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(key(p).alias("key"), value(p).alias("value"))))
 
 
 def on_logging_step(log: DataFrame, every: int, step_col: str = "step") -> DataFrame:
@@ -101,13 +113,13 @@ def on_logging_step(log: DataFrame, every: int, step_col: str = "step") -> DataF
 
 def best_step(log: DataFrame, metric: str = "eval_loss", greater: bool = False,
               run_col: str = "run") -> DataFrame:
-    """Best value per run; ties → earliest step."""
+    """Best value per run; ties → earliest step.  NULL and NaN never are the best; a run of nothing else has NULL."""
     m = log.filter(F.col("metric") == metric)
-    key = F.struct(F.col("value"), F.col("step")) if not greater else \
-        F.struct(-F.col("value"), F.col("step"))
-    return m.groupBy(run_col).agg(
-        F.min_by("step", key).alias("best_step"),
-        (F.min("value") if not greater else F.max("value")).alias("best_value"))
+    number = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+    value = -F.col("value") if greater else F.col("value")
+    best = F.min(F.when(number, F.struct(value.alias("key"), F.col("step"), F.col("value")))).alias("__best")
+    return m.groupBy(run_col).agg(best).select(
+        run_col, F.col("__best.step").alias("best_step"), F.col("__best.value").alias("best_value"))
 
 
 def early_stop(log: DataFrame, metric: str = "eval_loss", patience: int = 2,

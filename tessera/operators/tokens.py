@@ -18,28 +18,47 @@ from pyspark.sql import types as T
 
 from tessera.constants import EOS_TOKEN, MASK_TOKEN, UNK_TOKEN
 from tessera.operators.rowindex import with_row_index
-from tessera.session import ship_package
+from tessera.session import ensure_checkpoint_dir, ship_package
 
 DEFAULT_SPECIALS = (UNK_TOKEN, EOS_TOKEN)
 MAX_BROADCAST_ENTRIES = 4_000_000
 
 
+FOLD_BYTES = 32 << 20
+MAX_PARTIAL_TOKENS = 1_000_000
+
+
 def _partial_counts(batches):
-    """Map-side combine in Arrow: (token, n) for the distinct tokens of one partition.
+    """Map-side combine in Arrow: (token, n) of the tokens of one partition.
 
-    Memory is bounded by the distinct tokens of one input partition."""
+    Tokens are folded into counts every ``FOLD_BYTES`` and handed on beyond
+    ``MAX_PARTIAL_TOKENS`` distinct ones, which bounds the worker's memory."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    parts = []
+    parts, held, counts = [], 0, None
+
+    def fold():
+        vc = pc.value_counts(pa.chunked_array(parts, type=pa.string()))
+        new = pa.table([vc.field("values"), pc.cast(vc.field("counts"), pa.int64())], names=["token", "n"])
+        if counts is None:
+            return new
+        both = pa.concat_tables([counts, new]).group_by("token").aggregate([("n", "sum")])
+        return both.rename_columns(["token", "n"])
+
     for rb in batches:
         col = rb.column(0)
         if len(col):
             parts.append(pc.list_flatten(col))
-    if not parts:
-        return
-    vc = pc.value_counts(pa.chunked_array(parts, type=pa.string()))
-    yield pa.RecordBatch.from_arrays([vc.field("values"), pc.cast(vc.field("counts"), pa.int64())],
-                                     names=["token", "n"])
+            held += parts[-1].nbytes
+        if held >= FOLD_BYTES:
+            counts, parts, held = fold(), [], 0
+            if counts.num_rows >= MAX_PARTIAL_TOKENS:
+                yield from counts.combine_chunks().to_batches()
+                counts = None
+    if parts:
+        counts = fold()
+    if counts is not None:
+        yield from counts.combine_chunks().to_batches()
 
 
 def token_counts(tokens: DataFrame, tokens_col: str = "tokens", arrow_combine: bool = True) -> DataFrame:
@@ -201,7 +220,8 @@ def encode(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", keep=(),
         ids = _map_lookup(base, vocab, "token", "token_id", tokens_col, "input_ids", None,
                           T.IntegerType(), pa.int32(), default_key=unk_token, table=vocab_table)
     else:
-        ids = _shuffle_lookup(base, vocab, keep, tokens_col, unk_token)
+        unk = vocab.filter(F.col("token") == unk_token).agg(F.max("token_id")).scalar()
+        ids = shuffle_lookup(base, vocab, "token", "token_id", tokens_col, "input_ids", unk)
     return ids.select(*keep, "input_ids", ones_like("input_ids").alias("attention_mask"))
 
 
@@ -209,16 +229,27 @@ def ones_like(col: str):
     return F.transform(F.col(col), lambda x: F.lit(1).cast("tinyint"))
 
 
-def _shuffle_lookup(base: DataFrame, vocab: DataFrame, keep, tokens_col: str,
-                    unk_token: str) -> DataFrame:
-    unk = vocab.filter(F.col("token") == unk_token).agg(F.max("token_id")).scalar()
-    exploded = base.select(*keep, F.posexplode_outer(tokens_col).alias("__pos", "token"))
-    joined = (exploded.join(vocab.select("token", "token_id"), "token", "left")
-              .withColumn("__id", F.coalesce(F.col("token_id"), unk)))
-    grouped = joined.groupBy(*keep).agg(
-        F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(),
-                                           F.struct(F.col("__pos"), F.col("__id").alias("id"))))).alias("__p"))
-    return grouped.select(*keep, F.transform("__p", lambda s: s["id"]).alias("input_ids"))
+def shuffle_lookup(df: DataFrame, pairs: DataFrame, key: str, value: str, in_col: str,
+                   out_col: str, default=None, flat: bool = False) -> DataFrame:
+    """Replace ``in_col``'s elements by their ``value`` through a shuffle join; the other columns stay.
+
+    Rows are numbered and checkpointed first, so equal rows stay apart and a
+    retry meets the same numbers.  A NULL array stays NULL, an empty one empty.
+    ``flat``: values are arrays and are joined end to end.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    ex = rows.select("__row", F.posexplode(in_col).alias("__pos", "__key"))
+    found = ex.join(pairs.select(F.col(key).alias("__key"), F.col(value).alias("__val")), "__key", "left")
+    val = F.col("__val") if default is None else F.coalesce("__val", default)
+    got = found.withColumn("v", val).groupBy("__row").agg(F.collect_list(F.struct("__pos", "v")).alias("__s"))
+    out = F.transform(F.array_sort("__s"), lambda x: x["v"])
+    out = F.flatten(out) if flat else out
+    kind = pairs.schema[value].dataType.simpleString()
+    empty = F.array().cast(kind if flat else f"array<{kind}>")
+    return (rows.join(got, "__row", "left")
+            .withColumn("__out", F.when(F.col(in_col).isNotNull(), F.coalesce(out, empty)))
+            .drop("__row", "__s", in_col).withColumnRenamed("__out", out_col))
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "input_ids",
@@ -228,22 +259,11 @@ def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "input_ids",
     if vocab_table is not None:
         vocab_bound = vocab_table.num_rows
     if not _is_bounded(vocab, vocab_bound, MAX_BROADCAST_ENTRIES):
-        return _shuffle_decode(df, vocab, ids_col, out_col)
+        return shuffle_lookup(df, vocab, "token_id", "token", ids_col, out_col)
     return _map_lookup(df, vocab, "token_id", "token", ids_col, out_col, None,
                        T.StringType(), pa.string(), table=vocab_table)
 
 
-def _shuffle_decode(df: DataFrame, vocab: DataFrame, ids_col: str, out_col: str) -> DataFrame:
-    """Unbounded vocabulary: explode ids, shuffle-join, regroup per row by position."""
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
-    ex = keyed.select("__row", F.posexplode(ids_col).alias("__pos", "token_id"))
-    j = ex.join(vocab.select("token_id", "token"), "token_id", "left")
-    g = j.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__pos", "token"))).alias("__t"))
-    out = keyed.join(g, "__row", "left").withColumn(
-        out_col, F.coalesce(F.transform("__t", lambda s: s["token"]), F.array().cast("array<string>")))
-    return out.drop("__row", "__t", ids_col)
-
-
 def vocab_coverage(encoded: DataFrame, vocab: DataFrame, expected_size: int,
                    ids_col: str = "input_ids") -> DataFrame:
     """Largest id used, distinct ids used, vocabulary size and whether the model

@@ -58,7 +58,7 @@ def read_packed(spark: SparkSession, root: str, name: str, max_seq_length: int,
 def require_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
     """Raise when the split has no rows (one-row probe, no full scan)."""
     if df.filter(F.col(split_col) == split).isEmpty():
-        raise ValueError(f"--do_{'eval' if split == 'validation' else 'train'} requires a {split} dataset")
+        raise ValueError(f"split {split!r} is empty in the given dataset")
     return df
 
 
@@ -67,12 +67,13 @@ def build_or_read(spark: SparkSession, root: str, name: str, max_seq_length: int
                   block_size: int | None = None) -> DataFrame:
     """Reuse the published dataset unless ``overwrite``; else build, publish, re-read."""
     path = packed_path(root, name, max_seq_length)
-    if overwrite or not path_exists(spark, path):
+    if overwrite or not path_exists(spark, f"{path}/_SUCCESS"):  # a folder without it is an unfinished write
         write_packed(build(), root, name, max_seq_length, block_size)
     return spark.read.parquet(path)
 
 
 def write_metrics(df: DataFrame, path: str, run: str, phase: str, fmt: str = "json") -> None:
-    """Append one phase's metrics (e.g. train / eval) partitioned by run and phase."""
+    """Write one phase's metrics (e.g. train / eval) partitioned by run and phase; a rerun replaces that phase."""
     (df.withColumn("run", F.lit(run)).withColumn("phase", F.lit(phase))
-     .write.mode("append").partitionBy("run", "phase").format(fmt).save(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run", "phase").format(fmt).save(path))
