@@ -128,15 +128,21 @@ class KdTree:
                     heapq.heappush(heap, (self._gap(c, q), c))
 
 
+def rounding(q_proj: np.ndarray) -> float:
+    """Squared projected distance that rounding alone may give to equal vectors."""
+    return 1e-9 * (1.0 + float(q_proj @ q_proj))
+
+
 def search(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, q_id: int, q: np.ndarray, q_proj: np.ndarray, k: int, stop: float,
            bound: float = math.inf) -> list[tuple[float, int]]:
     """The ``k`` nearest rows found, ``(distance, id)`` in order; ``bound``: a k-th distance known already."""
     best: list[tuple[float, int]] = []
+    slack = rounding(q_proj)
     for gap, rows in tree.nearest_leaves(q_proj):
-        if gap > stop * bound * bound:
+        if gap > stop * bound * bound + slack:
             break
         away = tree.points[rows] - q_proj
-        rows = rows[((away * away).sum(axis=1) <= stop * bound * bound) & (ids[rows] != q_id)]
+        rows = rows[((away * away).sum(axis=1) <= stop * bound * bound + slack) & (ids[rows] != q_id)]
         diff = vectors[rows] - q
         dist = np.sqrt((diff * diff).sum(axis=1))
         near = dist <= bound
@@ -224,8 +230,8 @@ def neighbours(rows: DataFrame, is_query, k: int = K, column: str = "embedding")
         for batch in batches:
             part, rows = batch.to_pydict(), []
             for i, (q, home, bound) in enumerate(zip(part["q"], part["home"], part["bound"], strict=True)):
-                gaps = shared.value.distances(np.frombuffer(q, "f8") @ matrix)
-                for c in np.flatnonzero(gaps <= stop * (math.inf if bound is None else bound) ** 2):
+                at = np.frombuffer(q, "f8") @ matrix
+                for c in np.flatnonzero(shared.value.distances(at) <= stop * (math.inf if bound is None else bound) ** 2 + rounding(at)):
                     if c != home:
                         rows.append((i, int(c)))
             at = [r[0] for r in rows]
