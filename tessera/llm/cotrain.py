@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-LABELLED, POOL = 8000, 6000
+LABELLED, POOL = 6000, 4000
 ROUNDS, CONFIDENT, EXCHANGE = 4, 0.95, 0.1  # EXCHANGE: at most this part of the pool from a view in a round
 BUCKETS, SOURCES, LANGS = 1024, 64, 16
-KEEP_AT = 0.5
-CHUNK_CHARS = 1_000_000
+KEEP_AT = 0.3  # leans to keeping: junk scores near 0
+CHUNK_CHARS, CHUNK_DOCS = 500_000, 500
 STEPS, L2 = 120, 1e-4
 
 
@@ -42,20 +42,26 @@ def features(texts: list, langs: list, sources: list) -> tuple[np.ndarray, np.nd
     """Both views of some documents (null text counts as empty)."""
     n = len(texts)
     content, page = np.zeros((n, BUCKETS + 4), "f4"), np.zeros((n, SOURCES + LANGS + 8), "f4")
-    start = 0
-    while start < n:
-        stop, held = start, 0
-        while stop < n and (stop == start or held + len(texts[stop] or "") <= CHUNK_CHARS):
-            held += len(texts[stop] or "")
-            stop += 1
+    for start, stop in parts(texts):
         _chunk(texts[start:stop], content[start:stop], page[start:stop])
-        start = stop
     for i in range(n):
         page[i, 8 + _hash(sources[i], SOURCES)] = 1
         page[i, 8 + SOURCES + _hash(langs[i], LANGS)] = 1
     return content, page
 
 
+def parts(texts: list):
+    """``(start, stop)`` of runs of texts that bound the memory of one step."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= CHUNK_CHARS or i + 1 - start >= CHUNK_DOCS:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _chunk(texts: list, content: np.ndarray, page: np.ndarray) -> None:
     n = len(texts)
     code = np.frombuffer("\0\0".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -141,15 +147,13 @@ class Model:
 
     def score(self, texts: list, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined, content and page probability of good quality; a null or blank text scores 0."""
-        if not self.views:
-            both = [np.full(len(texts), self.base)] * 2
-            total = both[0].copy()
-        else:
-            z = self.calibrated(features(texts, langs, sources))
-            both = [sigmoid(c) for c in z.T]
-            total = sigmoid(np.column_stack([z, np.ones(len(z))]) @ self.combine)
+        total, first, second = (np.full(len(texts), self.base) for _ in range(3))
+        for start, stop in parts(texts) if self.views else ():
+            z = self.calibrated(features(texts[start:stop], langs[start:stop], sources[start:stop]))
+            first[start:stop], second[start:stop] = sigmoid(z).T
+            total[start:stop] = sigmoid(np.column_stack([z, np.ones(len(z))]) @ self.combine)
         blank = np.array([not (t or "").strip() for t in texts], bool)
-        return np.where(blank, 0.0, total), both[0], both[1]
+        return np.where(blank, 0.0, total), first, second
 
     def calibrated(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return np.column_stack([np.clip(v.logit(x) * c[0] + c[1], -12, 12) for v, x, c in zip(self.views, views, self.calibration, strict=True)])
@@ -210,10 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     def view(batches):
         import pyarrow as pa
         for batch in batches:
-            part = batch.to_pydict()
-            a, b = features(part["text"], part["lang"], part["source"])
-            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), batch.column(0), pa.array([x.astype("f2").tobytes() for x in a], pa.binary()),
-                                              pa.array([x.astype("f2").tobytes() for x in b], pa.binary())], names=["y", "draw", "doc_id", "a", "b"])
+            for at in range(0, batch.num_rows, CHUNK_DOCS):
+                rows = batch.slice(at, CHUNK_DOCS)
+                part = rows.to_pydict()
+                a, b = ([x.astype("f2").tobytes() for x in view] for view in features(part["text"], part["lang"], part["source"]))
+                yield pa.RecordBatch.from_arrays([rows.column(4), rows.column(5), rows.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                                 names=["y", "draw", "doc_id", "a", "b"])
 
     got = rows.mapInArrow(view, "y int, draw long, doc_id long, a binary, b binary").toPandas().sort_values(["draw", "doc_id", "y"], kind="stable")
     stack = lambda part, c, width: np.frombuffer(b"".join(part[c]), "f2").reshape(-1, width).astype("f4")

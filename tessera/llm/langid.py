@@ -26,7 +26,7 @@ from tessera.llm.common import table
 SIZES = (2, 3, 4)  # n-gram lengths; a word's borders count as one more character
 MIN_SHARE, MIN_PART = 2e-6, 0.5
 HASHES, ROWS_PER_GRAM = 4, 16
-CHUNK_CHARS, FLUSH_GRAMS = 2_000_000, 1_500_000
+CHUNK_CHARS, FLUSH_GRAMS = 300_000, 1_000_000
 UNKNOWN = "und"
 KEEP_AT = 0.4  # a document under this corrected share is of no known language
 
@@ -124,11 +124,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     mine = keys[own[owner]]
                     if len(mine):
                         held.setdefault(lang, []).append(np.unique(mine, return_counts=True))
-                for lang, parts in held.items():
-                    held[lang] = [fold(parts)]
                 size = sum(len(p[0]) for parts in held.values() for p in parts)
-                if size >= FLUSH_GRAMS:
-                    yield from out()
+                if size >= 2 * FLUSH_GRAMS:
+                    for lang, parts in held.items():
+                        held[lang] = [fold(parts)]
+                    if sum(len(p[0][0]) for p in held.values()) >= FLUSH_GRAMS:
+                        yield from out()
         yield from out()
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
