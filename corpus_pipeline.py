@@ -59,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_tokens", tokens),
 ]
 
-ORACLE_SQL = None  # SQL expresses none of the learned stages; tests/llm hold the pipeline against a plain version
+ORACLE_SQL = None  # SQL expresses none of the learned stages; tests/llm test their operators one by one
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
