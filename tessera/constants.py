@@ -18,10 +18,8 @@ MASK_TOKEN = "<|MASK|>"
 UNK_TOKEN = "<unk>"
 IGNORE_INDEX = -100
 
-# GPT-2 split pattern (Java regex; \s is [ \t\n\x0B\f\r] in Java).
-GPT2_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Same split without the look-ahead alternative (RE2-compatible).
-GPT2_PATTERN_NO_LOOKAHEAD = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
+# GPT-2 split pattern (Java regex; (?U) makes \s Unicode whitespace, as in the original).
+GPT2_PATTERN = r"""(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 BLEU_MAX_N = 4
 BLEU_EPSILON = 0.1

@@ -12,8 +12,3 @@ def pretokenize(text: Column | str, pattern: str = GPT2_PATTERN) -> Column:
     """Split text into pre-tokens with the GPT-2 pattern (all matches, in order)."""
     col = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-
-
-def whitespace_words(text: Column | str) -> Column:
-    col = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(col, r"\s+"), lambda w: w != "")

@@ -1,11 +1,11 @@
-"""BPE merge learning over a word-count table.
+"""BPE merge learning over a word-count table (T2b) and encoding with it.
 
 Each round is one distributed job: adjacent symbol pairs of every distinct word
-are weighted by the word's count, summed by pair (partial aggregation
-map-side) and the top pair (count desc, then left, right asc) is merged in
-every word, left to right without overlaps.  Only that one pair reaches the
-driver.  The word table's lineage is cut with ``checkpoint()`` every
-``checkpoint_every`` rounds.
+are weighted by the word's count and summed by pair (partial aggregation
+map-side).  Only the best few pairs (count desc, then left, right asc) reach the
+driver; of them those are merged in one pass that one-by-one learning would
+merge next, in that order (``next_merges``).  The word table's lineage is cut
+with ``checkpoint()`` every ``checkpoint_every`` rounds.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tokens import shuffle_lookup
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 
@@ -35,22 +34,50 @@ def _pairs(words: DataFrame) -> DataFrame:
             .agg(F.sum("n").alias("count")))
 
 
-def merge_pair(symbols, left: str, right: str):
-    """Merge every non-overlapping (left, right) occurrence, scanning left to right."""
+def merge_pairs(symbols, pairs):
+    """Merge every non-overlapping occurrence of the ``pairs``, scanning left to right.
+
+    Pairs that share no symbol cannot overlap, so one scan equals one after the other."""
     init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("merged"))
 
     def step(acc, x):
         out = acc["out"]
         n = F.size(out)
-        hit = (~acc["merged"]) & (n > 0) & (F.element_at(out, F.greatest(n, F.lit(1))) == F.lit(left)) \
-            & (x == F.lit(right))
-        merged_out = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.lit(left + right)))
+        last = F.element_at(out, F.greatest(n, F.lit(1)))
+        known = F.lit(False)
+        for left, right in pairs:
+            known = known | ((last == F.lit(left)) & (x == F.lit(right)))
+        hit = (~acc["merged"]) & (n > 0) & known
+        merged_out = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(last, x)))
         return F.struct(F.when(hit, merged_out).otherwise(F.concat(out, F.array(x))).alias("out"),
                         hit.alias("merged"))
     return F.aggregate(symbols, init, step, lambda acc: acc["out"])
 
 
-def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> DataFrame:
+def next_merges(top, most: int, more: bool, made: set) -> list:
+    """The first pairs of ``top`` (ranked rows) that one-by-one learning merges next, in that order.
+
+    The first always.  A further one if it shares no symbol with those before and
+    its count is above the next row's: a pair that a merge brings about is at
+    most as frequent as some pair sharing a symbol with it, which ranks lower.
+    This needs new symbols, so a merge into one of ``made`` ends the list, as a
+    symbol doubled does.  ``more``: rows may follow the last of ``top``."""
+    taken, used = [], set()
+    for i, p in enumerate(top):
+        pair = {p["left"], p["right"]}
+        follows = top[i + 1]["count"] if i + 1 < len(top) else (None if more else 0)
+        if len(taken) == most or (i and (used & pair or len(pair) == 1 or follows is None or follows == p["count"])):
+            break
+        taken.append(p)
+        used |= pair
+        word = p["left"] + p["right"]
+        if len(pair) == 1 or word in made:
+            break
+        made.add(word)
+    return taken
+
+
+def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_round: int = 16) -> DataFrame:
     """Learn up to ``n_merges`` merges.  Returns (rank, left, right, count).
 
     The word table is checkpointed once, each round's merged table is
@@ -60,20 +87,22 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> Da
     from pyspark import StorageLevel
     spark = words.sparkSession
     ensure_checkpoint_dir(spark)
-    merges = []
+    merges, made = [], set()
     cur = words.select("symbols", "n").checkpoint(eager=True)
-    prev = None
-    for r in range(n_merges):
-        top = _pairs(cur).orderBy(F.desc("count"), "left", "right").limit(1).collect()
+    prev, r = None, 0
+    while len(merges) < n_merges:
+        top = _pairs(cur).orderBy(F.desc("count"), "left", "right").limit(per_round + 1).collect()
         if prev is not None:
             prev.unpersist()
         if not top:
             break
-        left, right, cnt = top[0]["left"], top[0]["right"], int(top[0]["count"])
-        merges.append((r, left, right, cnt))
+        now = next_merges(top, min(per_round, n_merges - len(merges)), len(top) > per_round, made)
+        merges += [(len(merges) + i, p["left"], p["right"], int(p["count"])) for i, p in enumerate(now)]
+        made |= {p["left"] + p["right"] for p in now}
         prev = cur
-        cur = cur.select(merge_pair(F.col("symbols"), left, right).alias("symbols"), "n")
-        if (r + 1) % checkpoint_every == 0:
+        cur = cur.select(merge_pairs(F.col("symbols"), [(p["left"], p["right"]) for p in now]).alias("symbols"), "n")
+        r += 1
+        if r % checkpoint_every == 0:
             cur = cur.checkpoint(eager=True)
         else:
             cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
@@ -82,6 +111,12 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> Da
     return spark.createDataFrame(merges, "rank int, left string, right string, count long")
 
 
+def merges_for(words: DataFrame, vocab_size: int, n_specials: int = 3) -> int:
+    """Merges that fill a sub-word vocabulary of ``vocab_size`` beside the characters and the specials."""
+    chars = words.select(F.explode("symbols").alias("c")).agg(F.count_distinct("c")).first()[0]
+    return max(0, vocab_size - chars - n_specials)
+
+
 def read_merges(spark, path: str) -> DataFrame:
     """A ``merges.txt`` (optional ``#version`` header, then ``left right`` per line)
     → (rank, left, right); rank follows line order."""
@@ -94,51 +129,42 @@ def read_merges(spark, path: str) -> DataFrame:
     return ranked.select(F.col("rank").cast("int").alias("rank"), "left", "right")
 
 
-def _segment_fn(ranks_bc):
-    """Per distinct word: greedy BPE (merge the lowest-ranked adjacent pair until none)."""
-    def fn(batches):
-        ranks = ranks_bc.value
-        for pdf in batches:
-            out = []
-            for w in pdf["word"]:
-                syms = [c for c in w]
-                while len(syms) > 1:
-                    best, at = None, -1
-                    for k in range(len(syms) - 1):
-                        r = ranks.get((syms[k], syms[k + 1]))
-                        if r is not None and (best is None or r < best):
-                            best, at = r, k
-                    if best is None:
-                        break
-                    a, b = syms[at], syms[at + 1]
-                    merged, k = [], 0
-                    while k < len(syms):
-                        if k + 1 < len(syms) and syms[k] == a and syms[k + 1] == b:
-                            merged.append(a + b)
-                            k += 2
-                        else:
-                            merged.append(syms[k])
-                            k += 1
-                    syms = merged
-                out.append(syms)
-            yield pdf.assign(pieces=out)
-    return fn
+def _segment(word: str, ranks: dict) -> list[str]:
+    """Greedy BPE: merge the lowest-ranked adjacent pair, everywhere, until none is left."""
+    syms = list(word)
+    while len(syms) > 1:
+        best = min(zip(syms, syms[1:]), key=lambda p: ranks.get(p, len(ranks)))
+        if best not in ranks:
+            break
+        merged, k = [], 0
+        while k < len(syms):
+            if k + 1 < len(syms) and (syms[k], syms[k + 1]) == best:
+                merged.append(syms[k] + syms[k + 1])
+                k += 2
+            else:
+                merged.append(syms[k])
+                k += 1
+        syms = merged
+    return syms
 
 
-MAX_BROADCAST_MERGES = 1_000_000
+def _ranks(merges: DataFrame) -> dict:
+    """(left, right) → rank.  As many entries as merges, which the vocabulary size bounds."""
+    tbl = merges.orderBy("rank").select("left", "right").toArrow()
+    pairs = zip(tbl.column("left").to_pylist(), tbl.column("right").to_pylist())
+    return {p: k for k, p in enumerate(dict.fromkeys(pairs))}
 
 
 def segment_words(words: DataFrame, merges: DataFrame) -> DataFrame:
-    """(word) → (word, pieces ARRAY<STRING>) by the merge ranks (broadcast; bounded)."""
+    """(word) → (word, pieces ARRAY<STRING>) by the merge ranks (broadcast)."""
     spark = words.sparkSession
     ship_package(spark)
-    tbl = merges.select("rank", "left", "right").toArrow()
-    if tbl.num_rows > MAX_BROADCAST_MERGES:
-        raise ValueError("merge table too large to broadcast")
-    ranks = {(l, r): k for k, l, r in zip(tbl.column("rank").to_pylist(), tbl.column("left").to_pylist(),
-                                          tbl.column("right").to_pylist())}
-    bc = spark.sparkContext.broadcast(ranks)
-    return words.select("word").mapInPandas(_segment_fn(bc), "word string, pieces array<string>")
+    bc = spark.sparkContext.broadcast(_ranks(merges))
+
+    def fn(batches):
+        for pdf in batches:
+            yield pdf.assign(pieces=[_segment(w, bc.value) for w in pdf["word"]])
+    return words.select("word").mapInPandas(fn, "word string, pieces array<string>")
 
 
 def bpe_vocab(words: DataFrame, merges: DataFrame, specials=("<unk>", "<|endoftext|>", "<|MASK|>")) -> DataFrame:
@@ -161,25 +187,31 @@ def spark_specials(spark, specials):
     return spark.createDataFrame([(t, 2, i) for i, t in enumerate(specials)], "token string, __o int, __r int")
 
 
-def _bpe_lookup_fn(words_bc, ids_bc, unk_id, in_col, out_col):
+MEMO_WORDS = 200_000  # segmented words that a task remembers
+
+
+def _encode_fn(ranks_bc, ids_bc, unk_id, in_col, out_col):
     def fn(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        value_set = pa.array(words_bc.value, pa.string())
-        per_word = pa.array(ids_bc.value, pa.list_(pa.int32()))
-        unk = pa.array([[unk_id]], pa.list_(pa.int32()))
-        table = pa.concat_arrays([per_word, unk])
-        miss = len(per_word)
+        ranks, ids, memo = ranks_bc.value, ids_bc.value, {}
         for rb in batches:
             lists = rb.column(rb.schema.get_field_index(in_col))
-            flat = pc.list_flatten(lists)                       # this slice's pre-tokens only
-            pos = pc.fill_null(pc.index_in(flat, value_set=value_set), miss)
-            per_tok = pc.take(table, pos)                       # one id list per pre-token
+            flat = pc.dictionary_encode(pc.list_flatten(lists))   # this slice's pre-tokens only
+            per_word = []
+            for w in flat.dictionary.to_pylist():
+                if w not in memo:
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    memo[w] = [ids.get(p, unk_id) for p in _segment(w, ranks)]
+                per_word.append(memo[w])
+            table = pa.array([*per_word, [unk_id]], pa.list_(pa.int32()))
+            per_tok = pc.take(table, pc.fill_null(flat.indices, len(per_word)))
             lens = np.asarray(pc.list_value_length(per_tok), dtype=np.int64)
             cum = np.concatenate([[0], np.cumsum(lens)])
-            rel = np.asarray(lists.offsets, dtype=np.int64)
-            offs = cum[rel - rel[0]]
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+            offs = cum[np.concatenate([[0], np.cumsum(sizes)])]
             out = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pc.list_flatten(per_tok),
                                            mask=lists.is_null())
             keep = [i for i, n in enumerate(rb.schema.names) if n != in_col]
@@ -188,32 +220,20 @@ def _bpe_lookup_fn(words_bc, ids_bc, unk_id, in_col, out_col):
     return fn
 
 
-def encode_bpe(tokens: DataFrame, words_seg: DataFrame, vocab: DataFrame, keep=(),
-               tokens_col: str = "tokens", max_broadcast_words: int = 4_000_000) -> DataFrame:
-    """Pre-tokens → sub-word ``input_ids`` with a segmented-word table.
+def encode_bpe(tokens: DataFrame, merges: DataFrame, vocab: DataFrame, keep=(),
+               tokens_col: str = "tokens") -> DataFrame:
+    """Pre-tokens → sub-word ``input_ids``: any word, by the merges alone, no shuffle.
 
-    Bounded word table: broadcast word → id list, one Arrow pass per batch, no
-    shuffle.  Otherwise explode → shuffle join on the word → regroup per row.
-    Words missing from the table become ``<unk>``.
+    Merges and vocabulary are broadcast (both bounded by the vocabulary size);
+    the distinct pre-tokens of each Arrow batch are segmented there.  A piece
+    that the vocabulary lacks becomes ``<unk>``; a NULL array stays NULL.
     """
     from pyspark.sql import types as T
-    keep = list(keep)
-    v = vocab.select("token", "token_id")
-    seg_ids = (words_seg.select("word", F.posexplode("pieces").alias("__k", "token"))
-               .join(v, "token", "left")
-               .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("__k", "token_id"))).alias("__s"))
-               .select("word", F.transform("__s", lambda s: s["token_id"]).alias("ids")))
-    unk_id = {r.token: r.token_id for r in vocab.filter(F.col("is_special")).collect()}.get("<unk>")
-    if seg_ids.limit(max_broadcast_words + 1).count() <= max_broadcast_words:
-        tbl = seg_ids.toArrow()
-        spark = tokens.sparkSession
-        ship_package(spark)
-        wb = spark.sparkContext.broadcast(tbl.column("word").to_pylist())
-        ib = spark.sparkContext.broadcast(tbl.column("ids").to_pylist())
-        base = tokens.select(*keep, tokens_col)
-        schema = T.StructType([f for f in base.schema.fields if f.name != tokens_col]
-                              + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
-        return base.mapInArrow(_bpe_lookup_fn(wb, ib, unk_id, tokens_col, "input_ids"), schema)
-    unk = F.array(F.lit(unk_id).cast("int"))
-    out = shuffle_lookup(tokens.select(*keep, tokens_col), seg_ids, "word", "ids", tokens_col, "input_ids", unk, flat=True)
-    return out.select(*keep, "input_ids")
+    spark = tokens.sparkSession
+    ship_package(spark)
+    ids = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
+    rb, ib = spark.sparkContext.broadcast(_ranks(merges)), spark.sparkContext.broadcast(ids)
+    base = tokens.select(*keep, tokens_col)
+    schema = T.StructType([f for f in base.schema.fields if f.name != tokens_col]
+                          + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+    return base.mapInArrow(_encode_fn(rb, ib, ids.get("<unk>"), tokens_col, "input_ids"), schema)

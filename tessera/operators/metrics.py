@@ -101,21 +101,23 @@ def _grams(arr: Column, side: int, max_n: int, id_bits: int | None = None) -> Co
 
 def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "labels",
                   max_n: int = BLEU_MAX_N, epsilon: float = BLEU_EPSILON,
-                  id_bound: int | None = None) -> DataFrame:
+                  id_bound: int | None = None, pad_id: int | None = None) -> DataFrame:
     """Sentence BLEU per row (one reference), uniform weights, smoothing method 1.
 
     p_n = clipped matches / max(1, hyp n-grams); zero numerators become ε.
     No unigram match → 0.  Brevity penalty exp(1 − r/c) when c ≤ r (c = 0 → 0).
     n-gram counts are an exact ``groupBy(row, n, gram)`` (partial aggregation
     map-side); no row ever meets another row's n-grams.  ``id_bound`` (all ids
-    in [0, id_bound)) lets grams be packed into exact long keys.
+    in [0, id_bound)) lets grams be packed into exact long keys.  ``pad_id`` is
+    taken out of both sides first.
     """
     keys = list(keys)
     id_bits = None
     if id_bound is not None:
         bits = max(1, (int(id_bound) - 1).bit_length())
         id_bits = bits if bits * max_n <= 64 else None
-    base = df.select(*keys, F.col(hyp_col).alias("__h"), F.col(ref_col).alias("__r"))
+    real = (lambda c: F.col(c)) if pad_id is None else (lambda c: F.filter(c, lambda x: x != pad_id))
+    base = df.select(*keys, real(hyp_col).alias("__h"), real(ref_col).alias("__r"))
     base = base.withColumn("__c", F.size("__h")).withColumn("__rl", F.size("__r"))
     # one sentinel (n = 0) per row so rows without any n-gram still reach the group
     gram_type = "long" if id_bits else "array<int>"
@@ -142,12 +144,13 @@ def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "la
 
 
 def bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "labels",
-         sample: int | None = BLEU_SAMPLE_ROWS, order_cols=None, id_bound: int | None = None) -> DataFrame:
+         sample: int | None = BLEU_SAMPLE_ROWS, order_cols=None, id_bound: int | None = None,
+         pad_id: int | None = None) -> DataFrame:
     """Mean sentence BLEU over the first ``sample`` rows (by ``order_cols``) or all rows."""
     src = df
     if sample is not None:
         src = df.orderBy(*(order_cols or keys)).limit(sample)
-    per = sentence_bleu(src, keys, hyp_col, ref_col, id_bound=id_bound)
+    per = sentence_bleu(src, keys, hyp_col, ref_col, id_bound=id_bound, pad_id=pad_id)
     return per.agg(F.coalesce(F.avg("bleu"), F.lit(0.0)).alias("bleu"))
 
 
@@ -233,18 +236,6 @@ def choice_position(df: DataFrame, ids_col: str, cls_id: int, out_col: str = "cl
     return df.withColumn(out_col, F.when(found > 0, found - 1).otherwise(F.size(ids) - 1).cast("int"))
 
 
-def masked_report(df: DataFrame, keys, masked_col: str, labels_col: str, pred_col: str,
-                  mask_id: int) -> DataFrame:
-    """One row per masked slot: (keys…, pos, original_id, predicted_id)."""
-    keys = list(keys)
-    z = F.arrays_zip(F.col(masked_col).alias("m"), F.col(labels_col).alias("o"),
-                     F.col(pred_col).alias("p"))
-    return (df.select(*keys, F.posexplode(z).alias("pos", "__z"))
-            .filter(F.col("__z.m") == mask_id)
-            .select(*keys, "pos", F.col("__z.o").alias("original_id"),
-                    F.col("__z.p").alias("predicted_id")))
-
-
 def evaluate(pairs_acc: DataFrame, losses: DataFrame, bleu_df: DataFrame,
              samples: DataFrame) -> DataFrame:
     """One metrics row: accuracy, loss, perplexity, bleu, eval_samples.

@@ -181,10 +181,19 @@ def retain_checkpoints(ckpts: DataFrame, k: int, best: DataFrame | None = None,
     return out.filter(keep)
 
 
-def resume_point(ckpts: DataFrame, explicit: str | None = None, run_col: str = "run") -> DataFrame:
-    """Explicit checkpoint wins, else the latest detected one per run."""
+def resume_point(ckpts: DataFrame, explicit: str | None = None, run_col: str = "run",
+                 outputs: DataFrame | None = None) -> DataFrame:
+    """Explicit checkpoint wins, else the latest detected one per run.
+
+    ``outputs`` lists the files of the runs' output folders (a row a file, column
+    ``run_col``): a run that has files but no checkpoint raises, unless one is given."""
     last = ckpts.groupBy(run_col).agg(F.max_by("path", "step").alias("last_checkpoint"),
                                       F.max("step").alias("last_step"))
+    if outputs is not None:
+        last = last.join(outputs.select(run_col).distinct(), run_col, "full_outer")
+        if explicit is None:
+            stop = F.raise_error(F.concat(F.lit("output folder is not empty but holds no checkpoint: "), F.col(run_col)))
+            last = last.withColumn("last_checkpoint", F.coalesce("last_checkpoint", stop.cast("string")))
     return last.withColumn("resume_from", F.coalesce(F.lit(explicit).cast("string"),
                                                      F.col("last_checkpoint")))
 

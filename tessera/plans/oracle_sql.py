@@ -7,7 +7,7 @@ it -- so the two agree only if both are right.
 DuckDB notes: RE2 has no look-ahead, so the GPT-2 split is reproduced by
 cutting the text before the last character of every whitespace run that is
 followed by a non-space and splitting each piece with the look-ahead-free
-pattern; whitespace is the explicit class [\\t\\n\\x0B\\f\\r ] (Java's \\s).
+pattern; whitespace is the explicit class of Unicode's White_Space characters.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from __future__ import annotations
 from tessera.constants import EOS_TOKEN, MASK_TOKEN, UNK_TOKEN
 from tessera.plans.corpus import SPEC, CorpusSpec
 
-WS = r"[\t\n\x0B\f\r ]"
-NWS = r"[^\t\n\x0B\f\r ]"
-SPLIT_RE2 = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\t\n\x0B\f\r \p{L}\p{N}]+|[\t\n\x0B\f\r ]+"
+SPACES = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = f"[{SPACES}]"
+NWS = f"[^{SPACES}]"
+SPLIT_RE2 = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^" + SPACES + r"\p{L}\p{N}]+|" + WS + "+"
 CUT = "\ue000"  # private-use character, absent from any corpus text
 
 

@@ -395,7 +395,7 @@ def _evaluate(spark, sf) -> DataFrame:
     cp = CorpusPlan(spark, sf)
     s = cp.scored_table
     row = E.evaluate(E.token_accuracy(B.shift_pairs(s, BLOCK_KEYS)), E.mean_loss(s),
-                     E.bleu(s, BLOCK_KEYS, sample=10, id_bound=cp.vocab_rows), E.eval_samples(s))
+                     E.bleu(s, BLOCK_KEYS, sample=10, id_bound=cp.vocab_rows, pad_id=cp.token_id(EOS_TOKEN)), E.eval_samples(s))
     return row.select(r6("accuracy").alias("accuracy"), r6("loss").alias("loss"),
                       r6("perplexity").alias("perplexity"), r6("bleu").alias("bleu"), "eval_samples")
 
@@ -545,8 +545,8 @@ def choice_position(spark, sf):
 
 
 @register("masked_report", O.with_corpus(f"""
-SELECT m.batch_id, m.block_no, CAST(m.pos AS INTEGER) AS pos, m.id AS original_id,
-       coalesce(f.top_target, (SELECT fallback_id FROM fb)) AS predicted_id
+SELECT m.batch_id, m.block_no, CAST(m.pos AS INTEGER) AS pos, m.id AS original_id, vo.token AS original_token,
+       vp.token_id AS predicted_id, vp.token AS predicted_token
 FROM (
   SELECT *, lag(mid) OVER w AS "left", lead(mid) OVER w AS "right" FROM (
     SELECT *, CASE WHEN cand AND rk <= k THEN (SELECT token_id FROM vocab WHERE token = '<|MASK|>') ELSE id END AS mid
@@ -563,6 +563,8 @@ FROM (
                 FROM packed WHERE split = 'validation')))))
   WINDOW w AS (PARTITION BY batch_id, block_no ORDER BY pos)) m
 LEFT JOIN fi f ON f."left" IS NOT DISTINCT FROM m."left" AND f."right" IS NOT DISTINCT FROM m."right"
+LEFT JOIN vocab vo ON vo.token_id = m.id
+LEFT JOIN vocab vp ON vp.token_id = coalesce(f.top_target, (SELECT fallback_id FROM fb))
 WHERE m.mid = (SELECT token_id FROM vocab WHERE token = '<|MASK|>')""", """
 fi AS (SELECT "left", "right", target AS top_target FROM (
   SELECT "left", "right", target,
@@ -588,8 +590,14 @@ def masked_report(spark, sf):
     model = N.fit_infill(counts=N.infill_counts(cp.blocks("train"), id_bound=cp.vocab_rows))
     fb = N.unigram_top(cp.blocks("train"))
     pred = N.predict_infill(model, x)
-    return pred.select(*BLOCK_KEYS, "pos", "original_id",
+    pred = pred.select(*BLOCK_KEYS, "pos", "original_id",
                        F.coalesce(F.col("top_target"), fb.scalar()).alias("predicted_id"))
+    # ids → token text (T6); the vocabulary is size-capped, so broadcast
+    text = F.broadcast(spark.createDataFrame(cp.vocab_table))
+    for side in ("original", "predicted"):
+        named = text.select(F.col("token_id").alias(f"{side}_id"), F.col("token").alias(f"{side}_token"))
+        pred = pred.join(named, f"{side}_id", "left")
+    return pred.select(*BLOCK_KEYS, "pos", "original_id", "original_token", "predicted_id", "predicted_token")
 
 
 # ---------------------------------------------------------------- array predicates
@@ -923,12 +931,18 @@ def stream_pack_carry(spark, sf):
 
 # ---------------------------------------------------------------- BPE merges (T2b), user scorer
 
+def _bpe_merges(cp: CorpusPlan) -> tuple[DataFrame, DataFrame]:
+    """The train split's word counts, and the merges that fill a vocabulary of ``bpe_vocab_size``."""
+    from tessera.operators.bpe import learn_bpe as lb, merges_for, word_counts
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(cp.spark)
+    words = word_counts(cp.tokens.filter(F.col("split") == "train")).checkpoint()  # read by several jobs
+    return words, lb(words, merges_for(words, cp.spec.bpe_vocab_size))
+
+
 @register("learn_bpe")
 def learn_bpe(spark, sf):
-    from tessera.operators.bpe import learn_bpe as lb, word_counts
-    cp = CorpusPlan(spark, sf)
-    words = word_counts(cp.tokens.filter(F.col("split") == "train"))
-    return lb(words, n_merges=20)
+    return _bpe_merges(CorpusPlan(spark, sf))[1]
 
 
 def _unigram_logp(pdf, table):
@@ -996,11 +1010,9 @@ def user_metric(spark, sf):
 @register("encode_bpe")
 def encode_bpe(spark, sf):
     """T3(b): sub-word ids from BPE merges learned on the train split."""
-    from tessera.operators.bpe import bpe_vocab, encode_bpe as enc, learn_bpe as lb, segment_words, word_counts
+    from tessera.operators.bpe import bpe_vocab, encode_bpe as enc
     cp = CorpusPlan(spark, sf)
-    words = word_counts(cp.tokens.filter(F.col("split") == "train"))
-    merges = lb(words, n_merges=20)
-    seg = segment_words(words, merges)
-    out = enc(cp.tokens, seg, bpe_vocab(words, merges), keep=["doc_id"])
+    words, merges = _bpe_merges(cp)
+    out = enc(cp.tokens, merges, bpe_vocab(words, merges), keep=["doc_id"])
     return out.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"),
                       md5_ids("input_ids").alias("ids_md5"))

@@ -265,25 +265,64 @@ def _bpe_encode_brute(word, merges):
 
 
 def test_encode_bpe_matches_brute_force(spark):
-    from tessera.operators.bpe import bpe_vocab, encode_bpe, learn_bpe, segment_words, word_counts
+    from tessera.operators.bpe import bpe_vocab, encode_bpe, learn_bpe, word_counts
     train = [["low", " lower", " newest", " widest", " low"], ["newest", " low", " lowest"]]
-    docs = train + [["zzz", " low", " newer"], []]
+    docs = train + [["zzz", " low", " newer", "lowe"], [], ["low", "low"]]
     tdf = spark.createDataFrame([(d,) for d in train], "tokens array<string>")
     words = word_counts(tdf)
     merges = learn_bpe(words, 8, checkpoint_every=3)
-    seg = segment_words(words, merges)
     vocab = bpe_vocab(words, merges)
     v = {r.token: r.token_id for r in vocab.collect()}
     ml = [(r.left, r.right, r["count"]) for r in merges.orderBy("rank").collect()]
     ddf = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc long, tokens array<string>")
-    known = {r.word for r in seg.collect()}
+    ddf = ddf.unionByName(spark.createDataFrame([(99, None)], ddf.schema))
 
     def want(d):
-        ids = []
-        for w in d:
-            ids += [v[p] for p in _bpe_encode_brute(w, ml)] if w in known else [v["<unk>"]]
-        return ids
-    for limit in (10, 0):
-        got = {r.doc: r.input_ids for r in encode_bpe(ddf, seg, vocab, keep=["doc"],
-                                                      max_broadcast_words=limit).collect()}
-        assert got == {i: want(d) for i, d in enumerate(docs)}, limit
+        return [v.get(p, v["<unk>"]) for w in d for p in _bpe_encode_brute(w, ml)]
+    got = {r.doc: r.input_ids for r in encode_bpe(ddf, merges, vocab, keep=["doc"]).collect()}
+    assert got == {**{i: want(d) for i, d in enumerate(docs)}, 99: None}
+    assert v["<unk>"] in got[2] and v["<unk>"] not in got[2][-2:]  # a word not seen in training is segmented
+
+
+def test_merges_in_batches_equal_one_by_one(spark):
+    import random
+    from tessera.operators.bpe import learn_bpe, word_counts
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefghij", range(1, 11), k=rnd.randint(1, 9))) for _ in range(150)]
+    df = word_counts(spark.createDataFrame([(rnd.choices(words, k=400),)], "tokens array<string>"))
+    one, many = ([tuple(r) for r in learn_bpe(df, 25, per_round=n).orderBy("rank").collect()] for n in (1, 16))
+    assert one == many and len(one) == 25
+
+
+def test_next_merges_rules():
+    from tessera.operators.bpe import next_merges
+    rows = lambda *p: [{"left": a, "right": b, "count": n} for a, b, n in p]
+    n = lambda top, more=False, made=(): len(next_merges(top, 9, more, set(made)))
+    assert n(rows(("a", "b", 9), ("c", "d", 8), ("e", "f", 7))) == 3
+    assert n(rows(("a", "b", 9), ("c", "d", 8), ("e", "f", 7)), more=True) == 2
+    assert n(rows(("a", "b", 9), ("c", "d", 8), ("x", "a", 8))) == 1  # a tie could go first
+    assert n(rows(("a", "b", 9), ("b", "c", 8))) == 1 and n(rows(("a", "a", 9), ("c", "d", 8))) == 1
+    assert n(rows(("a", "bc", 9), ("d", "e", 8)), made=["abc"]) == 1
+
+
+def test_split_takes_unicode_whitespace(spark):
+    from tessera.functions.text import pretokenize
+    df = spark.createDataFrame([("!\u00a0x",), ("a\u2003!",), ("\u00a0\u00a0b",)], "t string")
+    got = [r[0] for r in df.select(pretokenize("t")).collect()]
+    assert got == [["!", "\u00a0", "x"], ["a", "\u2003", "!"], ["\u00a0", "\u00a0", "b"]]
+
+
+def test_split_oracle_agrees_on_unicode_whitespace(spark):
+    import duckdb
+    from tessera.functions.text import pretokenize
+    from tessera.plans.oracle_sql import tokens_expr
+    texts = ["!\u00a0x", "\u00a0\u00a0b \u3000 c", "a\u2003\u2003", " \u0085\u2028x  1", "\x1c\x1c a"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = [r[0] for r in df.select(pretokenize("t")).collect()]
+    assert got == [duckdb.execute(f"SELECT {tokens_expr('t')} FROM (SELECT ? AS t)", [x]).fetchone()[0] for x in texts]
+
+
+def test_bleu_leaves_padding_out(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7, 8, 0, 0], [5, 6, 7, 8, 0])], "k int, pred array<int>, labels array<int>")
+    assert E.sentence_bleu(df, ["k"], pad_id=0).first()["bleu"] == 1.0
+    assert E.sentence_bleu(df, ["k"]).first()["bleu"] < 1.0

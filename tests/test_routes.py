@@ -59,3 +59,13 @@ def test_partial_counts_fold(spark, monkeypatch):
         for t, n in zip(*b.to_pydict().values(), strict=True):
             got[t] = got.get(t, 0) + n
     assert got == {"a": 6, "b": 3}
+
+
+def test_resume_point_raises_on_files_without_a_checkpoint(spark):
+    ck = spark.createDataFrame([("a", 5, "checkpoint-5"), ("a", 10, "checkpoint-10")], "run string, step int, path string")
+    files = spark.createDataFrame([("a", "log"), ("b", "log"), ("b", "x")], "run string, file string")
+    with pytest.raises(Exception, match="holds no checkpoint: b"):
+        runs.resume_point(ck, outputs=files).collect()
+    got = {r["run"]: r["resume_from"] for r in runs.resume_point(ck, "given", outputs=files).collect()}
+    assert got == {"a": "given", "b": "given"}
+    assert runs.resume_point(ck, outputs=files.where("run = 'a'")).first()["resume_from"] == "checkpoint-10"
