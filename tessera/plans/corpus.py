@@ -30,7 +30,7 @@ class CorpusSpec:
     order_col: str = "doc_id"
     validation_percent: int = 5
     vocab_size: int = 8192
-    bpe_vocab_size: int = 160
+    bpe_vocab_size: int = 128
     block_size: int = 128
     model_max_length: int = 1024
     batch_rows: int = 100
