@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.constants import IGNORE_INDEX, MASK_RATIO
 from tessera.functions import arrays as A
-from tessera.operators.rowindex import map_batches
+from tessera.operators.rowindex import map_batches, with_offsets
 
 
 def effective_block(block_size: int, model_max_length: int | None) -> int:
@@ -51,8 +51,24 @@ def pack_blocks(indexed: DataFrame, block_size: int, batch_rows: int,
     w = Window.partitionBy(*extra, "batch_id").orderBy(index_col)
     run = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     tot = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = (df.withColumn("__off", run - F.col("__n")).withColumn("__total", tot)
-          .filter(F.col("__n") > 0))
+    return _cut_blocks(df.withColumn("__off", run - F.col("__n")).withColumn("__total", tot), bs, cols, [*extra, "batch_id"])
+
+
+def pack_whole(df: DataFrame, block_size: int, order_col: str, cols=("input_ids",)) -> DataFrame:
+    """Pack all rows as one batch: (block_no, *cols), however many rows there are.
+
+    Offsets come from the order key and the sizes alone (``with_offsets``); the
+    lists move once, to their blocks.  ``order_col`` must be unique per row.
+    """
+    n = F.greatest(F.coalesce(F.size(cols[0]), F.lit(0)), F.lit(0))
+    at = with_offsets(df.select(F.col(order_col).alias("__key"), n.alias("__n")), "__key", "__n", "__off", "__total")
+    rows = df.join(at, F.col(order_col).eqNullSafe(F.col("__key"))).drop("__key")
+    return _cut_blocks(rows, int(block_size), list(cols), [])
+
+
+def _cut_blocks(df: DataFrame, bs: int, cols: list[str], keys: list[str]) -> DataFrame:
+    """Rows with ``__off``, ``__n`` and the batch's ``__total`` → blocks (*keys, block_no, *cols)."""
+    df = df.filter(F.col("__n") > 0)
     # blocks kept in the batch: total div bs, or one short block when total < bs
     kept = F.when(F.col("__total") < bs, F.lit(1)).otherwise(F.floor(F.col("__total") / bs))
     lo = F.floor(F.col("__off") / bs)
@@ -66,10 +82,10 @@ def pack_blocks(indexed: DataFrame, block_size: int, batch_rows: int,
         (F.col("__off") + start).alias("pos"),
         *[F.slice(F.col(c), (start + 1).cast("int"), (end - start).cast("int")).alias(c)
           for c in cols])
-    grouped = (df.select(*extra, "batch_id", "block_no", piece.alias("__piece"))
-               .groupBy(*extra, "batch_id", "block_no")
+    grouped = (df.select(*keys, "block_no", piece.alias("__piece"))
+               .groupBy(*keys, "block_no")
                .agg(F.array_sort(F.collect_list("__piece")).alias("__pieces")))
-    return grouped.select(*extra, "batch_id", "block_no",
+    return grouped.select(*keys, "block_no",
                           *[F.flatten(F.transform("__pieces", _field(c))).alias(c) for c in cols])
 
 

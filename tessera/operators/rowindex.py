@@ -47,19 +47,39 @@ def with_row_index(df: DataFrame, order_cols, index_col: str = "idx",
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.col(_PID).cast("long"), 33)))
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select(_PID, (F.sum("__cnt").over(w) - F.col("__cnt")).alias("__off"),
-                            F.sum("__cnt").over(everything).alias("__total"))
     # one row per partition: bounded by the partition count, safe to broadcast
-    out = (ranged.join(F.broadcast(offsets), _PID)
+    out = (ranged.join(F.broadcast(_partition_offsets(ranged, F.count(F.lit(1)))), _PID)
            .withColumn(index_col, F.col("__off") + F.col(_LOCAL)))
     if total_col:
         out = out.withColumnRenamed("__total", total_col)
     return out.drop(_PID, _LOCAL, "__off", "__total")
 
 
+def _partition_offsets(ranged: DataFrame, amount: Column) -> DataFrame:
+    """Per range partition: the sum of ``amount`` before it, and over all (one row per partition)."""
+    counts = ranged.groupBy(_PID).agg(amount.alias("__cnt"))
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return counts.select(_PID, (F.sum("__cnt").over(w) - F.col("__cnt")).alias("__off"),
+                         F.sum("__cnt").over(everything).alias("__total"))
+
+
+def with_offsets(df: DataFrame, order_cols, size_col: str, offset_col: str, total_col: str) -> DataFrame:
+    """Add the running total of ``size_col`` before each row in ``order_cols`` order, and the grand total.
+
+    The running sum stays inside a range partition and starts from the sums of
+    the partitions before it, so no task sees more than its own range.
+    """
+    cols = _cols(order_cols)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(range_partitions(df), *cols)
+              .withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True))
+    w = Window.partitionBy(_PID).orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = _partition_offsets(ranged, F.sum(size_col)).withColumnsRenamed({"__off": "__base", "__total": total_col})
+    before = F.col("__base") + F.sum(size_col).over(w) - F.col(size_col)
+    return ranged.join(F.broadcast(offsets), _PID).withColumn(offset_col, before).drop(_PID, "__base")
+
+
 TARGET_RANGE_BYTES = 128 * 1024 * 1024
 MAX_RANGE_PARTITIONS = 200_000
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.constants import MASK_TOKEN
@@ -20,8 +20,9 @@ from tessera.operators import blocks as B
 from tessera.operators import model as N
 from tessera.operators.rowindex import split_percent, with_row_index
 from tessera.operators.tokens import add_specials, build_vocab, encode, ones_like
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, scratch_path
 from tessera.sources.corpus import read_table, select_text
+from tessera.sources.packed import read_packed, write_packed
 
 
 @dataclass(frozen=True)
@@ -53,20 +54,32 @@ class CorpusPlan:
         return select_text(self.table(self.spec.table), keep=[self.spec.order_col])
 
     @cached_property
-    def indexed(self) -> DataFrame:
-        return with_row_index(self.docs, self.spec.order_col, "idx", total_col="n_rows")
+    def split(self) -> DataFrame:
+        """(order key, idx, split, split_idx): the order key alone is sorted and checkpointed, never the text."""
+        order = self.table(self.spec.table).select(self.spec.order_col)
+        indexed = with_row_index(order, self.spec.order_col, "idx", total_col="n_rows")
+        return split_percent(indexed, self.spec.validation_percent, total_col="n_rows").drop("n_rows")
 
     @cached_property
-    def split(self) -> DataFrame:
-        return split_percent(self.indexed, self.spec.validation_percent, total_col="n_rows").drop("n_rows")
+    def first_train(self) -> Column:
+        """Order key of the first training row (null: no such row), so a split is a filter that the scan can take."""
+        key = self.spec.order_col
+        first = self.split.filter((F.col("split") == "train") & (F.col("split_idx") == 0)).agg(F.min(key)).head()[0]
+        return F.lit(first)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self.split.withColumn("tokens", pretokenize("text")).drop("text")
+        split = F.when(F.col(self.spec.order_col) >= self.first_train, "train").otherwise("validation")
+        return self.docs.select(self.spec.order_col, split.alias("split"), pretokenize("text").alias("tokens"))
+
+    @cached_property
+    def train_tokens(self) -> DataFrame:
+        train = self.docs.filter(F.col(self.spec.order_col) >= self.first_train)
+        return train.select(pretokenize("text").alias("tokens"))
 
     @cached_property
     def base_vocab(self) -> DataFrame:
-        return build_vocab(self.tokens.filter(F.col("split") == "train"), self.spec.vocab_size)
+        return build_vocab(self.train_tokens, self.spec.vocab_size)
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -89,30 +102,39 @@ class CorpusPlan:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        keep = [self.spec.order_col, "idx", "split", "split_idx"]
+        """(order key, split, ids) in place: the corpus does not move."""
+        keep = [self.spec.order_col, "split"]
         return encode(self.tokens, self.vocab, keep=keep, vocab_table=self.vocab_table)
 
     @cached_property
     def packed(self) -> DataFrame:
         # attention masks of encoded rows are all ones: pack ids only, rebuild the mask
+        return self.packed_ids.withColumn("attention_mask", ones_like("input_ids"))
+
+    @cached_property
+    def packed_ids(self) -> DataFrame:
         bs = B.effective_block(self.spec.block_size, self.spec.model_max_length)
-        p = B.pack_blocks(self.encoded, bs, self.spec.batch_rows,
-                          cols=("input_ids",), index_col="split_idx", extra_keys=["split"])
-        return p.withColumn("attention_mask", ones_like("input_ids"))
+        key = self.spec.order_col
+        at = self.split.select(F.col(key).alias("__key"), "split", "split_idx")
+        rows = self.encoded.select(key, "input_ids").join(at, F.col(key).eqNullSafe(F.col("__key")))
+        return B.pack_blocks(rows, bs, self.spec.batch_rows, cols=("input_ids",), index_col="split_idx",
+                             extra_keys=["split"])
 
     @cached_property
-    def published(self) -> DataFrame:
-        """The packed dataset, published once (checkpoint in the shared folder).
+    def published(self) -> str:
+        """Root of the packed ids, written once by split to the shared folder.
 
-        Fitting and scoring read it several times; materializing it keeps the
+        Fitting and scoring read it several times; writing it keeps the
         corpus from being re-tokenized per branch and cuts the lineage.
         Single-use consumers read ``packed`` (the plan) directly.
         """
-        ensure_checkpoint_dir(self.spark)
-        return self.packed.checkpoint(eager=True)
+        root = scratch_path(self.spark, "packed")
+        write_packed(self.packed_ids, root, self.spec.table, self.spec.block_size)
+        return root
 
     def blocks(self, split: str) -> DataFrame:
-        return self.published.filter(F.col("split") == split).drop("split")
+        """One split's blocks; the scan reads that split's files alone."""
+        return read_packed(self.spark, self.published, self.spec.table, self.spec.block_size, split).drop("split")
 
     @cached_property
     def bigram(self) -> DataFrame:

@@ -23,7 +23,7 @@ from tessera.operators import rowindex as L
 from tessera.operators import tokens as TK
 from tessera.plans import oracle_sql as O
 from tessera.plans.corpus import BLOCK_KEYS, SPEC, CorpusPlan
-from tessera.session import ensure_checkpoint_dir, ship_package
+from tessera.session import ensure_checkpoint_dir, scratch_path, ship_package
 from tessera.sources.corpus import read_corpus, read_table, select_text, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,7 +381,7 @@ def bleu_all(spark, sf):
 
 @register("eval_samples", O.with_corpus("SELECT count(*) AS eval_samples FROM scored"))
 def eval_samples(spark, sf):
-    return E.eval_samples(CorpusPlan(spark, sf).scored)
+    return E.eval_samples(CorpusPlan(spark, sf).packed_ids.filter(F.col("split") == "validation"))
 
 
 EVAL_SQL = O.with_corpus("""
@@ -840,16 +840,10 @@ def parse_overrides(spark, sf):
 
 # ---------------------------------------------------------------- sinks round trips
 
-def _scratch(spark, name: str) -> str:
-    import uuid
-    from tessera.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @register("write_packed_roundtrip", O.with_corpus(PACK_OUT))
 def write_packed_roundtrip(spark, sf):
     from tessera.sources.packed import read_packed, write_packed
-    root = _scratch(spark, "published")
+    root = scratch_path(spark, "published")
     write_packed(CorpusPlan(spark, sf).packed, root, "documents", SPEC.block_size)
     return _pack_out(read_packed(spark, root, "documents", SPEC.block_size))
 
@@ -857,7 +851,7 @@ def write_packed_roundtrip(spark, sf):
 @register("read_packed", O.with_corpus(PACK_OUT + " WHERE split = 'validation'"))
 def read_packed_q(spark, sf):
     from tessera.sources.packed import build_or_read, read_packed
-    root = _scratch(spark, "published")
+    root = scratch_path(spark, "published")
     build_or_read(spark, root, "documents", SPEC.block_size, lambda: CorpusPlan(spark, sf).packed,
                   block_size=SPEC.block_size)
     return _pack_out(read_packed(spark, root, "documents", SPEC.block_size, "validation"))
@@ -866,7 +860,7 @@ def read_packed_q(spark, sf):
 @register("metrics_sink", EVAL_SQL)
 def metrics_sink(spark, sf):
     from tessera.sources.packed import write_metrics
-    path = _scratch(spark, "metrics")
+    path = scratch_path(spark, "metrics")
     write_metrics(_evaluate(spark, sf), path, run="documents-bigram", phase="eval", fmt="parquet")
     return spark.read.parquet(path).select("accuracy", "loss", "perplexity", "bleu", "eval_samples")
 
@@ -890,7 +884,7 @@ SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, {md5_sql('input_ids')
 def stream_tokenize(spark, sf):
     from tessera.streaming.stream import run_to_table
     cp = CorpusPlan(spark, sf)
-    out, ck = _scratch(spark, "stream-enc"), _scratch(spark, "stream-enc-ck")
+    out, ck = scratch_path(spark, "stream-enc"), scratch_path(spark, "stream-enc-ck")
     run_to_table(_stream_encoded(spark, sf, cp), out, ck)
     df = spark.read.parquet(out)
     return df.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), md5_ids("input_ids").alias("ids_md5"))
@@ -910,19 +904,34 @@ FROM (SELECT p // {SPEC.block_size} AS block_no, list(id ORDER BY p) AS ids FROM
 def stream_pack(spark, sf):
     from tessera.streaming.stream import pack_micro_batches
     cp = CorpusPlan(spark, sf)
-    out, ck = _scratch(spark, "stream-pack"), _scratch(spark, "stream-pack-ck")
+    out, ck = scratch_path(spark, "stream-pack"), scratch_path(spark, "stream-pack-ck")
     pack_micro_batches(_stream_encoded(spark, sf, cp), SPEC.block_size, "doc_id", out, ck)
     df = spark.read.parquet(out)
     return df.select("batch_id", "block_no", F.size("input_ids").cast("long").alias("n_tokens"),
                      md5_ids("input_ids").alias("ids_md5"))
 
 
-@register("stream_pack_carry")
+CARRY_SHARDS = 64
+
+
+@register("stream_pack_carry", O.with_corpus(f"""
+SELECT shard, p // {SPEC.block_size} AS seq, count(*) AS n_tokens,
+       md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY p)) AS ids_md5
+FROM (SELECT shard, total, off + pos - 1 AS p, id FROM (
+        SELECT shard, off, total, unnest(input_ids) AS id, generate_subscripts(input_ids, 1) AS pos FROM (
+          SELECT shard, input_ids, CAST(sum(len(input_ids)) OVER (PARTITION BY shard) AS BIGINT) AS total,
+                 CAST(sum(len(input_ids)) OVER (PARTITION BY shard ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
+                   - len(input_ids) AS off
+          FROM (SELECT doc_id, input_ids,
+                       CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {CARRY_SHARDS} AS shard
+                FROM enc))))
+WHERE (p // {SPEC.block_size} + 1) * {SPEC.block_size} <= total
+GROUP BY 1, 2"""))
 def stream_pack_carry(spark, sf):
-    from tessera.streaming.stream import pack_with_carry, run_to_table
+    from tessera.streaming.stream import pack_with_carry, run_to_table, shard_of
     cp = CorpusPlan(spark, sf)
-    enc = _stream_encoded(spark, sf, cp).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    out, ck = _scratch(spark, "stream-carry"), _scratch(spark, "stream-carry-ck")
+    enc = _stream_encoded(spark, sf, cp).withColumn("shard", shard_of("doc_id", CARRY_SHARDS))
+    out, ck = scratch_path(spark, "stream-carry"), scratch_path(spark, "stream-carry-ck")
     run_to_table(pack_with_carry(enc, SPEC.block_size, "doc_id"), out, ck)
     df = spark.read.parquet(out)
     return df.select("shard", "seq", F.size("input_ids").cast("long").alias("n_tokens"),
@@ -936,7 +945,7 @@ def _bpe_merges(cp: CorpusPlan) -> tuple[DataFrame, DataFrame]:
     from tessera.operators.bpe import learn_bpe as lb, merges_for, word_counts
     from tessera.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(cp.spark)
-    words = word_counts(cp.tokens.filter(F.col("split") == "train")).checkpoint()  # read by several jobs
+    words = word_counts(cp.train_tokens).checkpoint()  # read by several jobs
     return words, lb(words, merges_for(words, cp.spec.bpe_vocab_size))
 
 
@@ -948,11 +957,11 @@ def learn_bpe(spark, sf):
 def _unigram_logp(pdf, table):
     import numpy as np
     counts, total, v = table
-    out = []
-    for ids in pdf["input_ids"]:
-        a = np.asarray(ids, dtype=np.int64)
-        out.append(float(np.log((counts[a] + 1.0) / (total + v)).sum()))
-    return pdf.assign(n=pdf["input_ids"].map(len).astype("int64"), logp=out).drop(columns=["input_ids"])
+    n = pdf["input_ids"].map(len).to_numpy("int64")
+    flat = np.concatenate([*pdf["input_ids"], np.zeros(0, "int64")]).astype("int64")
+    sums = np.concatenate([[0.0], np.cumsum(np.log((counts[flat] + 1.0) / (total + v)))])
+    ends = np.cumsum(n)
+    return pdf.assign(n=n, logp=sums[ends] - sums[ends - n]).drop(columns=["input_ids"])
 
 
 @register("score_udf", O.with_corpus("""

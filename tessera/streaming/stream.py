@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions.text import pretokenize
 from tessera.operators import blocks as B
-from tessera.operators.rowindex import with_row_index
 from tessera.operators.tokens import encode
 from tessera.session import ship_package
 
@@ -50,12 +50,14 @@ def pack_micro_batches(encoded_stream: DataFrame, block_size: int, order_col: st
     """Each micro-batch is packed as one batch; epoch id becomes ``batch_id``.
 
     The output of an epoch goes to its own folder and is overwritten on replay,
-    so a retried epoch does not duplicate blocks.
+    so a retried epoch does not duplicate blocks.  Blocks are dealt by their
+    number, so a large micro-batch spreads over all tasks.
     """
     def write(bdf: DataFrame, epoch: int) -> None:
-        ix = with_row_index(bdf, order_col, "idx").withColumn("__b", F.lit(epoch).cast("long"))
-        packed = B.pack_blocks(ix, block_size, 1, cols=("input_ids",), batch_col="__b")
+        bdf.persist()  # read for the sizes, then for the ids
+        packed = B.pack_whole(bdf, block_size, order_col).withColumn("batch_id", F.lit(epoch).cast("long"))
         packed.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        bdf.unpersist()
 
     q = (encoded_stream.writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -68,25 +70,30 @@ CARRY_STATE = "tail array<int>, emitted long"
 
 def _carry_fn(block_size: int, order_col: str):
     def fn(key, pdfs, state):
-        tail, emitted = ([], 0)
-        if state.exists:
-            tail, emitted = list(state.get[0]), int(state.get[1])
-        rows = pd.concat(list(pdfs)).sort_values(order_col)
-        flat = tail + [int(t) for ids in rows["input_ids"] for t in ids]
-        full = (len(flat) // block_size) * block_size
-        blocks = [flat[i:i + block_size] for i in range(0, full, block_size)]
-        state.update((flat[full:], emitted + len(blocks)))
-        yield pd.DataFrame({"shard": [key[0]] * len(blocks),
-                            "seq": list(range(emitted, emitted + len(blocks))),
-                            "input_ids": blocks})
+        tail, emitted = state.get if state.exists else ([], 0)
+        rows = pd.concat(list(pdfs)).dropna(subset=["input_ids"]).sort_values(order_col, kind="stable")
+        flat = np.concatenate([np.asarray(ids, "int32") for ids in (tail, *rows["input_ids"])])
+        full = len(flat) // block_size * block_size
+        blocks = flat[:full].reshape(-1, block_size)
+        state.update((flat[full:].tolist(), int(emitted) + len(blocks)))
+        yield pd.DataFrame({"shard": np.full(len(blocks), key[0], "int64"),
+                            "seq": np.arange(emitted, emitted + len(blocks), dtype="int64"),
+                            "input_ids": list(blocks)})
     return fn
 
 
+def shard_of(key, shards: int):
+    """Shard number of a key: the first 32 bits of its md5, modulo ``shards``."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(shards).cast("long"))
+
+
 def pack_with_carry(encoded_stream: DataFrame, block_size: int, order_col: str,
                     shard_col: str = "shard") -> DataFrame:
     """Per shard, the unfinished tail is kept in state and prefixed to the next
     micro-batch, so no tokens are lost at micro-batch borders.  Each group holds
-    one shard's rows of one micro-batch (bounded by the trigger size)."""
+    one shard's rows of one micro-batch: choose the number of shards (``shard_of``)
+    so that the trigger's rows over the shards fit a task; it is fixed for a
+    stream's life, as the state is kept by shard."""
     ship_package(encoded_stream.sparkSession)
     return (encoded_stream.select(shard_col, order_col, "input_ids")
             .groupBy(shard_col)

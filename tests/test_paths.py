@@ -135,3 +135,22 @@ def test_queries_run_from_another_directory(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
                          timeout=600)
     assert "ROWS 200" in out.stdout, out.stderr[-2000:]
+
+
+def test_corpus_index_holds_no_text_and_blocks_prune(spark):
+    from tessera.plans.corpus import CorpusPlan
+    cp = CorpusPlan(spark, "/root/testdata/sf0.001")
+    plan = _plan(cp.packed_ids)
+    moved = [line for line in plan.splitlines() if "Exchange" in line or "ExistingRDD" in line]
+    assert moved and not any("text" in line for line in moved)
+    blocks = _plan(cp.blocks("validation").select("input_ids"))
+    assert "PartitionFilters: [isnotnull(split" in blocks and "ReadSchema: struct<input_ids:array<int>>" in blocks
+
+
+def test_pack_whole_equals_one_batch(spark):
+    lists = [[], [1, 2, 3], None, [4], [5, 6, 7, 8, 9], [10]]
+    df = spark.createDataFrame(list(enumerate(lists)), "k long, input_ids array<int>").repartition(3)
+    for bs, want in ((4, [[1, 2, 3, 4], [5, 6, 7, 8]]), (64, [list(range(1, 11))])):
+        got = [r.input_ids for r in B.pack_whole(df, bs, "k").orderBy("block_no").collect()]
+        assert got == want
+    assert B.pack_whole(df.limit(0), 4, "k").count() == 0
