@@ -42,7 +42,10 @@ class Merges:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {p: i for i, p in reversed(list(enumerate(pairs)))}
         self.symbols: dict[int, list[str]] = {}
-        made = {a + b for a, b in pairs}
+        self.halves: dict[str, tuple[str, str]] = {}  # of a token: the two that its last merge joins
+        made = {a + b: i for i, (a, b) in enumerate(pairs)}
+        # every part is made by an earlier merge, so a merge of rank r happens when the ranks below r are done
+        self.ordered = all(made.get(a, -1) < i and made.get(b, -1) < i for i, (a, b) in enumerate(pairs))
         self.middle: dict[str, int] = {}
         self.final: dict[str, int] = {}
         for token, i in vocab.items():
@@ -51,27 +54,30 @@ class Merges:
             symbols = list(body)
             if ends:
                 symbols[-1] += suffix
-            if (len(symbols) > 1 and token not in made) or self.merge(symbols) != [token]:
-                continue  # no encoding holds it
+            if len(symbols) > 1:
+                halves = tuple(self.merge(symbols, 2)) if token in made else ()
+                if halves not in self.rank:
+                    continue  # no encoding holds it
+                self.halves[token] = halves
             self.symbols[i] = symbols
             (self.final if ends else self.middle)[body] = i
         if not suffix:
             self.final = self.middle
         self.lookahead = max((len(s) for s in self.symbols.values()), default=1)
-        # the longest token that ends with these two symbols, so shorter searches suffice
+        # the longest token that ends with these three symbols, so shorter searches suffice
         self.longest_middle: dict[str, int] = {}
         self.longest_final: dict[str, int] = {}
         for tokens, longest in ((self.middle, self.longest_middle), (self.final, self.longest_final)):
             for body in tokens:
-                longest[body[-2:]] = max(len(body), longest.get(body[-2:], 1))
+                longest[body[-3:]] = max(len(body), longest.get(body[-3:], 2))
         self._pairs: dict[int, bool] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """The rule itself: again and again join the pair of least rank, the leftmost first."""
+    def merge(self, symbols: list[str], until: int = 1) -> list[str]:
+        """The rule itself: again and again join the pair of least rank, the leftmost first, until so few are left."""
         s, rank = list(symbols), self.rank.get
         none = len(self.rank)
         ranks = [rank(p, none) for p in zip(s, s[1:])]
-        while ranks and (least := min(ranks)) < none:
+        while len(s) > until and (least := min(ranks)) < none:
             i = ranks.index(least)
             s[i:i + 2] = [s[i] + s[i + 1]]
             del ranks[i]
@@ -86,13 +92,35 @@ class Merges:
         key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
-            a, b = self.symbols[left], self.symbols[right]
-            known = self.merge(a + b) == ["".join(a), "".join(b)]
+            a, b = "".join(self.symbols[left]), "".join(self.symbols[right])
+            known = self._apart(a, b) if self.ordered else self.merge(self.symbols[left] + self.symbols[right]) == [a, b]
             if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether no merge joins ``a`` and ``b`` across their border, for an ordered list.
+
+        The pieces that meet at the border grow from the last symbol of ``a``
+        and the first of ``b``.  Taken backwards: the piece that was made last is
+        halved, and a pair that meets must not have been due before that.
+        """
+        rank, halves, never = self.rank, self.halves, len(self.rank)
+        due_a = due_b = never  # ranks of the merges that take the two pieces away from the border
+        while True:
+            meet = rank.get((a, b), never)
+            if meet < due_a and meet <= due_b and meet < never:
+                return False
+            part_a, part_b = halves.get(a), halves.get(b)
+            made_a, made_b = rank[part_a] if part_a else -1, rank[part_b] if part_b else -1
+            if part_b and made_b >= made_a:  # of equal ranks the left one was made first
+                b, due_b = part_b[0], made_b
+            elif part_a:
+                a, due_a = part_a[1], made_a
+            else:
+                return True
+
 
 def transduce(merges: Merges, symbols: str) -> Iterator[list[int]]:
     """Token ids of one pre-token, in runs that are emitted once stable; the last symbol ends the word."""
@@ -101,7 +129,7 @@ def transduce(merges: Merges, symbols: str) -> Iterator[list[int]]:
     last, start, base, n = [-1], [0], 0, len(symbols)  # of window position p: the last token, and where it starts
     for i in range(1, n + 1):
         w, find = i - base, (final if i == n else middle).get
-        near = (longest_final if i == n else longest_middle).get(symbols[i - 2:i], 1) if i > 1 else 1
+        near = (longest_final if i == n else longest_middle).get(symbols[i - 3:i], 2) if i > 2 else i
         for j in range(max(0, w - near), w):
             token = find(symbols[base + j:i])
             if token is not None and (last[j] < 0 or fits(last[j], token)):
@@ -132,6 +160,22 @@ def _path(last: list[int], start: list[int], at: int) -> list[int]:
     return out[::-1]
 
 
+class _Words(dict):
+    """Pre-token -> its ids as little-endian uint32 bytes, by the transducer; short ones are kept, emptied when full."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array([t for run in transduce(self.merges, to_symbols(word)) for t in run], "<u4").tobytes()
+        if len(word) <= 64:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Tokenizer:
     """Encodes as the tokenizers library does with a file of this shape: special tokens, NFC, one space, lower case, word pattern, bytes, BPE."""
 
@@ -147,7 +191,7 @@ class Tokenizer:
         for token, i in (model["vocab"] | self.special).items():
             self.pieces[i] = token
         self.decoder = (spec["decoder"] or {}).get("type")
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.merges)
         steps = (spec["normalizer"] or {}).get("normalizers", [])
         pattern = next((p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or pattern is None:
@@ -164,23 +208,14 @@ class Tokenizer:
             return self.any_words.findall(text)
         return PLAIN_WORDS.findall(text.lower())
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = np.array([t for run in transduce(self.merges, to_symbols(word)) for t in run], "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.words) >= MEMO_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         out, at = [], 0
-        for m in self.special_re.finditer(text):
-            out += map(self.word, self.split(text[at:m.start()]))
-            out.append(np.array([self.special[m[0]]], "<u4").tobytes())
-            at = m.end()
-        out += map(self.word, self.split(text[at:] if at else text))
+        if any(map(text.__contains__, self.special)):
+            for m in self.special_re.finditer(text):
+                out += map(self.words.__getitem__, self.split(text[at:m.start()]))
+                out.append(np.array([self.special[m[0]]], "<u4").tobytes())
+                at = m.end()
+        out += map(self.words.__getitem__, self.split(text[at:] if at else text))
         return np.frombuffer(b"".join(out), "<u4")
 
 

@@ -211,3 +211,36 @@ def test_edited_digest(spark, tmp_path):
     got = {r["doc_id"]: r for r in imatch.op5_imatch(spark, str(tmp_path)).collect()}
     want = {0: "abc", 1: "xya", 2: ""}  # the next of 0 is the first, 2, which is null
     assert {i: r["edited_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_pair_test_by_ranks_equals_the_merge_rule():
+    """Whether two tokens stay apart, read from merge ranks, against the rule itself on small ordered lists."""
+    import random
+
+    from tessera.llm.transducer import Merges, transduce
+    for seed in range(400):
+        rng = random.Random(seed)
+        tokens, merges = ["a", "b"], []
+        for _ in range(rng.randint(1, 9)):
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            if "".join(pair) not in tokens:
+                merges.append(pair)
+                tokens.append("".join(pair))
+        m = Merges({t: i for i, t in enumerate(tokens)}, merges)
+        assert m.ordered
+        for left in m.symbols:
+            for right in m.symbols:
+                a, b = "".join(m.symbols[left]), "".join(m.symbols[right])
+                assert m._apart(a, b) == (m.merge(m.symbols[left] + m.symbols[right]) == [a, b]), (merges, a, b)
+        word = "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
+        assert [tokens[t] for run in transduce(m, word) for t in run] == m.merge(list(word))
+
+
+def test_unordered_merge_lists_use_the_rule():
+    from tessera.llm.transducer import Merges, transduce
+    merges = [("ab", "c"), ("a", "b"), ("c", "a")]
+    tokens = ["a", "b", "c", "abc", "ab", "ca"]
+    m = Merges({t: i for i, t in enumerate(tokens)}, merges)
+    assert not m.ordered
+    for word in ("abc", "abca", "cabc", "abcabcab", "ccaab"):
+        assert [tokens[t] for run in transduce(m, word) for t in run] == m.merge(list(word))
