@@ -469,17 +469,14 @@ def token_class_ce(spark, sf):
 
 @register("bce_loss", """
 SELECT round(avg(greatest(x, 0.0) - x * y + ln(1 + exp(-abs(x)))), 6) AS bce FROM (
-  SELECT CAST(e.embedding[1] AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y
-  FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id
+  SELECT CAST(l_discount AS DOUBLE) AS x, CAST(l_returnflag = 'R' AS DOUBLE) AS y FROM lineitem
   UNION ALL
-  SELECT CAST(e.embedding[2] AS DOUBLE), CAST(l.toxic AS DOUBLE)
-  FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id)""")
+  SELECT CAST(l_tax AS DOUBLE), CAST(l_linestatus = 'O' AS DOUBLE) FROM lineitem)""")
 def bce_loss(spark, sf):
-    emb = read_table(spark, sf, "embeddings")
-    lab = read_table(spark, sf, "labels")
-    j = emb.join(lab, emb.vec_id == lab.doc_id)
-    df = j.select(F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("logits"),
-                  F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("labels"))
+    line = read_table(spark, sf, "lineitem")
+    df = line.select(F.array(F.col("l_discount").cast("double"), F.col("l_tax").cast("double")).alias("logits"),
+                     F.array((F.col("l_returnflag") == "R").cast("double"),
+                             (F.col("l_linestatus") == "O").cast("double")).alias("labels"))
     return E.bce(df).select(r6("bce").alias("bce"))
 
 
@@ -857,6 +854,30 @@ def read_packed_q(spark, sf):
     return _pack_out(read_packed(spark, root, "documents", SPEC.block_size, "validation"))
 
 
+def _no_build() -> DataFrame:
+    raise AssertionError("a published dataset is read, not built again")
+
+
+@register("build_or_read", O.with_corpus(PACK_OUT))
+def build_or_read_q(spark, sf):
+    """Build, replace on ``overwrite``, then reuse: what is returned was read, not built."""
+    from tessera.sources.packed import build_or_read
+    cp, root = CorpusPlan(spark, sf), scratch_path(spark, "published")
+    args = (spark, root, "documents", SPEC.block_size)
+    build_or_read(*args, lambda: cp.packed.filter(F.col("split") == "validation"))
+    build_or_read(*args, lambda: cp.packed, overwrite=True)
+    return _pack_out(build_or_read(*args, _no_build))
+
+
+@register("require_split", O.with_corpus(PACK_OUT + " WHERE split = 'train'"))
+def require_split_q(spark, sf):
+    """The split's blocks, after the test that there are any."""
+    from tessera.sources.packed import read_packed, require_split
+    cp = CorpusPlan(spark, sf)
+    published = read_packed(spark, cp.published, cp.spec.table, SPEC.block_size)
+    return _pack_out(require_split(published, "train").filter(F.col("split") == "train"))
+
+
 @register("metrics_sink", EVAL_SQL)
 def metrics_sink(spark, sf):
     from tessera.sources.packed import write_metrics
