@@ -18,9 +18,9 @@ from tessera.constants import MASK_TOKEN
 from tessera.functions.text import pretokenize
 from tessera.operators import blocks as B
 from tessera.operators import model as N
-from tessera.operators.rowindex import split_percent, with_row_index
+from tessera.operators.rowindex import range_partitions, split_percent, with_row_index
 from tessera.operators.tokens import add_specials, build_vocab, encode, ones_like
-from tessera.session import ensure_checkpoint_dir, scratch_path
+from tessera.session import ensure_checkpoint_dir, scratch_path, shuffle_partitions
 from tessera.sources.corpus import read_table, select_text
 from tessera.sources.packed import read_packed, write_packed
 
@@ -51,7 +51,11 @@ class CorpusPlan:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return select_text(self.table(self.spec.table), keep=[self.spec.order_col])
+        """Key and text.  A table of less than a scan split a task is dealt over the tasks first (the scan of a
+        small file is one task); a larger one is tokenized where it is read, without a shuffle of text."""
+        docs = select_text(self.table(self.spec.table), keep=[self.spec.order_col])
+        tasks = shuffle_partitions(self.spark)
+        return docs.repartition(tasks, self.spec.order_col) if range_partitions(docs) <= tasks else docs
 
     @cached_property
     def split(self) -> DataFrame:
