@@ -1,11 +1,14 @@
 """BPE merge learning over a word-count table (T2b) and encoding with it.
 
-Each round is one distributed job: adjacent symbol pairs of every distinct word
-are weighted by the word's count and summed by pair (partial aggregation
-map-side).  Only the best few pairs (count desc, then left, right asc) reach the
-driver; of them those are merged in one pass that one-by-one learning would
-merge next, in that order (``next_merges``).  The word table's lineage is cut
-with ``checkpoint()`` every ``checkpoint_every`` rounds.
+Words are distributed as lists of symbol ids.  A round sums adjacent pairs by
+the words' counts (partial sums in the tasks), takes the most frequent pairs,
+and cuts every word to its runs, the parts whose neighbours are such pairs.
+Equal runs of all words are one row with the sum of their counts; at most
+``MAX_RUNS`` of them reach the driver, which merges pair after pair (count
+desc, then left, right asc) and recounts only the runs that hold the pair, as
+long as no pair left out could come next (``merge_runs``).  The tasks then
+apply the round's merges to the words that hold one.  The result is that of
+one-by-one learning; a round gives from one to thousands of merges.
 """
 
 from __future__ import annotations
@@ -13,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir, ship_package
+from tessera.session import ensure_checkpoint_dir, ship_package, shuffle_partitions
+
+MAX_RUNS = 150_000    # distinct runs that the driver merges in a round
+MAX_PAIRS = 200_000   # pairs that a round looks at, at most
 
 
 def word_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -23,37 +29,6 @@ def word_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return words.select("word", F.filter(F.split("word", ""), lambda c: c != "").alias("symbols"), "n")
 
 
-def _pairs(words: DataFrame) -> DataFrame:
-    s = F.col("symbols")
-    idx = F.sequence(F.lit(1), F.size(s) - 1)
-    pairs = F.when(F.size(s) > 1, F.transform(idx, lambda i: F.struct(
-        F.element_at(s, i).alias("left"), F.element_at(s, i + 1).alias("right")))) \
-        .otherwise(F.array().cast("array<struct<left:string,right:string>>"))
-    return (words.select(F.explode(pairs).alias("p"), "n")
-            .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
-            .agg(F.sum("n").alias("count")))
-
-
-def merge_pairs(symbols, pairs):
-    """Merge every non-overlapping occurrence of the ``pairs``, scanning left to right.
-
-    Pairs that share no symbol cannot overlap, so one scan equals one after the other."""
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("merged"))
-
-    def step(acc, x):
-        out = acc["out"]
-        n = F.size(out)
-        last = F.element_at(out, F.greatest(n, F.lit(1)))
-        known = F.lit(False)
-        for left, right in pairs:
-            known = known | ((last == F.lit(left)) & (x == F.lit(right)))
-        hit = (~acc["merged"]) & (n > 0) & known
-        merged_out = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(last, x)))
-        return F.struct(F.when(hit, merged_out).otherwise(F.concat(out, F.array(x))).alias("out"),
-                        hit.alias("merged"))
-    return F.aggregate(symbols, init, step, lambda acc: acc["out"])
-
-
 def next_merges(top, most: int, more: bool, made: set) -> list:
     """The first pairs of ``top`` (ranked rows) that one-by-one learning merges next, in that order.
 
@@ -77,44 +52,277 @@ def next_merges(top, most: int, more: bool, made: set) -> list:
     return taken
 
 
-def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_round: int = 16) -> DataFrame:
-    """Learn up to ``n_merges`` merges.  Returns (rank, left, right, count).
+def _rows(batch):
+    """(symbol ids of all words one after the other, offsets of the words, counts) of an Arrow batch ``syms, n``."""
+    import numpy as np
+    import pyarrow.compute as pc
+    lists = batch.column(0)
+    lens = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    flat = np.asarray(pc.list_flatten(lists), dtype=np.int64)
+    return flat, np.concatenate([[0], np.cumsum(lens)]), np.asarray(batch.column(1), dtype=np.int64)
+
+
+def _codes(flat, offs):
+    """The code of each symbol and its right neighbour in the word (-1: the last of a word)."""
+    import numpy as np
+    codes = np.full(len(flat), -1, np.int64)
+    codes[:-1] = (flat[:-1] << 32) | flat[1:]
+    codes[offs[1:] - 1] = -1
+    return codes
+
+
+def _runs(codes, pairs):
+    """Starts and ends of the runs of two symbols and more whose neighbours are ``pairs`` (sorted codes)."""
+    import numpy as np
+    at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
+    linked = np.concatenate([[False], pairs[at] == codes]).astype(np.int8)
+    step = np.diff(np.append(linked, 0))  # linked[i + 1]: symbol i goes on to the next
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1) + 1
+
+
+def _count_fn(batches):
+    """(code, count) of adjacent pairs, summed over the task."""
+    import numpy as np
+    import pyarrow as pa
+
+    def summed(parts):
+        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        total = np.zeros(len(codes), np.int64)
+        np.add.at(total, at, np.concatenate([n for _, n in parts]))
+        return codes, total
+    held = []
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        flat, offs, n = _rows(rb)
+        codes = _codes(flat, offs)
+        there = codes >= 0
+        held.append(summed([(codes[there], np.repeat(n, np.diff(offs))[there])]))
+        if sum(len(c) for c, _ in held) > 1 << 20:
+            held = [summed(held)]
+            if len(held[0][0]) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["code", "count"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], names=["code", "count"])
+
+
+def _runs_fn(pairs_bc):
+    """(run, n): the words' runs as int32 bytes, summed by batch."""
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            flat, offs, n = _rows(rb)
+            starts, ends = _runs(_codes(flat, offs), pairs_bc.value)
+            weight = np.repeat(n, np.diff(offs))[starts].tolist()
+            buf, held = flat.astype(np.int32).tobytes(), {}
+            for a, b, w in zip((4 * starts).tolist(), (4 * ends).tolist(), weight):
+                run = buf[a:b]
+                held[run] = held.get(run, 0) + w
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
+                                             names=["run", "n"])
+    return fn
+
+
+def _merge(syms: list, a, b, c) -> list:
+    """Every non-overlapping ``a b``, scanning left to right, becomes ``c``."""
+    out, k, last = [], 0, len(syms) - 1
+    while k <= last:
+        if k < last and syms[k] == a and syms[k + 1] == b:
+            out.append(c)
+            k += 2
+        else:
+            out.append(syms[k])
+            k += 1
+    return out
+
+
+def _replay(syms: list, ranks: dict) -> list:
+    """Apply a round's merges one after the other; ``ranks``: pair -> ascending (rank, merged symbol)."""
+    done = -1
+    while len(syms) > 1:
+        best = None
+        for pair in zip(syms, syms[1:]):
+            for r, c in ranks.get(pair, ()):
+                if r > done and (best is None or r < best[0]):
+                    best = (r, *pair, c)
+        if best is None:
+            break
+        done = best[0]
+        syms = _merge(syms, *best[1:])
+    return syms
+
 
-    The word table is checkpointed once, each round's merged table is
-    persisted (filled by the next round's pair-count job, so a round is one
-    job) and checkpointed every ``checkpoint_every`` rounds to cut lineage.
+def _apply_fn(bc):
+    """The words after a round's merges; a word of one symbol has no pair to give and goes."""
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+        pairs, ranks = bc.value
+        memo = {}
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            flat, offs, n = _rows(rb)
+            starts, ends = _runs(_codes(flat, offs), pairs)
+            buf, stay = flat.astype(np.int32).tobytes(), np.ones(len(flat), bool)
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                run = buf[4 * a:4 * b]
+                if run not in memo:
+                    old = flat[a:b].tolist()
+                    new = _replay(old, ranks)
+                    memo[run] = np.array(new, np.int64) if len(new) < len(old) else None
+                new = memo[run]
+                if new is not None:
+                    flat[a:a + len(new)] = new
+                    stay[a + len(new):b] = False
+            lens = np.diff(np.concatenate([[0], np.cumsum(stay)])[offs])
+            more = lens > 1
+            flat = flat[stay & np.repeat(more, np.diff(offs))]
+            offs = np.concatenate([[0], np.cumsum(lens[more])])
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(n[more])], names=["syms", "n"])
+    return fn
+
+
+def merge_runs(runs: list, names: list, ids: dict, most: int, floor: int, hidden: bool) -> list:
+    """Merge ``runs`` [(symbol ids, n)] pair after pair, up to ``most`` times: [(left, right, merged, count)].
+
+    Pairs left out of the runs have a count of at most ``floor``, and so has any
+    pair that a merge makes beside one of them, so the merges go on while the
+    best count is above it.  This needs new symbols: where pairs are ``hidden``,
+    a merge into a symbol known before is the last.  Appends new symbols to ``names`` and ``ids``."""
+    import heapq
+    counts, where = {}, {}
+    for i, (syms, n) in enumerate(runs):
+        for pair in zip(syms, syms[1:]):
+            counts[pair] = counts.get(pair, 0) + n
+            where.setdefault(pair, set()).add(i)
+    entry = lambda pair: (-counts[pair], names[pair[0]], names[pair[1]], pair)
+    heap = [entry(p) for p, n in counts.items() if n > floor]
+    heapq.heapify(heap)
+    out = []
+    while heap and len(out) < most:
+        top = heapq.heappop(heap)
+        pair = top[3]
+        if counts.get(pair, 0) != -top[0]:
+            continue
+        name = names[pair[0]] + names[pair[1]]
+        known = name in ids
+        if not known:
+            ids[name] = len(names)
+            names.append(name)
+        out.append((*pair, ids[name], -top[0]))
+        changed = {}
+        for i in where.pop(pair):
+            old, n = runs[i]
+            new = _merge(old, *out[-1][:3])
+            if len(new) == len(old):
+                continue
+            for p in zip(old, old[1:]):
+                changed[p] = changed.get(p, 0) - n
+            for p in zip(new, new[1:]):
+                changed[p] = changed.get(p, 0) + n
+                if p != pair:
+                    where.setdefault(p, set()).add(i)
+            runs[i] = (new, n)
+        for p, by in changed.items():
+            if by:
+                counts[p] = counts.get(p, 0) + by
+                if counts[p] > floor:
+                    heapq.heappush(heap, entry(p))
+        if known and hidden:
+            break
+    return out
+
+
+def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_round: int = 4096) -> DataFrame:
+    """Learn up to ``n_merges`` merges (fewer: no pair is left).  Returns (rank, left, right, count).
+
+    ``per_round``: pairs that the first round looks at; later rounds take
+    more or fewer, as many as give at most ``MAX_RUNS`` distinct runs.  The alphabet, the
+    merges and ``MAX_PAIRS`` pairs with their runs are all that the driver holds.  Each
+    round's word table is persisted, and checkpointed every ``checkpoint_every`` rounds to cut lineage.
     """
+    import numpy as np
     from pyspark import StorageLevel
     spark = words.sparkSession
     ensure_checkpoint_dir(spark)
-    merges, made = [], set()
-    cur = words.select("symbols", "n").checkpoint(eager=True)
-    prev, r = None, 0
+    ship_package(spark)
+    share = spark.sparkContext.broadcast
+    words = words.select("symbols", "n").repartition(shuffle_partitions(spark)).checkpoint(eager=True)
+    names = sorted(r[0] for r in words.select(F.explode("symbols")).distinct().collect())
+    ids = {c: i for i, c in enumerate(names)}
+    cur = words.filter(F.size("symbols") > 1).mapInArrow(_ids_fn(share(dict(ids))), _SYMS)
+    merges, old, size, r = [], None, max(1, per_round), 0
     while len(merges) < n_merges:
-        top = _pairs(cur).orderBy(F.desc("count"), "left", "right").limit(per_round + 1).collect()
-        if prev is not None:
-            prev.unpersist()
-        if not top:
+        cur = cur.checkpoint(eager=True) if r and r % checkpoint_every == 0 else cur.persist(StorageLevel.MEMORY_AND_DISK)
+        total = cur.mapInArrow(_count_fn, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
+        total = total.persist(StorageLevel.MEMORY_AND_DISK)
+        while True:
+            top = total.orderBy(F.desc("count")).limit(size + 1).toPandas()
+            hidden = len(top) > size
+            floor = int(top["count"].iloc[-1]) if hidden else 0
+            if hidden and floor == top["count"].iloc[0]:  # the most frequent pairs are more than were looked at
+                top, floor = total.filter(F.col("count") >= floor).toPandas(), floor - 1
+                hidden = True
+            top = top[top["count"] > floor]
+            if not len(top):
+                break
+            pairs = np.sort(top["code"].to_numpy())
+            runs = (cur.mapInArrow(_runs_fn(share(pairs)), "run binary, n long").groupBy("run")
+                    .agg(F.sum("n").alias("n")).limit(MAX_RUNS + 1).toArrow())
+            if runs.num_rows <= MAX_RUNS or size == 1:
+                break
+            size = max(1, size // 2)
+        if old is not None:
+            old.unpersist()
+        total.unpersist()
+        if not len(top):
             break
-        now = next_merges(top, min(per_round, n_merges - len(merges)), len(top) > per_round, made)
-        merges += [(len(merges) + i, p["left"], p["right"], int(p["count"])) for i, p in enumerate(now)]
-        made |= {p["left"] + p["right"] for p in now}
-        prev = cur
-        cur = cur.select(merge_pairs(F.col("symbols"), [(p["left"], p["right"]) for p in now]).alias("symbols"), "n")
-        r += 1
-        if r % checkpoint_every == 0:
-            cur = cur.checkpoint(eager=True)
-        else:
-            cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-    if prev is not None:
-        prev.unpersist()
+        left = n_merges - len(merges)
+        if runs.num_rows <= MAX_RUNS:
+            rows = [(np.frombuffer(s, np.int32).tolist(), n) for s, n in zip(runs.column(0).to_pylist(), runs.column(1).to_pylist())]
+            now = merge_runs(rows, names, ids, left, floor, hidden)
+        else:  # a tie so wide that its runs are too many: the merges known from the ranking alone
+            ranked = sorted(({"left": names[c >> 32], "right": names[c & 0xFFFFFFFF], "count": int(n)}
+                             for c, n in zip(top["code"].tolist(), top["count"])), key=lambda p: (-p["count"], p["left"], p["right"]))
+            now = []
+            for p in next_merges(ranked, left, True, set(ids)):
+                name = p["left"] + p["right"]
+                if name not in ids:
+                    ids[name] = len(names)
+                    names.append(name)
+                now.append((ids[p["left"]], ids[p["right"]], ids[name], p["count"]))
+        if runs.num_rows * 2 <= MAX_RUNS:
+            size = min(MAX_PAIRS, size * 2)
+        ranks: dict = {}
+        for k, (a, b, c, n) in enumerate(now):
+            merges.append((len(merges), names[a], names[b], int(n)))
+            ranks.setdefault((a, b), []).append((k, c))
+        old, r = cur, r + 1
+        cur = cur.mapInArrow(_apply_fn(share((pairs, ranks))), _SYMS)
     return spark.createDataFrame(merges, "rank int, left string, right string, count long")
 
 
-def merges_for(words: DataFrame, vocab_size: int, n_specials: int = 3) -> int:
-    """Merges that fill a sub-word vocabulary of ``vocab_size`` beside the characters and the specials."""
-    chars = words.select(F.explode("symbols").alias("c")).agg(F.count_distinct("c")).first()[0]
-    return max(0, vocab_size - chars - n_specials)
+_SYMS = "syms array<int>, n long"
+
+
+def _ids_fn(ids_bc):
+    def fn(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        alphabet = pa.array(list(ids_bc.value), pa.string())  # in the order of the ids
+        for rb in batches:
+            lists = rb.column(0)
+            flat = pc.index_in(pc.cast(pc.list_flatten(lists), pa.string()), alphabet)
+            lens = pc.fill_null(pc.list_value_length(lists), 0)
+            offs = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(pc.cast(lens, pa.int64()))])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offs.cast(pa.int32()), flat), rb.column(1)],
+                                             names=["syms", "n"])
+    return fn
 
 
 def read_merges(spark, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ class CorpusSpec:
     order_col: str = "doc_id"
     validation_percent: int = 5
     vocab_size: int = 8192
-    bpe_vocab_size: int = 128
+    bpe_merges: int = 50_000
     block_size: int = 128
     model_max_length: int = 1024
     batch_rows: int = 100

@@ -962,12 +962,12 @@ def stream_pack_carry(spark, sf):
 # ---------------------------------------------------------------- BPE merges (T2b), user scorer
 
 def _bpe_merges(cp: CorpusPlan) -> tuple[DataFrame, DataFrame]:
-    """The train split's word counts, and the merges that fill a vocabulary of ``bpe_vocab_size``."""
-    from tessera.operators.bpe import learn_bpe as lb, merges_for, word_counts
+    """The train split's word counts, and up to ``bpe_merges`` merges, whatever its alphabet."""
+    from tessera.operators.bpe import learn_bpe as lb, word_counts
     from tessera.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(cp.spark)
     words = word_counts(cp.train_tokens).checkpoint()  # read by several jobs
-    return words, lb(words, merges_for(words, cp.spec.bpe_vocab_size))
+    return words, lb(words, cp.spec.bpe_merges)
 
 
 @register("learn_bpe")

@@ -294,6 +294,27 @@ def test_merges_in_batches_equal_one_by_one(spark):
     assert one == many and len(one) == 25
 
 
+def test_merges_do_not_depend_on_the_alphabet(spark, monkeypatch):
+    """Over 125 distinct characters, ties, repeats of a symbol, and fewer runs than the words have."""
+    import random
+    from tessera.operators import bpe
+    from tessera.plans.corpus import SPEC
+    assert SPEC.bpe_merges >= 8192
+    rnd = random.Random(7)
+    chars = [chr(0x4E00 + i) for i in range(150)] + ["\U0001f600", "a", "b"] * 40
+    words = ["".join(rnd.choices(chars, k=rnd.randint(1, 8))) for _ in range(200)] + ["aaaaaa", "abab", "bbb", ""]
+    docs = rnd.choices(words, k=1500)
+    counts = {w: docs.count(w) for w in set(docs)}
+    want = _bpe_brute(counts, 300)
+    assert len(want) == 300
+    df = bpe.word_counts(spark.createDataFrame([(docs,)], "tokens array<string>"))
+    for most_runs, per_round in ((150_000, 4096), (40, 64), (1, 3)):
+        monkeypatch.setattr(bpe, "MAX_RUNS", most_runs)
+        n = 300 if most_runs > 1 else 12
+        got = [(r.left, r.right, r["count"]) for r in bpe.learn_bpe(df, n, per_round=per_round).orderBy("rank").collect()]
+        assert got == want[:n]
+
+
 def test_next_merges_rules():
     from tessera.operators.bpe import next_merges
     rows = lambda *p: [{"left": a, "right": b, "count": n} for a, b, n in p]
