@@ -50,7 +50,7 @@ CONFIG_SCHEMA = T.StructType([
 
 
 def read_configs(spark, path: str, schema: T.StructType = CONFIG_SCHEMA) -> DataFrame:
-    """Multi-line JSON run configs with a fixed schema; unknown keys are ignored.
+    """Multi-line JSON run configs with a fixed schema; keys outside it are in ``all_keys``.
 
     Each file is read once as whole text and parsed with ``from_json``;
     ``unknown_keys`` lists the top-level keys the schema does not declare.
@@ -59,33 +59,51 @@ def read_configs(spark, path: str, schema: T.StructType = CONFIG_SCHEMA) -> Data
     return parse_configs(raw, "value", schema, keep=["config_file"])
 
 
+_TEXT_MAP = T.MapType(T.StringType(), T.StringType())
+
+
 def parse_configs(df: DataFrame, json_col: str, schema: T.StructType, keep=()) -> DataFrame:
     """JSON text column → typed fields of ``schema`` plus ``unknown_keys``
-    (top-level keys the schema does not declare, sorted); unknown keys are
-    otherwise ignored, as the reference's argument parser does."""
+    (top-level keys the schema does not declare, sorted) and ``all_keys``
+    (MAP of every top-level key to its value as text)."""
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     parsed = df.select(*keep, F.from_json(json_col, schema).alias("__c"),
                        F.array_sort(F.filter(F.json_object_keys(json_col),
-                                             lambda k: ~F.array_contains(known, k))).alias("unknown_keys"))
-    return parsed.select(*keep, "__c.*", "unknown_keys")
+                                             lambda k: ~F.array_contains(known, k))).alias("unknown_keys"),
+                       F.from_json(json_col, _TEXT_MAP).alias("all_keys"))
+    return parsed.select(*keep, "__c.*", "unknown_keys", "all_keys")
 
 
 def config_long(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:
-    """Unpivot configs to (run, key, value-as-string)."""
-    cols = [c for c in cfgs.columns if c not in (run_col, "config_file", "unknown_keys", "_corrupt_record")]
-    pairs = F.array(*[F.struct(F.lit(c).alias("key"),
-                               (F.to_json(F.col(c)) if isinstance(cfgs.schema[c].dataType, T.StructType)
-                                else F.col(c).cast("string")).alias("value")) for c in cols])
+    """Unpivot configs to (run, key, value-as-string): the declared keys by their typed
+    value, every other top-level key of ``all_keys`` by its text.  An object's keys are sorted."""
+    cols = [c for c in cfgs.columns if c not in (run_col, "config_file", "unknown_keys", "all_keys", "_corrupt_record")]
+    more = "all_keys" in cfgs.columns
+    text = lambda c: F.col("all_keys").getItem(c) if more else F.lit(None).cast("string")
+
+    def value(c):
+        if not isinstance(cfgs.schema[c].dataType, T.StructType):
+            return F.coalesce(F.col(c).cast("string"), text(c))
+        whole = F.map_from_entries(F.array_sort(F.map_entries(F.from_json(text(c), _TEXT_MAP))))
+        return F.coalesce(F.to_json(whole), F.to_json(F.col(c)))
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), value(c).alias("value")) for c in cols])
+    if more:
+        known = F.array(*[F.lit(c) for c in [*cols, run_col]])
+        rest = F.filter(F.map_entries("all_keys"), lambda e: ~F.array_contains(known, e["key"]))
+        pairs = F.concat(pairs, F.coalesce(rest, F.array().cast("array<struct<key:string,value:string>>")))
     return cfgs.select(run_col, F.explode(pairs).alias("__kv")).select(
         run_col, "__kv.key", "__kv.value")
 
 
 def config_diff(cfgs: DataFrame, baseline_run: str, run_col: str = "run_name") -> DataFrame:
-    """Keys whose value differs from the baseline run's value (null-safe)."""
+    """(key, run, value, baseline) for keys whose value differs from the baseline run's (null-safe; a key that one of the two lacks is null there)."""
     long = config_long(cfgs, run_col)
     base = long.filter(F.col(run_col) == baseline_run).select("key", F.col("value").alias("baseline"))
     other = long.filter(F.col(run_col) != baseline_run)
-    j = other.join(base, "key", "full_outer")
+    lacking = (other.select(run_col).distinct().crossJoin(base.select("key"))
+               .join(other.select(run_col, "key"), [run_col, "key"], "left_anti"))
+    other = other.unionByName(lacking.withColumn("value", F.lit(None).cast("string")))
+    j = other.join(base, "key", "left")
     return j.filter(~F.col("value").eqNullSafe(F.col("baseline")))
 
 

@@ -65,6 +65,20 @@ def test_configs_and_diff(spark, tmp_path):
     assert not any(k == "learning_rate" for k, _, _ in diff)
 
 
+def test_config_diff_takes_keys_outside_the_schema(spark, tmp_path):
+    base = {"run_name": "base", "model_type": "gpt2", "dataset": {"path": "p", "name": "n"}, "learning_rate": 1e-4, "apply_drift": False}
+    runs = [base, dict(base, run_name="drift", apply_drift=True), dict(base, run_name="more", rotatinghead="soft", dataset={"name": "n", "path": "p"}),
+            {k: v for k, v in dict(base, run_name="less").items() if k != "apply_drift"},
+            dict(base, run_name="data", dataset={"path": "p", "name": "n", "revision": "r"})]
+    for c in runs:
+        (tmp_path / f"{c['run_name']}.json").write_text(json.dumps(c))
+    cfgs = R.read_configs(spark, str(tmp_path / "*.json"))
+    diff = {(r.run_name, r.key, r.value, r.baseline) for r in R.config_diff(cfgs, "base").collect()}
+    assert {d for d in diff if d[0] != "data"} == {("drift", "apply_drift", "true", "false"), ("more", "rotatinghead", "soft", None),
+                                                   ("less", "apply_drift", None, "false")}
+    assert [d[1] for d in diff if d[0] == "data"] == ["dataset"]
+
+
 def test_parse_overrides(spark):
     df = spark.createDataFrame([("a=1,b=x",)], "s string")
     m = df.select(R.parse_overrides("s").alias("m")).collect()[0].m
