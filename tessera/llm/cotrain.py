@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-LABELLED, POOL = 6000, 4000
+LABELLED, POOL = 8000, 6000
 ROUNDS, CONFIDENT, EXCHANGE = 4, 0.95, 0.1  # EXCHANGE: at most this part of the pool from a view in a round
 BUCKETS, SOURCES, LANGS = 1024, 64, 16
-KEEP_AT = 0.3  # leans to keeping: junk scores near 0
+KEEP_AT = 0.5
 CHUNK_CHARS, CHUNK_DOCS = 500_000, 500
 STEPS, L2 = 120, 1e-4
 

@@ -184,6 +184,14 @@ def test_co_training(spark):
     assert cotrain.fit(df, labels.limit(0)).score(["a", None], ["en"] * 2, ["s"] * 2)[0].tolist() == [0.5, 0.0]
 
 
+def test_samples_and_bound_of_the_classifier(spark, monkeypatch):
+    assert (cotrain.LABELLED, cotrain.POOL) == (8000, 6000)
+    monkeypatch.setattr(cotrain, "fit", lambda *_: None)
+    monkeypatch.setattr(cotrain, "score_column", lambda *_: lambda: cotrain.F.struct(cotrain.F.col("text").cast("double").alias("q")))
+    kept = cotrain.keep_good(docs(spark, ["0.2", "0.4", "0.5", "0.9"]), None)
+    assert [r["text"] for r in kept.collect()] == ["0.5", "0.9"]  # a score from 0.3 to 0.5 is not kept
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 60)
     rnd = np.random.default_rng(1)
