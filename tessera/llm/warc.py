@@ -1,7 +1,7 @@
 """WARC archives: writer and salvage reader.
 
-The reader walks an archive record by record: plain records, or one gzip
-member a record.  A record is taken only when its checks hold (version line,
+The reader walks an archive record by record: plain records, or gzip members
+of one record or more.  A record is taken only when its checks hold (version line,
 header block, Content-Length inside the file, the end mark, the gzip CRC, and
 the block and payload digests where given).  After a failed check it searches
 for the next version line or gzip member whose record is valid, goes on from
@@ -12,7 +12,8 @@ failed start, not after its claimed length.
 Archives are written by Spark's file writer (its commit protocol leaves whole
 files of successful tasks alone) and read with ``binaryFile``, so any store
 that Spark reads will do.  The reader holds one file at a time in a task:
-``RECORDS_BYTES`` is about what the writer puts in one.
+``RECORDS_BYTES`` is about what the writer puts in one.  A gzip member is inflated whole;
+one whose CRC or end is missing is a gap, with all its records.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ RECORDS_BYTES = 32 << 20
 MAX_BROADCAST_ROWS = 1_000_000  # about 60 bytes each
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+HEADER_END = re.compile(rb"\r\n\r\n")
 FIELDS = ("kind string, path string, at long, length long, reason string, record_type string, record_id string, "
           "target_uri string, refers_to_id string, payload_digest string, payload_bytes long, payload binary")
 
@@ -59,14 +62,14 @@ def make_record(kind: str, record_id: str, uri: str, payload: bytes, digest: str
 def parse_record(data: bytes | memoryview, start: int) -> tuple[int, dict]:
     """The record at ``start``: its end and fields.  Raises ``ValueError`` with the failed check."""
     view = memoryview(data)
-    window = bytes(view[start:start + 65536])
-    if not re.match(rb"WARC/1\.[01]\r\n", window):
+    if not re.match(rb"WARC/1\.[01]\r\n", bytes(view[start:start + 10])):
         raise ValueError("no version line")
-    end = window.find(CRLF * 2)
-    if end < 0:
+    found = HEADER_END.search(view, start)
+    if not found:
         raise ValueError("no end of header")
+    window, end = bytes(view[start:found.start()]), found.start() - start
     fields: dict[str, str] = {}
-    for line in window[:end].split(CRLF)[1:]:
+    for line in window.split(CRLF)[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
@@ -96,8 +99,8 @@ def parse_record(data: bytes | memoryview, start: int) -> tuple[int, dict]:
                       "payload": None if kind == "revisit" else payload}
 
 
-def parse_member(data: bytes | memoryview, start: int) -> tuple[int, dict]:
-    """The gzip member at ``start`` that holds one record."""
+def inflate_member(data: bytes | memoryview, start: int) -> tuple[int, bytes]:
+    """The gzip member at ``start``: its end and its bytes.  Raises ``ValueError`` with the failed check."""
     inflate = zlib.decompressobj(31)
     out, at, view = [], start, memoryview(data)
     try:
@@ -108,40 +111,50 @@ def parse_member(data: bytes | memoryview, start: int) -> tuple[int, dict]:
         raise ValueError(f"gzip member: {e}") from None
     if not inflate.eof:
         raise ValueError("gzip member cut short")
-    end = min(at, len(view)) - len(inflate.unused_data)
-    plain = b"".join(out)
-    stop, record = parse_record(plain, 0)
-    if stop != len(plain):
-        raise ValueError("more than a record in the member")
-    return end, record
+    return min(at, len(view)) - len(inflate.unused_data), b"".join(out)
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """All valid records of an archive in order, and the gaps between them.
-
-    A record is ``kind='record'``; a gap is ``kind='gap'`` with the failed
-    check of its first byte in ``reason``.  ``at`` and ``length`` are bytes of
-    the file; records and gaps cover the file without overlap.  Empty file: nothing.
-    """
-    at, gap, why = 0, None, ""
+def walk(data: bytes, start: int = 0, gzipped: bool = True) -> Iterator[dict]:
+    """Records and gaps of ``data`` from ``start``; a gzip member of several records is walked by the same loop."""
+    at, gap, why = start, None, ""
     while at < len(data):
         try:
-            end, record = parse_member(data, at) if data[at:at + 3] == b"\x1f\x8b\x08" else parse_record(data, at)
+            if gzipped and data[at:at + 3] == b"\x1f\x8b\x08":
+                end, plain = inflate_member(data, at)
+                inner = walk(plain, gzipped=False)
+                head = list(islice(inner, 2))  # a gap is followed by a record or by nothing
+                if not any(r["kind"] == "record" for r in head):
+                    raise ValueError(head[0]["reason"] if head else "empty gzip member")
+                found = (r | {"at": at, "length": end - at} for r in chain(head, inner))
+            else:
+                end, record = parse_record(data, at)
+                found = [{"kind": "record", "at": at, "length": end - at, **record}]
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            found = START.search(data, at + 1)
-            at = found.start() if found else len(data)
+            near = START.search(data, at + 1)
+            at = near.start() if near else len(data)
             continue
         if gap is not None:
             yield {"kind": "gap", "at": gap, "length": at - gap, "reason": why}
             gap = None
-        yield {"kind": "record", "at": at, "length": end - at, **record}
+        yield from found
         at = end
     if gap is not None:
         yield {"kind": "gap", "at": gap, "length": len(data) - gap, "reason": why}
 
 
+def salvage(data: bytes) -> Iterator[dict]:
+    """All valid records of an archive in order, and the gaps between them.
+
+    A record is ``kind='record'``; a gap is ``kind='gap'`` with the failed
+    check of its first byte in ``reason``.  ``at`` and ``length`` are bytes of
+    the file; records and gaps cover the file without overlap, but for those inside
+    one gzip member, which all have the member's bytes.  Empty file: nothing.
+    """
+    yield from walk(data)
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of the archives under ``path`` (see ``salvage``), with their file's ``path``.
 

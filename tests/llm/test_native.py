@@ -102,3 +102,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == {"urn:page:1": ("revisit", "urn:page:2", 1, None), "urn:page:2": ("response", None, 1, b"x"),
                    "urn:page:3": ("revisit", "urn:page:5", 0, None), "urn:page:5": ("response", None, 0, b""),
                    "urn:page:None": ("revisit", "urn:page:2", 1, None), "urn:page:7": ("response", None, 2, "é".encode())}
+
+
+def test_long_urls_and_whole_file_gzip():
+    r, pay = records(), b"<p>"
+    long = warc.make_record("response", "urn:page:9", "data:," + "u" * 100_000, pay, warc.sha1_base32(pay))
+    out = list(warc.salvage(long + r[0]))
+    assert [(x["kind"], x["record_id"], len(x["target_uri"])) for x in out] == [("record", "urn:page:9", 100_006), ("record", "urn:page:0", 10)]
+    member = gzip.compress(r[0] + long + r[1][:-30] + r[2] + r[3])
+    out = list(warc.salvage(member + r[1]))
+    assert [x["record_id"] for x in out if x["kind"] == "record"] == [f"urn:page:{i}" for i in (0, 9, 2, 3, 1)]
+    (gap,) = [x for x in out if x["kind"] == "gap"]
+    assert gap["reason"] and (gap["at"], gap["length"]) == (0, len(member))
+
+
+def test_long_url_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "data:," + "u" * 100_000, b"x"), (2, "u", b"y")], "page_id long, url string, payload binary")
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    got = {(r["kind"], r["record_id"], len(r["target_uri"])) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {("record", "urn:page:1", 100_006), ("record", "urn:page:2", 1)}
