@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, cotrain, dac, imatch, jaccard, langid, mixing, transducer, warc
+from tessera.llm import ann, chat, cotrain, dac, imatch, jaccard, langid, linededup, mixing, transducer, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_ann": ann.op9_ann,
     "op10_tokens": dac.op10_tokens,
+    "op13_lines": linededup.op13_lines,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op3_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op13_lines": linededup.ORACLE,
 }
