@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, cotrain, dac, dualtree, imatch, jaccard, langid, linededup, mixing, transducer, warc
+from tessera.llm import ann, chat, collocations, cotrain, dac, dualtree, imatch, jaccard, langid, linededup, mixing, transducer, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_ann": ann.op9_ann,
     "op10_tokens": dac.op10_tokens,
+    "op11_phrases": collocations.op11_phrases,
     "op12_codes": dualtree.op12_codes,
     "op13_lines": linededup.op13_lines,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op1_warc": warc.ORACLE,
     "op3_chat": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_phrases": collocations.ORACLE,
     "op12_codes": dualtree.ORACLE,
     "op13_lines": linededup.ORACLE,
 }
