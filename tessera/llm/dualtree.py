@@ -38,7 +38,7 @@ ROUNDS = 4
 SCALE = 1024
 BLOCK = 4096
 LEAF = 64  # rows of a leaf
-ENTRY_LEAF = 8
+ENTRY_LEAF = 1
 EXACT = 1 << 53
 LIMB = 32
 
@@ -98,37 +98,48 @@ def assign(parts: Tree, book: Tree, visit) -> None:
     """Nearest entries of all rows: ``visit(node, entry)`` for part nodes assigned whole, ``visit(rows, entries)`` for rows compared one by one.
 
     Entries are numbers of ``book``'s own rows before the tree's order."""
-    pairs = np.zeros((1, 2), dtype=np.int64)  # (part node, entry node)
+    pairs = np.zeros((1, 2), dtype=np.int64)  # (part node, entry node), sorted
     while len(pairs):
+        pairs = prune(parts, pairs, book.low[pairs[:, 1]], book.high[pairs[:, 1]])
         p, e = pairs[:, 0], pairs[:, 1]
-        gap = np.maximum(np.maximum(parts.low[p] - book.high[e], book.low[e] - parts.high[p]), 0)
-        reach = np.maximum(parts.high[p] - book.low[e], book.high[e] - parts.low[p])
-        least, most = (gap * gap).sum(1), (reach * reach).sum(1)
-        nodes, group = np.unique(p, return_inverse=True)
-        starts = np.searchsorted(p, nodes)  # pairs stay sorted by part node
-        best = np.minimum.reduceat(most, starts)
-        pairs = pairs[least <= best[group]]
-        p, e = pairs[:, 0], pairs[:, 1]
-        count = book.bounds[e, 1] - book.bounds[e, 0]
-        left = np.add.reduceat(count, np.searchsorted(p, nodes))
-        single = dict(zip(nodes[left == 1].tolist(), e[np.isin(p, nodes[left == 1])].tolist()))
-        for node, entry in single.items():
+        nodes, starts = np.unique(p, return_index=True)
+        one = nodes[np.add.reduceat(book.bounds[e, 1] - book.bounds[e, 0], starts) == 1]
+        for node, entry in zip(p[np.isin(p, one)].tolist(), e[np.isin(p, one)].tolist()):
             visit(node, int(book.order[book.bounds[entry, 0]]))
-        pairs = pairs[~np.isin(p, nodes[left == 1])]
+        pairs = pairs[~np.isin(p, one)]
         if not len(pairs):
             return
         p, e = pairs[:, 0], pairs[:, 1]
         if p[0] >= parts.first_leaf and (e >= book.first_leaf).all():
-            for node in np.unique(p).tolist():
-                start, stop = parts.bounds[node]
-                cand = np.sort(np.concatenate([book.order[slice(*book.bounds[x])] for x in e[p == node]]))
-                visit(np.arange(start, stop), nearest(parts.x[start:stop], book.raw[cand], cand))
-            return
+            break
         e2 = np.where(e < book.first_leaf, 2 * e + 1, e)
         pairs = np.concatenate([np.stack([p, e2], 1), np.stack([p, e2 + 1], 1)[e < book.first_leaf]])
         if p[0] < parts.first_leaf:
             pairs = np.concatenate([np.stack([2 * pairs[:, 0] + 1, pairs[:, 1]], 1), np.stack([2 * pairs[:, 0] + 2, pairs[:, 1]], 1)])
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    # leaves against the entries of the entry leaves left
+    sizes = book.bounds[e, 1] - book.bounds[e, 0]
+    at = np.repeat(book.bounds[e, 0], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pairs = np.stack([np.repeat(p, sizes), book.order[at]], 1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = prune(parts, pairs, book.raw[pairs[:, 1]], book.raw[pairs[:, 1]])
+    nodes, starts = np.unique(pairs[:, 0], return_index=True)
+    for node, cand in zip(nodes.tolist(), np.split(pairs[:, 1], starts[1:])):
+        if len(cand) == 1:
+            visit(node, int(cand[0]))
+        else:
+            start, stop = parts.bounds[node]
+            visit(np.arange(start, stop), nearest(parts.x[start:stop], book.raw[cand], cand))
+
+
+def prune(parts: Tree, pairs: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The pairs (part node, box ``low`` to ``high``) that can hold a nearest entry; pairs are sorted by part node."""
+    p = pairs[:, 0]
+    gap = np.maximum(np.maximum(parts.low[p] - high, low - parts.high[p]), 0)
+    reach = np.maximum(parts.high[p] - low, high - parts.low[p])
+    nodes, starts, group = np.unique(p, return_index=True, return_inverse=True)
+    best = np.minimum.reduceat((reach * reach).sum(1), starts)
+    return pairs[(gap * gap).sum(1) <= best[group]]
 
 
 def nearest(x: np.ndarray, entries: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -284,7 +295,7 @@ def encode_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     kept = rows.where(vector.isNotNull() & sound).select(vector.cast("array<double>").alias("vector"), F.col(f"row.`{id_col}`").alias("id"), "row")
     size = kept.agg(F.max(F.size("vector"))).head()[0]
     digits = max(2, len(f"{entries - 1:x}"))
-    schema = kept.select("row", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")).schema
+    schema = kept.select("row", F.lit("").alias("code"), F.lit(None).cast("long").alias("error")).schema
     if size is None:
         return spark.createDataFrame([], schema), []
     width = max(parts, -(-size // parts) * parts)
