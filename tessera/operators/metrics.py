@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from tessera.constants import BLEU_EPSILON, BLEU_MAX_N, BLEU_SAMPLE_ROWS, IGNORE_INDEX
 from tessera.functions import arrays as A
+from tessera.operators import kernels as K
+from tessera.session import ship_package
 
 
 def argmax_class(df: DataFrame, logits_col: str = "logits", out_col: str = "pred") -> DataFrame:
@@ -74,29 +76,30 @@ def eval_samples(df: DataFrame, cap: int | None = None) -> DataFrame:
     return df.agg((n if cap is None else F.least(n, F.lit(cap).cast("long"))).alias("eval_samples"))
 
 
-def _pack(gram: Column, id_bits: int) -> Column:
-    """n-gram of ids in [0, 2^id_bits) → one exact long (bit shifts, no overflow)."""
-    return F.aggregate(gram, F.lit(0).cast("long"),
-                       lambda acc, x: F.shiftleft(acc, id_bits).bitwiseOR(x.cast("long")))
-
-
-def _grams(arr: Column, side: int, max_n: int, id_bits: int | None = None) -> Column:
-    """All n-grams (n = 1..max_n) of ``arr`` as structs (n, gram, hyp, ref).
-
-    With ``id_bits`` (ids known to be in [0, 2^id_bits), id_bits·max_n ≤ 64) the
-    gram is packed into a long: an exact key that hashes much faster.
-    """
-    size = F.size(arr)
-
-    def per_n(n):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        gram = (lambda i: _pack(F.slice(arr, i, n), id_bits)) if id_bits else \
-            (lambda i: F.slice(arr, i, n))
-        return F.transform(starts, lambda i: F.struct(
-            n.alias("n"), gram(i).alias("gram"),
-            F.lit(1 - side).alias("h"), F.lit(side).alias("r")))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), per_n))
+def _matches(n_keys: int, max_n: int):
+    """Rows (keys…, hyp, ref) → (keys…, matches): clipped n-gram matches for n = 1..``max_n``, row by row."""
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+        for rb in batches:
+            found, start = [], 0
+            held = np.cumsum(sum(np.diff(np.asarray(rb.column(i).offsets).astype(np.int64)) for i in (n_keys, n_keys + 1)))
+            while start < rb.num_rows:  # rows of about RUN_TOKENS ids at once
+                before = held[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(held, before + K.RUN_TOKENS, side="right")))
+                part, start = rb.slice(start, stop - start), stop
+                sides = []
+                for i in (n_keys, n_keys + 1):
+                    rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                    for first, offsets, flat in K.list_runs(part.column(i)):
+                        rows.append(K.row_of(offsets) + first)
+                        values.append(flat)
+                    sides += [np.concatenate(rows), np.concatenate(values)]
+                found.append(K.clipped_matches(*sides, part.num_rows, max_n))
+            out = np.concatenate(found) if found else np.zeros((0, max_n), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * max_n, pa.int32()), pa.array(out.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rb.columns, lists], names=[*rb.schema.names, "__m"])
+    return fn
 
 
 def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "labels",
@@ -106,41 +109,27 @@ def sentence_bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "la
 
     p_n = clipped matches / max(1, hyp n-grams); zero numerators become ε.
     No unigram match → 0.  Brevity penalty exp(1 − r/c) when c ≤ r (c = 0 → 0).
-    n-gram counts are an exact ``groupBy(row, n, gram)`` (partial aggregation
-    map-side); no row ever meets another row's n-grams.  ``id_bound`` (all ids
-    in [0, id_bound)) lets grams be packed into exact long keys.  ``pad_id`` is
-    taken out of both sides first.
+    n-grams are counted inside the row by sorting (``kernels.clipped_matches``): no row of n-grams, no shuffle.
+    ``pad_id`` is taken out of both sides first; a null side is empty.
     """
     keys = list(keys)
-    id_bits = None
-    if id_bound is not None:
-        bits = max(1, (int(id_bound) - 1).bit_length())
-        id_bits = bits if bits * max_n <= 64 else None
+    ship_package(df.sparkSession)
     real = (lambda c: F.col(c)) if pad_id is None else (lambda c: F.filter(c, lambda x: x != pad_id))
-    base = df.select(*keys, real(hyp_col).alias("__h"), real(ref_col).alias("__r"))
-    base = base.withColumn("__c", F.size("__h")).withColumn("__rl", F.size("__r"))
-    # one sentinel (n = 0) per row so rows without any n-gram still reach the group
-    gram_type = "long" if id_bits else "array<int>"
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast(gram_type).alias("gram"),
-                                F.lit(0).alias("h"), F.lit(0).alias("r")))
-    grams = base.select(*keys, "__c", "__rl", F.explode(F.concat(
-        sentinel, _grams(F.col("__h"), 0, max_n, id_bits), _grams(F.col("__r"), 1, max_n, id_bits))).alias("__g"))
-    counted = (grams.groupBy(*keys, "__c", "__rl", F.col("__g.n").alias("n"), F.col("__g.gram").alias("g"))
-               .agg(F.sum("__g.h").alias("ch"), F.sum("__g.r").alias("cr")))
-    per_row = counted.groupBy(*keys, "__c", "__rl").agg(
-        *[F.sum(F.when(F.col("n") == k, F.least("ch", "cr"))).alias(f"__m{k}")
-          for k in range(1, max_n + 1)])
+    base = df.select(*keys, real(hyp_col).cast("array<int>").alias("__h"), real(ref_col).cast("array<int>").alias("__r"))
+    schema = T.StructType([*base.schema.fields, T.StructField("__m", T.ArrayType(T.LongType()))])
+    per_row = (base.mapInArrow(_matches(len(keys), max_n), schema)
+               .withColumn("__c", F.greatest(F.coalesce(F.size("__h"), F.lit(0)), F.lit(0)))
+               .withColumn("__rl", F.greatest(F.coalesce(F.size("__r"), F.lit(0)), F.lit(0))))
     logp = None
     for k in range(1, max_n + 1):
-        m = F.coalesce(F.col(f"__m{k}"), F.lit(0)).cast("double")
+        m = F.col("__m")[k - 1].cast("double")
         den = F.greatest(F.col("__c") - k + 1, F.lit(1)).cast("double")
         p = F.when(m > 0, m).otherwise(F.lit(epsilon)) / den
         term = F.log(p) / F.lit(max_n)
         logp = term if logp is None else logp + term
     c, r = F.col("__c").cast("double"), F.col("__rl").cast("double")
     bp = F.when(c > r, 1.0).when(c == 0, 0.0).otherwise(F.exp(1 - r / c))
-    m1 = F.coalesce(F.col("__m1"), F.lit(0))
-    return per_row.select(*keys, F.when(m1 == 0, F.lit(0.0)).otherwise(bp * F.exp(logp)).alias("bleu"))
+    return per_row.select(*keys, F.when(F.col("__m")[0] == 0, F.lit(0.0)).otherwise(bp * F.exp(logp)).alias("bleu"))
 
 
 def bleu(df: DataFrame, keys, hyp_col: str = "pred", ref_col: str = "labels",
