@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.constants import IGNORE_INDEX, MASK_RATIO
 from tessera.functions import arrays as A
-from tessera.operators.rowindex import map_batches, with_offsets
+from tessera.operators.rowindex import content_hash, distinct_offsets, map_batches, same_rows
 
 
 def effective_block(block_size: int, model_max_length: int | None) -> int:
@@ -57,13 +57,19 @@ def pack_blocks(indexed: DataFrame, block_size: int, batch_rows: int,
 def pack_whole(df: DataFrame, block_size: int, order_col: str, cols=("input_ids",)) -> DataFrame:
     """Pack all rows as one batch: (block_no, *cols), however many rows there are.
 
-    Offsets come from the order key and the sizes alone (``with_offsets``); the
-    lists move once, to their blocks.  ``order_col`` must be unique per row.
+    Rows go by the order key (null first), rows of one key by content hashes of their lists.  Equal rows move as
+    one with their number, so each row's tokens come out once whatever repeats.  Offsets come from
+    keys, hashes and sizes alone (``distinct_offsets``); the lists move once more, to their blocks.
     """
-    n = F.greatest(F.coalesce(F.size(cols[0]), F.lit(0)), F.lit(0))
-    at = with_offsets(df.select(F.col(order_col).alias("__key"), n.alias("__n")), "__key", "__n", "__off", "__total")
-    rows = df.join(at, F.col(order_col).eqNullSafe(F.col("__key"))).drop("__key")
-    return _cut_blocks(rows, int(block_size), list(cols), [])
+    cols, ident = list(cols), ["__key", "__h1", "__h2"]
+    rows = df.select(F.col(order_col).alias("__key"), *content_hash(*cols), *cols)
+    n = F.greatest(F.coalesce(F.size(cols[0]), F.lit(0)), F.lit(0)).cast("long")
+    at = distinct_offsets(rows, ident, n)
+    once = rows.groupBy(*ident).agg(*[F.first(c).alias(c) for c in cols])
+    copies = (same_rows(once, at, ident).withColumn("__n", n)
+              .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
+              .withColumn("__off", F.col("__off") + F.col("__copy") * F.col("__n")))
+    return _cut_blocks(copies.select("__off", "__n", "__total", *cols), int(block_size), cols, [])
 
 
 def _cut_blocks(df: DataFrame, bs: int, cols: list[str], keys: list[str]) -> DataFrame:

@@ -18,6 +18,8 @@ order columns.  The index is computed without a single-partition window:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +98,112 @@ def range_partitions(df: DataFrame, target_bytes: int = TARGET_RANGE_BYTES) -> i
     return int(min(MAX_RANGE_PARTITIONS, max(base, -(-est // target_bytes))))
 
 
+def content_hash(*cols) -> list[Column]:
+    """Two 64-bit hashes of ``cols``: with the order key they name a row's content; rows equal in all three are interchangeable."""
+    return [F.xxhash64(*cols).alias("__h1"), F.xxhash64(F.lit(1), *cols).alias("__h2")]
+
+
+def distinct_offsets(df: DataFrame, ident, size: Column | None = None) -> DataFrame:
+    """(ident…, __m, __off, __total): each distinct row's copies and the sum of ``size`` (1 a row) before it in ``ident`` order.
+
+    Equal rows are counted before anything is sorted, so a row repeated any number of times is one row; nulls come first."""
+    ident = _cols(ident)
+    one = size if size is not None else F.lit(1).cast("long")
+    distinct = (df.select(*ident, one.alias("__one")).groupBy(*ident)
+                .agg(F.count(F.lit(1)).alias("__m"), F.first("__one").alias("__one")).withColumn("__sum", F.col("__m") * F.col("__one")))
+    return with_offsets(distinct, ident, "__sum", "__off", "__total").drop("__one", "__sum")
+
+
+def same_rows(left: DataFrame, right: DataFrame, ident) -> DataFrame:
+    """Inner join on ``ident``, null equal to null; ``ident`` comes once."""
+    names = {c: f"__same_{i}" for i, c in enumerate(_cols(ident))}
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    return left.join(right.withColumnsRenamed(names), on).drop(*names.values())
+
+
+TAKE_ROWS = 10_000  # rows that one task may take
+CUTS = 64  # ranges that a selection step counts
+CUT_SAMPLE = 4_000  # rows sampled for a step's cuts, about
+
+
+def _below(cols: list[str], row) -> Column:
+    """Rows before ``row`` in the order of ``cols``, nulls first."""
+    mark = F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (t, v) in enumerate(row)])
+    return F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]) < mark
+
+
+def border_key(df: DataFrame, order_cols, n: int) -> tuple[list, int] | None:
+    """(key of the ``n``-th row (from 1) in order, rows strictly before that key); None if there are fewer rows.
+
+    A selection: a step cuts the range that holds the row by sampled keys and counts the rows below every cut in one
+    aggregation of the key columns, until ``TAKE_ROWS`` rows or one key are left.  Keys are never sorted or moved."""
+    cols = _cols(order_cols)
+    keys = df.select(*cols)
+    types = [f.dataType.simpleString() for f in keys.schema.fields]
+    typed = lambda r: list(zip(types, r))
+    total = keys.count()
+    if total < n:
+        return None
+    low, high, before, inside, step = None, None, 0, total, 0  # the row is in [low, high), ``before`` rows come before it
+    while inside > TAKE_ROWS:
+        step += 1
+        span = keys if low is None else keys.filter(~_below(cols, low))
+        span = span if high is None else span.filter(_below(cols, high))
+        drawn = span.sample(fraction=min(1.0, CUT_SAMPLE / inside), seed=step).limit(4 * CUT_SAMPLE).distinct().orderBy(*cols).collect()
+        cuts = [typed(drawn[i * len(drawn) // CUTS]) for i in range(1, CUTS)] if len(drawn) >= CUTS else [typed(r) for r in drawn]
+        cuts = [c for c in cuts if c != low]
+        if not cuts:  # the sample has no key but the lowest one
+            first = (span if low is None else span.filter(_after(cols, low))).orderBy(*cols).head()
+            if first is None:  # one key is left
+                return [v for _, v in low], before
+            cuts = [typed(first)]
+        counts = span.agg(*[F.count_if(_below(cols, c)).alias(f"n{i}") for i, c in enumerate(cuts)]).head()
+        edges = [(low, 0), *[(c, counts[i]) for i, c in enumerate(cuts)], (high, inside)]
+        for (a, below), (b, upto) in zip(edges, edges[1:]):
+            if before + below < n <= before + upto:
+                low, high, before, inside = a, b, before + below, upto - below
+                break
+    span = keys if low is None else keys.filter(~_below(cols, low))
+    span = span if high is None else span.filter(_below(cols, high))
+    rows = [tuple(r) for r in span.orderBy(*cols).limit(n - before).collect()]
+    return list(rows[-1]), before + rows.index(rows[-1])
+
+
+def _after(cols: list[str], row) -> Column:
+    mark = F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (t, v) in enumerate(row)])
+    return F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]) > mark
+
+
 def slice_rows(df: DataFrame, order_cols, n: int) -> DataFrame:
-    """``train[:N]``: the first ``n`` rows by ``order_cols`` (TakeOrdered, n bounded)."""
-    return df.orderBy(*_cols(order_cols)).limit(int(n))
+    """``train[:N]``: the first ``n`` rows by ``order_cols``, nulls first.
+
+    Up to ``TAKE_ROWS`` rows are a TakeOrdered.  A larger slice is a filter on the scan up to the key of its last
+    row (``border_key``); of rows that share that key, those with the smallest content hashes are in."""
+    cols, n = _cols(order_cols), int(n)
+    if n <= TAKE_ROWS:
+        return df.orderBy(*cols).limit(n)
+    found = border_key(df, cols, n)
+    if found is None:
+        return df
+    types = [df.schema[c].dataType.simpleString() for c in cols]
+    key, before = list(zip(types, found[0])), found[1]
+    below = df.filter(_scan_bound(df, cols[0], key[0])).filter(_below(cols, key))
+    tied = df.filter(~_below(cols, key) & ~_after(cols, key))
+    left = n - before
+    if tied.count() > left:  # the slice ends among rows of one key
+        hashed = tied.select("*", *content_hash(*tied.columns))
+        copies = distinct_offsets(hashed, ["__h1", "__h2"]).filter(F.col("__off") < left)
+        whole = hashed.join(copies.filter(F.col("__off") + F.col("__m") <= left).select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
+        last = same_rows(hashed, copies.filter(F.col("__off") + F.col("__m") > left), ["__h1", "__h2"]).limit(1)
+        part = last.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(left) - F.col("__off")))).select(*tied.columns)
+        tied = whole.select(*tied.columns).unionAll(part)
+    return below.unionAll(tied)
+
+
+def _scan_bound(df: DataFrame, col: str, mark) -> Column:
+    """The part of ``_below`` that a Parquet scan takes: the first order column alone."""
+    kind, value = mark
+    return F.col(col).isNull() if value is None else F.col(col).isNull() | (F.col(col) <= F.lit(value).cast(kind))
 
 
 def cap_samples(df: DataFrame, order_cols, max_samples: int | None,
@@ -161,6 +266,53 @@ def shuffle_batches(df: DataFrame, key_cols, seed: int, epoch: int, batch_size:
             .withColumn("batch_id", F.floor(F.col(index_col) / F.lit(batch_size)).cast("long")))
 
 
+FEISTEL_ROUNDS = 4
+WALK = 16  # steps of a cycle walk; see ``permuted_index``
+
+
+def feistel_sides(n: int) -> tuple[int, int]:
+    """Sides a, b of the smallest near-square domain a * b of at least ``n`` numbers."""
+    a = max(1, math.isqrt(n - 1) + 1 if n > 0 else 1)
+    return a, max(1, -(-n // a))
+
+
+def permuted_index(index: Column | str, n: int, seed: int, epoch: int) -> Column:
+    """Place of row ``index`` of ``n`` in the permutation of (seed, epoch): a keyed bijection of 0 … n - 1, row by row.
+
+    Feistel rounds over Z_a x Z_b with a * b >= n: each adds a hash of one half to the other, so a round is
+    reversible whatever the hash.  A place of n or more is walked on until it is below n; a * b exceeds n by less than a,
+    and a walk of ``WALK`` steps fails with a chance under 1e-18 a row, which raises an error."""
+    a, b = feistel_sides(n)
+    start = F.col(index) if isinstance(index, str) else index
+
+    def step(x: Column) -> Column:
+        halves = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
+        out = F.reduce(F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1)), halves, lambda h, i: F.struct(
+            F.when(i % 2 == 0, (h["l"] + _mixed(h["r"], i, a, seed, epoch)) % a).otherwise(h["l"]).cast("long").alias("l"),
+            F.when(i % 2 == 1, (h["r"] + _mixed(h["l"], i, b, seed, epoch)) % b).otherwise(h["r"]).cast("long").alias("r")))
+        return F.reduce(F.array(out), F.lit(0).cast("long"), lambda acc, h: acc + h["l"] * b + h["r"])
+
+    steps = min(WALK, a * b - n + 1)
+    walked = F.reduce(F.sequence(F.lit(1), F.lit(steps)), F.struct(start.cast("long").alias("x"), F.lit(False).alias("done")), lambda s, _: F.when(
+        s["done"], s).otherwise(F.reduce(F.array(step(s["x"])), s, lambda _s, y: F.struct(y.alias("x"), (y < n).alias("done")))))
+    return F.reduce(F.array(walked), F.lit(0).cast("long"), lambda acc, s: F.when(s["done"], acc + s["x"]).otherwise(
+        F.raise_error(F.lit("permutation: cycle walk too long")).cast("long")))
+
+
+def _mixed(half: Column, i: Column, side: int, seed: int, epoch: int) -> Column:
+    text = F.concat_ws("/", F.lit(str(seed)), F.lit(str(epoch)), i.cast("string"), half.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.lit(side).cast("long")
+
+
+def epoch_batches(indexed: DataFrame, n: int, seed: int, epoch: int, batch_size: int, index_col: str = "idx") -> DataFrame:
+    """Epoch order without a sort: ``place`` of each indexed row, and ``batch_id = place div batch_size``.
+
+    Row by row: no shuffle and no checkpoint; a reader of a batch filters or groups by ``batch_id``."""
+    place = permuted_index(index_col, n, seed, epoch)
+    return (indexed.withColumn("place", place).withColumn("epoch", F.lit(epoch))
+            .withColumn("batch_id", F.floor(F.col("place") / F.lit(batch_size)).cast("long")))
+
+
 def map_batches(indexed: DataFrame, batch_rows: int, index_col: str = "idx",
                 shards: int = 1, total_rows: Column | None = None) -> DataFrame:
     """Consecutive rows in groups of ``batch_rows`` (the reference's batched map).

@@ -92,7 +92,7 @@ def build_vocab(tokens: DataFrame, size: int | None = None, specials=DEFAULT_SPE
     regular = (with_row_index(counts.withColumn("__nf", -F.col("freq")), ["__nf", "token"], "token_id")
                .drop("__nf").withColumn("token_id", F.col("token_id").cast("int")))
     regular = regular.select("token", "token_id", "freq", F.lit(False).alias("is_special"))
-    return add_specials(regular, specials)
+    return add_specials(regular, specials, bounded=False)
 
 
 def _specials_frame(spark, tokens):
@@ -128,21 +128,21 @@ def _append_specials_bounded(vocab: DataFrame, tokens, rank_regular: bool = Fals
 def add_specials(vocab: DataFrame, tokens=(MASK_TOKEN,), bounded: bool = True) -> DataFrame:
     """Append special tokens not yet present, with the next free ids in the given order.
 
-    ``bounded`` (a size-capped vocabulary): single-pass windows.  Otherwise the
-    next free id comes from a one-row aggregate that is broadcast.
+    ``bounded`` (a size-capped vocabulary): single-pass windows.  Otherwise the names already there and the next free id
+    are looked up first (one filter, one maximum) and the new rows are appended: no token moves.
     """
     tokens = list(tokens)
     if not tokens:
         return vocab
     if bounded:
         return _append_specials_bounded(vocab, tokens)
-    new = _specials_frame(vocab.sparkSession, tokens).join(vocab.select("token"), "token", "left_anti")
-    w = Window.orderBy("__ord")
-    base = vocab.agg(F.coalesce(F.max("token_id") + 1, F.lit(0))).scalar()
-    added = (new
-             .select("token",
-                     (base + F.row_number().over(w) - 1).cast("int").alias("token_id"),
-                     F.lit(0).cast("long").alias("freq"), F.lit(True).alias("is_special")))
+    present = {r["token"] for r in vocab.filter(F.col("token").isin(tokens)).select("token").collect()}  # the given names at most
+    free = vocab.agg(F.coalesce(F.max("token_id") + 1, F.lit(0))).head()[0]
+    new = [t for t in tokens if t not in present]
+    if not new:
+        return vocab
+    added = vocab.sparkSession.createDataFrame([(t, free + i, 0, True) for i, t in enumerate(new)],
+                                               "token string, token_id int, freq long, is_special boolean")
     return vocab.unionByName(added)
 
 

@@ -120,6 +120,41 @@ def shuffle_batches(spark, sf):
         "doc_id", "shuffle_key", "idx", "batch_id")
 
 
+SLICE = 30_000
+
+
+@register("slice_large", f"""
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT {SLICE}""")
+def slice_large(spark, sf):
+    """L1, L3 beyond what one task may take: a filter up to the key of the last row."""
+    items = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return L.cap_samples(items, ["l_orderkey", "l_linenumber"], SLICE)
+
+
+def _feistel_sql(seed: int, epoch: int, rounds: int = L.FEISTEL_ROUNDS) -> str:
+    """One step of the permutation on column x, in SQL."""
+    out = "SELECT idx, n, a, b, x // b AS l, x % b AS r FROM src"
+    for i in range(rounds):
+        half, side = ("r", "a") if i % 2 == 0 else ("l", "b")
+        mixed = f"CAST('0x' || substr(md5(concat_ws('/', '{seed}', '{epoch}', '{i}', CAST({half} AS VARCHAR))), 1, 12) AS BIGINT) % {side}"
+        out = (f"SELECT idx, n, a, b, (l + {mixed}) % a AS l, r FROM ({out})" if i % 2 == 0
+               else f"SELECT idx, n, a, b, l, (r + {mixed}) % b AS r FROM ({out})")
+    return f"SELECT idx, n, a, b, l * b + r AS x FROM ({out})"
+
+
+@register("epoch_batches", f"""
+WITH RECURSIVE ix AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents),
+side AS (SELECT doc_id, idx, n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM ix),
+walk AS (SELECT idx, n, a, b, x FROM (WITH src AS (SELECT idx, n, a, (n + a - 1) // a AS b, idx AS x FROM side) {_feistel_sql(43, 1)})
+         UNION ALL SELECT idx, n, a, b, x FROM (WITH src AS (SELECT * FROM walk WHERE x >= n) {_feistel_sql(43, 1)}))
+SELECT doc_id, idx, x AS place, x // 64 AS batch_id FROM walk JOIN side USING (idx) WHERE x < walk.n""")
+def epoch_batches(spark, sf):
+    """L6 by a keyed bijection of the row index: the epoch order needs no second sort."""
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    ix = L.with_row_index(docs, "doc_id")
+    return L.epoch_batches(ix, docs.count(), seed=43, epoch=1, batch_size=64).select("doc_id", "idx", "place", "batch_id")
+
+
 # ---------------------------------------------------------------- tokens
 
 @register("pretokenize", O.with_corpus(f"""
@@ -142,6 +177,18 @@ def vocab_with_mask(spark, sf):
     return CorpusPlan(spark, sf).vocab.select("token", "token_id", "freq", "is_special")
 
 
+@register("unbounded_vocab", f"""
+WITH cnt AS (SELECT token, count(*) AS freq FROM (SELECT unnest({O.tokens_expr('text')}) AS token FROM documents) GROUP BY token),
+reg AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) - 1 AS INTEGER) AS token_id, freq, false AS is_special FROM cnt),
+n AS (SELECT CAST(count(*) AS INTEGER) AS n FROM reg)
+SELECT * FROM reg UNION ALL SELECT {O.q(UNK_TOKEN)}, n, 0, true FROM n
+UNION ALL SELECT {O.q(EOS_TOKEN)}, n + 1, 0, true FROM n""")
+def unbounded_vocab(spark, sf):
+    """T2 without a size: ids by the distributed index, specials appended; no token meets another in one task."""
+    docs = CorpusPlan(spark, sf).docs
+    return TK.build_vocab(docs.select(pretokenize("text").alias("tokens")))
+
+
 @register("encode_docs", O.with_corpus(f"""
 SELECT doc_id, split, CAST(len(input_ids) AS BIGINT) AS n_tokens, CAST(n_unk AS BIGINT) AS n_unk,
        {md5_sql('input_ids')} AS ids_md5 FROM enc"""))
