@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 
 #: Where the standard library's character classes agree with the vocabulary's own patterns.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 GPT2_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-MEMO = 600_000
+MEMO = 400_000
+RUN_CHARS = 64
+#: A space with white space on both sides may lie inside a pre-token; the first list is its quick test.
+BEFORE_SPACE = [c + " " for c in " \t\n\x0b\f\r\x85\xa0"]
+BETWEEN = re.compile(r"\s \s")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -48,11 +53,31 @@ class _Pieces(dict):
         return ids
 
 
+class _Runs(dict):
+    """Text between two spaces -> the ids of it and the space before it; filled on a miss, emptied when full."""
+
+    def __init__(self, pieces: _Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def of(self, run: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, GPT2_WORDS.findall(run)))
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.of(" " + run)
+        if len(run) <= RUN_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class ByteBpe:
     """``encode(text)`` equals the library's ids for a byte-level BPE file with the usual word pattern.
 
     A pre-token's ids do not depend on its neighbours, so each is encoded once
-    and remembered.  Texts with special tokens' strings, or characters
+    and remembered.  A space starts a pre-token unless white space stands on both its sides, so in other texts
+    what lies between two spaces is remembered whole.  Texts with special tokens' strings, or characters
     on which regular-expression engines differ, go to the library whole.
     """
 
@@ -66,10 +91,25 @@ class ByteBpe:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         pre = spec["pre_tokenizer"] or {}
         self.plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.mark = os.path.commonprefix([t["content"] for t in spec["added_tokens"]])
         self.pieces = _Pieces(self.tokenizer)
+        self.runs = _Runs(self.pieces)
 
     def encode(self, text: str):
         import numpy as np
-        if not self.plain or PLAIN.search(text) or self.special.search(text):
+        if not self.plain or PLAIN.search(text) or (self.mark in text and self.special.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, GPT2_WORDS.findall(text))), dtype="<u4")
+        if any(map(text.__contains__, BEFORE_SPACE)) and BETWEEN.search(text):
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, GPT2_WORDS.findall(text))), dtype="<u4")
+        first, *rest = text.split(" ")
+        return np.frombuffer(b"".join([self.runs.of(first), *map(self.runs.__getitem__, rest)]), dtype="<u4")
+
+
+_LOADED: dict[str, ByteBpe] = {}
+
+
+def load(path: str) -> ByteBpe:
+    """One encoder a worker process and file, with what it remembers."""
+    if path not in _LOADED:
+        _LOADED[path] = ByteBpe(path)
+    return _LOADED[path]

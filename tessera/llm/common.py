@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,16 +56,30 @@ def range_cuts(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def range_no(key: Column, cuts: list[int]) -> Column:
-    """Number of the range that an integer ``key`` falls into, by binary search; a cut opens its range, a null key is in the last."""
+    """Number of the range that an integer ``key`` falls into; a cut opens its range, a null key is in the last.
+
+    A binary search over the cuts as an array literal, so a row's cost grows with the logarithm of their number."""
     n = len(cuts)
+    if not n:
+        return F.lit(0)
+    marks = F.array(*[F.lit(c).cast("long") for c in cuts])
+    whole = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))  # the number of cuts at or below the key lies in low … high
+
+    def halve(span: Column, _: Column) -> Column:
+        mid = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        above = (span["low"] < span["high"]) & (F.get(marks, mid) <= key)
+        return F.struct(F.when(above, mid + 1).otherwise(span["low"]).alias("low"),
+                        F.when(above, span["high"]).otherwise(F.least(mid, span["high"])).alias("high"))
+
+    found = F.reduce(F.sequence(F.lit(0), F.lit(n.bit_length())), whole, halve, lambda span: span["low"])
+    return F.when(key.isNull(), F.lit(n)).otherwise(found)
+
+
+PIPELINE_BATCH_BYTES = 8 << 20
 
-    @F.pandas_udf("int")
-    def number(keys: pd.Series) -> pd.Series:
-        import numpy as np
-        there = keys.notna().to_numpy()
-        out = np.full(len(keys), n, dtype="int32")
-        vals = keys[there].to_numpy().astype("int64")
-        out[there] = np.searchsorted(np.array(cuts, dtype="int64"), vals, side="right")
-        return pd.Series(out)
 
-    return number(key)
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most ``PIPELINE_BATCH_BYTES`` at a time in this session: long texts by the thousand cost each worker, and the JVM beside it, their size again and again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "67108864b").rstrip("b")) > PIPELINE_BATCH_BYTES:
+        spark.conf.set(name, f"{PIPELINE_BATCH_BYTES}b")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.bytebpe import ByteBpe, vocabulary
+from tessera.llm.bytebpe import load, vocabulary
 from tessera.llm.common import partitions, publish, range_cuts, range_no, scratch, table
 
 MAGIC, HEAD = b"DAC1", struct.Struct("<4sQIIIIQ")
@@ -118,6 +118,17 @@ class Segment:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def heads_of(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(range, number, tokens) of a file's segments, from their heads alone."""
+    at = 0
+    while at < len(data):
+        magic, size, rng, number, _, _, tokens = HEAD.unpack_from(data, at)
+        if magic != MAGIC:
+            raise ValueError("not a DAC1 segment")
+        yield rng, number, tokens
+        at += size + 1
+
+
 def segments(data: bytes) -> Iterator[Segment]:
     """The segments of a file."""
     at = 0
@@ -143,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encode(batches):
         import pyarrow as pa
-        bpe, end = ByteBpe(tokenizer_path), np.array([end_id], "<u4")
+        bpe, end = load(tokenizer_path), np.array([end_id], "<u4")
         held, ids, lengths, size, now, number = [], [], [], 0, None, 0
 
         def out():
@@ -186,33 +197,39 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 for s in segments(content.as_py()):
-                    docs = [s.document(k) for k in range(len(s.doc_ids))]
-                    n = len(docs)
+                    n, flat = len(s.doc_ids), s.slice(0, s.tokens)  # the segment's levels once; documents are cut from it
+                    raw, starts = memoryview(flat.tobytes()), (4 * s.starts).tolist()
+                    crc = [zlib.crc32(raw[a:b]) for a, b in zip(starts, starts[1:])]
                     cols = [pa.array([s.rng] * n, pa.int32()), pa.array([s.number] * n, pa.int32()), pa.array(s.starts[:-1].astype("int64")),
-                            pa.array(s.doc_ids, pa.int64()), pa.array(s.lengths), pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())]
+                            pa.array(s.doc_ids, pa.int64()), pa.array(s.lengths), pa.array(crc, pa.int64())]
                     if ids:
-                        cols.append(pa.ListArray.from_arrays(pa.array(s.starts.astype("int32")), pa.array(np.concatenate(docs).astype("int32"))))
+                        cols.append(pa.ListArray.from_arrays(pa.array(s.starts.astype("int32")), pa.array(flat.astype("int32"))))
                     yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0] for f in fields.split(", ")])
 
     def heads(batches):
         import pyarrow as pa
         for batch in batches:
-            rows = [(s.rng, s.number, s.tokens) for content in batch.column(0) for s in segments(content.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                                              pa.array([r[2] for r in rows], pa.int64())], names=["rng", "number", "tokens"])
-
-    lengths = publish(files.mapInArrow(heads, "rng int, number int, tokens long"), "dac-heads")
+            rows = [r for content in batch.column(0) for r in heads_of(content.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["rng", "number", "tokens"])
+
+    rows = files.mapInArrow(read, fields)
+    if ids:
+        lengths = publish(files.mapInArrow(heads, "rng int, number int, tokens long"), "dac-heads")
+    else:  # rows without ids are small: written once, and the segments' lengths summed from them
+        rows = publish(rows, "dac-documents")
+        lengths = rows.groupBy("rng", "number").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
     by_range = lengths.groupBy("rng").agg(F.sum("tokens").alias("tokens"))
     by_range = by_range.select("rng", F.coalesce(F.sum("tokens").over(before.orderBy("rng")), none).alias("range_start"))
     base = lengths.join(F.broadcast(by_range), "rng").select(
         "rng", "number", (F.col("range_start") + F.coalesce(F.sum("tokens").over(before.partitionBy("rng").orderBy("number")), none)).alias("base"))
-    rows = files.mapInArrow(read, fields).join(base, ["rng", "number"])
+    rows = rows.join(base, ["rng", "number"])
     return rows.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
+    """Per row of ``documents`` what its ids read back from the files say; null texts, ids, ties and empty tables as ``write_tokens`` says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch(spark, "dac")
     write_tokens(docs, path, vocabulary("byte_bpe_50k.json"))
