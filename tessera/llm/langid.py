@@ -26,6 +26,7 @@ from tessera.llm.common import table
 SIZES = (2, 3, 4)  # n-gram lengths; a word's borders count as one more character
 MIN_SHARE, MIN_PART = 2e-6, 0.5
 HASHES, ROWS_PER_GRAM = 4, 16
+FILTER_BYTES = 128 << 20  # the filters of all languages; more n-grams than fit give more false positives, which are measured and corrected
 CHUNK_CHARS, FLUSH_GRAMS = 300_000, 1_000_000
 UNKNOWN = "und"
 KEEP_AT = 0.4  # a document under this corrected share is of no known language
@@ -141,13 +142,18 @@ class Filters:
     def __init__(self, languages: list[str], grams: np.ndarray, masks: np.ndarray, size: int):
         self.languages, self.size = languages, size
         self.words = masks.shape[1]
-        self.rows = np.zeros((size, self.words), "u8")
+        kind = next((k for bits, k in ((8, "u1"), (16, "u2"), (32, "u4")) if len(languages) <= bits), "u8")
+        self.rows = np.zeros((size, self.words), kind)  # a bit a language
         for pos in self.places(grams):
             for w in range(self.words):
-                np.bitwise_or.at(self.rows[:, w], pos, masks[:, w])
-        fill = np.array([((self.rows[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
+                np.bitwise_or.at(self.rows[:, w], pos, masks[:, w].astype(kind))
+        fill = np.array([self.bits(self.rows, i).mean() for i in range(len(languages))])
         self.false_positive = fill ** HASHES
 
+    def bits(self, rows: np.ndarray, i: int) -> np.ndarray:
+        """Language ``i``'s bit in each row."""
+        return (rows[:, i // 64] >> rows.dtype.type(i % 64)) & rows.dtype.type(1)
+
     def places(self, grams: np.ndarray):
         a, b = grams, _mix(grams + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         for k in range(HASHES):
@@ -170,7 +176,7 @@ class Filters:
             total[start:stop] = np.bincount(owner, minlength=len(part))[:len(part)]
             masks = self.masks(grams) if len(grams) and n_lang else None
             for i in range(n_lang if masks is not None else 0):
-                has = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+                has = self.bits(masks, i)
                 hits[i, start:stop] = np.bincount(owner, weights=has, minlength=len(part))[:len(part)]
         if not n_lang:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -203,7 +209,8 @@ def learn(docs: DataFrame) -> Filters:
     bit = kept["lang"].map(number).to_numpy("int64")
     masks = np.zeros((len(grams), -(-len(languages) // 64)), "u8")
     np.bitwise_or.at(masks, (at, bit // 64), np.uint64(1) << (bit % 64).astype("u8"))
-    return Filters(languages, grams, masks, max(1024, ROWS_PER_GRAM * len(grams)))
+    row_bytes = 8 * masks.shape[1] if len(languages) > 32 else 1 if len(languages) <= 8 else 2 if len(languages) <= 16 else 4
+    return Filters(languages, grams, masks, max(1024, min(ROWS_PER_GRAM * len(grams), FILTER_BYTES // row_bytes)))
 
 
 def held_out(doc_id: Column) -> Column:
