@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import cotrain, jaccard, langid, mixing, transducer
 from tessera.llm.bytebpe import vocabulary
-from tessera.llm.common import prepare, publish, table
+from tessera.llm.common import prepare, publish, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier takes for good; null and blank texts go."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return cotrain.keep_good(docs, labels)
 
@@ -25,18 +26,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language."""
     prepare(spark)
+    small_batches(spark)
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that of the smallest ``doc_id``."""
     prepare(spark)
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time a document is drawn, shard by shard, shuffled within a shard."""
     prepare(spark)
+    small_batches(spark)
     packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "source", "text")]).alias("rest"))
     drawn = mixing.shuffled(mixing.mixture(packed))
     return drawn.select(*[F.col(c) if c in ("doc_id", "source", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
@@ -45,6 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and digests of the ids and of the text read back from them."""
     prepare(spark)
+    small_batches(spark)
     rows = transducer.encode_documents(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
