@@ -9,7 +9,7 @@ import re
 #: Where the standard library's character classes agree with the vocabulary's own patterns.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 GPT2_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-MEMO = 400_000
+MEMO, RUN_MEMO = 600_000, 1_500_000  # entries kept by a worker, some 200 bytes each
 RUN_CHARS = 64
 #: A space with white space on both sides may lie inside a pre-token; the first list is its quick test.
 BEFORE_SPACE = [c + " " for c in " \t\n\x0b\f\r\x85\xa0"]
@@ -66,7 +66,7 @@ class _Runs(dict):
     def __missing__(self, run: str) -> bytes:
         ids = self.of(" " + run)
         if len(run) <= RUN_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= RUN_MEMO:
                 self.clear()
             self[run] = ids
         return ids
