@@ -74,8 +74,8 @@ def parse_configs(df: DataFrame, json_col: str, schema: T.StructType, keep=()) -
     return parsed.select(*keep, "__c.*", "unknown_keys", "all_keys")
 
 
-def config_long(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:
-    """Unpivot configs to (run, key, value-as-string): the declared keys by their typed
+def config_pairs(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:
+    """(run, pairs): each config's (key, value-as-string) entries: the declared keys by their typed
     value, every other top-level key of ``all_keys`` by its text.  An object's keys are sorted."""
     cols = [c for c in cfgs.columns if c not in (run_col, "config_file", "unknown_keys", "all_keys", "_corrupt_record")]
     more = "all_keys" in cfgs.columns
@@ -91,27 +91,39 @@ def config_long(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:
         known = F.array(*[F.lit(c) for c in [*cols, run_col]])
         rest = F.filter(F.map_entries("all_keys"), lambda e: ~F.array_contains(known, e["key"]))
         pairs = F.concat(pairs, F.coalesce(rest, F.array().cast("array<struct<key:string,value:string>>")))
-    return cfgs.select(run_col, F.explode(pairs).alias("__kv")).select(
-        run_col, "__kv.key", "__kv.value")
+    return cfgs.select(run_col, pairs.alias("pairs"))
+
+
+def config_long(cfgs: DataFrame, run_col: str = "run_name") -> DataFrame:
+    """Unpivot configs to (run, key, value-as-string)."""
+    return config_pairs(cfgs, run_col).select(run_col, F.explode("pairs").alias("__kv")).select(run_col, "__kv.key", "__kv.value")
 
 
 def config_diff(cfgs: DataFrame, baseline_run: str, run_col: str = "run_name") -> DataFrame:
-    """(key, run, value, baseline) for keys whose value differs from the baseline run's (null-safe; a key that one of the two lacks is null there)."""
-    long = config_long(cfgs, run_col)
-    base = long.filter(F.col(run_col) == baseline_run).select("key", F.col("value").alias("baseline"))
-    other = long.filter(F.col(run_col) != baseline_run)
-    lacking = (other.select(run_col).distinct().crossJoin(base.select("key"))
-               .join(other.select(run_col, "key"), [run_col, "key"], "left_anti"))
-    other = other.unionByName(lacking.withColumn("value", F.lit(None).cast("string")))
-    j = other.join(base, "key", "left")
-    return j.filter(~F.col("value").eqNullSafe(F.col("baseline")))
-
-
-def parse_overrides(col, allowed=None) -> F.Column:
+    """(key, run, value, baseline) for keys whose value differs from the baseline run's (null-safe; a key that one of the two lacks is null there).
+
+    A run's keys are compared inside its own row with the baseline's, which is one value: nothing is joined or exploded
+    but the differences.  Of several baseline rows one counts."""
+    rows = config_pairs(cfgs, run_col).select(run_col, F.map_from_entries("pairs").alias("own"))
+    base = rows.filter(F.col(run_col) == baseline_run).agg(F.first("own")).scalar()
+    both = rows.filter(F.col(run_col) != baseline_run).withColumn("base", F.coalesce(base, F.create_map().cast("map<string,string>")))
+    entries = F.transform(F.array_union(F.map_keys("own"), F.map_keys("base")), lambda k: F.struct(
+        k.alias("key"), F.try_element_at("own", k).alias("value"), F.try_element_at("base", k).alias("baseline")))
+    odd = F.filter(entries, lambda e: ~e["value"].eqNullSafe(e["baseline"]))
+    return both.select(run_col, F.explode(odd).alias("__d")).select("__d.key", run_col, "__d.value", "__d.baseline")
+
+
+def parse_overrides(col, allowed=None, config_name=None, model_path=None) -> F.Column:
     """``k=v,k=v`` → MAP<STRING,STRING>; the last of repeated keys wins, a pair without ``=`` has a null value.
 
-    ``allowed``: keys that may be given; any other raises."""
+    ``allowed``: keys that may be given; any other raises.  ``config_name``, ``model_path``: columns of the run's config
+    name and model path; overrides given together with either raise."""
     c = F.col(col) if isinstance(col, str) else col
+    for other in (config_name, model_path):
+        if other is not None:
+            given = F.col(other) if isinstance(other, str) else other
+            c = F.when(c.isNotNull() & given.isNotNull(), F.raise_error(F.lit(
+                "overrides cannot be combined with a config name or a model path")).cast("string")).otherwise(c)
     pairs = F.split(c, ",")
     key = lambda p: F.substring_index(p, "=", 1)
     last = F.filter(pairs, lambda p, i: ~F.exists(
@@ -184,34 +196,37 @@ def early_stop(log: DataFrame, metric: str = "eval_loss", patience: int = 2,
 
 def retain_checkpoints(ckpts: DataFrame, k: int, best: DataFrame | None = None,
                        run_col: str = "run") -> DataFrame:
-    """Newest ``k`` checkpoints per run, plus the best one when given.
+    """Newest ``k`` checkpoints per run, plus the best one when given, with ``rank_newest`` from 1.
 
-    The newest-first rank comes from the skew-safe per-group index (no window
-    partitioned by run)."""
-    from tessera.operators.rowindex import with_group_index
-    out = with_group_index(ckpts.withColumn("__ns", -F.col("step")), run_col, "__ns", "rank_newest") \
-        .drop("__ns")
-    keep = F.col("rank_newest") <= k
-    if best is not None:
-        out = out.join(best.select(run_col, "best_step"), run_col, "left")
-        keep = keep | (F.col("step") == F.col("best_step"))
-        return out.filter(keep).drop("best_step")
-    return out.filter(keep)
+    A bounded top-k: every task hands on ``k`` rows a run at most.  The rank of a best checkpoint beyond
+    them is a count of the newer ones, added up from partial counts; no run is sorted whole."""
+    newest = Window.partitionBy(run_col).orderBy(F.desc("step"))
+    top = ckpts.withColumn("rank_newest", F.row_number().over(newest)).filter(F.col("rank_newest") <= k)
+    if best is None:
+        return top
+    one = best.select(F.col(run_col).alias("__run"), F.col("best_step").alias("__best"))
+    since = ckpts.join(one, F.col(run_col).eqNullSafe(F.col("__run"))).filter(F.col("step") >= F.col("__best"))
+    rank = since.groupBy("__run", "__best").agg(F.count(F.lit(1)).alias("rank_newest")).filter(F.col("rank_newest") > k)
+    old = ckpts.join(rank, F.col(run_col).eqNullSafe(F.col("__run")) & (F.col("step") == F.col("__best"))).drop("__run", "__best")
+    return top.unionByName(old.withColumn("rank_newest", F.col("rank_newest").cast("int")))
 
 
 def resume_point(ckpts: DataFrame, explicit: str | None = None, run_col: str = "run",
-                 outputs: DataFrame | None = None) -> DataFrame:
+                 outputs: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
     """Explicit checkpoint wins, else the latest detected one per run.
 
     ``outputs`` lists the files of the runs' output folders (a row a file, column
-    ``run_col``): a run that has files but no checkpoint raises, unless one is given."""
+    ``run_col``): a run that has files but no checkpoint raises, whether or not one is given explicitly.  ``overwrite``:
+    the folders are not looked at, so nothing is detected and nothing raises."""
     last = ckpts.groupBy(run_col).agg(F.max_by("path", "step").alias("last_checkpoint"),
                                       F.max("step").alias("last_step"))
     if outputs is not None:
         last = last.join(outputs.select(run_col).distinct(), run_col, "full_outer")
-        if explicit is None:
-            stop = F.raise_error(F.concat(F.lit("output folder is not empty but holds no checkpoint: "), F.col(run_col)))
-            last = last.withColumn("last_checkpoint", F.coalesce("last_checkpoint", stop.cast("string")))
+    if overwrite:
+        last = last.withColumn("last_checkpoint", F.lit(None).cast("string")).withColumn("last_step", F.lit(None).cast("long"))
+    elif outputs is not None:
+        stop = F.raise_error(F.concat(F.lit("output folder is not empty but holds no checkpoint: "), F.col(run_col)))
+        last = last.withColumn("last_checkpoint", F.coalesce("last_checkpoint", stop.cast("string")))
     return last.withColumn("resume_from", F.coalesce(F.lit(explicit).cast("string"),
                                                      F.col("last_checkpoint")))
 

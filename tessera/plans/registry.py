@@ -798,7 +798,8 @@ def resume_point(spark, sf):
     from tessera.operators.runs import resume_point as rp
     lg = runlog(spark, sf)
     ck = lg.select("run", "step", F.concat(F.lit("checkpoint-"), F.col("step")).alias("path"))
-    return rp(ck).select("run", "last_checkpoint", "last_step", "resume_from")
+    files = lg.select("run", F.concat(F.lit("events-"), F.col("step")).alias("file"))  # what the runs' folders hold besides
+    return rp(ck, outputs=files).select("run", "last_checkpoint", "last_step", "resume_from")
 
 
 @register("compare_runs", _runs("""
@@ -1070,6 +1071,52 @@ def config_scan(spark, sf):
                       F.array_join("unknown_keys", ",").alias("unknown"))
 
 
+def _supplier_configs(spark, sf: str) -> str:
+    """Run configs as JSON files, one a supplier; returns their folder."""
+    path = scratch_path(spark, "configs")
+    s = read_table(spark, sf, "supplier")
+    key = F.col("s_suppkey")
+    made = F.to_json(F.struct(
+        F.concat(F.lit("run-"), key).alias("run_name"), F.col("s_nationkey").cast("long").alias("seed"),
+        (F.lit(128) * (1 + key % 3)).cast("long").alias("block_size"), (key % 2 == 0).alias("bf16"),
+        F.when(key % 3 == 0, F.concat(F.lit("head-"), F.col("s_nationkey"))).alias("rotatinghead")))  # a null key is left out
+    s.select(made.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@register("config_diff", """
+WITH cfg AS (SELECT s_suppkey AS k, 'run-' || s_suppkey AS run_name, CAST(s_nationkey AS VARCHAR) AS seed,
+                    CAST(128 * (1 + s_suppkey % 3) AS VARCHAR) AS block_size, CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END AS bf16,
+                    CASE WHEN s_suppkey % 3 = 0 THEN 'head-' || s_nationkey END AS rotatinghead FROM supplier),
+long AS (SELECT run_name, 'seed' AS key, seed AS value FROM cfg UNION ALL SELECT run_name, 'block_size', block_size FROM cfg
+         UNION ALL SELECT run_name, 'bf16', bf16 FROM cfg UNION ALL SELECT run_name, 'rotatinghead', rotatinghead FROM cfg)
+SELECT l.key, l.run_name, l.value, b.value AS baseline FROM long l JOIN long b ON b.key = l.key AND b.run_name = 'run-1'
+WHERE l.run_name <> 'run-1' AND l.value IS DISTINCT FROM b.value""")
+def config_diff(spark, sf):
+    """Config files read whole and compared with a baseline's, keys outside the schema too."""
+    from tessera.operators.runs import config_diff as cd, read_configs
+    return cd(read_configs(spark, _supplier_configs(spark, sf)), "run-1")
+
+
+@register("shard_batches", """
+WITH ix AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents),
+per AS (SELECT *, (n + 6) // 7 AS per FROM ix)
+SELECT doc_id, idx, idx // per AS shard, (idx // per) * ((per + 63) // 64) + (idx % per) // 64 AS batch_id FROM per""")
+def shard_batches(spark, sf):
+    """B1 with worker shards: contiguous shards, batches restart in each."""
+    ix = L.with_row_index(read_table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return L.map_batches(ix, 64, shards=7).select("doc_id", "idx", "shard", "batch_id")
+
+
+@register("pin_docs", """
+SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY lang""")
+def pin_docs(spark, sf):
+    """The corpus pinned in memory (spilling to disk), then read."""
+    from tessera.sources.corpus import pin
+    docs = pin(read_table(spark, sf, "documents").select("lang", "text"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
 # ---------------------------------------------------------------- user metric hook (E8 / UDF surface)
 
 def _median(v):

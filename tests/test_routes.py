@@ -66,6 +66,28 @@ def test_resume_point_raises_on_files_without_a_checkpoint(spark):
     files = spark.createDataFrame([("a", "log"), ("b", "log"), ("b", "x")], "run string, file string")
     with pytest.raises(Exception, match="holds no checkpoint: b"):
         runs.resume_point(ck, outputs=files).collect()
-    got = {r["run"]: r["resume_from"] for r in runs.resume_point(ck, "given", outputs=files).collect()}
+    with pytest.raises(Exception, match="holds no checkpoint: b"):
+        runs.resume_point(ck, "given", outputs=files).collect()
+    got = {r["run"]: r["resume_from"] for r in runs.resume_point(ck, "given", outputs=files, overwrite=True).collect()}
     assert got == {"a": "given", "b": "given"}
+    assert runs.resume_point(ck, outputs=files, overwrite=True).first()["resume_from"] is None
     assert runs.resume_point(ck, outputs=files.where("run = 'a'")).first()["resume_from"] == "checkpoint-10"
+
+
+def test_overrides_conflict_with_config_name_and_model_path(spark):
+    df = spark.createDataFrame([("a=1", None, None), (None, "c", "m")], "o string, c string, m string")
+    whole = runs.parse_overrides("o", config_name="c", model_path="m")
+    assert [r[0] for r in df.select(whole).collect()] == [{"a": "1"}, None]
+    for row in (("a=1", "c", None), ("a=1", None, "m")):
+        with pytest.raises(Exception, match="cannot be combined"):
+            spark.createDataFrame([row], df.schema).select(whole).collect()
+
+
+def test_retained_checkpoints_are_a_bounded_top_k(spark):
+    rows = [(r, s, f"checkpoint-{s}") for r in ("a", "b", None) for s in range(1, 40)]
+    ck = spark.createDataFrame(rows, "run string, step long, path string").repartition(4)
+    best = spark.createDataFrame([("a", 3), ("b", 39), (None, 36)], "run string, best_step long")
+    out = runs.retain_checkpoints(ck, 2, best)
+    got = sorted(((r["run"] or "", r["step"], r["rank_newest"]) for r in out.collect()))
+    assert got == [("", 36, 4), ("", 38, 2), ("", 39, 1), ("a", 3, 37), ("a", 38, 2), ("a", 39, 1), ("b", 38, 2), ("b", 39, 1)]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
