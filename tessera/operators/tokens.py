@@ -3,8 +3,8 @@
 Encoding looks every pre-token up in a vocabulary.  Two physical routes:
 
 * bounded vocabulary (size cap, or counted below ``max_broadcast_entries``):
-  the vocabulary is broadcast once and each Arrow batch is looked up with a
-  vectorised hash lookup (``pyarrow.compute.index_in``) -- a narrow map, no
+  the vocabulary is built into an index once (sorted hashes, an Arrow file that Spark brings to every executor), every
+  worker maps that file into memory, and each Arrow batch looks up its distinct tokens in it -- a narrow map, no
   shuffle of the corpus at all;
 * unbounded vocabulary: ``posexplode`` → shuffle (sort-merge) join on the
   token → regroup per row, ordered by position.
@@ -156,20 +156,102 @@ def special_ids(vocab: DataFrame, pad_token: str | None = None) -> DataFrame:
                      F.coalesce(pad, tid(EOS_TOKEN)).alias("pad_id"))
 
 
-def _lookup_partition(keys_bc, ids_bc, in_col: str, out_col: str, default, out_type):
+_MAPPED: dict = {}
+
+
+def _mapped(name: str):
+    """The lookup table of a file that Spark brought to this executor, mapped once a worker process, not copied."""
+    import pyarrow as pa
+    from pyspark import SparkFiles
+    if name not in _MAPPED:
+        if len(_MAPPED) >= 4:
+            _MAPPED.clear()
+        _MAPPED[name] = pa.ipc.open_file(pa.memory_map(SparkFiles.get(name))).read_all().combine_chunks()
+    return _MAPPED[name]
+
+
+def token_hashes(tokens: list, seed: int):
+    import numpy as np
+    import xxhash
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode(), seed) if t is not None else 0 for t in tokens), np.uint64, len(tokens))
+
+
+def _index_file(spark, keys, values) -> tuple[str, int]:
+    """A lookup index (keys → values) as an Arrow file that Spark brings to every executor: (its name, its hash seed).
+
+    String keys are sorted by a 64-bit hash whose seed leaves them all apart; integer keys by themselves.  A key given
+    twice keeps its first value."""
+    import uuid
+
+    import numpy as np
+    import pyarrow as pa
+    seed, cols = 0, {}
+    if pa.types.is_string(keys.type) or pa.types.is_large_string(keys.type):
+        text = keys.to_pylist()
+        first = {t: i for i, t in reversed(list(enumerate(text))) if t is not None}
+        at = np.fromiter(first.values(), np.int64, len(first))
+        names = list(first)
+        while len(np.unique(mark := token_hashes(names, seed))) < len(names):
+            seed += 1
+        order = np.argsort(mark, kind="stable")
+        cols["mark"] = pa.array(mark[order])
+        at = at[order]
+    else:
+        _, at = np.unique(np.asarray(keys), return_index=True)
+    cols |= {"key": keys.take(pa.array(at)), "value": values.take(pa.array(at))}
+    sink = pa.BufferOutputStream()
+    table = pa.table(cols)
+    with pa.ipc.new_file(sink, table.schema) as out:
+        out.write_table(table, max_chunksize=max(1, table.num_rows))
+    name = f"lookup-{uuid.uuid4().hex}.arrow"
+    dest = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dest)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(path, True)
+    try:
+        stream.write(bytearray(sink.getvalue().to_pybytes()))
+    finally:
+        stream.close()
+    fs.deleteOnExit(path)
+    spark.sparkContext.addFile(dest)
+    return name, seed
+
+
+def find_values(table, keys, seed: int, default):
+    """The value of each distinct key of an Arrow array, ``default`` (None: null) for a key that the index lacks.
+
+    A batch costs its own distinct keys times the logarithm of the index, whatever the index's size."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    coded = keys.dictionary_encode() if not isinstance(keys, pa.DictionaryArray) else keys
+    own, n = coded.dictionary, table.num_rows
+    values = table.column("value").chunk(0) if n else pa.nulls(0, table.schema.field("value").type)
+    if "mark" in table.column_names and n:
+        marks = table.column("mark").chunk(0).to_numpy()
+        mine = token_hashes(own.to_pylist(), seed)
+        at = np.minimum(np.searchsorted(marks, mine), n - 1)
+        known = pc.equal(table.column("key").chunk(0).take(pa.array(at)), own.cast(table.schema.field("key").type))
+    elif n:
+        keys_of, mine = table.column("key").chunk(0).to_numpy(), np.asarray(own)
+        at = np.minimum(np.searchsorted(keys_of, mine), n - 1)
+        known = pa.array(keys_of[at] == mine)
+    else:
+        at, known = np.zeros(len(own), np.int64), pa.array(np.zeros(len(own), bool))
+    found = values.take(pa.array(np.where(np.asarray(pc.fill_null(known, False)), at, -1), mask=~np.asarray(pc.fill_null(known, False))))
+    out = found.take(coded.indices)
+    return out if default is None else pc.fill_null(out, pa.scalar(default, out.type))
+
+
+def _lookup_partition(name: str, seed: int, in_col: str, out_col: str, default):
     def fn(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
-        value_set = pa.array(keys_bc.value)
-        ids = pa.array(ids_bc.value, out_type)
+        table = _mapped(name)
         for rb in batches:
             lists = rb.column(in_col)
             if isinstance(lists, pa.ChunkedArray):
                 lists = lists.combine_chunks()
-            pos = pc.index_in(lists.values, value_set=value_set)
-            mapped = pc.take(ids, pos)
-            if default is not None:
-                mapped = pc.fill_null(mapped, pa.scalar(default, out_type))
+            mapped = find_values(table, lists.values, seed, default)
             out = pa.ListArray.from_arrays(lists.offsets, mapped, mask=lists.is_null())
             cols = [rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] != in_col]
             names = [n for n in rb.schema.names if n != in_col]
@@ -191,15 +273,17 @@ def _map_lookup(df: DataFrame, vocab: DataFrame, key_col: str, val_col: str, in_
     # bounded (checked by the caller): the same size class as a broadcast join build side
     tbl = (table.select([key_col, val_col]) if table is not None
            else vocab.select(key_col, val_col).toArrow())
+    keys, values = (tbl.column(i).combine_chunks() for i in (0, 1))
+    keys, values = (c.combine_chunks() if hasattr(c, "combine_chunks") else c for c in (keys, values))
+    values = values.cast(arrow_type)
     if default_key is not None:
-        hits = [v for k, v in zip(tbl.column(0).to_pylist(), tbl.column(1).to_pylist())
-                if k == default_key]
-        default = hits[0] if hits else None
-    keys_bc = spark.sparkContext.broadcast(tbl.column(0).to_pylist())
-    vals_bc = spark.sparkContext.broadcast(tbl.column(1).to_pylist())
+        import pyarrow.compute as pc
+        at = pc.index(keys, default_key).as_py()
+        default = values[at].as_py() if at >= 0 else None
+    name, seed = _index_file(spark, keys, values)
     fields = [f for f in df.schema.fields if f.name != in_col]
     schema = T.StructType(fields + [T.StructField(out_col, T.ArrayType(spark_type), True)])
-    fn = _lookup_partition(keys_bc, vals_bc, in_col, out_col, default, arrow_type)
+    fn = _lookup_partition(name, seed, in_col, out_col, default)
     return df.mapInArrow(fn, schema)
 
 
