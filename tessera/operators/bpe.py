@@ -238,6 +238,35 @@ def merge_runs(runs: list, names: list, ids: dict, most: int, floor: int, hidden
     return out
 
 
+def tied_merges(total: DataFrame, best: int, names: list, ids: dict, most: int, size: int) -> list:
+    """The next merges [(left, right, merged, count)] among pairs that share the best count, by their symbols' names.
+
+    The tie is ordered in Spark, and ``size`` pairs at most come to the driver.  A merge can bring another pair up to the
+    count of the tie only where a tied pair begins with its right symbol or ends with its left one.  So all
+    pairs up to the first such one follow each other as they stand; that one is taken if it is the first."""
+    spark = total.sparkSession
+    symbols = spark.createDataFrame(list(enumerate(names)), "id int, name string")  # the alphabet and the merges so far
+    tie = total.filter(F.col("count") == best).select(F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"))
+    named = (tie.join(symbols.toDF("a", "left"), "a").join(symbols.toDF("b", "right"), "b")
+             .orderBy("left", "right").limit(min(size, most)))
+    starts, ends = tie.select(F.col("a").alias("b"), F.lit(True).alias("on")).distinct(), tie.select(F.col("b").alias("a"), F.lit(True).alias("to")).distinct()
+    rows = named.join(starts, "b", "left").join(ends, "a", "left").orderBy("left", "right").collect()
+    out = []
+    for r in rows:
+        linked = bool(r["on"] or r["to"])
+        if linked and out:
+            break
+        word = r["left"] + r["right"]
+        known = word in ids
+        if not known:
+            ids[word] = len(names)
+            names.append(word)
+        out.append((r["a"], r["b"], ids[word], best))
+        if linked or known:
+            break
+    return out
+
+
 def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_round: int = 4096) -> DataFrame:
     """Learn up to ``n_merges`` merges (fewer: no pair is left).  Returns (rank, left, right, count).
 
@@ -257,6 +286,7 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_r
     ids = {c: i for i, c in enumerate(names)}
     cur = words.filter(F.size("symbols") > 1).mapInArrow(_ids_fn(share(dict(ids))), _SYMS)
     merges, old, size, r = [], None, max(1, per_round), 0
+    tied = False
     while len(merges) < n_merges:
         cur = cur.checkpoint(eager=True) if r and r % checkpoint_every == 0 else cur.persist(StorageLevel.MEMORY_AND_DISK)
         total = cur.mapInArrow(_count_fn, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
@@ -265,9 +295,9 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_r
             top = total.orderBy(F.desc("count")).limit(size + 1).toPandas()
             hidden = len(top) > size
             floor = int(top["count"].iloc[-1]) if hidden else 0
-            if hidden and floor == top["count"].iloc[0]:  # the most frequent pairs are more than were looked at
-                top, floor = total.filter(F.col("count") >= floor).toPandas(), floor - 1
-                hidden = True
+            tied = hidden and floor == top["count"].iloc[0]  # the most frequent pairs are more than were looked at
+            if tied:
+                break
             top = top[top["count"] > floor]
             if not len(top):
                 break
@@ -277,13 +307,18 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_r
             if runs.num_rows <= MAX_RUNS or size == 1:
                 break
             size = max(1, size // 2)
+        left = n_merges - len(merges)
+        if tied:
+            now = tied_merges(total, floor, names, ids, left, size)
+            pairs = np.sort(np.array([a << 32 | b for a, b, _, _ in now], np.int64))
         if old is not None:
             old.unpersist()
         total.unpersist()
         if not len(top):
             break
-        left = n_merges - len(merges)
-        if runs.num_rows <= MAX_RUNS:
+        if tied:
+            pass
+        elif runs.num_rows <= MAX_RUNS:
             rows = [(np.frombuffer(s, np.int32).tolist(), n) for s, n in zip(runs.column(0).to_pylist(), runs.column(1).to_pylist())]
             now = merge_runs(rows, names, ids, left, floor, hidden)
         else:  # a tie so wide that its runs are too many: the merges known from the ranking alone
@@ -296,7 +331,7 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_r
                     ids[name] = len(names)
                     names.append(name)
                 now.append((ids[p["left"]], ids[p["right"]], ids[name], p["count"]))
-        if runs.num_rows * 2 <= MAX_RUNS:
+        if tied or runs.num_rows * 2 <= MAX_RUNS:
             size = min(MAX_PAIRS, size * 2)
         ranks: dict = {}
         for k, (a, b, c, n) in enumerate(now):
