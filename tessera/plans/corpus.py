@@ -165,13 +165,17 @@ class CorpusPlan:
         return self.packed_ids.withColumn("attention_mask", ones_like("input_ids"))
 
     @cached_property
-    def packed_ids(self) -> DataFrame:
-        bs = B.effective_block(self.spec.block_size, self.spec.model_max_length)
+    def placed_ids(self) -> DataFrame:
+        """Ids with their place: (ident…, input_ids, idx, split, split_idx)."""
         ids = self.encoded.select(*self.ident, "input_ids")
         if self.repeats:  # equal rows move as one
             ids = ids.groupBy(*self.ident).agg(F.first("input_ids").alias("input_ids"))
-        rows = self._copies(same_rows(ids, self.index, self.ident))
-        return B.pack_blocks(rows, bs, self.spec.batch_rows, cols=("input_ids",), index_col="split_idx",
+        return self._copies(same_rows(ids, self.index, self.ident))
+
+    @cached_property
+    def packed_ids(self) -> DataFrame:
+        bs = B.effective_block(self.spec.block_size, self.spec.model_max_length)
+        return B.pack_blocks(self.placed_ids, bs, self.spec.batch_rows, cols=("input_ids",), index_col="split_idx",
                              extra_keys=["split"])
 
     @cached_property

@@ -1098,6 +1098,17 @@ def config_diff(spark, sf):
     return cd(read_configs(spark, _supplier_configs(spark, sf)), "run-1")
 
 
+@register("pack_udtf", O.with_corpus(PACK_OUT))
+def pack_udtf(spark, sf):
+    """UDF surface, a map that changes the number of rows: packing by a user's class over ordered batches."""
+    from tessera.operators.usermap import map_ordered, packer
+    cp = CorpusPlan(spark, sf)
+    rows = L.map_batches(cp.placed_ids, SPEC.batch_rows, "split_idx").select("split", "batch_id", "split_idx", "input_ids")
+    packed = map_ordered(rows, packer(SPEC.block_size, ["split", "batch_id"]), "split string, batch_id long, block_no long, input_ids array<int>",
+                         ["split", "batch_id"], ["split_idx"])
+    return _pack_out(packed)
+
+
 @register("shard_batches", """
 WITH ix AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents),
 per AS (SELECT *, (n + 6) // 7 AS per FROM ix)
