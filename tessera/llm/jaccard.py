@@ -2,9 +2,10 @@
 
 1. Every text gets a MinHash signature of its word n-grams, cut into bands;
    ``choose_bands`` finds rows and bands for the target recall at the threshold.
-2. Equal texts become one node.  A shuffle on the band hashes finds the
-   buckets; each member is tied to its bucket's smallest node, and connected
-   components of these ties hold every pair that shares a bucket.
+2. Equal texts become one node, named by the text's MD5.  A shuffle on the
+   band hashes finds the buckets; each member is tied to its bucket's smallest
+   node, and connected components of these ties hold every pair that shares a
+   bucket.
 3. Inside a component every pair is compared on its full n-gram sets.  A
    component goes to one task up to ``BLOCK`` texts and ``BLOCK_CHARS``
    characters; a larger one is cut into blocks, and each pair of blocks is a
@@ -13,6 +14,11 @@
 4. Components of the verified ties are the classes.
 
 No pair of texts that shares a bucket is left out, at any group size.
+
+Null, empty and blank texts have no n-gram and link to nothing; a text of fewer
+words than an n-gram is one n-gram.  Repeated rows count once, ties go to the
+smallest ``doc_id``, an empty table gives no rows, and columns of any name pass
+through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -184,10 +190,36 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, hash binary, chars long, bands array<long>")
 
 
-def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+def repeated(docs: DataFrame, name: str) -> DataFrame | None:
+    """``name``: each ``doc_id`` that is on several rows, or None where there is none."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
+    again = publish(again, "jaccard-again")
+    return again if again.head(1) else None
+
+
+def node_texts(docs: DataFrame, members: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """``node, text``: one row for each node of ``members (node, low)``.
+
+    A text is found by its ``doc_id``.  Rows of the ids in ``again (again_id)``
+    are told apart by their MD5, and equal ones are aggregated first.
+    """
+    text = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    by_id = members.select("node", F.col("low").alias("doc_id")).distinct()
+    if again is None:
+        return text.join(by_id, "doc_id").select("node", "text")
+    same = F.col("doc_id") == F.col("again_id")
+    once = text.join(again, same, "left_anti").join(by_id, "doc_id").select("node", "text")
+    several = text.join(again, same, "left_semi").withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    several = several.groupBy("doc_id", "node").agg(F.min("text").alias("text")).join(by_id, ["doc_id", "node"])
+    return once.unionByName(several.select("node", "text"))
+
+
+def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, again: DataFrame | None = None) -> DataFrame:
     """``node, root, links``: all pairs inside each component compared in blocks.
 
-    ``members``: ``node, comp, weight, chars``.  A node has a row for each group it was in.
+    ``members``: ``node, low, comp, weight, chars``; the text of a node is that of the
+    row of ``docs`` with ``doc_id = low`` and the MD5 ``node``.  A node has a row for
+    each group it was in.
     """
     spark = docs.sparkSession
     sized = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars"))
@@ -198,8 +230,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     placed = members.join(sized.select("comp", "blocks"), "comp")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
-    text = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    rows = placed.join(text, "node")
+    rows = placed.join(node_texts(docs, members, again), "node")
     rows = rows.withColumn("x", F.explode(other)).withColumns({"p": F.least("x", "block"), "q": F.greatest("x", "block")})
     spread = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(units))).otherwise(F.xxhash64("comp", "p", "q"))
     rows = rows.select(spread.alias("unit"), "comp", "p", "q", "node", "block", "weight", "text")
@@ -219,7 +250,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
             low = {}  # rows are in node order, so a tie group's first row has its smallest node
             for i, t in enumerate(tie):
                 low.setdefault(int(t), nodes[i])
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([low[int(t)] for t in tie], pa.int64()),
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([low[int(t)] for t in tie], pa.binary()),
                                                pa.array(np.rint(links).astype("i8"))], names=["node", "root", "links"])
 
         now, group = None, None
@@ -237,35 +268,49 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
         if group and (made := out(group)):
             yield made
 
-    return rows.mapInArrow(work, "node long, root long, links long")
+    return rows.mapInArrow(work, "node binary, root binary, links long")
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
     """``doc_id, class_id, n_links``, a row for each row of ``docs (doc_id, text)``.
 
-    ``class_id`` is the smallest ``doc_id`` that a chain of links reaches;
-    ``n_links`` counts the other documents of similarity ``threshold`` or
-    more, copies included.  Documents without an n-gram (null, empty, blank)
-    link to nothing.  A null ``doc_id`` has a null class and no links; rows
-    that share a ``doc_id`` are one document and share its class.
+    ``class_id`` is the smallest ``doc_id`` that a chain of links reaches; rows
+    that share a ``doc_id`` are in one class.  ``n_links`` counts the other
+    distinct ``(doc_id, text)`` whose text has a similarity of ``threshold`` or
+    more to the row's, copies included: equal rows count once, and a ``doc_id``
+    on several texts counts once a text.  Documents without an n-gram (null,
+    empty, blank) link to nothing.  A null ``doc_id`` has a null class and no
+    links and is nobody's link.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = publish(signatures(docs, bands, rows, n), "jaccard-signatures")
     known = signed.where("doc_id IS NOT NULL AND hash IS NOT NULL")
-    texts = publish(known.groupBy("hash").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.max("chars").alias("chars")), "jaccard-texts")
-    one = known.select("doc_id", "hash", "bands").join(texts.select("hash", "node"), "hash").where("doc_id = node").dropDuplicates(["hash"])
-    keys = one.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    ties = keys.join(buckets.select("key", "low"), "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    items = known.select("doc_id", F.col("hash").alias("node"), "chars").distinct()
+    texts = publish(items.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("weight"),
+                                              F.max("chars").alias("chars")), "jaccard-texts")
+    keys = known.select(F.col("hash").alias("node"), "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    ties = keys.join(buckets.select("key", "first"), "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     comps = components(ties)
-    by_node = texts.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("chars").alias("chars"))
-    members = publish(comps.select("node", F.col("label").alias("comp")).join(by_node, "node"), "jaccard-members")
-    found = publish(verified(members, docs, threshold, n), "jaccard-links")
-    classes = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    per = by_node.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(classes, "node", "left")
-    per = per.select("node", F.coalesce("label", "node").alias("class_id"),
+    members = publish(comps.select("node", F.col("label").alias("comp")).join(texts, "node"), "jaccard-members")
+    again = repeated(docs, "again_id")
+    found = publish(verified(members, docs, threshold, n, again), "jaccard-links")
+    linked = found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if again is not None:  # texts of one doc_id are in one class
+        own = known.join(again, F.col("doc_id") == F.col("again_id"), "left_semi")
+        first = own.groupBy("doc_id").agg(F.min("hash").alias("v"))
+        linked = linked.unionByName(own.select("doc_id", F.col("hash").alias("u")).distinct().join(first, "doc_id").where("u <> v").select("u", "v"))
+    labels = components(linked)
+    classes = labels.join(texts.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("class_id"))
+    classes = publish(labels.join(classes, "label").select("node", "class_id"), "jaccard-classes")
+    per = texts.select("node", "low", "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(classes, "node", "left")
+    per = per.select(F.col("node").alias("hash"), F.coalesce("class_id", "low").alias("class_id"),
                      (F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"))
-    out = signed.select("doc_id", "hash").join(texts.select("hash", "node"), "hash", "left").join(per, "node", "left")
+    out = signed.select("doc_id", "hash").join(per, "hash", "left")
+    if again is not None:  # a text without an n-gram is in the class of its doc_id's others
+        ids = out.where("doc_id IS NOT NULL AND hash IS NOT NULL").groupBy(F.col("doc_id").alias("own_id")).agg(F.min("class_id").alias("own_class"))
+        ids = ids.join(again, F.col("own_id") == F.col("again_id"), "left_semi")
+        out = out.join(ids, F.col("doc_id") == F.col("own_id"), "left").withColumn("class_id", F.coalesce("class_id", "own_class"))
     none = F.col("doc_id").isNull()
     return out.select("doc_id", F.when(~none, F.coalesce("class_id", "doc_id")).alias("class_id"),
                       F.when(none, F.lit(0).cast("long")).otherwise(F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))
@@ -277,17 +322,21 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> D
     Of several rows of that ``doc_id`` the one of the smallest text (null
     first) stays.  Rows without a ``doc_id`` are in no class and stay.
     """
+    own = "id"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
     pairs = join_similar(docs.select("doc_id", "text"), threshold, n)
-    gone = publish(pairs.where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jaccard-gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = publish(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "jaccard-again")
-    if not again.head(1):
+    gone = publish(pairs.where("class_id <> doc_id").select(F.col("doc_id").alias(own)).distinct(), "jaccard-gone")
+    same = F.col("doc_id") == F.col(own)
+    kept = docs.join(gone, same, "left_anti")
+    again = repeated(docs, own)
+    if again is None:
         return kept
-    once = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti")
     row = F.struct(*[F.col(c) for c in docs.columns])
-    first = kept.join(again, F.col("doc_id") == F.col("again_id")).groupBy("again_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")))).alias("row"))
-    return once.unionByName(first.select("row.*"))
+    first = kept.join(again, same).groupBy(own).agg(F.min_by(row, F.struct(F.col("text").isNotNull(), "text")).alias("row"))
+    return kept.join(again, same, "left_anti").unionByName(first.select("row.*"))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, class_id, n_links`` of every row of ``documents``: similarity 0.8 on sets of five words, as ``join_similar`` states."""
     return join_similar(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -130,6 +130,29 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch, block):
     assert kept == {i for i, c in enumerate(low) if i == c}
 
 
+def test_jaccard_join_on_repeated_ids(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    a = [rnd.choice(words) for _ in range(80)]
+    b, other = a[:-1] + ["changed"], [rnd.choice(words) for _ in range(80)]
+    a, b, other, long = " ".join(a), " ".join(b), " ".join(other), "\t" + "z " * 60_000
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, other), (3, None), (4, other), (4, other), (5, long), (5, "alone"), (6, long), (7, ""), (7, None), (None, a), (None, None), (8, "x")]
+    frame = spark.createDataFrame([(i, t, "g", "h") for i, t in rows], "doc_id long, text string, gone_id string, id string")
+    items = sorted({(i, t) for i, t in rows if i is not None and t}, key=str)
+    pairs = {(items[x], items[y]) for x, y in brute_links([t for _, t in items])}
+    low = {i: i for i, _ in rows if i is not None}
+    for _ in rows:
+        for (i, _), (j, _) in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    want = [(i, low.get(i), sum(p == (i, t) for p, _ in pairs)) for i, t in rows]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in jaccard.join_similar(frame).collect())
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [
+        (1, a), (5, long if long < "alone" else "alone"), (7, None), (None, a), (None, None), (8, "x")]))
+    assert jaccard.join_similar(frame.limit(0)).count() == 0 and jaccard.keep_one(frame.limit(0)).count() == 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.9995, 160)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9995 and bands * rows <= 160
