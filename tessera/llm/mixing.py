@@ -168,6 +168,13 @@ def _lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left
     return rows.join(small, cond, how).drop(*names.values())
 
 
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def _struct(columns: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).alias("none"))
+
+
 def assign(docs: DataFrame, levels: int = SHARD_LEVELS, share: float = SHARE, max_repeat: float = MAX_REPEAT,
            weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``docs`` with ``mix_size, mix_source_size, mix_target`` and ``mix_copies``: an array of ``(pass, shard)``.
@@ -175,30 +182,35 @@ def assign(docs: DataFrame, levels: int = SHARD_LEVELS, share: float = SHARE, ma
     Null text has size 0, a null source is a source of its own that sorts
     last, a null ``doc_id`` is one more key; rows of equal ``doc_id`` and
     source are taken together.  A source of no words has target 0.  Empty
-    tables give no rows.  Other columns pass through untouched.
+    tables give no rows.  Other columns pass through untouched, whatever their
+    names; one that bears a name of the four above gives way to the result's.
     """
+    columns = [c for c in docs.columns if c not in ADDED]
+    own = [c for c in columns if c not in ("doc_id", "source", "text")]
     p = plan(docs, levels, share, max_repeat, weights)
-    src = p.select("source", "n_blocks").distinct().withColumnRenamed("n_blocks", "mix_n_blocks")
-    rows = _lookup(sizes(docs.withColumnRenamed("size", "mix_kept_size") if "size" in docs.columns else docs)
-                   .withColumnRenamed("size", "mix_size"), src, ["source"])
-    rows = rows.withColumn("mix_key", draw_key(F.col("doc_id")))
-    rows = rows.withColumn("mix_block", draw_block(F.col("mix_key"), F.col("mix_n_blocks")))
-    p = p.select("source", F.col("block").alias("mix_block"), F.col("source_size").alias("mix_source_size"),
-                 F.col("target").alias("mix_target"), F.col("draws").alias("mix_draws"), F.col("edge_key").alias("mix_edge"))
-    rows = _lookup(rows, p, ["source", "mix_block"])
-    taken = F.filter(F.coalesce("mix_draws", F.array().cast("array<struct<pass:int,shard:int,whole:boolean>>")),
-                     lambda d: d["whole"] | F.col("mix_edge").isNull() | (F.col("mix_key") <= F.col("mix_edge")))
-    rows = rows.withColumn("mix_copies", F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))))
-    rows = rows.drop("mix_n_blocks", "mix_block", "mix_draws", "mix_edge", "mix_key")
-    return rows.withColumnRenamed("mix_kept_size", "size") if "mix_kept_size" in rows.columns else rows
+    src = p.select("source", "n_blocks").distinct()
+    rows = _lookup(sizes(docs.select("doc_id", "source", "text", _struct(own).alias("rest"))), src, ["source"])
+    rows = rows.withColumn("key", draw_key(F.col("doc_id")))
+    rows = rows.withColumn("block", draw_block(F.col("key"), F.col("n_blocks"))).drop("n_blocks")
+    rows = _lookup(rows, p.drop("n_blocks"), ["source", "block"])
+    taken = F.filter(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int,whole:boolean>>")),
+                     lambda d: d["whole"] | F.col("edge_key").isNull() | (F.col("key") <= F.col("edge_key")))
+    copies = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
+    return rows.select(*[F.col("rest").getField(c).alias(c) if c in own else F.col(c) for c in columns], F.col("size").alias("mix_size"),
+                       F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each time it is drawn, plus ``shard`` order in ``mix_shard, mix_order``."""
-    rows = assign(docs, **options)
-    rows = rows.withColumn("mix_copy", F.explode("mix_copies")).withColumn("mix_shard", F.col("mix_copy.shard"))
-    rows = rows.withColumn("mix_order", draw_key(F.lit("row"), F.col("mix_copy.pass"), F.col("doc_id")))
-    return rows.drop("mix_copies", "mix_copy", "mix_size", "mix_source_size", "mix_target")
+    """The mix itself: a row of ``docs`` for each time it is drawn, plus ``shard`` order in ``mix_shard, mix_order``.
+
+    Nulls, repeats and empty tables as in ``assign``; columns of ``docs`` with one of these two names, or of those
+    that ``assign`` adds, are left out.
+    """
+    columns = [c for c in docs.columns if c not in (*ADDED, "mix_shard", "mix_order")]
+    rows = assign(docs.select(*[F.col(f"`{c}`") for c in columns]), **options)
+    rows = rows.select(_struct(columns).alias("row"), F.inline("mix_copies"))
+    order = draw_key(F.lit("row"), F.col("pass"), F.col("row.doc_id"))
+    return rows.select("row.*", F.col("shard").alias("mix_shard"), order.alias("mix_order"))
 
 
 def shuffled(mix: DataFrame) -> DataFrame:
@@ -207,16 +219,34 @@ def shuffled(mix: DataFrame) -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row of ``documents``, and ``shards``: the ``pass:shard`` of each
+    time it is drawn, as the splitting tree deals them, joined by commas (empty if never drawn).  Nulls as in ``assign``."""
     from tessera.llm.common import table
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = assign(docs)
+    return report(assign(docs))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """The columns of the query from those of ``assign``."""
+    dealt = F.transform("mix_copies", lambda c: F.concat(c["pass"].cast("string"), F.lit(":"), c["shard"].cast("string")))
     return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-                       F.col("mix_target").alias("target"),
-                       (F.col("mix_size") * F.size("mix_copies")).alias("taken"))
+                       F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).alias("taken"),
+                       F.concat_ws(",", dealt).alias("shards"))
+
+
+def _tree_sql(levels: int = SHARD_LEVELS) -> str:
+    """The splitting tree's levels, a CTE each: ``t0`` … ``t{levels}`` of ``(source, unit, shard)``."""
+    out = ["t0 AS (SELECT source, unit, 0 AS shard FROM u)"]
+    for n in range(levels):
+        key = f"md5('mix-1/tree{n}/' || shard::VARCHAR || '/' || coalesce(source, 'null') || '/' || unit::VARCHAR)"
+        out.append(f"""t{n + 1} AS (SELECT source, unit, shard * 2 + CASE WHEN rank * 2 > n_node THEN 1 ELSE 0 END AS shard FROM (
+  SELECT source, unit, shard, count(*) OVER (PARTITION BY shard) AS n_node,
+    row_number() OVER (PARTITION BY shard ORDER BY {key}, source, unit) AS rank FROM t{n}))""")
+    return ",\n".join(out)
 
 
-ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
   source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS pool, (sum(source_size) OVER ())::BIGINT AS total FROM s0),
@@ -229,13 +259,23 @@ k AS (SELECT d.doc_id, d.source, d.size, s.source_size, s.target, md5('mix-1/' |
 kb AS (SELECT *, ('0x' || substr(key, 1, 12))::BIGINT % n_blocks AS block FROM k),
 b0 AS (SELECT source, block, sum(size)::BIGINT AS block_size, any_value(source_size) AS source_size, any_value(target) AS target FROM kb GROUP BY source, block),
 b1 AS (SELECT *, (sum(block_size) OVER (PARTITION BY source ORDER BY md5('mix-1/block/' || coalesce(source, 'null') || '/' || block::VARCHAR), block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto,
+  row_number() OVER (PARTITION BY source ORDER BY md5('mix-1/block/' || coalesce(source, 'null') || '/' || block::VARCHAR), block) AS place,
   (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::INT AS passes FROM b0),
 b AS (SELECT *, upto - block_size AS before, target - passes * source_size AS rest FROM b1),
 e0 AS (SELECT kb.source, kb.key, b.before, b.rest, sum(kb.size) OVER (PARTITION BY kb.source ORDER BY kb.key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run,
   sum(kb.size) OVER (PARTITION BY kb.source, kb.key) AS grp FROM kb JOIN b ON kb.source IS NOT DISTINCT FROM b.source AND kb.block = b.block WHERE b.before < b.rest AND b.upto > b.rest),
-e AS (SELECT source, max(key) AS edge_key FROM e0 WHERE before + run - grp / 2.0 <= rest GROUP BY source)
+e AS (SELECT source, max(key) AS edge_key FROM e0 WHERE before + run - grp / 2.0 <= rest GROUP BY source),
+u0 AS (SELECT source, block, place, passes, unnest(range(0, passes + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS pass FROM b),
+u AS (SELECT source, block, passes, pass, row_number() OVER (PARTITION BY source ORDER BY pass, place) AS unit FROM u0),
+{_tree_sql()},
+q AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard, unit) AS n FROM t{SHARD_LEVELS}),
+dealt AS (SELECT u.source, u.block, string_agg(u.pass::VARCHAR || ':' || q.shard::VARCHAR, ',' ORDER BY u.pass, q.shard) AS every,
+  string_agg(u.pass::VARCHAR || ':' || q.shard::VARCHAR, ',' ORDER BY u.pass, q.shard) FILTER (WHERE u.pass < u.passes) AS whole
+  FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source AND u.unit = q.n GROUP BY u.source, u.block)
 SELECT kb.doc_id, kb.size, kb.source_size, kb.target,
   (kb.size * (b.passes + CASE WHEN b.upto <= b.rest THEN 1 WHEN b.before < b.rest AND kb.key <= coalesce(e.edge_key, '') THEN 1
-     WHEN b.before < b.rest AND b.upto <= b.rest THEN 1 ELSE 0 END))::BIGINT AS taken
+     WHEN b.before < b.rest AND b.upto <= b.rest THEN 1 ELSE 0 END))::BIGINT AS taken,
+  coalesce(CASE WHEN b.before < b.rest AND b.upto > b.rest AND kb.key > coalesce(e.edge_key, '') THEN dealt.whole ELSE dealt.every END, '') AS shards
 FROM kb JOIN b ON kb.source IS NOT DISTINCT FROM b.source AND kb.block = b.block LEFT JOIN e ON e.source IS NOT DISTINCT FROM kb.source
+LEFT JOIN dealt ON dealt.source IS NOT DISTINCT FROM b.source AND dealt.block = b.block
 """

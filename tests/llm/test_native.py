@@ -19,8 +19,7 @@ def odd_docs(spark):
 def test_mix_matches_sql_and_caps(spark, odd_docs):
     rows = mixing.assign(odd_docs)
     assert rows.columns[:4] == ["doc_id", "text", "source", "size"]
-    got = rows.select("doc_id", F.col("mix_size").alias("size"), "mix_source_size", "mix_target",
-                      (F.col("mix_size") * F.size("mix_copies")).alias("taken")).collect()
+    got = mixing.report(rows).collect()
     con = duckdb.connect()
     documents = odd_docs.toPandas()  # noqa: F841
     con.register("documents", documents.astype({"doc_id": "Int64"}))
@@ -30,6 +29,24 @@ def test_mix_matches_sql_and_caps(spark, odd_docs):
     assert all(r["taken"] <= 2 * r["size"] for r in got)
 
 
+def test_mix_goes_through_the_tree(spark, odd_docs):
+    dealt = {n: sorted(map(str, mixing.report(mixing.assign(odd_docs, levels=n)).select("doc_id", "shards").collect())) for n in (0, 4)}
+    assert dealt[0] != dealt[4]
+    units = [c for r in mixing.assign(odd_docs).where("mix_source_size > 0").dropDuplicates(["source", "doc_id"]).collect() for c in r["mix_copies"]]
+    assert units and len({c["shard"] for c in units}) > 8
+
+
+def test_mix_keeps_columns_of_any_name(spark, odd_docs):
+    names = ["key", "block", "n_blocks", "rest", "draws", "edge_key", "target", "mix_key", "mix_block", "mix_kept_size", "mix_copy", "pass", "a.b"]
+    rows = odd_docs.select("*", *[F.concat(F.lit(c), F.col("size")).alias(c) for c in names])
+    out = mixing.assign(rows)
+    assert out.columns == [*rows.columns, *mixing.ADDED]
+    assert all(r[c] == c + "x" for r in out.collect() for c in names)
+    mix = mixing.mixture(rows)
+    assert mix.columns == [*rows.columns, "mix_shard", "mix_order"]
+    assert all(r[c] == c + "x" for r in mix.collect() for c in names)
+
+
 def test_mix_shards_are_even_and_empty_tables_pass(spark, odd_docs):
     m = mixing.mixture(odd_docs).groupBy("mix_shard").count().count()
     assert 1 <= m <= 2 ** mixing.SHARD_LEVELS
