@@ -2,10 +2,10 @@
 
 1. Every text gets a MinHash signature of its word n-grams, cut into bands;
    ``choose_bands`` finds rows and bands for the target recall at the threshold.
-2. Equal texts become one node, named by the text's MD5.  A shuffle on the
-   band hashes finds the buckets; each member is tied to its bucket's smallest
-   node, and connected components of these ties hold every pair that shares a
-   bucket.
+2. Equal texts become one node, found by the text's MD5 and given a number
+   when the table of nodes is written.  A shuffle on the band hashes finds the
+   buckets; each member is tied to its bucket's smallest node, and connected
+   components of these ties hold every pair that shares a bucket.
 3. Inside a component every pair is compared on its full n-gram sets.  A
    component goes to one task up to ``BLOCK`` texts and ``BLOCK_CHARS``
    characters; a larger one is cut into blocks, and each pair of blocks is a
@@ -198,28 +198,26 @@ def repeated(docs: DataFrame, name: str) -> DataFrame | None:
 
 
 def node_texts(docs: DataFrame, members: DataFrame, again: DataFrame | None = None) -> DataFrame:
-    """``node, text``: one row for each node of ``members (node, low)``.
+    """``members (node, hash, low, …)`` with the ``text`` of each: of the row with ``doc_id = low`` and the MD5 ``hash``.
 
-    A text is found by its ``doc_id``.  Rows of the ids in ``again (again_id)``
-    are told apart by their MD5, and equal ones are aggregated first.
+    Rows of the ids in ``again (again_id)`` are told apart by their MD5, and
+    equal ones are aggregated first; all other texts are moved once, by id.
     """
     text = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    by_id = members.select("node", F.col("low").alias("doc_id")).distinct()
+    by_id = members.withColumnRenamed("low", "doc_id")
     if again is None:
-        return text.join(by_id, "doc_id").select("node", "text")
+        return by_id.join(text, "doc_id")
     same = F.col("doc_id") == F.col("again_id")
-    once = text.join(again, same, "left_anti").join(by_id, "doc_id").select("node", "text")
-    several = text.join(again, same, "left_semi").withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    several = several.groupBy("doc_id", "node").agg(F.min("text").alias("text")).join(by_id, ["doc_id", "node"])
-    return once.unionByName(several.select("node", "text"))
+    once = by_id.join(text.join(again, same, "left_anti"), "doc_id")
+    several = text.join(again, same, "left_semi").withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary"))))
+    several = several.groupBy("doc_id", "hash").agg(F.min("text").alias("text"))
+    return once.unionByName(by_id.join(several, ["doc_id", "hash"]))
 
 
 def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, again: DataFrame | None = None) -> DataFrame:
     """``node, root, links``: all pairs inside each component compared in blocks.
 
-    ``members``: ``node, low, comp, weight, chars``; the text of a node is that of the
-    row of ``docs`` with ``doc_id = low`` and the MD5 ``node``.  A node has a row for
-    each group it was in.
+    ``members``: ``node, hash, low, comp, weight, chars``, their texts as ``node_texts`` finds them.
     """
     spark = docs.sparkSession
     sized = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars"))
@@ -230,7 +228,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     placed = members.join(sized.select("comp", "blocks"), "comp")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
-    rows = placed.join(node_texts(docs, members, again), "node")
+    rows = node_texts(docs, placed.drop("chars"), again)
     rows = rows.withColumn("x", F.explode(other)).withColumns({"p": F.least("x", "block"), "q": F.greatest("x", "block")})
     spread = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(units))).otherwise(F.xxhash64("comp", "p", "q"))
     rows = rows.select(spread.alias("unit"), "comp", "p", "q", "node", "block", "weight", "text")
@@ -250,7 +248,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
             low = {}  # rows are in node order, so a tie group's first row has its smallest node
             for i, t in enumerate(tie):
                 low.setdefault(int(t), nodes[i])
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([low[int(t)] for t in tie], pa.binary()),
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([low[int(t)] for t in tie], pa.int64()),
                                                pa.array(np.rint(links).astype("i8"))], names=["node", "root", "links"])
 
         now, group = None, None
@@ -268,7 +266,7 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
         if group and (made := out(group)):
             yield made
 
-    return rows.mapInArrow(work, "node binary, root binary, links long")
+    return rows.mapInArrow(work, "node long, root long, links long")
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
@@ -285,10 +283,11 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM,
     bands, rows = choose_bands(threshold, recall)
     signed = publish(signatures(docs, bands, rows, n), "jaccard-signatures")
     known = signed.where("doc_id IS NOT NULL AND hash IS NOT NULL")
-    items = known.select("doc_id", F.col("hash").alias("node"), "chars").distinct()
-    texts = publish(items.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("weight"),
-                                              F.max("chars").alias("chars")), "jaccard-texts")
-    keys = known.select(F.col("hash").alias("node"), "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    items = known.select("doc_id", "hash", "chars").distinct()
+    texts = items.groupBy("hash").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("weight"), F.max("chars").alias("chars"))
+    texts = publish(texts.withColumn("node", F.monotonically_increasing_id()), "jaccard-texts")
+    one = known.select("hash", "bands").dropDuplicates(["hash"]).join(texts.select("hash", "node"), "hash")
+    keys = one.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     ties = keys.join(buckets.select("key", "first"), "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     comps = components(ties)
@@ -297,14 +296,14 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM,
     found = publish(verified(members, docs, threshold, n, again), "jaccard-links")
     linked = found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if again is not None:  # texts of one doc_id are in one class
-        own = known.join(again, F.col("doc_id") == F.col("again_id"), "left_semi")
-        first = own.groupBy("doc_id").agg(F.min("hash").alias("v"))
-        linked = linked.unionByName(own.select("doc_id", F.col("hash").alias("u")).distinct().join(first, "doc_id").where("u <> v").select("u", "v"))
+        own = items.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").join(texts.select("hash", F.col("node").alias("u")), "hash")
+        first = own.groupBy("doc_id").agg(F.min("u").alias("v"))
+        linked = linked.unionByName(own.join(first, "doc_id").where("u <> v").select("u", "v"))
     labels = components(linked)
     classes = labels.join(texts.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("class_id"))
     classes = publish(labels.join(classes, "label").select("node", "class_id"), "jaccard-classes")
-    per = texts.select("node", "low", "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(classes, "node", "left")
-    per = per.select(F.col("node").alias("hash"), F.coalesce("class_id", "low").alias("class_id"),
+    per = texts.select("node", "hash", "low", "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(classes, "node", "left")
+    per = per.select("hash", F.coalesce("class_id", "low").alias("class_id"),
                      (F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"))
     out = signed.select("doc_id", "hash").join(per, "hash", "left")
     if again is not None:  # a text without an n-gram is in the class of its doc_id's others
