@@ -95,6 +95,22 @@ def build_vocab(tokens: DataFrame, size: int | None = None, specials=DEFAULT_SPE
     return add_specials(regular, specials, bounded=False)
 
 
+def read_vocab(spark, path: str, specials=(*DEFAULT_SPECIALS, MASK_TOKEN)) -> DataFrame:
+    """A ``vocab.json`` (one object of token → id) → vocabulary rows, as ``build_vocab`` gives them.
+
+    ``freq`` is 0, as the file counts nothing.  A file that is no such object,
+    a null id, or an id on several tokens raises ``ValueError``.
+    """
+    body = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,int>").alias("m"))
+    vocab = body.select(F.explode("m").alias("token", "token_id"))
+    n, ids, distinct = vocab.agg(F.count(F.lit(1)), F.count("token_id"), F.countDistinct("token_id")).first()
+    if not n:
+        raise ValueError(f"{path} holds no object of tokens and ids")
+    if ids < n or distinct < n:
+        raise ValueError(f"{path} gives {n} tokens {distinct} distinct ids")
+    return vocab.select("token", "token_id", F.lit(0).cast("long").alias("freq"), F.col("token").isin(list(specials)).alias("is_special"))
+
+
 def _specials_frame(spark, tokens):
     return spark.createDataFrame([(t, i + 1) for i, t in enumerate(tokens)], "token string, __ord int")
 

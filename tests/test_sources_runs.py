@@ -125,3 +125,24 @@ def test_read_merges_file(spark, tmp_path):
     words = spark.createDataFrame([("lower",), ("low",), ("x",)], "word string")
     seg = {r.word: r.pieces for r in segment_words(words, m).collect()}
     assert seg == {"lower": ["low", "er"], "low": ["low"], "x": ["x"]}
+
+
+def test_read_vocab_file(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from tessera.operators.tokens import add_specials, encode, read_vocab
+    p = tmp_path / "vocab.json"
+    words = {"<unk>": 0, "low": 1, " \u00e9\"\n": 2, "er": 7, "<|endoftext|>": 3}
+    p.write_text(json.dumps(words))
+    vocab = read_vocab(spark, str(p))
+    assert {r.token: (r.token_id, r.freq, r.is_special) for r in vocab.collect()} == \
+        {t: (i, 0, t in ("<unk>", "<|endoftext|>")) for t, i in words.items()}
+    assert {r.token: r.token_id for r in add_specials(vocab).collect()} == {**words, "<|MASK|>": 8}
+    rows = spark.createDataFrame([(1, ["low", "er", "none", " \u00e9\"\n"]), (2, [])], "doc_id long, tokens array<string>")
+    assert {r.doc_id: r.input_ids for r in encode(rows, vocab, keep=["doc_id"]).collect()} == {1: [1, 7, 0, 2], 2: []}
+    for text in ("", "[1]", '{"a": 1, "b": 1}', '{"a": null}'):
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            read_vocab(spark, str(p))
