@@ -3,15 +3,24 @@
 View 1, text content: hashed character trigrams and word statistics.  View 2,
 page metadata: source, language, and the page's shape (length, lines, shares
 of kinds of characters), never its words.  Each view has a logistic model.
-Each round both are fitted, score a pool of unlabelled documents, and hand
-their confident pseudo-labels to the other view's training set.  At the end
-both are calibrated and combined on a labelled fold that neither was fitted
-on, and every document is scored.
-
-Fitting uses at most ``LABELLED`` labelled documents and about ``POOL``
-unlabelled ones, drawn by a hash of ``doc_id``; those bounds are the
-operator's parameters, so what reaches the driver does not grow with the
-corpus.  Scoring runs over all documents without a shuffle.
+Each round both are fitted, score all unlabelled documents in Spark, and hand
+their most confident pseudo-labels to the other view's training set.  At the
+end both are calibrated and combined on a labelled fold that neither was
+fitted on, and every document is scored.
+
+Fitting uses at most ``LABELLED`` labelled documents, drawn by a hash of
+``doc_id``.  A view hands over the ``HANDED`` documents it is surest of in a
+round, in the classes' labelled proportion: a top-k of all unlabelled
+documents that every task cuts first, then salted groups of equal hash, then
+one group of a bounded size.  So what reaches the driver does not grow with the corpus.
+
+Cases: a null or blank text scores 0 and is not kept; unlabelled rows of equal
+text, language and source count as one candidate, ties go to the smaller hash
+of those three; of several rows of one labelled ``doc_id`` the one with the
+least features is fitted on; rows of a null ``doc_id`` are unlabelled; without
+two labels of each class in both folds every text that is not blank scores the
+share of good labels (0.5 without any); an empty table gives no rows.  Other
+columns of any name pass through ``keep_good`` unchanged.
 """
 
 from __future__ import annotations
@@ -20,13 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import partitions, publish, table
 
-LABELLED, POOL = 8000, 6000
-ROUNDS, CONFIDENT, EXCHANGE = 4, 0.95, 0.1  # EXCHANGE: at most this part of the pool from a view in a round
+LABELLED = 8000
+ROUNDS, CONFIDENT, HANDED = 4, 0.95, 600  # HANDED: documents a view hands over in a round
 BUCKETS, SOURCES, LANGS = 1024, 64, 16
 KEEP_AT = 0.5
 CHUNK_CHARS, CHUNK_DOCS = 500_000, 500
@@ -118,7 +127,7 @@ class Logistic:
             g = np.append(z.T @ err / len(y) + L2 * self.w, err.mean())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-            self.w, self.b = (self.w - step[:-1]).astype("f4"), self.b - step[-1]
+            self.w, self.b = (self.w - step[:-1]).astype("f4"), float(self.b - step[-1])  # single precision stays so
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w + self.b
@@ -159,9 +168,12 @@ class Model:
         return np.column_stack([np.clip(v.logit(x) * c[0] + c[1], -12, 12) for v, x, c in zip(self.views, views, self.calibration, strict=True)])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Fit on labelled rows (given in random order) and an unlabelled pool.
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
+    """Fit on labelled rows (given in random order) and what the views hand each other.
 
+    ``surest(models, given, quota)`` returns for each view the ``(keys, labels,
+    features of the other view)`` it hands over: at most ``quota[c]`` rows of class ``c``,
+    none whose key is in ``given``, the keys the other view was handed before.
     A quarter of the labelled rows is kept for calibration.  With fewer than
     two rows of a class in either part, every score is the share of good rows (0.5 without any).
     """
@@ -170,23 +182,20 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
         return Model([], [], np.zeros(3), float(y.mean()) if len(y) else 0.5)
     own = [[x[:cut]] for x in views]
     labels = [[y[:cut].astype("f4")] for _ in views]
-    models = [Logistic.on(np.concatenate([x[:cut], p])) for x, p in zip(views, pool, strict=True)]
-    given = [np.zeros(len(pool[0]), bool) for _ in models]  # pool rows a view has been handed
+    models = [Logistic.on(x[:cut]) for x in views]
+    given = [np.zeros(0, "i8") for _ in models]  # keys of the rows a view has been handed
     share = y[:cut].mean()
+    quota = tuple(max(1, int(handed * part)) for part in (1 - share, share))  # both classes in their labelled proportion
     for r in range(rounds + 1):
         for k, m in enumerate(models):
             m.fit(np.concatenate(own[k]), np.concatenate(labels[k]), STEPS if r == 0 else STEPS // 3)
-        if r == rounds or not len(pool[0]):
+        if r == rounds:
             break
-        for k, m in enumerate(models):
-            other, p = 1 - k, sigmoid(m.logit(pool[k]))
-            for good, part in ((True, share), (False, 1 - share)):
-                sure = np.flatnonzero(((p >= CONFIDENT) if good else (p <= 1 - CONFIDENT)) & ~given[other])
-                most = max(1, int(EXCHANGE * part * len(p)))  # both classes in their labelled proportion
-                sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][:most]
-                given[other][sure] = True
-                own[other].append(pool[other][sure])
-                labels[other].append(np.full(len(sure), float(good), "f4"))
+        for k, (keys, good, x) in enumerate(surest(models, given[::-1], quota)):
+            other = 1 - k
+            given[other] = np.concatenate([given[other], keys])
+            own[other].append(x)
+            labels[other].append(good.astype("f4"))
     rest = [x[cut:] for x in views]
     held = y[cut:].astype("f8")
     model = Model(models, [_platt(m.logit(x)[:, None], held) for m, x in zip(models, rest, strict=True)], np.zeros(3))
@@ -194,7 +203,77 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
+WIDTHS = (BUCKETS + 4, SOURCES + LANGS + 8)
+
+
+def _stack(rows: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "f2").reshape(-1, width).astype("f4")
+
+
+class Held:
+    """The surest rows of one class by one view that a task has seen, at most ``quota``, a key once."""
+
+    def __init__(self, quota: int, width: int):
+        self.quota = quota
+        self.keys, self.sure, self.x = np.zeros(0, "i8"), np.zeros(0, "f8"), np.zeros((0, width), "f2")
+
+    def add(self, keys: np.ndarray, sure: np.ndarray, x: np.ndarray) -> None:
+        if len(self.keys) == self.quota:  # what cannot enter is not copied
+            enters = sure >= self.sure[-1]
+            keys, sure, x = keys[enters], sure[enters], x[enters]
+        if not len(keys):
+            return
+        keys, sure = np.concatenate([self.keys, keys]), np.concatenate([self.sure, sure])
+        order = np.lexsort((keys, -sure))
+        first = np.unique(keys[order], return_index=True)[1]  # of equal keys the surest
+        order = order[np.sort(first)][:self.quota]
+        self.keys, self.sure, self.x = keys[order], sure[order], np.concatenate([self.x, x.astype("f2")])[order]
+
+
+def surest_rows(spare: DataFrame, models: list[Logistic], given: list[np.ndarray], quota: tuple[int, int]):
+    """What each view hands over (see ``co_train``): the distributed top-k of all rows of ``spare (key, text, lang, source)``.
+
+    A row qualifies where the view's probability of its class is at least
+    ``CONFIDENT``.  Every task keeps its ``quota`` surest rows of a view and class.
+    """
+    level = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def candidates(batches):
+        import pyarrow as pa
+        held = {(k, c): Held(quota[c], WIDTHS[1 - k]) for k in (0, 1) for c in (0, 1)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_DOCS):
+                rows = batch.slice(at, CHUNK_DOCS)
+                keys, part = rows.column(0).to_numpy(zero_copy_only=False), rows.to_pydict()
+                views = features(part["text"], part["lang"], part["source"])
+                for k, m in enumerate(models):
+                    z = m.logit(views[k])
+                    fresh = ~np.isin(keys, given[k])
+                    for c in (0, 1):
+                        sure = z if c else -z
+                        take = np.flatnonzero(fresh & (sure >= level))
+                        held[k, c].add(keys[take], sure[take].astype("f8"), views[1 - k][take])
+        for (k, c), h in held.items():
+            n = len(h.keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, k, "i4")), pa.array(np.full(n, c, "i4")), pa.array(h.keys), pa.array(h.sure), pa.array([r.tobytes() for r in h.x], pa.binary())],
+                names=["view", "good", "key", "sure", "x"])
+
+    found = spare.mapInArrow(candidates, "view int, good int, key long, sure double, x binary")
+    most = F.when(F.col("good") == 1, quota[1]).otherwise(quota[0])
+    # equal keys meet in one salted group, which is cut before the groups of a view and class meet
+    salts = partitions(spare.sparkSession)
+    group = [F.col("view"), F.col("good"), F.pmod(F.col("key"), F.lit(salts))]
+    once = found.withColumn("copy", F.row_number().over(Window.partitionBy("view", "good", "key").orderBy(F.desc("sure")))).where("copy = 1")
+    place = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sure"), "key"))
+    for by in (group, group[:2]):
+        once = once.withColumn("place", place(by)).where((F.col("place") <= max(quota)) & (F.col("place") <= most))
+    got = once.select("view", "good", "key", "sure", "x").toPandas().sort_values(["view", "good", "sure", "key"], ascending=[True, False, False, True])
+    return [(part["key"].to_numpy("i8"), part["good"].to_numpy(), _stack(part["x"], WIDTHS[1 - k]))
+            for k in (0, 1) for part in [got[got["view"] == k]]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED) -> Model:
     """Fit on ``docs (doc_id, text, lang, source)`` and ``labels (doc_id, quality)``.
 
     Labels with a null are left out; a document labelled more than once has
@@ -203,13 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     draw = F.xxhash64(F.col("doc_id"), F.lit("label"))
-    known = known.orderBy(draw, "doc_id").limit(labelled)
-    n = docs.count()
-    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(known.withColumnRenamed("doc_id", "labelled_id")),
-                                                                 F.col("doc_id") == F.col("labelled_id"), "left")
-    million = 1_000_000
-    spare = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pool")), F.lit(million)) < int(million * min(1.0, pool / max(n, 1)))
-    rows = rows.where(F.col("y").isNotNull() | spare).select("doc_id", "text", "lang", "source", "y", draw.alias("draw"))
+    known = known.orderBy(draw, "doc_id").limit(labelled).select(F.col("doc_id").alias("labelled_id"), "y")
+    docs, known = docs.select("doc_id", "text", "lang", "source"), publish(known, "labelled")
+    match = F.col("doc_id") == F.col("labelled_id")
 
     def view(batches):
         import pyarrow as pa
@@ -218,14 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
                 rows = batch.slice(at, CHUNK_DOCS)
                 part = rows.to_pydict()
                 a, b = ([x.astype("f2").tobytes() for x in view] for view in features(part["text"], part["lang"], part["source"]))
-                yield pa.RecordBatch.from_arrays([rows.column(4), rows.column(5), rows.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                                                 names=["y", "draw", "doc_id", "a", "b"])
-
-    got = rows.mapInArrow(view, "y int, draw long, doc_id long, a binary, b binary").toPandas().sort_values(["draw", "doc_id", "y"], kind="stable")
-    stack = lambda part, c, width: np.frombuffer(b"".join(part[c]), "f2").reshape(-1, width).astype("f4")
-    widths = (("a", BUCKETS + 4), ("b", SOURCES + LANGS + 8))
-    good, spare_rows = got[got.y.notna()], got[got.y.isna()]
-    return co_train(tuple(stack(good, c, w) for c, w in widths), good.y.to_numpy("f8"), tuple(stack(spare_rows, c, w) for c, w in widths))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), rows.column(5), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                                 names=["doc_id", "y", "draw", "a", "b"])
+
+    rows = docs.join(F.broadcast(known), match).select("doc_id", "text", "lang", "source", "y", draw.alias("draw"))
+    rows = rows.mapInArrow(view, "doc_id long, y int, draw long, a binary, b binary")
+    one = rows.groupBy("doc_id", "y", "draw").agg(F.min(F.struct("a", "b")).alias("v"))  # rows of one id count once, summed up in the tasks first
+    got = one.select("doc_id", "y", "draw", "v.a", "v.b").toPandas().sort_values(["draw", "doc_id"], kind="stable")
+    spare = docs.join(F.broadcast(known), match, "left_anti").select(F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
+    return co_train((_stack(got["a"], WIDTHS[0]), _stack(got["b"], WIDTHS[1])), got["y"].to_numpy("f8"),
+                    lambda *state: surest_rows(spare, *state), handed=handed)
 
 
 def score_column(spark, model: Model):
