@@ -12,6 +12,18 @@ the languages, so that stray words of another language do not enter.
 
 Bounds: a language has at most ``1 / MIN_SHARE`` n-grams, so sets and filter
 do not grow with the corpus; counts cover all training documents.
+
+Which documents are of a known language is judged by each language's own
+coverage: the share of its training n-grams that its set holds, without those
+seen once (Good and Turing's estimate of what is new in an unseen text).  Both
+rare n-grams that ``MIN_SHARE`` leaves out of a large corpus and scripts of
+many n-grams lower that share, and the bound with it.
+
+Cases: null, empty and letterless texts are ``und`` with score 0; a tie of
+languages goes to the one learned from more n-grams, then the smaller name;
+repeated rows count each time; no training row makes every text ``und``; texts
+of any length are read whole, in pieces of whole documents of about ``CHUNK_CHARS``.
+Other columns of any name pass through ``keep_known`` unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +41,7 @@ HASHES, ROWS_PER_GRAM = 4, 16
 FILTER_BYTES = 128 << 20  # the filters of all languages; more n-grams than fit give more false positives, which are measured and corrected
 CHUNK_CHARS, FLUSH_GRAMS = 300_000, 1_000_000
 UNKNOWN = "und"
-KEEP_AT = 0.4  # a document under this corrected share is of no known language
+KEEP_AT = 0.4  # a document under this part of its language's coverage is of no known language
 
 _LETTER = None
 
@@ -149,6 +161,7 @@ class Filters:
                 np.bitwise_or.at(self.rows[:, w], pos, masks[:, w].astype(kind))
         fill = np.array([self.bits(self.rows, i).mean() for i in range(len(languages))])
         self.false_positive = fill ** HASHES
+        self.coverage = np.ones(len(languages))  # of each language's n-grams; ``learn`` sets it
 
     def bits(self, rows: np.ndarray, i: int) -> np.ndarray:
         """Language ``i``'s bit in each row."""
@@ -187,6 +200,13 @@ class Filters:
         return [self.languages[b] if t else UNKNOWN for b, t in zip(best, total, strict=True)], np.clip(score, 0, 1)
 
 
+    def known(self, texts: list[str | None], at: float = KEEP_AT) -> np.ndarray:
+        """Whether each text's score reaches ``at`` times the coverage of its language (never without a letter)."""
+        lang, score = self.predict(texts)
+        bound = {x: at * c for x, c in zip(self.languages, self.coverage, strict=True)}
+        return np.array([s > 0 and s >= bound[x] for x, s in zip(lang, score, strict=True)], bool)
+
+
 def learn(docs: DataFrame) -> Filters:
     """Filters from ``lang, text`` (rows with a null in either are left out; every other row counts).
 
@@ -203,14 +223,17 @@ def learn(docs: DataFrame) -> Filters:
     common = share.where(F.col("share") >= MIN_SHARE)
     mean = share.groupBy("gram").agg((F.sum("share") / len(languages)).alias("mean"))
     kept = common.join(mean, "gram").where(F.col("share") >= MIN_PART * F.col("mean"))
-    kept = kept.select("lang", "gram").toPandas()  # at most 1 / MIN_SHARE n-grams a language
+    kept = kept.select("lang", "gram", "n").toPandas()  # at most 1 / MIN_SHARE n-grams a language
     grams, at = np.unique(kept["gram"].to_numpy("int64").view("u8"), return_inverse=True)
     number = {x: i for i, x in enumerate(languages)}
     bit = kept["lang"].map(number).to_numpy("int64")
     masks = np.zeros((len(grams), -(-len(languages) // 64)), "u8")
     np.bitwise_or.at(masks, (at, bit // 64), np.uint64(1) << (bit % 64).astype("u8"))
     row_bytes = 8 * masks.shape[1] if len(languages) > 32 else 1 if len(languages) <= 8 else 2 if len(languages) <= 16 else 4
-    return Filters(languages, grams, masks, max(1024, min(ROWS_PER_GRAM * len(grams), FILTER_BYTES // row_bytes)))
+    filters = Filters(languages, grams, masks, max(1024, min(ROWS_PER_GRAM * len(grams), FILTER_BYTES // row_bytes)))
+    again = np.where(kept["n"] > 1, kept["n"], 0)
+    filters.coverage = np.bincount(bit, weights=again, minlength=len(languages)) / np.array([r["total"] for r in totals])
+    return filters
 
 
 def held_out(doc_id: Column) -> Column:
@@ -230,12 +253,17 @@ def predict_column(spark, filters: Filters):
 
 
 def keep_known(docs: DataFrame, at: float = KEEP_AT) -> DataFrame:
-    """``docs`` without the documents of no known language: no letter, or a score under ``at``; columns unchanged.
+    """``docs`` without the documents of no known language: no letter, or a score under ``at`` times their language's coverage; columns unchanged.
 
     Learned from the documents that are not held out.
     """
-    filters = learn(docs.where(~held_out(F.col("doc_id"))))
-    return docs.where(predict_column(docs.sparkSession, filters)()["score"] >= at)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out(F.col("doc_id")))))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.value.known([t if isinstance(t, str) else None for t in texts], at))
+
+    return docs.where(known("text"))
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:

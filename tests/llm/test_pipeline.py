@@ -51,8 +51,9 @@ def test_language_stage_keeps_texts_of_a_known_language(spark, stages):
     before, after = stages["language_id"]
     filters = langid.learn(before.where(~langid.held_out(F.col("doc_id"))))
     texts = before.select("doc_id", "text").collect()
-    _, score = filters.predict([r["text"] for r in texts])
-    assert {r["doc_id"] for r, s in zip(texts, score) if s >= langid.KEEP_AT} == {r["doc_id"] for r in after.select("doc_id").collect()}
+    lang, score = filters.predict([r["text"] for r in texts])
+    bound = dict(zip(filters.languages, langid.KEEP_AT * filters.coverage, strict=True))
+    assert {r["doc_id"] for r, x, s in zip(texts, lang, score) if s > 0 and s >= bound[x]} == {r["doc_id"] for r in after.select("doc_id").collect()}
 
 
 def test_near_duplicate_stage_leaves_one_of_each_class(stages):

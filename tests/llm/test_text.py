@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -189,6 +190,27 @@ def test_language_id(spark):
     assert langid.learn(df.limit(0)).predict(["a"])[0] == ["und"]
 
 
+def test_learned_sets_masks_and_coverage(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdé ") for _ in range(rnd.choice([0, 3, 80]))) for _ in range(60)]
+    langs = [rnd.choice(["x", "x", "y", "z", None]) for _ in texts]
+    filters = langid.learn(docs(spark, [*texts, None, "zz " * 40_000], [*langs, "x", "x"]))
+    count = {}
+    for t, x in zip([*texts, "zz " * 40_000], [*langs, "x"], strict=True):
+        for g in langid.ngrams([t])[0].tolist() if x else ():
+            count.setdefault(x, Counter())[g] += 1
+    total = {x: sum(c.values()) for x, c in count.items()}
+    assert filters.languages == sorted(total, key=lambda x: (-total[x], x))
+    share = {x: {g: n / total[x] for g, n in c.items()} for x, c in count.items()}
+    mean = {g: sum(share[x].get(g, 0) for x in share) / len(share) for c in count.values() for g in c}
+    kept = {x: {g for g, s in share[x].items() if s >= langid.MIN_SHARE and s >= langid.MIN_PART * mean[g] * (1 - 1e-12)} for x in share}
+    for i, x in enumerate(filters.languages):
+        grams = np.array(sorted(mean), "u8")
+        has = filters.bits(filters.masks(grams), i).astype(bool)
+        assert kept[x] <= set(grams[has].tolist()) and has.sum() - len(kept[x]) <= 2  # a filter has no false negative
+        assert abs(filters.coverage[i] - sum(n for g, n in count[x].items() if g in kept[x] and n > 1) / total[x]) < 1e-9
+
+
 def test_co_training(spark):
     rnd = random.Random(4)
     texts, y = [], []
@@ -207,8 +229,44 @@ def test_co_training(spark):
     assert cotrain.fit(df, labels.limit(0)).score(["a", None], ["en"] * 2, ["s"] * 2)[0].tolist() == [0.5, 0.0]
 
 
+def test_views_hand_over_the_surest_of_all_rows(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcXYZ 19!\n") for _ in range(rnd.choice([1, 5, 30, 200]))) for _ in range(400)]
+    texts = [*texts, *[texts[7]] * 150, *texts[:40], None, "", "w " * 30_000]  # a hot text, repeats, empty and long ones
+    df = docs(spark, texts, ["en"] * len(texts)).repartition(5)
+    rows = df.select(cotrain.F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
+    made = [(r["key"], (r["text"], r["lang"], r["source"])) for r in rows.collect()]
+    views = cotrain.features(*[list(c) for c in zip(*[m[1] for m in made], strict=True)])
+    g = np.random.default_rng(3)
+    models = []
+    for x in views:
+        models.append(cotrain.Logistic.on(x))
+        models[-1].w = g.normal(0, 3, x.shape[1]).astype("f4")
+    given = [np.array([made[7][0], made[30][0]]), np.zeros(0, "i8")]
+    quota = (9, 25)
+    got = cotrain.surest_rows(rows, models, given, quota)
+    for k, (keys, good, x) in enumerate(got):
+        z, want = models[k].logit(views[k]), set()
+        for c, sign in ((0, -1), (1, 1)):
+            sure = {m[0]: sign * v for m, v in zip(made, z, strict=True) if sign * v >= np.log(0.95 / 0.05) and m[0] not in given[k]}
+            want |= {(key, c) for key in sorted(sure, key=lambda i: (-sure[i], i))[:quota[c]]}
+        assert set(zip(keys.tolist(), good.tolist(), strict=True)) == want and len(keys) == len(want) > 9
+        of = dict(zip([m[0] for m in made], views[1 - k], strict=True))
+        assert all((of[key].astype("f2") == row).all() for key, row in zip(keys.tolist(), x, strict=True))
+    assert [len(part[0]) for part in cotrain.surest_rows(rows.limit(0), models, given, quota)] == [0, 0]
+
+
+def test_a_labelled_id_on_many_rows_is_one_row_of_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cotrain, "co_train", lambda views, y, surest, handed: seen.append((views[0].shape, views[1].shape, y.tolist())))
+    df = docs(spark, [f"text {i}" for i in range(60)], ["en"] * 60)
+    df = df.withColumn("doc_id", cotrain.F.when(cotrain.F.col("doc_id") < 50, 3).when(cotrain.F.col("doc_id") < 55, cotrain.F.lit(None)).otherwise(cotrain.F.col("doc_id")))
+    cotrain.fit(df, spark.createDataFrame([(3, 1), (57, 0), (58, 1), (99, 1)], "doc_id long, quality int"), labelled=4)
+    assert seen[0][0] == (3, cotrain.BUCKETS + 4) and seen[0][1][0] == 3 and sorted(seen[0][2]) == [0, 1, 1]
+
+
 def test_samples_and_bound_of_the_classifier(spark, monkeypatch):
-    assert (cotrain.LABELLED, cotrain.POOL) == (8000, 6000)
+    assert cotrain.LABELLED == 8000
     monkeypatch.setattr(cotrain, "fit", lambda *_: None)
     monkeypatch.setattr(cotrain, "score_column", lambda *_: lambda: cotrain.F.struct(cotrain.F.col("text").cast("double").alias("q")))
     kept = cotrain.keep_good(docs(spark, ["0.2", "0.4", "0.5", "0.9"]), None)
