@@ -11,9 +11,18 @@ failed start, not after its claimed length.
 
 Archives are written by Spark's file writer (its commit protocol leaves whole
 files of successful tasks alone) and read with ``binaryFile``, so any store
-that Spark reads will do.  The reader holds one file at a time in a task:
-``RECORDS_BYTES`` is about what the writer puts in one.  A gzip member is inflated whole;
-one whose CRC or end is missing is a gap, with all its records.
+that Spark reads will do.  The reader holds one file at a time in a task; the
+writer deals records to files by their running bytes, so a file holds
+``RECORDS_BYTES`` and one record more at most.  A gzip member is inflated
+whole; of one whose CRC or end is missing what was inflated before the damage is
+walked like any other bytes, and the rest is a gap.  Digests are compared as
+Base32 or as hex of any case; folded header lines are joined.
+
+Cases: a null or empty payload is a record of 0 bytes; a null ``page_id`` is the
+smallest id; rows that repeat the largest id of a payload are all responses; blanks
+and control characters are not written into a URI (a null or empty one is
+``urn:no-url``); payloads of any length up to the reader's file bound of 2 GB; no
+pages: no record.  Columns but ``page_id, url, payload`` are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +42,11 @@ from tessera.llm.common import publish, scratch, table
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
 RECORDS_BYTES = 32 << 20
+INFLATE_BYTES = 1 << 16
 MAX_BROADCAST_ROWS = 1_000_000  # about 60 bytes each
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+FOLD = re.compile(rb"\r\n[ \t]+")
 HEADER_END = re.compile(rb"\r\n\r\n")
 FIELDS = ("kind string, path string, at long, length long, reason string, record_type string, record_id string, "
           "target_uri string, refers_to_id string, payload_digest string, payload_bytes long, payload binary")
@@ -59,6 +70,20 @@ def make_record(kind: str, record_id: str, uri: str, payload: bytes, digest: str
     return "\r\n".join(head).encode() + CRLF * 2 + block + CRLF * 2
 
 
+def _digest_differs(want: str | None, data: bytes) -> bool:
+    """Whether a ``sha1:`` digest, Base32 or hex, is not that of ``data``; other algorithms are not checked."""
+    name, _, value = (want or "").partition(":")
+    if name.lower() != "sha1":
+        return False
+    made = hashlib.sha1(data).digest()
+    return made.hex() != value.lower() if len(value) == 40 else sha1_base32(data) != value.upper()
+
+
+def _base32(digest: str) -> str:
+    """A SHA-1 digest given as hex or Base32, as upper-case Base32."""
+    return base64.b32encode(bytes.fromhex(digest)).decode() if len(digest) == 40 else digest.upper()
+
+
 def parse_record(data: bytes | memoryview, start: int) -> tuple[int, dict]:
     """The record at ``start``: its end and fields.  Raises ``ValueError`` with the failed check."""
     view = memoryview(data)
@@ -69,7 +94,7 @@ def parse_record(data: bytes | memoryview, start: int) -> tuple[int, dict]:
         raise ValueError("no end of header")
     window, end = bytes(view[start:found.start()]), found.start() - start
     fields: dict[str, str] = {}
-    for line in window.split(CRLF)[1:]:
+    for line in FOLD.sub(b" ", window).split(CRLF)[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
@@ -81,37 +106,48 @@ def parse_record(data: bytes | memoryview, start: int) -> tuple[int, dict]:
     if stop + 4 > len(view) or bytes(view[stop:stop + 4]) != CRLF * 2:
         raise ValueError("no end mark after the block")
     block = bytes(view[body:stop])
-    if (want := fields.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != sha1_base32(block):
+    if _digest_differs(fields.get("warc-block-digest"), block):
         raise ValueError("block digest differs")
     kind = fields.get("warc-type", "")
     http, sep, payload = block.partition(CRLF * 2) if "application/http" in fields.get("content-type", "") else (b"", b"", block)
-    digest = fields.get("warc-payload-digest", "")
-    digest = digest[5:] if digest.startswith("sha1:") else None
+    want = fields.get("warc-payload-digest")
     size = len(payload)
     if kind == "revisit":
         found = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         size = int(found[1]) if found else None
-    elif digest is not None and digest != sha1_base32(payload):
+    elif _digest_differs(want, payload):
         raise ValueError("payload digest differs")
+    digest = _base32(want[5:]) if (want or "")[:5].lower() == "sha1:" else None
     strip = lambda s: s[1:-1] if s and s.startswith("<") else s
     return stop + 4, {"record_type": kind, "record_id": strip(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"),
                       "refers_to_id": strip(fields.get("warc-refers-to")), "payload_digest": digest, "payload_bytes": size,
                       "payload": None if kind == "revisit" else payload}
 
 
-def inflate_member(data: bytes | memoryview, start: int) -> tuple[int, bytes]:
-    """The gzip member at ``start``: its end and its bytes.  Raises ``ValueError`` with the failed check."""
+def inflate_member(data: bytes | memoryview, start: int) -> tuple[int, bytes, str]:
+    """The gzip member at ``start``: its end, its bytes, and the failed check (empty if none).
+
+    Of a damaged member: the bytes inflated before the damage; the step that fails is repeated byte by byte.
+    """
     inflate = zlib.decompressobj(31)
     out, at, view = [], start, memoryview(data)
-    try:
-        while not inflate.eof and at < len(view):
-            out.append(inflate.decompress(view[at:at + (1 << 20)]))
-            at += 1 << 20
-    except zlib.error as e:
-        raise ValueError(f"gzip member: {e}") from None
+    while not inflate.eof and at < len(view):
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(view[at:at + INFLATE_BYTES]))
+        except zlib.error as e:
+            why, stop = f"gzip member: {e}", min(at + INFLATE_BYTES, len(view))
+            try:
+                while at < stop:
+                    out.append(before.decompress(view[at:at + 1]))
+                    at += 1
+            except zlib.error:
+                pass
+            return at, b"".join(out), why
+        at += INFLATE_BYTES
     if not inflate.eof:
-        raise ValueError("gzip member cut short")
-    return min(at, len(view)) - len(inflate.unused_data), b"".join(out)
+        return len(view), b"".join(out), "gzip member cut short"
+    return min(at, len(view)) - len(inflate.unused_data), b"".join(out), ""
 
 
 def walk(data: bytes, start: int = 0, gzipped: bool = True) -> Iterator[dict]:
@@ -120,7 +156,14 @@ def walk(data: bytes, start: int = 0, gzipped: bool = True) -> Iterator[dict]:
     while at < len(data):
         try:
             if gzipped and data[at:at + 3] == b"\x1f\x8b\x08":
-                end, plain = inflate_member(data, at)
+                end, plain, damage = inflate_member(data, at)
+                if damage:
+                    saved = [r | {"at": at, "length": 0} for r in walk(plain, gzipped=False) if r["kind"] == "record"]
+                    if saved and gap is not None:
+                        yield {"kind": "gap", "at": gap, "length": at - gap, "reason": why}
+                        gap = None
+                    yield from saved
+                    raise ValueError(damage)
                 inner = walk(plain, gzipped=False)
                 head = list(islice(inner, 2))  # a gap is followed by a record or by nothing
                 if not any(r["kind"] == "record" for r in head):
@@ -150,7 +193,8 @@ def salvage(data: bytes) -> Iterator[dict]:
     A record is ``kind='record'``; a gap is ``kind='gap'`` with the failed
     check of its first byte in ``reason``.  ``at`` and ``length`` are bytes of
     the file; records and gaps cover the file without overlap, but for those inside
-    one gzip member, which all have the member's bytes.  Empty file: nothing.
+    one gzip member, which all have the member's bytes.  Records saved from a damaged
+    member have its start and length 0; its bytes are in the gap that follows.  Empty file: nothing.
     """
     yield from walk(data)
 
@@ -197,9 +241,11 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return hexes.join(F.broadcast(repeats) if n <= MAX_BROADCAST_ROWS else repeats, "sha", "left")
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, file_bytes: int = RECORDS_BYTES) -> None:
     """Write ``page_id, url, payload`` (binary, null: empty) as WARC archives under ``path``.
 
+    A task begins its next file (a folder ``archive=N`` has the N-th of each task) once one holds ``file_bytes``.
+
     Of pages with equal payloads the one with the largest ``page_id`` is the
     response and the others revisit it; rows that repeat that id are responses too.
     A null ``page_id`` is the smallest id.
@@ -210,6 +256,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     def records(batches):
         import pyarrow as pa
+        batch_of = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array([r for r, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int32())], names=["record", "archive"])
+        archive, filled = 0, 0  # the number of the task's file, and its bytes so far
         for batch in batches:
             out, held = [], 0
             cols = [batch.column(c) for c in ("page_id", "url", "payload", "response_id", "first")]
@@ -218,25 +267,41 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 uri = re.sub(r"[\x00-\x20\x7f]+", "", url or "") or "urn:no-url"
                 r = make_record("response" if first else "revisit", f"urn:page:{page}", uri, payload, sha1_base32(payload),
                                 None if first else f"urn:page:{response}")
-                out.append(r[:-2])  # the writer ends each row with the last CRLF
+                if filled >= file_bytes:
+                    archive, filled = archive + 1, 0
+                filled += len(r)
+                out.append((r[:-2], archive))  # the writer ends each row with the last CRLF
                 held += len(r)
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    yield batch_of(out)
                     out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+            yield batch_of(out)
+
+    made = rows.mapInArrow(records, "record binary, archive int").select(F.col("record").cast("string").alias("value"), "archive")
+    made.write.partitionBy("archive").option("lineSep", "\r\n").text(path)
 
-    made = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    mean = pages.select(F.avg(F.octet_length("payload") + 700)).first()[0] or 1.0
-    made.write.option("maxRecordsPerFile", max(1, int(RECORDS_BYTES / mean))).option("lineSep", "\r\n").text(path)
+
+def salvage_to(spark: SparkSession, path: str, out: str, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Read the archives under ``path`` once, write what was found under ``out``, and return ``(records, gaps)``.
+
+    The folder ``kind=gap`` is the quarantine log: file, first byte, length and failed check of every gap.
+    """
+    found = read_archives(spark, path, payloads)
+    found.write.partitionBy("kind").parquet(out)
+    back = spark.read.schema(found.schema).parquet(out)
+    return back.where("kind = 'record'"), back.where("kind = 'gap'").select("path", "at", "length", "reason")
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page as read back from its archive record; a gap in the archives just written is an error, not a lost page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     path = scratch(spark, "warc")
     write_archives(pages, path)
+    found, gaps = salvage_to(spark, path, scratch(spark, "warc-read"), payloads=False)
+    if lost := gaps.head(5):
+        raise ValueError(f"quarantined bytes in the archives under {path}: {lost}")
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    found = read_archives(spark, path, payloads=False).where("kind = 'record'")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         F.when(F.col("record_type") == "revisit", number("refers_to_id")).alias("refers_to"))
 

@@ -1,6 +1,10 @@
 """Mixing, chat formatting and WARC on small hand-made rows."""
 
+import glob
 import gzip
+import hashlib
+import os
+import random
 
 import duckdb
 import pytest
@@ -94,7 +98,7 @@ def test_salvage_recovers_after_damage():
     data = b"junk" + r[0] + r[1][:-30] + r[2][:100] + r[2] + gzip.compress(r[3]) + gzip.compress(r[0])[:-4] + r[3]
     out = list(warc.salvage(data))
     good = [x["record_id"] for x in out if x["kind"] == "record"]
-    assert good == ["urn:page:0", "urn:page:2", "urn:page:3", "urn:page:3"]
+    assert good == ["urn:page:0", "urn:page:2", "urn:page:3", "urn:page:0", "urn:page:3"]  # the member without its end gives its sound record
     end = 0
     for x in out:  # records and gaps cover the file
         assert x["at"] == end
@@ -138,3 +142,49 @@ def test_long_url_round_trip(spark, tmp_path):
     warc.write_archives(pages, f"file://{tmp_path}/w")
     got = {(r["kind"], r["record_id"], len(r["target_uri"])) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
     assert got == {("record", "urn:page:1", 100_006), ("record", "urn:page:2", 1)}
+
+
+def test_damaged_member_gives_the_records_before_the_damage():
+    rnd = random.Random(1)
+    texts = [bytes(rnd.randrange(33, 127) for _ in range(6000)) for _ in range(4)]
+    r = [warc.make_record("response", f"urn:page:{i}", "urn:x", t, warc.sha1_base32(t)) for i, t in enumerate(texts)]
+    member = bytearray(gzip.compress(b"".join(r)))
+    member[len(member) * 5 // 8] ^= 0xFF
+    data = b"junk" + bytes(member) + gzip.compress(r[3])
+    out = list(warc.salvage(data))
+    got = [x["record_id"] for x in out if x["kind"] == "record"]
+    assert got[:2] == ["urn:page:0", "urn:page:1"] and got[-1] == "urn:page:3"
+    assert [(x["at"], x["length"]) for x in out if x["kind"] == "gap"] == [(0, 4), (4, len(member))]
+
+
+def test_hex_digests_and_folded_header_lines():
+    data = b"abc"
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + data
+    head = ("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: urn:a\r\n  b\r\nContent-Type: application/http\r\n"
+            f"WARC-Payload-Digest: sha1:{hashlib.sha1(data).hexdigest().upper()}\r\nWARC-Block-Digest: SHA1:{hashlib.sha1(block).hexdigest()}\r\n"
+            f"Content-Length: {len(block)}\r\n\r\n").encode()
+    (out,) = warc.salvage(head + block + b"\r\n\r\n")
+    assert (out["kind"], out["target_uri"], out["payload_digest"], out["payload"]) == ("record", "urn:a b", warc.sha1_base32(data), data)
+    (gap,) = warc.salvage(head + block.replace(b"abc", b"abd") + b"\r\n\r\n")
+    assert gap["kind"] == "gap"
+
+
+def test_files_are_cut_by_bytes_and_gaps_are_logged(spark, tmp_path):
+    sizes = [50_000 if i % 50 == 0 else 10 for i in range(400)]
+    pages = spark.createDataFrame([(i, None if i % 3 else f"u {i}", bytes([i % 251]) * n + str(i).encode()) for i, n in enumerate(sizes)]
+                                  + [(1000, "a", None), (1000, "b", None), (None, "c", None)], "page_id long, url string, payload binary").coalesce(2)
+    path = f"{tmp_path}/w"
+    warc.write_archives(pages, f"file://{path}", file_bytes=60_000)
+    files = sorted(f for f in glob.glob(f"{path}/*/part-*"))
+    assert len(files) > 4 and max(os.path.getsize(f) for f in files) <= 60_000 + 51_000
+    records, gaps = warc.salvage_to(spark, f"file://{path}", f"file://{tmp_path}/r")
+    assert records.count() == 403 and gaps.count() == 0
+    with open(files[0], "r+b") as f:
+        f.write(b"XXXX")
+    crc = os.path.join(os.path.dirname(files[0]), f".{os.path.basename(files[0])}.crc")
+    os.remove(crc)  # the file system's own checksum
+    records, gaps = warc.salvage_to(spark, f"file://{path}", f"file://{tmp_path}/r2")
+    (gap,) = gaps.collect()
+    assert records.count() == 402 and gap["at"] == 0 and gap["reason"] == "no version line"
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+    assert [d.count() for d in warc.salvage_to(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/r3")] == [0, 0]
