@@ -12,7 +12,8 @@ Fitting uses at most ``LABELLED`` labelled documents, drawn by a hash of
 ``doc_id``.  A view hands over the ``HANDED`` documents it is surest of in a
 round, in the classes' labelled proportion: a top-k of all unlabelled
 documents that every task cuts first, then salted groups of equal hash, then
-one group of a bounded size.  So what reaches the driver does not grow with the corpus.
+one group of a bounded size.  Both views of the unlabelled documents are
+computed once and written; a round reads them.  So what reaches the driver does not grow with the corpus.
 
 Cases: a null or blank text scores 0 and is not kept; unlabelled rows of equal
 text, language and source count as one candidate, ties go to the smaller hash
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, publish, table
+from tessera.llm.common import partitions, publish, scratch, table
 
 LABELLED = 8000
 ROUNDS, CONFIDENT, HANDED = 4, 0.95, 600  # HANDED: documents a view hands over in a round
@@ -206,7 +207,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, rounds
 WIDTHS = (BUCKETS + 4, SOURCES + LANGS + 8)
 
 
-def _stack(rows: pd.Series, width: int) -> np.ndarray:
+def _stack(rows: pd.Series | list, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "f2").reshape(-1, width).astype("f4")
 
 
@@ -230,8 +231,24 @@ class Held:
         self.keys, self.sure, self.x = keys[order], sure[order], np.concatenate([self.x, x.astype("f2")])[order]
 
 
+def feature_rows(rows: DataFrame, keep: str) -> DataFrame:
+    """``rows (text, lang, source, ...)`` as ``a, b``, both views in half precision, and the columns of the schema ``keep``."""
+    names = [c.split()[0] for c in keep.split(", ")]
+
+    def view(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_DOCS):
+                part = batch.slice(at, CHUNK_DOCS)
+                made = features(*[part.column(c).to_pylist() for c in range(3)])
+                views = [pa.array([x.astype("f2").tobytes() for x in view], pa.binary()) for view in made]
+                yield pa.RecordBatch.from_arrays([*views, *[part.column(3 + i) for i in range(len(names))]], names=["a", "b", *names])
+
+    return rows.select("text", "lang", "source", *names).mapInArrow(view, f"a binary, b binary, {keep}")
+
+
 def surest_rows(spare: DataFrame, models: list[Logistic], given: list[np.ndarray], quota: tuple[int, int]):
-    """What each view hands over (see ``co_train``): the distributed top-k of all rows of ``spare (key, text, lang, source)``.
+    """What each view hands over (see ``co_train``): the distributed top-k of all rows of ``spare (key, a, b)``.
 
     A row qualifies where the view's probability of its class is at least
     ``CONFIDENT``.  Every task keeps its ``quota`` surest rows of a view and class.
@@ -244,8 +261,8 @@ def surest_rows(spare: DataFrame, models: list[Logistic], given: list[np.ndarray
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_DOCS):
                 rows = batch.slice(at, CHUNK_DOCS)
-                keys, part = rows.column(0).to_numpy(zero_copy_only=False), rows.to_pydict()
-                views = features(part["text"], part["lang"], part["source"])
+                keys = rows.column(0).to_numpy(zero_copy_only=False)
+                views = [_stack(rows.column(1 + k).to_pylist(), WIDTHS[k]) for k in (0, 1)]
                 for k, m in enumerate(models):
                     z = m.logit(views[k])
                     fresh = ~np.isin(keys, given[k])
@@ -259,7 +276,7 @@ def surest_rows(spare: DataFrame, models: list[Logistic], given: list[np.ndarray
                 [pa.array(np.full(n, k, "i4")), pa.array(np.full(n, c, "i4")), pa.array(h.keys), pa.array(h.sure), pa.array([r.tobytes() for r in h.x], pa.binary())],
                 names=["view", "good", "key", "sure", "x"])
 
-    found = spare.mapInArrow(candidates, "view int, good int, key long, sure double, x binary")
+    found = spare.select("key", "a", "b").mapInArrow(candidates, "view int, good int, key long, sure double, x binary")
     most = F.when(F.col("good") == 1, quota[1]).otherwise(quota[0])
     # equal keys meet in one salted group, which is cut before the groups of a view and class meet
     salts = partitions(spare.sparkSession)
@@ -286,21 +303,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: in
     docs, known = docs.select("doc_id", "text", "lang", "source"), publish(known, "labelled")
     match = F.col("doc_id") == F.col("labelled_id")
 
-    def view(batches):
-        import pyarrow as pa
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_DOCS):
-                rows = batch.slice(at, CHUNK_DOCS)
-                part = rows.to_pydict()
-                a, b = ([x.astype("f2").tobytes() for x in view] for view in features(part["text"], part["lang"], part["source"]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), rows.column(5), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                                                 names=["doc_id", "y", "draw", "a", "b"])
-
-    rows = docs.join(F.broadcast(known), match).select("doc_id", "text", "lang", "source", "y", draw.alias("draw"))
-    rows = rows.mapInArrow(view, "doc_id long, y int, draw long, a binary, b binary")
+    rows = docs.join(F.broadcast(known), match).withColumn("draw", draw)
+    rows = feature_rows(rows, "doc_id long, y int, draw long")
     one = rows.groupBy("doc_id", "y", "draw").agg(F.min(F.struct("a", "b")).alias("v"))  # rows of one id count once, summed up in the tasks first
     got = one.select("doc_id", "y", "draw", "v.a", "v.b").toPandas().sort_values(["draw", "doc_id"], kind="stable")
-    spare = docs.join(F.broadcast(known), match, "left_anti").select(F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
+    # the views are computed once; every round reads them
+    spare = feature_rows(docs.join(F.broadcast(known), match, "left_anti").withColumn("key", F.xxhash64("text", "lang", "source")), "key long")
+    path = scratch(docs.sparkSession, "views")
+    spare.write.option("compression", "zstd").parquet(path)
+    spare = docs.sparkSession.read.schema(spare.schema).parquet(path)
     return co_train((_stack(got["a"], WIDTHS[0]), _stack(got["b"], WIDTHS[1])), got["y"].to_numpy("f8"),
                     lambda *state: surest_rows(spare, *state), handed=handed)
 

@@ -236,7 +236,8 @@ def test_views_hand_over_the_surest_of_all_rows(spark):
     df = docs(spark, texts, ["en"] * len(texts)).repartition(5)
     rows = df.select(cotrain.F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
     made = [(r["key"], (r["text"], r["lang"], r["source"])) for r in rows.collect()]
-    views = cotrain.features(*[list(c) for c in zip(*[m[1] for m in made], strict=True)])
+    views = [x.astype("f2").astype("f4") for x in cotrain.features(*[list(c) for c in zip(*[m[1] for m in made], strict=True)])]
+    rows = cotrain.feature_rows(rows, "key long")
     g = np.random.default_rng(3)
     models = []
     for x in views:
