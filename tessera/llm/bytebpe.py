@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 #: Where the standard library's character classes agree with the vocabulary's own patterns.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
@@ -24,6 +26,8 @@ def byte_alphabet() -> dict[int, str]:
 
 
 ALPHABET = byte_alphabet()
+SPACE = ALPHABET[32]
+ENDS = tuple(".,;:!?)")  # a word and one of these are two pre-tokens
 
 
 def to_symbols(text: str) -> str:
@@ -45,13 +49,18 @@ class _Pieces(dict):
         self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
         if len(self) >= MEMO:
             self.clear()
-        ids = np.array([t.id for t in self.model.tokenize(to_symbols(piece))], dtype="<u4").tobytes()
+        ids = self.of(to_symbols(piece))
         self[piece] = ids
         return ids
 
+    def of(self, symbols: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(symbols)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
 
 class _Runs(dict):
     """Text between two spaces -> the ids of it and the space before it; filled on a miss, emptied when full."""
@@ -64,7 +73,12 @@ class _Runs(dict):
         return b"".join(map(self.pieces.__getitem__, GPT2_WORDS.findall(run)))
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.of(" " + run)
+        if run.isalpha():  # one pre-token, remembered here alone; letters of ASCII are their own symbols
+            ids = self.pieces.of(SPACE + run if run.isascii() else to_symbols(" " + run))
+        elif run[-1:] in ENDS and run[:-1].isalpha():
+            ids = self[run[:-1]] + self.pieces[run[-1]]
+        else:
+            ids = self.of(" " + run)
         if len(run) <= RUN_CHARS:
             if len(self) >= RUN_MEMO:
                 self.clear()

@@ -334,3 +334,12 @@ def test_unordered_merge_lists_use_the_rule():
     assert not m.ordered
     for word in ("abc", "abca", "cabc", "abcabcab", "ccaab"):
         assert [tokens[t] for run in transduce(m, word) for t in run] == m.merge(list(word))
+
+
+def test_words_and_their_marks_are_encoded_without_the_pattern():
+    """A word, or a word and a closing mark, is cut without the word pattern and remembered once; ids are the library's."""
+    texts = ["wörd, é. a; b ñandú! q) (x) end", "ª º µ aª, 3, a1. _a a_, İ, ſ, ŉ. ǅ!", "I 't. don't, ,, a.. a!? x'", "naïve naïve, naïve", ""]
+    one = bytebpe.ByteBpe(bytebpe.vocabulary("byte_bpe_50k.json"))
+    for _ in range(2):  # from the model, then from what is remembered
+        assert [one.encode(t).tolist() for t in texts] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " naïve" not in one.pieces and {"naïve", "naïve,"} <= set(one.runs)
