@@ -49,13 +49,19 @@ CONFIG_SCHEMA = T.StructType([
 ])
 
 
-def read_configs(spark, path: str, schema: T.StructType = CONFIG_SCHEMA) -> DataFrame:
+RECORD_MARK = "\x1e"  # ends a config in a file of many: JSON escapes control characters, so no config holds it
+
+
+def read_configs(spark, path: str, schema: T.StructType = CONFIG_SCHEMA, many: bool = False) -> DataFrame:
     """Multi-line JSON run configs with a fixed schema; keys outside it are in ``all_keys``.
 
     Each file is read once as whole text and parsed with ``from_json``;
     ``unknown_keys`` lists the top-level keys the schema does not declare.
+    ``many``: a file holds any number of configs, each ended by ``RECORD_MARK`` and read whole, so
+    a folder costs its bytes and not a listing, an opening and a commit a config.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("config_file", F.input_file_name())
+    lines = spark.read.text(path, lineSep=RECORD_MARK) if many else spark.read.text(path, wholetext=True)
+    raw = lines.withColumn("config_file", F.input_file_name())
     return parse_configs(raw, "value", schema, keep=["config_file"])
 
 

@@ -1072,7 +1072,8 @@ def config_scan(spark, sf):
 
 
 def _supplier_configs(spark, sf: str) -> str:
-    """Run configs as JSON files, one a supplier; returns their folder."""
+    """Run configs as JSON, one a supplier, many to a file; returns their folder."""
+    from tessera.operators.runs import RECORD_MARK
     path = scratch_path(spark, "configs")
     s = read_table(spark, sf, "supplier")
     key = F.col("s_suppkey")
@@ -1080,7 +1081,7 @@ def _supplier_configs(spark, sf: str) -> str:
         F.concat(F.lit("run-"), key).alias("run_name"), F.col("s_nationkey").cast("long").alias("seed"),
         (F.lit(128) * (1 + key % 3)).cast("long").alias("block_size"), (key % 2 == 0).alias("bf16"),
         F.when(key % 3 == 0, F.concat(F.lit("head-"), F.col("s_nationkey"))).alias("rotatinghead")))  # a null key is left out
-    s.select(made.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    s.select(made.alias("value")).write.mode("overwrite").text(path, lineSep=RECORD_MARK)
     return path
 
 
@@ -1093,9 +1094,9 @@ long AS (SELECT run_name, 'seed' AS key, seed AS value FROM cfg UNION ALL SELECT
 SELECT l.key, l.run_name, l.value, b.value AS baseline FROM long l JOIN long b ON b.key = l.key AND b.run_name = 'run-1'
 WHERE l.run_name <> 'run-1' AND l.value IS DISTINCT FROM b.value""")
 def config_diff(spark, sf):
-    """Config files read whole and compared with a baseline's, keys outside the schema too."""
+    """Configs read whole from their files and compared with a baseline's, keys outside the schema too."""
     from tessera.operators.runs import config_diff as cd, read_configs
-    return cd(read_configs(spark, _supplier_configs(spark, sf)), "run-1")
+    return cd(read_configs(spark, _supplier_configs(spark, sf), many=True), "run-1")
 
 
 @register("pack_udtf", O.with_corpus(PACK_OUT))

@@ -146,3 +146,20 @@ def test_read_vocab_file(spark, tmp_path):
         p.write_text(text)
         with pytest.raises(ValueError):
             read_vocab(spark, str(p))
+
+
+def test_many_configs_to_a_file(spark, tmp_path):
+    """Configs of a table go to a few files, not one each, and are read whole, lines within them too."""
+    import os
+
+    from tessera.operators import runs as R
+    from tessera.plans import registry as P
+    rows = [(i, f"s{i}", i % 25, 0.0) for i in range(1, 501)] + [(None, "none", 3, 0.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(2).write.parquet(str(tmp_path / "supplier.parquet"))
+    folder = P._supplier_configs(spark, str(tmp_path))
+    assert len([f for f in os.listdir(folder.removeprefix("file:")) if f.startswith("part-")]) <= 2
+    got = {r["run_name"]: r["seed"] for r in R.read_configs(spark, folder, many=True).collect()}
+    assert got == {None if k is None else f"run-{k}": n for k, _, n, _ in rows}
+    (tmp_path / "two.json").write_text('{"run_name": "a",\n "seed": 1}\n\x1e{"run_name": "b",\r\n "seed": 2}\x1e')
+    pairs = R.read_configs(spark, str(tmp_path / "two.json"), many=True).select("run_name", "seed").collect()
+    assert sorted(map(tuple, pairs)) == [("a", 1), ("b", 2)]
