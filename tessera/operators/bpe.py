@@ -24,8 +24,8 @@ MAX_PAIRS = 200_000   # pairs that a round looks at, at most
 
 def word_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(word, symbols ARRAY<STRING>, n): distinct pre-tokens split into characters."""
-    words = tokens.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"))
+    from tessera.operators.tokens import token_counts
+    words = token_counts(tokens, tokens_col).withColumnsRenamed({"token": "word", "freq": "n"})
     return words.select("word", F.filter(F.split("word", ""), lambda c: c != "").alias("symbols"), "n")
 
 
@@ -306,7 +306,7 @@ def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10, per_r
                     .agg(F.sum("n").alias("n")).limit(MAX_RUNS + 1).toArrow())
             if runs.num_rows <= MAX_RUNS or size == 1:
                 break
-            size = max(1, size // 2)
+            size = max(1, size // 4)  # each try reads all words
         left = n_merges - len(merges)
         if tied:
             now = tied_merges(total, floor, names, ids, left, size)
@@ -433,22 +433,76 @@ def spark_specials(spark, specials):
 MEMO_WORDS = 200_000  # segmented words that a task remembers
 
 
-def _encode_fn(ranks_bc, ids_bc, unk_id, in_col, out_col):
+def _segment_tables(ranks: dict, ids: dict, unk_id) -> tuple:
+    """The merges as arrays: (sorted pair codes, their ranks, their merged symbols, symbol of each character, vocabulary id of each symbol).
+
+    -1: a symbol that the vocabulary lacks, where it has no ``<unk>``."""
+    import numpy as np
+    symbols: dict = {}
+    for a, b in ranks:
+        for name in (a, b, a + b):
+            symbols.setdefault(name, len(symbols))
+    codes = np.array([symbols[a] << 32 | symbols[b] for a, b in ranks], np.int64)
+    order = np.argsort(codes)
+    merged = np.array([symbols[a + b] for a, b in ranks], np.int64)[order]
+    none = -1 if unk_id is None else unk_id
+    own = np.array([ids.get(name, none) for name in symbols], np.int64)
+    return codes[order], np.array(list(ranks.values()), np.int64)[order], merged, {c: i for c, i in symbols.items() if len(c) == 1}, own
+
+
+def _segment_ids(words: list, tables: tuple, ids: dict, unk_id) -> list:
+    """The ids of ``_segment``'s pieces of each word, all words at once: a step merges each word's lowest-ranked pair, and words without one leave."""
+    import numpy as np
+    codes, ranks, merged, chars, own = tables
+    none, never = -1 if unk_id is None else unk_id, np.iinfo(np.int64).max
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points, at = np.unique(np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), return_inverse=True)
+    letters = [chr(c) for c in points.tolist()]
+    table = np.concatenate([own, np.array([ids.get(c, none) for c in letters], np.int64)])  # characters of no merge come after the symbols
+    syms = np.array([chars.get(c, len(own) + i) for i, c in enumerate(letters)], np.int64)[at]
+    row, done = np.repeat(np.arange(len(words)), sizes), []
+    while len(syms):
+        rank, new = np.full(len(syms), never), np.zeros(len(syms), np.int64)
+        if len(codes):
+            code = syms[:-1] << 32 | syms[1:]
+            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            known = (codes[place] == code) & (row[:-1] == row[1:])
+            rank[:-1][known], new[:-1] = ranks[place[known]], merged[place]
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        starts = np.flatnonzero(first)
+        best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(row))))
+        ended = best == never
+        done.append((row[ended], syms[ended]))
+        pick = (rank == best) & ~ended
+        begin = pick & ~np.concatenate([[False], pick[:-1]])
+        since = np.arange(len(pick)) - np.maximum.accumulate(np.where(begin, np.arange(len(pick)), 0))
+        pick &= since % 2 == 0  # of a symbol repeated, every second pair
+        syms = np.where(pick, new, syms)
+        stay = ~ended & ~np.concatenate([[False], pick[:-1]])
+        syms, row = syms[stay], row[stay]
+    rows, found = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in (0, 1))
+    out = table[found[np.argsort(rows, kind="stable")]].tolist()
+    if unk_id is None:
+        out = [None if i < 0 else i for i in out]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(words)))]).tolist()
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _encode_fn(tables_bc, ids_bc, unk_id, in_col, out_col):
     def fn(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        ranks, ids, memo = ranks_bc.value, ids_bc.value, {}
+        tables, ids, memo = tables_bc.value, ids_bc.value, {}
         for rb in batches:
             lists = rb.column(rb.schema.get_field_index(in_col))
             flat = pc.dictionary_encode(pc.list_flatten(lists))   # this slice's pre-tokens only
-            per_word = []
-            for w in flat.dictionary.to_pylist():
-                if w not in memo:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[w] = [ids.get(p, unk_id) for p in _segment(w, ranks)]
-                per_word.append(memo[w])
+            words = flat.dictionary.to_pylist()
+            new = [w for w in words if w not in memo]
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo, new = {}, words
+            memo.update(zip(new, _segment_ids(new, tables, ids, unk_id)))
+            per_word = [memo[w] for w in words]
             table = pa.array([*per_word, [unk_id]], pa.list_(pa.int32()))
             per_tok = pc.take(table, pc.fill_null(flat.indices, len(per_word)))
             lens = np.asarray(pc.list_value_length(per_tok), dtype=np.int64)
@@ -475,8 +529,9 @@ def encode_bpe(tokens: DataFrame, merges: DataFrame, vocab: DataFrame, keep=(),
     spark = tokens.sparkSession
     ship_package(spark)
     ids = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
-    rb, ib = spark.sparkContext.broadcast(_ranks(merges)), spark.sparkContext.broadcast(ids)
+    share, unk = spark.sparkContext.broadcast, ids.get("<unk>")
+    tables, ib = share(_segment_tables(_ranks(merges), ids, unk)), share(ids)
     base = tokens.select(*keep, tokens_col)
     schema = T.StructType([f for f in base.schema.fields if f.name != tokens_col]
                           + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
-    return base.mapInArrow(_encode_fn(rb, ib, ids.get("<unk>"), tokens_col, "input_ids"), schema)
+    return base.mapInArrow(_encode_fn(tables, ib, unk, tokens_col, "input_ids"), schema)

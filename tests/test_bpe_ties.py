@@ -55,3 +55,30 @@ def test_ties_match_one_by_one_learning(spark, seed):
     words = [("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 6))), 1) for _ in range(14)]
     want = plain_bpe(words, 30)
     assert learned(spark, words, 30, 2) == want
+
+
+def test_words_are_segmented_all_at_once():
+    """``_segment_ids`` gives the ids of ``_segment``'s pieces, for repeated symbols, symbols made twice, unknown characters and empty words."""
+    import random
+    draw = random.Random(5)
+    pairs = [("a", "a"), ("b", "a"), ("aa", "a"), ("a", "b"), ("aa", "b"), ("ab", "ab"), ("b", "b"), ("a", "ab"), ("é", "a"), ("abab", "aa")]
+    words = ["", "a", "aaaaaaa", "ab" * 9, "zé", "日a", *("".join(draw.choices("abéz", k=draw.randrange(12))) for _ in range(400))]
+    for n in (0, 3, len(pairs)):
+        ranks = {p: k for k, p in enumerate(pairs[:n])}
+        for ids in ({"<unk>": 9, "a": 0, "b": 1, "aa": 2, "ab": 3, "z": 4, "abab": 5}, {"a": 0, "ab": 1}, {}):
+            unk = ids.get("<unk>")
+            got = bpe._segment_ids(words, bpe._segment_tables(ranks, ids, unk), ids, unk)
+            assert got == [[ids.get(p, unk) for p in bpe._segment(w, ranks)] for w in words]
+
+
+def test_encoding_segments_no_word_alone(spark, monkeypatch):
+    """Encoding takes the words of a batch together: the word-by-word way is not called."""
+    from tessera.operators.bpe import bpe_vocab, encode_bpe, learn_bpe, word_counts
+    df = spark.createDataFrame([(1, ["low", " low", " lower", "low"]), (2, []), (3, None)], "doc_id long, tokens array<string>")
+    words = word_counts(df)
+    merges = learn_bpe(words, 4)
+    calls = []
+    tables = bpe._segment_tables
+    monkeypatch.setattr(bpe, "_segment_tables", lambda *a: calls.append(1) or tables(*a))
+    got = {r["doc_id"]: r["input_ids"] for r in encode_bpe(df, merges, bpe_vocab(words, merges), keep=["doc_id"]).collect()}
+    assert calls and got[2] == [] and got[3] is None and got[1][0] == got[1][-1] and len(got[1]) >= 4
