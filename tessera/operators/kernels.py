@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 
-FOLD_BYTES = 32 << 20  # codes held before they are folded into counts
-MAX_CODES = 2_000_000  # distinct codes held before they are handed on
-RUN_TOKENS = 1 << 20  # tokens of the lists that are worked on at once, about
+FOLD_BYTES = 8 << 20  # codes held before they are folded into counts: folding takes some ten times that
+MAX_CODES = 1_000_000  # distinct codes held before they are handed on
+GIVEN_CODES = 1 << 18  # codes of a batch that is handed on
+RUN_TOKENS = 1 << 18  # tokens of the lists that are worked on at once, about
 
 
 class CodeCounts:
@@ -64,7 +65,8 @@ class CodeCounts:
     def _give(self):
         codes, n = self.codes, self.n
         self.codes, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield codes, n
+        for i in range(0, len(codes), GIVEN_CODES):
+            yield codes[i:i + GIVEN_CODES], n[i:i + GIVEN_CODES]
 
 
 def list_runs(column):

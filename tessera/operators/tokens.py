@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.constants import EOS_TOKEN, MASK_TOKEN, UNK_TOKEN
+from tessera.operators.kernels import RUN_TOKENS
 from tessera.operators.rowindex import with_row_index
 from tessera.session import ensure_checkpoint_dir, ship_package
 
@@ -261,17 +262,23 @@ def find_values(table, keys, seed: int, default):
 
 def _lookup_partition(name: str, seed: int, in_col: str, out_col: str, default):
     def fn(batches):
+        import numpy as np
         import pyarrow as pa
         table = _mapped(name)
         for rb in batches:
             lists = rb.column(in_col)
             if isinstance(lists, pa.ChunkedArray):
                 lists = lists.combine_chunks()
-            mapped = find_values(table, lists.values, seed, default)
-            out = pa.ListArray.from_arrays(lists.offsets, mapped, mask=lists.is_null())
             cols = [rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] != in_col]
             names = [n for n in rb.schema.names if n != in_col]
-            yield pa.RecordBatch.from_arrays(cols + [out], names=names + [out_col])
+            ends, start = np.asarray(lists.offsets, np.int64), 0
+            while start < rb.num_rows:  # rows of about RUN_TOKENS values at once: a lookup takes their size again and again
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + RUN_TOKENS, side="right")) - 1)
+                stop = min(stop, rb.num_rows)
+                mapped = find_values(table, lists.values.slice(ends[start], ends[stop] - ends[start]), seed, default)
+                part = pa.ListArray.from_arrays(pa.array(ends[start:stop + 1] - ends[start], pa.int32()), mapped, mask=lists.slice(start, stop - start).is_null())
+                yield pa.RecordBatch.from_arrays([c.slice(start, stop - start) for c in cols] + [part], names=names + [out_col])
+                start = stop
     return fn
 
 
