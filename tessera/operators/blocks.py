@@ -22,10 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.constants import IGNORE_INDEX, MASK_RATIO
 from tessera.functions import arrays as A
+from tessera.operators import kernels as K
 from tessera.operators.rowindex import content_hash, distinct_offsets, map_batches, same_rows
+from tessera.session import ship_package
 
 
 def effective_block(block_size: int, model_max_length: int | None) -> int:
@@ -90,7 +93,7 @@ def _cut_blocks(df: DataFrame, bs: int, cols: list[str], keys: list[str]) -> Dat
           for c in cols])
     grouped = (df.select(*keys, "block_no", piece.alias("__piece"))
                .groupBy(*keys, "block_no")
-               .agg(F.array_sort(F.collect_list("__piece")).alias("__pieces")))
+               .agg(F.sort_array(F.collect_list("__piece")).alias("__pieces")))
     return grouped.select(*keys, "block_no",
                           *[F.flatten(F.transform("__pieces", _field(c))).alias(c) for c in cols])
 
@@ -130,10 +133,34 @@ def shift_pairs(df: DataFrame, keys, pred_col: str = "pred", label_col: str = "l
 
 
 def infill_triples(df: DataFrame, keys, ids_col: str = "input_ids") -> DataFrame:
-    """One row per mask slot: (keys…, pos, left, target, right)."""
+    """One row per mask slot: (keys…, pos, left, target, right), as ``arrays.infill`` gives them; cut from the lists in Arrow, some rows at a time."""
     keys = list(keys)
-    return (df.select(*keys, F.posexplode(A.infill(ids_col)).alias("pos", "__t"))
-            .select(*keys, "pos", "__t.left", "__t.target", "__t.right"))
+    ship_package(df.sparkSession)
+    rows = df.select(*keys, ids_col)
+    kind = rows.schema[ids_col].dataType.elementType
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("pos", T.IntegerType()), *[T.StructField(c, kind) for c in ("left", "target", "right")]])
+    return rows.mapInArrow(_triples(schema.names), schema)
+
+
+def _triples(names: list[str]):
+    def fn(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for rb in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(rb.column(rb.num_columns - 1)), 0), dtype=np.int64)
+            held, start = np.cumsum(sizes), 0
+            while start < rb.num_rows:
+                before = held[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(held, before + K.RUN_TOKENS, side="right")))
+                part, offsets = rb.slice(start, stop - start), np.concatenate([[0], held[start:stop] - before])
+                flat, at, start = pc.list_flatten(part.column(part.num_columns - 1)), K.pair_starts(offsets), stop
+                row = K.row_of(offsets)[at]
+                pos = at - offsets[row]
+                cols = [part.column(i).take(pa.array(row)) for i in range(part.num_columns - 1)]
+                sides = [flat.take(pa.array(at - 1, mask=pos == 0)), flat.take(pa.array(at)), flat.take(pa.array(at + 1))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), *sides], names=names)
+    return fn
 
 
 def random_mask(df: DataFrame, key_col: str, mask_id: int, special_ids=(), seed: int = 0,
@@ -160,7 +187,7 @@ def random_mask(df: DataFrame, key_col: str, mask_id: int, special_ids=(), seed:
     k = F.when(ncand > 0, F.greatest(F.lit(1), F.floor(ncand.cast("double") * F.lit(ratio)).cast("int"))) \
         .otherwise(F.lit(0))
     out = out.withColumn("__k", k)
-    thr = F.when(F.col("__k") > 0, F.element_at(F.array_sort(cands), F.greatest(F.col("__k"), F.lit(1))))
+    thr = F.when(F.col("__k") > 0, F.element_at(F.sort_array(cands), F.greatest(F.col("__k"), F.lit(1))))
     z = F.arrays_zip(ids.alias("x"), F.col("__hs").alias("h"),
                      F.array_repeat(thr, F.size(ids)).alias("t"))
     masked = F.transform(z, lambda e: F.when(e["h"].isNotNull() & (e["h"] <= e["t"]), F.lit(mask_id))

@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
 from tessera.operators import metrics as E
@@ -90,3 +92,46 @@ def test_counts_stay_right_when_they_are_handed_on(spark, monkeypatch):
     slow = sorted(map(tuple, N.infill_counts(df).select("left", "target", "right", "n").collect()), key=repr)
     assert fast == slow
     assert N.unigram_top(df).first()[0] == 2
+
+
+def test_triples_of_any_lists_in_slices(spark, monkeypatch):
+    """Triples cut in Arrow equal the array form: null and empty lists, one value, null values, several keys, runs cut anywhere."""
+    from tessera.functions import arrays as A
+    from tessera.operators import blocks as B
+    rows = [(i, None if i % 7 == 0 else f"k{i}", None if i % 11 == 0 else [None if (i + j) % 5 == 0 else j for j in range(i % 9)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b string, input_ids array<int>").repartition(3)
+    old = df.select("a", "b", F.posexplode(A.infill("input_ids")).alias("pos", "t")).select("a", "b", "pos", "t.*")
+    got = B.infill_triples(df, ["a", "b"])
+    assert got.columns == old.columns and [f.dataType for f in got.schema] == [f.dataType for f in old.schema]
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, old.collect()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([list(range(i % 6)) for i in range(40)], pa.list_(pa.int32()))], names=["k", "x"])
+    names = ["k", "pos", "left", "target", "right"]
+    whole = [r for b in B._triples(names)([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(K, "RUN_TOKENS", 7)
+    cut = list(B._triples(names)([batch]))
+    assert len(cut) > 5 and [r for b in cut for r in b.to_pylist()] == whole
+
+
+def test_counts_are_handed_on_in_small_batches():
+    """A task's counts leave in batches of ``GIVEN_CODES`` at most, and a fold holds 8 MB of codes."""
+    held = K.CodeCounts()
+    codes = np.arange(1_300_000, dtype=np.int64)
+    parts = [*held.add(codes), *held.add(codes[:5]), *held.finish()]
+    assert max(len(c) for c, _ in parts) <= K.GIVEN_CODES and held.fold_bytes <= 8 << 20
+    assert sum(int(n.sum()) for _, n in parts) == 1_300_005
+
+
+def test_lookup_in_slices(spark, monkeypatch):
+    """A batch is looked up some values at a time, nulls and empty lists at the cuts too."""
+    from tessera.operators import tokens as TK
+    table = pa.table({"key": pa.array([1, 2, 3]), "value": pa.array([10, 20, 30], pa.int32())})
+    monkeypatch.setattr(TK, "_mapped", lambda name: table)
+    monkeypatch.setattr(TK, "RUN_TOKENS", 4)
+    lists = [[1, 2], None, [], [3, 9, 1, 1, 1, 1, 2], [2], [], None, [1, 2, 3], [3]]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array([[1], *lists, [2]], pa.list_(pa.int64()))], names=["k", "x"])
+    for batch in (whole, whole.slice(1, 9), whole.slice(0, 0)):
+        out = list(TK._lookup_partition("t", 0, "x", "y", -1)([batch]))
+        want = [{"k": r["k"], "y": None if r["x"] is None else [{1: 10, 2: 20, 3: 30}.get(v, -1) for v in r["x"]]} for r in batch.to_pylist()]
+        assert [r for b in out for r in b.to_pylist()] == want
+        assert len(out) > 1 or batch.num_rows == 0
