@@ -86,10 +86,9 @@ def _count_fn(batches):
     import pyarrow as pa
 
     def summed(parts):
-        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        total = np.zeros(len(codes), np.int64)
-        np.add.at(total, at, np.concatenate([n for _, n in parts]))
-        return codes, total
+        pairs = pa.table({"code": np.concatenate([c for c, _ in parts]), "count": np.concatenate([n for _, n in parts])})
+        total = pairs.group_by("code", use_threads=False).aggregate([("count", "sum")])  # by hash: sorting all pairs costs more
+        return total.column("code").to_numpy(), total.column("count_sum").to_numpy()
     held = []
     for rb in batches:
         if rb.num_rows == 0:
