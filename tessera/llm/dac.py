@@ -34,6 +34,7 @@ from tessera.llm.common import partitions, publish, range_cuts, range_no, scratc
 MAGIC, HEAD = b"DAC1", struct.Struct("<4sQIIIIQ")
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 20
+ENCODE_BYTES = 8 << 20  # of text, encoded at once
 FILE_SEGMENTS = 16
 
 
@@ -138,6 +139,14 @@ def segments(data: bytes) -> Iterator[Segment]:
         at += one.size + 1
 
 
+def parts(batch, most: int) -> Iterator:
+    """Slices of a batch whose texts have ``most`` bytes and one text more at most."""
+    import pyarrow.compute as pc
+    begun = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype("int64"))])[:-1]
+    cuts = [0, *(np.flatnonzero(np.diff(begun // most)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, n_ranges: int | None = None) -> None:
     """Encode ``doc_id, text`` and write the ids as segments under ``path``, in ascending ``doc_id`` order.
 
@@ -165,16 +174,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for doc_id, text, rng in zip(*(batch.column(c) for c in ("doc_id", "text", "rng")), strict=True):
-                rng = rng.as_py()
-                if ids and (rng != now or size >= SEGMENT_TOKENS):
-                    yield out()
-                if rng != now:
-                    now, number = rng, 0
-                held += [bpe.encode(text.as_py() or ""), end]
-                ids.append(doc_id.as_py())
-                lengths.append(len(held[-2]) + 1)
-                size += lengths[-1]
+            for part in parts(batch, ENCODE_BYTES):
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                flat, counts = bpe.encode_all(texts)
+                at = 0
+                for doc_id, rng, n in zip(part.column("doc_id").to_pylist(), part.column("rng").to_pylist(), counts.tolist(), strict=True):
+                    if ids and (rng != now or size >= SEGMENT_TOKENS):
+                        yield out()
+                    if rng != now:
+                        now, number = rng, 0
+                    held += [flat[at:at + n], end]
+                    ids.append(doc_id)
+                    lengths.append(n + 1)
+                    at, size = at + n, size + n + 1
+                held[:] = [np.concatenate(held)] if held else []  # copies, so that a part's ids go with it
         if ids:
             yield out()
 

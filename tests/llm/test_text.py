@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -343,3 +344,49 @@ def test_words_and_their_marks_are_encoded_without_the_pattern():
     for _ in range(2):  # from the model, then from what is remembered
         assert [one.encode(t).tolist() for t in texts] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert " naïve" not in one.pieces and {"naïve", "naïve,"} <= set(one.runs)
+
+
+def test_what_a_worker_remembers_is_bounded_in_bytes(monkeypatch):
+    """Runs and pre-tokens seen once leave again, whatever their number and length; ids stay the library's."""
+    monkeypatch.setattr(bytebpe, "MEMO", 20_000)
+    monkeypatch.setattr(bytebpe, "RUN_MEMO", 20_000)
+    monkeypatch.setattr(bytebpe, "KNOWN", 20_000)
+    one, rnd = bytebpe.ByteBpe(bytebpe.vocabulary("byte_bpe_50k.json")), random.Random(5)
+    word = lambda: "".join(rnd.choice("abdeinorstéñ1,.'\n") for _ in range(rnd.randrange(1, 14)))
+    for k in range(12):
+        texts = [" ".join(["often", *(word() for _ in range(120)), "x1" * 5000, "often,"]) for _ in range(4)]
+        want = [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [one.encode(t).tolist() for t in texts] == want
+        ids, counts = one.encode_all(texts)
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+        for memo in (one.pieces, one.runs):
+            assert sum(sys.getsizeof(x) + sys.getsizeof(v) for g in (memo, memo.elder) for x, v in g.items()) <= 40_000
+        words, their = one.known
+        assert sum(map(len, words.to_pylist())) + 4 * len(their.flatten()) <= 20_000
+    assert "often" in one.runs or "often" in one.runs.elder  # what is asked for again stays
+
+
+def test_texts_encoded_together_equal_the_library():
+    lib, one = library("byte_bpe_50k.json"), bytebpe.ByteBpe(bytebpe.vocabulary("byte_bpe_50k.json"))
+    texts = [*TRICKY, "a  ", "\n  ", " ", " a", "a \n", "a   b", "word", "naïve naïve, naïve", "a \t b word word, 12", "<|endoftext|> b"]
+    for some in (texts, texts[::-1], texts, [""], ["word"], ["日本"], []):
+        ids, counts = one.encode_all(some)
+        want = [lib.encode(t, add_special_tokens=False).ids for t in some]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+
+def test_batches_are_encoded_in_parts(spark, tmp_path):
+    """Slices of a batch hold every row once, in order; files read back equal the library over segments and ranges."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab" * k if k % 4 else None for k in range(40)])], names=["text"])
+    got = list(dac.parts(batch, 100))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) and len(got) > 5
+    assert sum(p.num_rows for p in dac.parts(batch.slice(0, 0), 100)) == 0
+    lib = library("byte_bpe_50k.json")
+    rows = [(7, "same id b"), (7, "same id a"), (7, None), (None, "no id"), (3, "x y, z."), (9, ""), (2, "a " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dac.write_tokens(df, f"file://{tmp_path}/p", bytebpe.vocabulary("byte_bpe_50k.json"), n_ranges=2)
+    got = sorted(dac.read_tokens(spark, f"file://{tmp_path}/p").collect(), key=lambda r: r["start"])
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    assert [list(r["ids"]) for r in got] == [[*lib.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows]
