@@ -12,7 +12,8 @@
 4. Counts of the phrases' parts are joined on (language, phrase); scores are exact in decimal(38,0).
 
 Lookups (words to numbers, pairs to numbers) go through a table handed to every worker while it has at most
-``MAX_TABLE`` entries; beyond that through a shuffle join of the stream's elements.  Both give the same rows.
+``MAX_TABLE`` words or ``MAX_PAIRS`` pairs (two sorted arrays, 12 bytes a pair); beyond that through a shuffle join of
+the distinct elements of each stream row.  Both give the same rows, and a task holds one table or one row at a time.
 
 Defined results: a null or empty text has no words; a null language is ``und``, together with documents that say ``und``; rows that repeat an id all
 count, as ids are not read; ties in score and count go to the phrase first in UTF-8 byte order; an empty table gives no
@@ -26,20 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import prepare, publish, table
+from tessera.llm.common import prepare, publish, small_batches, table
 from tessera.operators.rowindex import with_group_index
-from tessera.operators.tokens import shuffle_lookup
 
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
-MAX_TABLE = 1_000_000
+MAX_TABLE = 1_000_000  # words of a worker's table, about 130 bytes each
+MAX_PAIRS = 8_000_000  # pairs of a worker's table, 12 bytes each
 TILE = 1024
 DENSE_PAIRS = TILE * TILE // 16  # pairs of a tile from which it is counted in a dense array
 PAIR_BUFFER = 1 << 21
 DENSE_TILES = 8  # dense arrays kept by a task
 WORD_BUFFER = 500_000  # distinct words kept by a task
-STREAM = 1 << 20  # numbers of a stream row, about
+STREAM = 1 << 18  # numbers of a stream row, about
+SLICE = 1 << 16  # rows handed on at once
 BREAK = b"."
 _BYTES = bytes(ord(".") if b in b".,;:!?\n\x0b\x0c\r" else ord(" ") if b == 9 else b for b in range(256))
 
@@ -52,6 +54,7 @@ def words_of(text: str | None) -> list[bytes]:
 def _word_counts(batches):
     """(lang, word, n) of a task, handed on beyond ``WORD_BUFFER`` distinct words."""
     from collections import Counter
+    from itertools import islice
 
     import pyarrow as pa
     counts: dict[str, Counter] = {}
@@ -59,8 +62,10 @@ def _word_counts(batches):
     def rows():
         for lang, c in counts.items():
             c.pop(BREAK, None)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()),
-                                              pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+            items = iter(c.items())
+            while part := list(islice(items, SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.binary()).cast(pa.string()),
+                                                  pa.array([n for _, n in part], pa.int64())], names=["lang", "word", "n"])
 
     for rb in batches:
         for lang, text in zip(rb.column("lang").to_pylist(), rb.column("text")):
@@ -71,39 +76,76 @@ def _word_counts(batches):
     yield from rows()
 
 
+def _cut(batches, number, row):
+    """Texts → ``row(lang, ids)`` by language, about ``STREAM`` numbers a row; ``number(lang, words)`` gives their numbers or None."""
+    held, size = {}, {}
+
+    def cut(lang):
+        size[lang] = 0
+        return row(lang, squeeze(np.concatenate(held.pop(lang))))
+
+    for rb in batches:
+        for lang, text in zip(rb.column("lang").to_pylist(), rb.column("text")):
+            words = words_of(text.as_py())
+            ids = number(lang, words) if words else None
+            if ids is None:
+                continue
+            held.setdefault(lang, []).extend((ids, np.array([-1], np.int32)))
+            size[lang] = size.get(lang, 0) + len(words) + 1
+            if size[lang] >= STREAM:
+                yield cut(lang)
+            elif sum(size.values()) >= 4 * STREAM:  # many languages in a task
+                for other in list(held):
+                    yield cut(other)
+    for lang in list(held):
+        yield cut(lang)
+
+
 def _streams(numbers):
-    """Texts → streams of word numbers by language, about ``STREAM`` numbers a row."""
+    """Texts → streams of word numbers by language."""
     def fn(batches):
         import pyarrow as pa
-        known, held, size = numbers.value, {}, {}
+        known = numbers.value
 
-        def row(lang):
-            parts = held.pop(lang)
-            size[lang] = 0
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([squeeze(np.concatenate(parts)).tobytes()], pa.binary())], names=["lang", "ids"])
+        def number(lang, words):
+            if lang not in known:
+                return None
+            get = known[lang].get
+            return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
 
-        for rb in batches:
-            for lang, text in zip(rb.column("lang").to_pylist(), rb.column("text")):
-                words = words_of(text.as_py())
-                if lang not in known or not words:
-                    continue
-                get = known[lang].get
-                ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                held.setdefault(lang, []).extend((ids, np.array([-1], np.int32)))
-                size[lang] = size.get(lang, 0) + len(words) + 1
-                if size[lang] >= STREAM:
-                    yield row(lang)
-                elif sum(size.values()) >= 4 * STREAM:  # many languages in a task
-                    for other in list(held):
-                        yield row(other)
-        for lang in list(held):
-            yield row(lang)
+        def row(lang, ids):
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([ids.tobytes()], pa.binary())], names=["lang", "ids"])
+
+        return _cut(batches, number, row)
     return fn
 
 
+def _local_words(batches):
+    """Texts → streams of places in the row's own list of distinct words, ``keys``."""
+    import pyarrow as pa
+    own: dict[str, dict[bytes, int]] = {}
+
+    def number(lang, words):
+        place = own.setdefault(lang, {BREAK: -1})
+        return np.fromiter((place.setdefault(w, len(place) - 1) for w in words), np.int32, len(words))
+
+    def row(lang, ids):
+        keys = pa.array(list(own.pop(lang))[1:], pa.binary()).cast(pa.string())
+        return _local_row(lang, ids, keys)
+
+    return _cut(batches, number, row)
+
+
+def _local_row(lang, ids, keys):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([ids.tobytes()], pa.binary()),
+                                       pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], names=["lang", "ids", "keys"])
+
+
 def squeeze(ids: np.ndarray) -> np.ndarray:
     """Runs of breaks become one; numbers alone between breaks, which have no neighbour, go."""
-    ids = np.concatenate([[-1], ids, [-1]]).astype(np.int32)
+    edge = np.array([-1], np.int32)
+    ids = np.concatenate([edge, ids, edge])
     real = ids >= 0
     paired = np.zeros(len(ids), bool)
     paired[1:-1] = real[1:-1] & (real[:-2] | real[2:])
@@ -126,16 +168,34 @@ def runs(sorted_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_codes[starts], np.diff(np.append(starts, len(sorted_codes)))
 
 
+def tiled(codes: np.ndarray) -> np.ndarray:
+    """The codes' bits dealt anew: tile row, tile column, then the place in the tile; sorted, the pairs of a tile stand together."""
+    bits = TILE.bit_length() - 1
+    out = codes >> 32 + bits << 31 + bits
+    out |= (codes & 0xFFFFFFFF) >> bits << 2 * bits
+    out |= (codes >> 32 & TILE - 1) << bits
+    out |= codes & TILE - 1
+    return out
+
+
+def untiled(keys: np.ndarray) -> np.ndarray:
+    bits = TILE.bit_length() - 1
+    out = (keys >> 31 + bits << bits | keys >> bits & TILE - 1) << 32
+    out |= (keys >> 2 * bits & (1 << 31 - bits) - 1) << bits
+    out |= keys & TILE - 1
+    return out
+
+
 class Tiles:
     """Counts of one language's pairs in a task: dense arrays for full tiles, sorted runs for the rest."""
 
     def __init__(self):
-        self.dense: dict[tuple[int, int], np.ndarray] = {}
+        self.dense: dict[int, np.ndarray] = {}
         self.buffer: list[np.ndarray] = []
         self.held = 0
 
     def add(self, codes: np.ndarray):
-        self.buffer.append(codes)
+        self.buffer.append(tiled(codes))
         self.held += len(codes)
         if self.held >= PAIR_BUFFER:
             yield from self.fold()
@@ -144,34 +204,34 @@ class Tiles:
         """Counts the buffer; yields (codes, counts) of sparse tiles and of dense ones beyond ``DENSE_TILES``."""
         if not self.buffer:
             return
-        codes = np.concatenate(self.buffer)
+        keys = np.concatenate(self.buffer)
         self.buffer, self.held = [], 0
-        bits = TILE.bit_length() - 1
-        tile = (codes >> 32 + bits) << 32 | (codes & 0xFFFFFFFF) >> bits
-        order = np.argsort(tile, kind="stable")
-        codes, tile = codes[order], tile[order]
-        tiles, sizes = runs(tile)
+        keys.sort()
+        bits = 2 * (TILE.bit_length() - 1)
+        tiles, sizes = runs(keys >> bits)
+        full = (sizes >= DENSE_PAIRS) | np.isin(tiles, np.fromiter(self.dense, np.int64, len(self.dense)))
         ends = np.cumsum(sizes)
-        sparse = []
-        for t, size, end in zip(tiles.tolist(), sizes.tolist(), ends.tolist()):
-            part, key = codes[end - size:end], (t >> 32, t & 0xFFFFFFFF)
-            if size < DENSE_PAIRS and key not in self.dense:
-                sparse.append(part)
+        for tile, start, end in zip(tiles[full].tolist(), (ends - sizes)[full].tolist(), ends[full].tolist()):
+            count = np.bincount(keys[start:end] & TILE * TILE - 1, minlength=TILE * TILE)
+            if tile in self.dense:
+                self.dense[tile] += count
                 continue
-            local = ((part >> 32) & (TILE - 1)) << bits | part & (TILE - 1)
-            count = np.bincount(local, minlength=TILE * TILE)
-            self.dense[key] = self.dense[key] + count if key in self.dense else count
-        if sparse:
-            yield runs(np.sort(np.concatenate(sparse)))
-        if len(self.dense) > DENSE_TILES:
-            yield from self.cells()
+            self.dense[tile] = count
+            if len(self.dense) > DENSE_TILES:
+                yield from self.cells()
+        sparse = np.repeat(~full, sizes)
+        if sparse.any():
+            keys = keys[sparse]
+            for i in range(0, len(keys), PAIR_BUFFER // 8):  # a code on a border is in two runs, and both are added up
+                cells, n = runs(keys[i:i + PAIR_BUFFER // 8])
+                yield untiled(cells), n
 
     def cells(self):
         """The dense tiles' cells that are not zero; the arrays are let go."""
-        for (i, j), count in self.dense.items():
+        while self.dense:
+            tile, count = self.dense.popitem()
             at = np.flatnonzero(count)
-            yield (i * TILE + at // TILE) << 32 | (j * TILE + at % TILE), count[at]
-        self.dense = {}
+            yield untiled(tile * TILE * TILE + at), count[at]
 
 
 COUNTS = "lang string, code long, n long"
@@ -184,9 +244,12 @@ def _pair_counts(batches):
 
     def out(lang, counted):
         for codes, n in counted:
-            for i in range(0, len(codes), 1 << 16):
-                c = codes[i:i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c), pa.array(n[i:i + (1 << 16)].astype(np.int64))], names=["lang", "code", "n"])
+            for i in range(0, len(codes), SLICE):
+                c = codes[i:i + SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c), pa.array(n[i:i + SLICE].astype(np.int64))], names=["lang", "code", "n"])
+        if sum(len(t.dense) for t in tiles.values()) > DENSE_TILES:
+            for other, t in tiles.items():
+                yield from out(other, t.cells())
 
     for rb in batches:
         for lang, ids in zip(rb.column("lang").to_pylist(), rb.column("ids")):
@@ -196,9 +259,6 @@ def _pair_counts(batches):
                 if sum(t.held for t in tiles.values()) >= PAIR_BUFFER:  # many languages in a task
                     for other, t in tiles.items():
                         yield from out(other, t.fold())
-                if sum(len(t.dense) for t in tiles.values()) > DENSE_TILES:
-                    for other, t in tiles.items():
-                        yield from out(other, t.cells())
     for lang, t in tiles.items():
         yield from out(lang, t.fold())
         yield from out(lang, t.cells())
@@ -227,30 +287,42 @@ def _rewrite(numbers):
     return fn
 
 
-def _unpacked(batches):
-    """Streams → arrays of pair codes, null where there is no pair."""
+def _local_pairs(batches):
+    """Streams → streams of places in the row's own list of distinct pair codes, ``keys``."""
     import pyarrow as pa
     for rb in batches:
-        lists = []
-        for raw in rb.column("ids"):
+        for lang, raw in zip(rb.column("lang").to_pylist(), rb.column("ids")):
             ids = np.frombuffer(raw.as_buffer(), np.int32)
-            a, b = ids[:-1].astype(np.int64), ids[1:]
-            lists.append(pa.array(a << 32 | b, mask=(a < 0) | (b < 0)))
-        yield pa.RecordBatch.from_arrays([rb.column("lang"), pa.array([x.to_pylist() for x in lists], pa.list_(pa.int64()))], names=["lang", "codes"])
+            there = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            keys, place = np.unique(pair_codes(ids), return_inverse=True)
+            at = np.full(max(0, len(ids) - 1), -1, np.int32)
+            at[there] = place
+            yield _local_row(lang, at, pa.array(keys))
 
 
-def _packed(batches):
+def _renumbered(batches):
+    """Streams of places and (place << 32 | number) of the places that have one → streams of numbers."""
     import pyarrow as pa
     for rb in batches:
-        ids = [squeeze(np.array([-1 if v is None else v for v in x.as_py()], np.int32)).tobytes() for x in rb.column("ids")]
-        yield pa.RecordBatch.from_arrays([rb.column("lang"), pa.array(ids, pa.binary())], names=["lang", "ids"])
-
-
-def _tokens(batches):
+        streams = []
+        for raw, found in zip(rb.column("ids"), rb.column("found")):
+            at, found = np.frombuffer(raw.as_buffer(), np.int32), found.values.to_numpy()
+            number = np.full(int(at.max(initial=-1)) + 2, -1, np.int32)  # the last is that of place -1
+            number[found >> 32] = found & 0xFFFFFFFF
+            number[-1] = -1
+            streams.append(squeeze(number[at]).tobytes())
+        yield pa.RecordBatch.from_arrays([rb.column("lang"), pa.array(streams, pa.binary())], names=["lang", "ids"])
+
+
+def _blocks(batches):
+    """(lang, code, id) → codes and numbers of a batch by language, packed."""
     import pyarrow as pa
+    import pyarrow.compute as pc
     for rb in batches:
-        words = [[None if w == BREAK else w.decode() for w in words_of(x.as_py())] for x in rb.column("text")]
-        yield pa.RecordBatch.from_arrays([rb.column("lang"), pa.array(words, pa.list_(pa.string()))], names=["lang", "words"])
+        for lang in rb.column("lang").unique():
+            part = rb.filter(pc.equal(rb.column("lang"), lang))
+            packed = [pa.array([part.column(c).to_numpy().tobytes()], pa.binary()) for c in ("code", "id")]
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()], pa.string()), *packed], names=["lang", "codes", "ids"])
 
 
 STREAMS = "lang string, ids binary"
@@ -267,48 +339,60 @@ def is_small(ids: DataFrame, max_table: int) -> bool:
     return ids.count() <= max_table
 
 
+def shuffled(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """(lang, ids) of ``rows`` (lang, ids, keys), whose places in ``keys`` become the numbers in ``ids`` (lang, key, id).
+
+    Only a row's distinct keys meet ``ids``, so no key is met more often than there are rows."""
+    rows = publish(rows.withColumn("row", F.monotonically_increasing_id()), "local-streams")
+    each = rows.select("row", "lang", F.posexplode("keys").alias("place", key))
+    pair = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("id"))
+    found = each.join(ids.select("lang", key, "id"), ["lang", key]).groupBy("row").agg(F.collect_list(pair).alias("found"))
+    return rows.select("row", "lang", "ids").join(found, "row").select("lang", "ids", "found").mapInArrow(_renumbered, STREAMS)
+
+
 def word_streams(docs: DataFrame, ids: DataFrame, max_table: int = MAX_TABLE) -> DataFrame:
     """(lang, ids): texts as numbers of the words in ``ids`` (lang, word, id), packed int32, -1 breaks."""
-    sc = docs.sparkSession.sparkContext
-    if is_small(ids, max_table):
-        known: dict[str, dict[bytes, int]] = {}
-        for r in ids.select("lang", "word", "id").toLocalIterator():
-            known.setdefault(r["lang"], {})[r["word"].encode()] = r["id"]
-        return docs.mapInArrow(_streams(sc.broadcast(known)), STREAMS)
-    keyed = docs.mapInArrow(_tokens, "lang string, words array<string>")
-    keyed = keyed.withColumn("words", F.transform("words", lambda w: F.when(w.isNotNull(), F.concat_ws(" ", "lang", w))))
-    pairs = ids.select(F.concat_ws(" ", "lang", "word").alias("key"), F.col("id").cast("int").alias("id"))
-    return shuffle_lookup(keyed, pairs, "key", "id", "words", "ids").select("lang", "ids").mapInArrow(_packed, STREAMS)
-
-
-def longer_streams(streams: DataFrame, ids: DataFrame, max_table: int = MAX_TABLE) -> DataFrame:
+    if not is_small(ids, max_table):
+        return shuffled(docs.mapInArrow(_local_words, "lang string, ids binary, keys array<string>"), ids, "word")
+    known: dict[str, dict[bytes, int]] = {}
+    for r in ids.select("lang", "word", "id").toLocalIterator():
+        known.setdefault(r["lang"], {})[r["word"].encode()] = r["id"]
+    return docs.mapInArrow(_streams(docs.sparkSession.sparkContext.broadcast(known)), STREAMS)
+
+
+def pair_table(ids: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted codes and their numbers by language, collected some thousand pairs a row."""
+    packed = ids.select("lang", "code", F.col("id").cast("int").alias("id")).orderBy("lang", "code").mapInArrow(_blocks, "lang string, codes binary, ids binary")
+    parts: dict[str, list] = {}
+    for r in packed.toLocalIterator():
+        parts.setdefault(r["lang"], []).append((r["codes"], r["ids"]))
+    known = {}
+    for lang in list(parts):
+        codes, own = zip(*parts.pop(lang))
+        known[lang] = (np.frombuffer(b"".join(codes), np.int64), np.frombuffer(b"".join(own), np.int32))
+    return known
+
+
+def longer_streams(streams: DataFrame, ids: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """The streams in the numbers of the frequent pairs ``ids`` (lang, code, id)."""
-    sc = streams.sparkSession.sparkContext
-    if is_small(ids, max_table):
-        t = ids.select("lang", "code", F.col("id").cast("int").alias("id")).toPandas()
-        known = {}
-        for lang, part in t.groupby("lang"):
-            order = np.argsort(part["code"].to_numpy())
-            known[lang] = (part["code"].to_numpy()[order], part["id"].to_numpy()[order])
-        return streams.mapInArrow(_rewrite(sc.broadcast(known)), STREAMS)
-    codes = streams.mapInArrow(_unpacked, "lang string, codes array<long>")
-    # a code means another pair in another language, so the key names both
-    keyed = codes.withColumn("codes", F.transform("codes", lambda c: F.when(c.isNotNull(), F.concat_ws(" ", "lang", c.cast("string")))))
-    pairs = ids.select(F.concat_ws(" ", "lang", F.col("code").cast("string")).alias("key"), F.col("id").cast("int").alias("id"))
-    return shuffle_lookup(keyed, pairs, "key", "id", "codes", "ids").select("lang", "ids").mapInArrow(_packed, STREAMS)
-
-
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, max_table: int = MAX_TABLE) -> tuple[DataFrame, list[DataFrame]]:
+    if not is_small(ids, max_pairs):
+        return shuffled(streams.mapInArrow(_local_pairs, "lang string, ids binary, keys array<long>"), ids, "code")
+    return streams.mapInArrow(_rewrite(streams.sparkSession.sparkContext.broadcast(pair_table(ids))), STREAMS)
+
+
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, max_table: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(words of each language as (lang, n); [(lang, id, phrase, n, prefix, suffix)] for 1, 2, ... words).
 
-    Only phrases with ``min_count`` occurrences; ``prefix`` and ``suffix`` are ids of the list before."""
+    Only phrases with ``min_count`` occurrences; ``prefix`` and ``suffix`` are ids of the list before.  ``max_table``
+    stands for ``MAX_TABLE`` and ``MAX_PAIRS``."""
+    max_words_known, max_pairs = (MAX_TABLE, MAX_PAIRS) if max_table is None else (max_table, max_table)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = publish(docs.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     ids = numbered(words.where(F.col("n") >= min_count), "word")
     none = F.lit(None).cast("long")
     levels = [ids.select("lang", "id", F.col("word").alias("phrase"), "n", none.alias("prefix"), none.alias("suffix"))]
-    streams = publish(word_streams(docs, ids, max_table), "word-streams")
+    streams = publish(word_streams(docs, ids, max_words_known), "word-streams")
     for m in range(2, max_words + 1):
         counts = streams.mapInArrow(_pair_counts, COUNTS).groupBy("lang", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
         ids = numbered(counts, "code")
@@ -319,11 +403,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         named = ids.join(first, ["lang", "prefix"]).join(last, ["lang", "suffix"])
         levels.append(publish(named.select("lang", "id", F.concat_ws(" ", "first", "last").alias("phrase"), "n", "prefix", "suffix"), "phrases"))
         if m < max_words:
-            streams = publish(longer_streams(streams, ids, max_table), "phrase-streams")
+            streams = publish(longer_streams(streams, ids, max_pairs), "phrase-streams")
     return totals, levels
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, max_table: int = MAX_TABLE) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, max_table: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to ``max_words`` words from (text, lang)."""
     totals, levels = phrase_counts(docs, min_count, max_words, max_table)
     every, cuts = None, None
@@ -355,6 +439,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 2,000 phrases of each language of ``documents``; nulls, ties, repeats and empty tables as the module says."""
     prepare(spark)
+    small_batches(spark)
     return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 

@@ -81,5 +81,6 @@ PIPELINE_BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Hand Python at most ``PIPELINE_BATCH_BYTES`` at a time in this session: long texts by the thousand cost each worker, and the JVM beside it, their size again and again."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "67108864b").rstrip("b")) > PIPELINE_BATCH_BYTES:
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if size > PIPELINE_BATCH_BYTES:
         spark.conf.set(name, f"{PIPELINE_BATCH_BYTES}b")

@@ -212,3 +212,59 @@ def test_tiles_count_like_a_counter(monkeypatch):
     for c, n in [*parts, *tiles.fold(), *tiles.cells()]:
         got.update(dict(zip(c.tolist(), n.tolist())))
     assert got == Counter(codes.tolist())
+
+
+def test_a_fold_keeps_few_dense_tiles(monkeypatch):
+    monkeypatch.setattr(co, "TILE", 8)
+    monkeypatch.setattr(co, "DENSE_PAIRS", 20)
+    codes = np.repeat([co.pair_codes(np.array([8 * i + 1, 8 * i + 2], np.int32))[0] for i in range(40)], 30)
+    tiles, got, most = co.Tiles(), Counter(), 0
+    list(tiles.add(codes))
+    for part in (tiles.fold(), tiles.cells()):  # one fold of forty full tiles
+        for c, n in part:
+            most = max(most, len(tiles.dense))
+            got.update(dict(zip(c.tolist(), n.tolist())))
+        most = max(most, len(tiles.dense))
+    assert got == Counter(codes.tolist()) and most <= co.DENSE_TILES
+
+
+def test_tiled_codes_come_back():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.integers(0, 1 << 31, 500), [0, (1 << 31) - 1, (1 << 31) - 1, 0, 0]]).astype(np.int32)
+    codes = co.pair_codes(ids)
+    assert (co.untiled(co.tiled(codes)) == codes).all() and (co.tiled(codes) >= 0).all()
+
+
+def test_distinct_lookups_of_a_row_equal_the_table(spark, phrase_rows, monkeypatch):
+    """A join meets a row's distinct words alone, and both ways give the same neighbours."""
+    import pyarrow as pa
+    monkeypatch.setattr(co, "STREAM", 200)
+    docs = spark.createDataFrame(phrase_rows, "text string, lang string").where("lang is not null").select("lang", "text").coalesce(1)
+    ids = co.numbered(docs.mapInArrow(co._word_counts, "lang string, word string, n long").groupBy("lang", "word").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").where("n >= 12"), "word")
+
+    def pairs(streams):
+        out = defaultdict(Counter)
+        for r in streams.collect():
+            out[r["lang"]].update(co.pair_codes(np.frombuffer(r["ids"], np.int32)).tolist())
+        return {k: v for k, v in out.items() if v}
+
+    table, joined = (pairs(co.word_streams(docs, ids, n)) for n in (1000, 0))
+    assert table == joined and len(table) == 3
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": t} for t in ["a b a a"] * 9 + ["c. a", None]])
+    rows = list(co._local_words([batch]))
+    assert len(rows) == 1 and rows[0].column("keys").to_pylist() == [["a", "b", "c"]]
+    known = pa.RecordBatch.from_pydict({"lang": ["en"], "ids": rows[0].column("ids"), "found": [[0 << 32 | 7, 1 << 32 | 9]]})
+    ids = np.frombuffer(next(co._renumbered([known])).column("ids")[0].as_py(), np.int32)
+    assert ids.tolist() == [7, 9, 7, 7, -1] * 9
+
+
+def test_op11_hands_small_batches_to_python(spark, tmp_path):
+    spark.createDataFrame([("a b", "en")], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        assert co.op11_phrases(spark, str(tmp_path)).count() == 0
+        assert int(spark.conf.get(name).rstrip("b")) <= 8 << 20
+    finally:
+        spark.conf.set(name, old)
