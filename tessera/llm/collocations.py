@@ -326,6 +326,8 @@ def _blocks(batches):
 
 
 STREAMS = "lang string, ids binary"
+#: Rows are long: a page's size is looked at after every few rows, not after a hundred, as pages are compressed in memory outside the heap.
+STREAM_FILES = {"parquet.page.size.row.check.min": "2", "parquet.page.size.row.check.max": "8", "parquet.block.size.row.check.min": "8", "parquet.block.size.row.check.max": "64"}
 
 
 def numbered(counts: DataFrame, key: str) -> DataFrame:
@@ -343,7 +345,7 @@ def shuffled(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """(lang, ids) of ``rows`` (lang, ids, keys), whose places in ``keys`` become the numbers in ``ids`` (lang, key, id).
 
     Only a row's distinct keys meet ``ids``, so no key is met more often than there are rows."""
-    rows = publish(rows.withColumn("row", F.monotonically_increasing_id()), "local-streams")
+    rows = publish(rows.withColumn("row", F.monotonically_increasing_id()), "local-streams", STREAM_FILES)
     each = rows.select("row", "lang", F.posexplode("keys").alias("place", key))
     pair = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("id"))
     found = each.join(ids.select("lang", key, "id"), ["lang", key]).groupBy("row").agg(F.collect_list(pair).alias("found"))
@@ -387,15 +389,16 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     stands for ``MAX_TABLE`` and ``MAX_PAIRS``."""
     max_words_known, max_pairs = (MAX_TABLE, MAX_PAIRS) if max_table is None else (max_table, max_table)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = publish(docs.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    # a task's counts are added up once, in Python, and dealt as they are: a second map of them in the JVM hardly has equal keys to add
+    words = publish(docs.mapInArrow(_word_counts, "lang string, word string, n long").repartition("lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     ids = numbered(words.where(F.col("n") >= min_count), "word")
     none = F.lit(None).cast("long")
     levels = [ids.select("lang", "id", F.col("word").alias("phrase"), "n", none.alias("prefix"), none.alias("suffix"))]
-    streams = publish(word_streams(docs, ids, max_words_known), "word-streams")
+    streams = publish(word_streams(docs, ids, max_words_known), "word-streams", STREAM_FILES)
     for m in range(2, max_words + 1):
-        counts = streams.mapInArrow(_pair_counts, COUNTS).groupBy("lang", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        ids = numbered(counts, "code")
+        counts = streams.mapInArrow(_pair_counts, COUNTS).repartition("lang", "code").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        ids = numbered(publish(counts.where(F.col("n") >= min_count), "phrase-counts"), "code")
         prefix, suffix = F.shiftright("code", 32), F.col("code").bitwiseAND((1 << 32) - 1)
         ids = ids.withColumn("prefix", prefix).withColumn("suffix", suffix)
         first = levels[-1].select("lang", F.col("id").alias("prefix"), F.col("phrase").alias("first"))
@@ -403,7 +406,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         named = ids.join(first, ["lang", "prefix"]).join(last, ["lang", "suffix"])
         levels.append(publish(named.select("lang", "id", F.concat_ws(" ", "first", "last").alias("phrase"), "n", "prefix", "suffix"), "phrases"))
         if m < max_words:
-            streams = publish(longer_streams(streams, ids, max_pairs), "phrase-streams")
+            streams = publish(longer_streams(streams, ids, max_pairs), "phrase-streams", STREAM_FILES)
     return totals, levels
 
 
